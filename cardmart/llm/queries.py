@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, rules
+from . import exact_dedup, line_dedup, packing, rules, sentencepiece_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_quality_rules, op6b_rule_ablations, op7_line_dedup)}
+def vocabulary(name: str) -> str:
+    """Place of a vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
