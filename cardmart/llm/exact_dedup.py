@@ -5,8 +5,8 @@ all rows is one row per task before any shuffle), anti-joined with the index by
 appended to it. DataFrame functions only.
 
 Defined results: null text counts as the empty text, and all empty texts are one group; rows with a
-null doc_id are assigned like others and never preferred; rows with equal doc_id stay separate rows;
-an empty batch leaves the index as it is; further columns of the input are not read.
+null doc_id are assigned like others and never preferred; rows that repeat a doc_id and its text are one
+document, so each gets the same decision; an empty batch leaves the index as it is; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import SPACE, new_path, stored, texts
+from .runtime import SPACE, new_path, only, stored, texts
 
 
 def normalised(text: Column) -> Column:
@@ -75,11 +75,9 @@ def exact_groups(docs: DataFrame, buckets: int = 64) -> DataFrame:
     index = DigestIndex(spark, path.rsplit("/", 1)[1].replace("-", "_"), buckets, path)
     rows = stored(signed(docs), "digests")
     index.ingest(rows)
-    # null-safe: a null doc_id is kept only where no other row of its group has an id, once per group at most
     return rows.join(index.files().select("digest", "keep_id", "group_size"), "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def drop_exact(docs: DataFrame, buckets: int = 64) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, buckets).where("kept").select("doc_id")
-    return docs.join(stored(kept, "kept"), "doc_id", "left_semi")
+    return only(docs, exact_groups(docs, buckets).where("kept"))

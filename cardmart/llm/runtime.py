@@ -51,3 +51,10 @@ def texts(docs: DataFrame) -> DataFrame:
 def words(text: Column) -> Column:
     """Words of a text as an array (none: an empty array)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is in kept; rows without a doc_id cannot be named and stay."""
+    kept = stored(kept.select(F.col("doc_id").alias("kept_id")).where("kept_id is not null"), "kept")
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
