@@ -48,19 +48,26 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+#: Bytes that are hashed at once.
+CHUNK = 1 << 21
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: mixed bytes in a polynomial over the place inside the word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(data), dtype=np.int64)
     lengths = ends - starts
-    take = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + place[: lengths.sum()]
-    inner = take - np.repeat(starts, lengths)
-    table = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed + 1) * BASE)
-    power = powers(int(lengths.max()), BASE | np.uint64(1))
-    value = table[data[take]] * power[inner]
-    total = np.add.reduceat(value, np.concatenate(([0], np.cumsum(lengths)[:-1])))
-    return mix(total ^ (lengths.astype(np.uint64) * BASE))
+    before = np.concatenate(([0], np.cumsum(lengths)))
+    table = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+    power = powers(int(lengths.max()) if len(lengths) else 1, BASE | np.uint64(1))
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK)) - 1)
+        n, first = lengths[at:to], before[at:to] - before[at]
+        inner = np.arange(before[to] - before[at]) - np.repeat(first, n)
+        value = table[data[inner + np.repeat(starts[at:to], n)]] * power[inner]
+        out[at:to] = np.add.reduceat(value, first)
+        at = to
+    return mix(out ^ (lengths.astype(np.uint64) * BASE))
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -68,8 +75,8 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = BASE | np.uint64(1)
-    total, power = np.zeros(n, np.uint64), np.uint64(1)
+    base = np.array([BASE | np.uint64(1)])  # arrays, which wrap around without a warning
+    total, power = np.zeros(n, np.uint64), np.ones(1, np.uint64)
     doubling, done, bits = words.copy(), 0, size
     width = 1
     # a window of any size is put together from windows of 1, 2, 4 ... words
@@ -85,3 +92,14 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
             factor = factor * factor
             width *= 2
     return mix(total)
+
+
+def row_slices(column: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes each, or of one longer row."""
+    offsets = flat_bytes(column)[1]
+    out, at = [], 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        out.append((at, to - at))
+        at = to
+    return out
