@@ -13,29 +13,27 @@ not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: The split pattern of the byte-level vocabulary (a fixed value), and the code points for which this process's
-#: character classes are known to be those of the tokenizer library: printable Latin and plain white space.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = regex.compile("[\n\x20-\x7e\xa1-\xac\xae-ɏ]*")
-WHOLE = regex.compile(r"\n?[^\s]+").fullmatch
-#: Units of text that a task remembers, and documents that it puts in order of length before it packs them.
-CACHE = 200_000
+#: The split pattern of the byte-level vocabulary (a fixed value), and texts for which two libraries' character
+#: classes are the same: printable Latin and plain white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*").fullmatch
+#: Documents that a task puts in order of length before it packs them.
 AHEAD = 512
 
 
 class Encoder:
-    """Ids as the tokenizer file gives them, as little-endian 32-bit bytes; units of text that recur are kept."""
+    """Ids as the tokenizer file gives them, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -43,38 +41,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         # the byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
         # ids of this vocabulary stand in the order of its merges, so they are the ranks of the merges too
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
-        self.units = tiktoken.Encoding("units", pat_str=SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def _unit(self, unit: str) -> bytes:
-        ids = array("I", self.units.encode_ordinary(unit if unit[0] == "\n" else " " + unit)).tobytes()
-        if len(self.known) < CACHE:
-            self.known[unit] = ids
-        return ids
-
-    def _library(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])
+        self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        """The split pattern never joins a character that is no white space with white space after it, so a
-        text is cut before each single space or line feed and its units are encoded on their own. Texts with
-        other white space, or code points outside PLAIN, go to the library whole."""
-        if not PLAIN.fullmatch(text):
-            return self._library(text)
-        first, *units = text.replace("\n", " \n").split(" ")
-        try:
-            rest = b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            if not all(WHOLE(u) for u in units):
-                return self._library(text)
-            known = self.known
-            rest = b"".join([known[u] if u in known else self._unit(u) for u in units])
-        return array("I", self.units.encode_ordinary(first)).tobytes() + rest
+        """Texts with code points outside PLAIN go to the tokenizer library itself, as its character classes may differ there."""
+        ids = self.ranked.encode_ordinary(text) if PLAIN(text) else self.library.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
 
 class OpenBins:
