@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, rules, sentencepiece_bpe, simhash, substring_dedup
+from . import exact_dedup, line_dedup, packing, quality, rules, sentencepiece_bpe, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,7 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
