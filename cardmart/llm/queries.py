@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, rules, sentencepiece_bpe, simhash, substring_dedup
+from . import exact_dedup, line_dedup, packing, quality, rules, sentencepiece_bpe, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op9_toxicity, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
