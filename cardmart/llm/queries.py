@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, rules, sentencepiece_bpe, simhash, substring_dedup, toxicity
+from . import exact_dedup, line_dedup, packing, pii, quality, rules, sentencepiece_bpe, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -70,7 +84,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op9_toxicity, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
