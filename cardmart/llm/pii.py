@@ -141,7 +141,7 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool, checked: boo
         listed = "0"
     context = "+" if any(c in before for c in CUES[kind]) else "-" if any(c in before for c in DENIALS) else "0"
     beside = text[max(0, start - 1) : start] + text[end : end + 1]
-    return ("+" if strict else "0") + ("0" if strict else "+") + check + listed + context + ("-" if any(c.isalnum() or c == "_" for c in beside) else "+")
+    return ("+" if strict else "0") + ("+" if checked else "-") + check + listed + context + ("-" if any(c.isalnum() or c == "_" for c in beside) else "+")
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,votes:string,size:int>>"
