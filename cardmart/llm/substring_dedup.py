@@ -52,8 +52,12 @@ class Windows:
         n = len(words) - size + 1
         self.start = np.flatnonzero(row[:n] == row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)  # windows inside one row
         if len(self.start):
-            place = np.argmin(np.lib.stride_tricks.sliding_window_view(grams, reach), axis=1)
-            at = (np.arange(n) + place[:n])[self.start]
+            least, place = grams[:n].copy(), np.zeros(n, np.int8)
+            for k in range(1, reach):  # the first of equal grams stays
+                less = grams[k : k + n] < least
+                np.copyto(least, grams[k : k + n], where=less)
+                place[less] = k
+            at = (np.arange(n) + place)[self.start]
         else:
             at = self.start
         self.opens = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at  # where a new anchor takes over
