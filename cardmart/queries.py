@@ -1,6 +1,644 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""Registry of the engine's queries and their SQL twins.
+
+Each query applies operators to the given tables; each SQL text computes the same rows on its own path.
+Shared parts of the SQL are common table expressions, put together by _sql().
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import clean
+from .operators import calibrate, checks, dedup, marts, scd2
+from .sources import retail
+from .streaming import rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+BATCH = dt.date(2000, 1, 31)
+FLOOR, THRESHOLD = 5, 0.04
+FLOORS, THRESHOLDS = [2, 4, 6], [0.02, 0.04, 0.1]
+
+_CODES = ", ".join(f"'{c}'" for c in retail.ERROR_CODES)
+_BRANDS = ", ".join(f"'{c}'" for c in retail.BRANDS)
+
+
+def _bracket(x: str) -> str:
+    return f"CASE WHEN {x} < 2000 THEN 'LOW' WHEN {x} <= 7000 THEN 'MIDDLE' WHEN {x} IS NOT NULL THEN 'HIGH' ELSE 'UNKNOWN' END"
+
+
+_DESC = ", ".join(f"{c} DESC NULLS LAST" for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+CTE = {
+    "ranked": f"SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_DESC}) AS rn FROM lineitem",
+    "txn": f"""SELECT l_orderkey || '-' || l_linenumber AS transaction_id, l_shipdate AS ts, CAST(l_shipdate AS DATE) AS day,
+        CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS date_key, CAST(o_custkey AS VARCHAR) AS customer_id, o_custkey || '-' || (l_orderkey % 3) AS card_id,
+        CAST(l_suppkey AS VARCHAR) AS merchant_id, coalesce(p_type, '-1') AS mcc, s_nationkey AS merchant_nation,
+        CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END * CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_partkey % 50 = 0 AS is_error,
+        CASE WHEN l_partkey % 50 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN [[{_CODES}][l_orderkey % 7 + 1]] ELSE [[{_CODES}][l_orderkey % 7 + 1], 'OTHER'] END END AS errors
+        FROM ranked JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE rn = 1""",
+    "ev": """SELECT CAST(event_id AS VARCHAR) AS transaction_id, ts, CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS customer_id, user_id || '-' || (event_id % 3) AS card_id,
+        json_extract_string(props, '$.k') AS merchant_id, event_type AS mcc,
+        CASE WHEN event_type IN ('purchase', 'view') THEN -CAST(value AS DECIMAL(18,2)) WHEN event_type = 'signup' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END AS amount, event_type = 'error' AS is_error FROM events""",
+    "ca": f"SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment, c_nationkey AS nation, round(c_acctbal, 2) AS yearly_income, {_bracket('c_acctbal')} AS income_bracket, CAST(1940 + c_custkey % 60 AS INTEGER) AS birth_year, c_custkey FROM customer",
+    "cb": f"""SELECT customer_id, segment, nation, round(CASE WHEN c_custkey % 3 = 0 THEN yearly_income + 5000 ELSE yearly_income END, 2) AS yearly_income,
+        {_bracket('(CASE WHEN c_custkey % 3 = 0 THEN yearly_income + 5000 ELSE yearly_income END)')} AS income_bracket, birth_year, c_custkey FROM ca""",
+    "chist": """SELECT a.customer_id, a.segment, a.nation, CASE WHEN a.income_bracket = b.income_bracket THEN b.yearly_income ELSE a.yearly_income END AS yearly_income, a.income_bracket, a.birth_year, TIMESTAMP '1995-01-01' AS valid_from,
+        CASE WHEN a.income_bracket <> b.income_bracket THEN TIMESTAMP '1998-01-01' END AS valid_to FROM ca a JOIN cb b USING (customer_id)
+        UNION ALL SELECT b.customer_id, b.segment, b.nation, b.yearly_income, b.income_bracket, b.birth_year, TIMESTAMP '1998-01-01', NULL FROM ca a JOIN cb b USING (customer_id) WHERE a.income_bracket <> b.income_bracket""",
+    "cdim": """SELECT md5(customer_id || '||' || CAST(valid_from AS VARCHAR)) AS customer_key, customer_id, segment, nation, yearly_income, income_bracket, birth_year,
+        CASE WHEN row_number() OVER v = 1 THEN TIMESTAMP '1900-01-01' ELSE valid_from END AS effective_from, coalesce(valid_to, TIMESTAMP '9999-12-31 23:59:59') AS effective_to,
+        valid_to IS NULL AS is_current, row_number() OVER v AS version_number FROM chist WINDOW v AS (PARTITION BY customer_id ORDER BY valid_from)""",
+    "dhist": f"""SELECT c_custkey || '-' || n AS card_id, CAST(c_custkey AS VARCHAR) AS customer_id, [{_BRANDS}][c_custkey % 4 + 1] AS card_brand, c_custkey % 2 = 0 AS has_chip, 1 AS num_cards_issued,
+        TIMESTAMP '1995-01-01' AS valid_from, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1998-01-01' END AS valid_to FROM customer, (VALUES (0), (1), (2)) t(n)
+        UNION ALL SELECT c_custkey || '-' || n, CAST(c_custkey AS VARCHAR), [{_BRANDS}][c_custkey % 4 + 1], TRUE, 2, TIMESTAMP '1998-01-01', NULL FROM customer, (VALUES (0), (1), (2)) t(n) WHERE c_custkey % 5 = 0""",
+    "ddim": """SELECT md5(card_id || '||' || CAST(valid_from AS VARCHAR)) AS card_key, card_id, customer_id, card_brand, has_chip, num_cards_issued,
+        CASE WHEN row_number() OVER v = 1 THEN TIMESTAMP '1900-01-01' ELSE valid_from END AS effective_from, coalesce(valid_to, TIMESTAMP '9999-12-31 23:59:59') AS effective_to,
+        valid_to IS NULL AS is_current, row_number() OVER v AS version_number FROM dhist WINDOW v AS (PARTITION BY card_id ORDER BY valid_from)""",
+    "fact": """SELECT t.*, coalesce(c.customer_key, '-1') AS customer_key, coalesce(d.card_key, '-1') AS card_key, CAST(year(t.ts) - c.birth_year AS INTEGER) AS age, c.income_bracket, c.version_number AS customer_version FROM txn t
+        LEFT JOIN cdim c ON t.customer_id = c.customer_id AND t.ts >= c.effective_from AND t.ts < c.effective_to
+        LEFT JOIN ddim d ON t.card_id = d.card_id AND t.ts >= d.effective_from AND t.ts < d.effective_to""",
+    "days": "SELECT CAST(unnest(generate_series((SELECT min(day) FROM txn), (SELECT max(day) FROM txn), INTERVAL 1 DAY)) AS DATE) AS day",
+    "tot": "SELECT merchant_id, count(*) AS n, sum(CASE WHEN is_error THEN 1 ELSE 0 END) AS failed, sum(abs(CAST(amount AS DOUBLE))) AS gross FROM recent GROUP BY merchant_id",
+    "recent": "SELECT * FROM txn WHERE day IN (SELECT DISTINCT day FROM txn ORDER BY day DESC LIMIT 30)",
+}
+_NEEDS = {
+    "txn": ["ranked"], "cb": ["ca"], "chist": ["ca", "cb"], "cdim": ["chist"], "ddim": ["dhist"], "fact": ["txn", "cdim", "ddim"], "days": ["txn"], "recent": ["txn"], "tot": ["recent"],
+}
+
+
+def _sql(names: str, body: str, own: dict[str, str] | None = None) -> str:
+    """A query over shared parts (in order of need) and parts of its own."""
+    order: list[str] = []
+
+    def add(n: str) -> None:
+        for m in _NEEDS.get(n, []):
+            add(m)
+        if n not in order:
+            order.append(n)
+
+    for n in names.split():
+        add(n)
+    parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({s})" for n, s in (own or {}).items()]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer history of two states: the income bracket is tracked, income follows without a new version."""
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    first = scd2.snapshot(None, retail.customer_state(spark, sf, False), "customer_id", ["income_bracket"], at(retail.STATE_A))
+    return scd2.snapshot(first, retail.customer_state(spark, sf, True), "customer_id", ["income_bracket"], at(retail.STATE_B))
+
+
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    first = scd2.snapshot(None, retail.card_state(spark, sf, False), "card_id", ["has_chip", "num_cards_issued"], at(retail.STATE_A))
+    return scd2.snapshot(first, retail.card_state(spark, sf, True), "card_id", ["has_chip", "num_cards_issued"], at(retail.STATE_B))
+
+
+def customer_dim(spark: SparkSession, sf: str) -> DataFrame:
+    return scd2.dimension(customers(spark, sf), "customer_id", "customer_key", {"segment": "UNKNOWN", "income_bracket": "UNKNOWN"})
+
+
+def card_dim(spark: SparkSession, sf: str) -> DataFrame:
+    return scd2.dimension(cards(spark, sf), "card_id", "card_key", {"card_brand": "UNKNOWN"})
+
+
+def _double(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
+def _text(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+# --- duplicates, mandatory columns, cleaning -------------------------------------------------------------
+
+
+@query(_sql("ranked", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM ranked WHERE rn = 1"))
+def dedup_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(retail.unique_lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"), "l_shipdate")
+
+
+@query(_sql("ranked", "SELECT l_orderkey, l_linenumber, l_partkey, 'lineitem' AS source, 'duplicate' AS reason FROM ranked WHERE rn > 1"))
+def dup_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    rows = dedup.duplicates(retail.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"], "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("_quarantine_source").alias("source"), F.col("_quarantine_reason").alias("reason"))
+
+
+_HOLES = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS client_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS amount FROM orders"
+
+
+@query(_sql("", "SELECT id, client_id IS NULL OR amount IS NULL AS rejected, concat_ws(', ', CASE WHEN client_id IS NULL THEN 'client_id' END, CASE WHEN amount IS NULL THEN 'amount' END) AS null_cols FROM h", {"h": _HOLES}))
+def mandatory_split(spark: SparkSession, sf: str) -> DataFrame:
+    o = retail.table(spark, sf, "orders")
+    holes = o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("client_id"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("string")).alias("amount"),
+    )
+    good, bad = checks.split_mandatory(holes, ["id", "client_id", "amount"])
+    good = good.select("id", F.lit(False).alias("rejected"), F.lit("").alias("null_cols"))
+    return good.unionByName(bad.select("id", F.lit(True).alias("rejected"), F.col("_quarantine_null_cols").alias("null_cols")))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'abc' WHEN c_custkey % 17 = 0 THEN '' ELSE '$' || printf('%.2f', c_acctbal) END AS raw FROM customer)
+    SELECT c_custkey, TRY_CAST(TRY_CAST(replace(replace(trim(raw), '$', ''), ',', '') AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM r"""
+)
+def clean_currency(spark: SparkSession, sf: str) -> DataFrame:
+    c = retail.table(spark, sf, "customer")
+    raw = F.when(F.col("c_custkey") % 13 == 0, "abc").when(F.col("c_custkey") % 17 == 0, "").otherwise(F.concat(F.lit("$"), F.format_number("c_acctbal", 2)))
+    return c.select("c_custkey", clean.currency(raw).cast("double").alias("amount"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN p_size ELSE -1 END AS size_ok, CASE WHEN p_partkey % 3 = 0 THEN TRUE WHEN p_partkey % 3 = 1 THEN FALSE END AS flag,
+    p_partkey % 4 <> 0 AS numeric_only, CASE WHEN p_size % 12 + 1 <= 12 THEN strftime(make_date(CAST(2000 + p_size AS INTEGER), CAST(p_size % 12 + 1 AS INTEGER), 1), '%Y-%m-%d') END AS month FROM part"""
+)
+def clean_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    p = retail.table(spark, sf, "part")
+    raw_flag = F.when(F.col("p_partkey") % 3 == 0, " true ").when(F.col("p_partkey") % 3 == 1, "False").otherwise("maybe")
+    raw_number = F.when(F.col("p_partkey") % 4 == 0, "12a").otherwise(F.col("p_partkey").cast("string"))
+    month = F.concat_ws("/", F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), (F.col("p_size") + 2000).cast("string"))
+    return p.select("p_partkey", F.coalesce(clean.bounded_int(F.concat(F.lit(" "), F.col("p_size")), 5, 40), F.lit(-1)).alias("size_ok"), clean.flag(raw_flag).alias("flag"), clean.has_digits_only(raw_number).alias("numeric_only"), clean.month_year(month).cast("string").alias("month"))
+
+
+@query("SELECT o_orderkey, CASE WHEN upper(trim(o_orderpriority)) IN ('1-URGENT', '2-HIGH') THEN upper(trim(o_orderpriority)) ELSE 'UNKNOWN' END AS priority, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status FROM orders")
+def clean_categories(spark: SparkSession, sf: str) -> DataFrame:
+    o = retail.table(spark, sf, "orders")
+    return o.select("o_orderkey", clean.category(F.lower("o_orderpriority"), ["1-URGENT", "2-HIGH"], "UNKNOWN").alias("priority"), clean.category(F.col("o_orderstatus"), ["F", "O"]).alias("status"))
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Bad PIN' WHEN 3 THEN 'Bad PIN, Bad CVV' WHEN 4 THEN 'Bad PIN,' ELSE 'Weird' END AS raw FROM events)
+    SELECT event_id, CASE WHEN nullif(trim(raw), '') IS NOT NULL THEN array_to_string(list_transform(list_filter(string_split(upper(raw), ','), lambda x: trim(x) <> ''),
+    lambda x: CASE WHEN trim(x) IN ({_CODES}) THEN trim(x) ELSE 'UNKNOWN' END), '|') END AS errors FROM r"""
+)
+def error_array(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 6
+    raw = F.when(k == 1, "").when(k == 2, "Bad PIN").when(k == 3, "Bad PIN, Bad CVV").when(k == 4, "Bad PIN,").when(k == 5, "Weird")
+    return retail.table(spark, sf, "events").select("event_id", F.array_join(clean.code_list(raw, retail.ERROR_CODES), "|").alias("errors"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS zip, repeat('*', length(c_name) - 4) || right(c_name, 4) AS pan FROM customer")
+def zip_and_pan(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 5 == 0, "12a").when(F.col("c_custkey") % 5 == 1, F.concat("c_custkey", F.lit(".0"))).otherwise(F.concat(F.lit("0"), F.col("c_custkey")))
+    return retail.table(spark, sf, "customer").select("c_custkey", clean.zip_code(raw).alias("zip"), clean.masked_pan(F.col("c_name")).alias("pan"))
+
+
+@query(
+    """WITH w AS (SELECT sum(CASE WHEN event_type = 'view' THEN value END) AS view, sum(CASE WHEN event_type = 'click' THEN value END) AS click, sum(CASE WHEN event_type = 'error' THEN value END) AS error FROM events)
+    SELECT code, round(total, 2) AS total FROM w UNPIVOT (total FOR code IN (view, click, error))"""
+)
+def unpivot_reference(spark: SparkSession, sf: str) -> DataFrame:
+    e = retail.table(spark, sf, "events")
+    names = ["view", "click", "error"]
+    wide = e.agg(*(F.sum(F.when(F.col("event_type") == n, F.col("value"))).alias(n) for n in names))
+    return wide.unpivot([], names, "code", "total").withColumn("total", F.round("total", 2))
+
+
+# --- dimensions ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT unnest(generate_series(date_trunc('year', min(o_orderdate)), max(o_orderdate), INTERVAL 1 DAY)) AS x FROM orders)
+    SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) AS date_key, CAST(dayofweek(x) + 1 AS INTEGER) AS day_of_week, CAST(day(x) AS INTEGER) AS day_of_month, CAST(dayofyear(x) AS INTEGER) AS day_of_year, CAST(weekofyear(x) AS INTEGER) AS week_of_year,
+    CAST(month(x) AS INTEGER) AS month, CAST(quarter(x) AS INTEGER) AS quarter, CAST(year(x) AS INTEGER) AS year, dayofweek(x) IN (0, 6) AS is_weekend FROM d"""
+)
+def dim_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    first, last = retail.table(spark, sf, "orders").agg(F.min(F.trunc("o_orderdate", "year")), F.max(F.to_date("o_orderdate"))).first()
+    return marts.dim_calendar(spark, first, last).drop("full_date", "holiday_name", "is_holiday")
+
+
+@query(
+    """WITH e AS (SELECT hour(ts) AS h, minute(ts) AS m FROM events)
+    SELECT CASE WHEN h < 6 THEN 'NIGHT' WHEN h < 12 THEN 'MORNING' WHEN h < 18 THEN 'AFTERNOON' ELSE 'EVENING' END AS day_part, CASE WHEN h < 12 THEN 'AM' ELSE 'PM' END AS am_pm,
+    CAST(h * 100 + (m // 15) * 15 AS INTEGER) AS bucket_15, CAST(CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END AS INTEGER) AS hour_12, count(*) AS n FROM e GROUP BY ALL"""
+)
+def events_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    e = retail.table(spark, sf, "events").select(clean.time_key(F.col("ts")).alias("time_key"))
+    return e.join(F.broadcast(marts.dim_time(spark)), "time_key").groupBy("day_part", "am_pm", "bucket_15", "hour_12").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT upper(trim(n_name)) AS city, upper(trim(r_name)) AS state, 'UNKNOWN' AS zip FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT DISTINCT upper(trim(n_name)), upper(trim(r_name)), 'UNKNOWN' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT sha256(city || '||' || state || '||' || zip) AS location_key, city, state, zip FROM p UNION ALL VALUES ('-1', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN'), ('-2', 'NOT APPLICABLE', 'NOT APPLICABLE', 'NOT APPLICABLE')"""
+)
+def dim_geo(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: retail.table(spark, sf, n)
+    place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("state"), F.lit(" ").alias("zip"))
+    of = lambda d, k: d.join(place, F.col(k) == F.col("n_nationkey")).select("city", "state", "zip")
+    return marts.dim_geo([of(t("supplier"), "s_nationkey"), of(t("customer"), "c_nationkey")])
+
+
+@query("SELECT DISTINCT p_type AS mcc, coalesce(nullif(trim(p_type), ''), 'UNKNOWN') AS merchant_category_name FROM part WHERE p_type IS NOT NULL UNION ALL VALUES ('-1', 'UNKNOWN'), ('-2', 'NOT APPLICABLE')")
+def dim_category(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.dim_category(retail.table(spark, sf, "part").select(F.col("p_type").alias("mcc"), F.col("p_type").alias("name")))
+
+
+@query(_sql("chist", "SELECT customer_id, income_bracket, yearly_income, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to FROM chist"))
+def scd2_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(customers(spark, sf).select("customer_id", "income_bracket", "yearly_income", "valid_from", "valid_to"), "valid_from", "valid_to")
+
+
+@query(
+    _sql("ddim", """SELECT card_key, card_id, card_brand, coalesce(has_chip, FALSE) AS has_chip, num_cards_issued, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to, is_current, CAST(version_number AS INTEGER) AS version_number FROM ddim
+    UNION ALL SELECT k, k, 'UNKNOWN', FALSE, 0, '1900-01-01 00:00:00', '9999-12-31 23:59:59', TRUE, 1 FROM (VALUES ('-1'), ('-2')) t(k)""")
+)
+def scd2_dim(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(card_dim(spark, sf).drop("customer_id").fillna({"has_chip": False, "num_cards_issued": 0}), "effective_from", "effective_to")
+
+
+_BROKEN = """SELECT card_id, CASE WHEN version_number = 1 AND NOT is_current AND customer_id::BIGINT % 2 = 0 THEN effective_to + INTERVAL 1 DAY WHEN version_number = 1 AND NOT is_current THEN effective_to - INTERVAL 1 DAY ELSE effective_to END AS effective_to, effective_from, is_current FROM ddim"""
+
+
+@query(
+    _sql("ddim", """SELECT card_id, CASE WHEN nxt < effective_to THEN 'overlap' ELSE 'gap' END AS violation FROM (SELECT *, lead(effective_from) OVER (PARTITION BY card_id ORDER BY effective_from) AS nxt FROM b) WHERE nxt <> effective_to""", {"b": _BROKEN})
+)
+def scd2_interval_audit(spark: SparkSession, sf: str) -> DataFrame:
+    d = card_dim(spark, sf).where(~F.col("card_id").isin("-1", "-2"))
+    closed = (F.col("version_number") == 1) & ~F.col("is_current")
+    day = F.expr("INTERVAL 1 DAY")
+    even = F.col("customer_id").cast("long") % 2 == 0
+    broken = d.withColumn("effective_to", F.when(closed & even, F.col("effective_to") + day).when(closed, F.col("effective_to") - day).otherwise(F.col("effective_to")))
+    return scd2.interval_violations(broken, "card_id")
+
+
+# --- facts -----------------------------------------------------------------------------------------------------
+
+
+@query(_sql("fact", "SELECT transaction_id, date_key, customer_key, card_key, merchant_id, mcc, CAST(amount AS DOUBLE) AS amount, is_error, age FROM fact"))
+def fact_asof(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.fact_transactions(retail.transactions(spark, sf), customer_dim(spark, sf), card_dim(spark, sf))
+    return _double(rows.select("transaction_id", "date_key", "customer_key", "card_key", "merchant_id", "mcc", "amount", "is_error", F.col("customer_age_at_transaction").alias("age")), "amount")
+
+
+@query(_sql("txn cdim ddim", "SELECT transaction_id, customer_key, card_key FROM txn t LEFT JOIN cdim c ON t.customer_id = c.customer_id AND c.is_current LEFT JOIN ddim d ON t.card_id = d.card_id AND d.is_current"))
+def fact_current(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.fact_transactions(retail.transactions(spark, sf), customer_dim(spark, sf), card_dim(spark, sf), "current").select("transaction_id", "customer_key", "card_key")
+
+
+@query(_sql("cdim ddim", "SELECT customer_key, card_key FROM ddim d JOIN cdim c ON d.customer_id = c.customer_id WHERE d.is_current AND c.is_current"))
+def owner_current(spark: SparkSession, sf: str) -> DataFrame:
+    live = lambda d, k: d.where(F.col("is_current") & ~F.col(k).isin(*marts.SENTINELS))
+    return live(card_dim(spark, sf), "card_id").select("card_key", "customer_id").join(live(customer_dim(spark, sf), "customer_id").select("customer_key", "customer_id"), "customer_id").select("customer_key", "card_key")
+
+
+@query(
+    _sql("cdim ddim", """SELECT card_id, customer_key, card_key, CAST(greatest(d.effective_from, c.effective_from) AS VARCHAR) AS effective_from, CAST(least(d.effective_to, c.effective_to) AS VARCHAR) AS effective_to
+    FROM ddim d JOIN cdim c ON d.customer_id = c.customer_id AND d.effective_from < c.effective_to AND c.effective_from < d.effective_to""")
+)
+def owner_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    d = card_dim(spark, sf).where(~F.col("card_id").isin(*marts.SENTINELS)).select("card_id", "card_key", "customer_id", "effective_from", "effective_to")
+    c = customer_dim(spark, sf).select("customer_id", "customer_key", "effective_from", "effective_to")
+    return _text(scd2.overlapping(d, c, "customer_id").select("card_id", "customer_key", "card_key", "effective_from", "effective_to"), "effective_from", "effective_to")
+
+
+@query(_sql("txn", "SELECT DISTINCT transaction_id, CASE WHEN e = 'OTHER' THEN 'UNKNOWN' ELSE e END AS error_reason FROM (SELECT transaction_id, unnest(errors) AS e FROM txn WHERE errors IS NOT NULL)"))
+def error_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.error_bridge(retail.transactions(spark, sf), retail.ERROR_CODES, keep_unknown=True)
+
+
+@query(
+    _sql("txn", """SELECT date_key, mcc, merchant_id, count(*) AS transaction_count, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS total_spend_amount,
+    CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS total_inflow_amount, count(*) FILTER (NOT is_error) AS successful_transaction_count, count(*) FILTER (is_error) AS failed_transaction_count,
+    count(DISTINCT nullif(card_id, '-1')) AS unique_cards, count(DISTINCT nullif(customer_id, '-1')) AS unique_customers FROM txn GROUP BY date_key, mcc, merchant_id""")
+)
+def daily_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return _double(marts.daily_trend(retail.transactions(spark, sf)), "total_spend_amount", "total_inflow_amount")
+
+
+@query(
+    _sql("txn", """SELECT CAST(strftime(last_day(day), '%Y%m%d') AS INTEGER) AS month_end_date_key, customer_id, count(*) AS transaction_count, count(DISTINCT card_id) AS distinct_card_count,
+    CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS total_income_amount, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS total_outcome_amount,
+    count(*) FILTER (NOT is_error) AS successful_transaction_count FROM txn GROUP BY last_day(day), customer_id""")
+)
+def monthly_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.monthly_snapshot(retail.transactions(spark, sf)).drop("average_daily_total_income_amount", "average_daily_total_outcome_amount")
+    return _double(rows, "total_income_amount", "total_outcome_amount")
+
+
+@query(
+    _sql("ev", """SELECT CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, CAST(hour(ts) * 100 + (minute(ts) // 5) * 5 AS INTEGER) AS time_key, merchant_id, count(*) AS transaction_count, CAST(sum(amount) AS DOUBLE) AS total_amount,
+    count(*) FILTER (is_error) AS failed_count, count(DISTINCT card_id) AS unique_cards FROM ev GROUP BY 1, 2, 3""")
+)
+def trend_5min(spark: SparkSession, sf: str) -> DataFrame:
+    return _double(marts.trend_5min(retail.event_transactions(spark, sf)), "total_amount")
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+
+_ACTIVITY = """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, t.customer_id, count(*) FILTER (t.day > d.day - 90) > 0 AS is_active_90d,
+    count(DISTINCT CASE WHEN t.day > d.day - 90 THEN t.card_id END) AS active_card_count_90d, count(*) FILTER (t.day > d.day - 90) AS transaction_count_90d,
+    CAST(strftime(max(t.day), '%Y%m%d') AS INTEGER) AS last_transaction_date_key FROM {days} d JOIN txn t ON t.day <= d.day GROUP BY d.day, t.customer_id"""
+
+
+@query(_sql("txn", _ACTIVITY.format(days="one"), {"one": f"SELECT DATE '{BATCH}' AS day"}))
+def customer_activity_one_day(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.customer_activity(retail.transactions(spark, sf), BATCH)
+
+
+@query(
+    _sql("txn days", """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, count(DISTINCT customer_id) AS active_customers, count(DISTINCT card_id) AS active_cards, count(*) AS transactions
+    FROM days d JOIN txn t ON t.day BETWEEN d.day - 89 AND d.day GROUP BY d.day""")
+)
+def customer_activity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.customer_activity(retail.transactions(spark, sf)).where("is_active_90d")
+    return rows.groupBy("date_key").agg(F.count(F.lit(1)).alias("active_customers"), F.sum("active_card_count_90d").alias("active_cards"), F.sum("transaction_count_90d").alias("transactions"))
+
+
+_SEG = "CASE WHEN has_chip THEN 'CHIP' WHEN NOT has_chip THEN 'NON_CHIP' ELSE 'UNKNOWN' END AS chip_segment, card_brand"
+_PORTFOLIO = {
+    "issued": f"""SELECT d.day, {_SEG}, count(*) AS issued, count(*) FILTER (num_cards_issued = 1) AS r0, count(*) FILTER (num_cards_issued = 2) AS r1, count(*) FILTER (num_cards_issued >= 3) AS r2, sum(num_cards_issued - 1) AS re
+        FROM days d JOIN ddim v ON v.effective_from < d.day + INTERVAL 1 DAY AND v.effective_to >= d.day + INTERVAL 1 DAY GROUP BY ALL""",
+    "cday": "SELECT d.day, card_id, count(*) AS n, count(*) FILTER (is_error) AS failed FROM days d JOIN txn t ON t.day BETWEEN d.day - 89 AND d.day GROUP BY d.day, card_id",
+    "active": f"""SELECT d.day, {_SEG}, count(*) AS active, sum(n) AS n, sum(failed) AS failed FROM cday d JOIN ddim v ON v.card_id = d.card_id AND v.effective_from < d.day + INTERVAL 1 DAY AND v.effective_to >= d.day + INTERVAL 1 DAY GROUP BY ALL""",
+}
+_PORTFOLIO_OUT = """SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, chip_segment, card_brand, CAST(coalesce(issued, 0) AS BIGINT) AS issued_card_count, CAST(coalesce(active, 0) AS BIGINT) AS active_card_count_90d,
+    CAST(coalesce(n, 0) AS BIGINT) AS transaction_count_90d, CAST(coalesce(n - failed, 0) AS BIGINT) AS successful_transaction_count_90d, CAST(coalesce(failed, 0) AS BIGINT) AS failed_transaction_count_90d,
+    CAST(coalesce(r0, 0) AS BIGINT) AS cards_reissued_0_count, CAST(coalesce(r1, 0) AS BIGINT) AS cards_reissued_1_count, CAST(coalesce(r2, 0) AS BIGINT) AS cards_reissued_2plus_count, CAST(coalesce(re, 0) AS BIGINT) AS total_card_reissue_count,
+    CAST(day - greatest(day - 89, (SELECT min(day) FROM txn)) + 1 AS INTEGER) AS window_day_count FROM issued FULL JOIN active USING (day, chip_segment, card_brand)"""
+
+
+@query(_sql("days ddim", _PORTFOLIO_OUT, _PORTFOLIO))
+def card_portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf))
+
+
+@query(_sql("days ddim", _PORTFOLIO_OUT + f" WHERE day = DATE '{BATCH}'", _PORTFOLIO))
+def card_portfolio_one_day(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf), BATCH)
+
+
+@query(_sql("days ddim", "SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, chip_segment, card_brand, issued, CAST(re AS BIGINT) AS reissues FROM issued", {"issued": _PORTFOLIO["issued"]}))
+def issued_stock(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import rolling
+
+    first, last = rolling.bounds(retail.transactions(spark, sf))
+    return rolling.written_out(marts.issued_steps(card_dim(spark, sf)), first, last).select(clean.date_key(F.col("day")).alias("date_key"), "chip_segment", "card_brand", "issued", F.col("reissues").cast("long").alias("reissues"))
+
+
+_MERCHANT = {
+    "pair": "SELECT d.day, merchant_id, mcc, count(*) AS n, count(*) FILTER (is_error) AS failed, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS spend FROM days d JOIN txn t ON t.day BETWEEN d.day - 29 AND d.day GROUP BY d.day, merchant_id, mcc",
+    "base": "SELECT day, round(sum(failed) / sum(n), 6) AS b FROM pair GROUP BY day",
+    "m": "SELECT day, merchant_id, sum(n) AS n, sum(failed) AS failed, sum(spend) AS spend, count(*) FILTER (mcc <> '-1') AS cats FROM pair GROUP BY day, merchant_id",
+    "top": "SELECT day, merchant_id, mcc AS primary_mcc FROM pair QUALIFY row_number() OVER (PARTITION BY day, merchant_id ORDER BY n DESC, mcc) = 1",
+}
+_MERCHANT_OUT = f"""SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, merchant_id, primary_mcc, cats AS distinct_mcc_count, CAST(day - greatest(day - 29, (SELECT min(day) FROM txn)) + 1 AS INTEGER) AS window_day_count,
+    CAST(n AS BIGINT) AS transaction_count_30d, CAST(failed AS BIGINT) AS failed_transaction_count_30d, round(failed / n, 6) AS error_rate_30d, b AS portfolio_error_rate_30d,
+    CAST(spend AS DOUBLE) AS total_spend_amount_30d, {FLOOR} AS applied_min_transaction_count, round(failed / n, 6) > {THRESHOLD} AS is_abnormal_error_rate
+    FROM m JOIN base USING (day) JOIN top USING (day, merchant_id) WHERE n >= {FLOOR}"""
+
+
+@query(_sql("days", _MERCHANT_OUT, _MERCHANT))
+def merchant_error(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD)
+    return _double(rows.drop("expected_failed_transactions_30d", "excess_failed_transactions_30d", "applied_error_rate_threshold"), "total_spend_amount_30d")
+
+
+@query(_sql("days", _MERCHANT_OUT + f" AND day = DATE '{BATCH}'", _MERCHANT))
+def merchant_error_one_day(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD, BATCH)
+    return _double(rows.drop("expected_failed_transactions_30d", "excess_failed_transactions_30d", "applied_error_rate_threshold"), "total_spend_amount_30d")
+
+
+# --- calibration ---------------------------------------------------------------------------------------------------
+
+
+def _totals(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.merchant_totals(calibrate.last_days(retail.transactions(spark, sf)))
+
+
+_GRID = ", ".join(f"({f})" for f in FLOORS)
+
+
+@query(_sql("recent", "SELECT count(DISTINCT merchant_id) AS merchants, count(*) AS transactions, count(*) FILTER (is_error) AS failed, round(count(*) FILTER (is_error) / count(*), 6) AS error_rate FROM recent"))
+def cal_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.baseline(calibrate.last_days(retail.transactions(spark, sf)))
+
+
+@query(_sql("tot", f"""SELECT f AS floor, count(merchant_id) AS merchants, round(count(merchant_id) / (SELECT count(*) FROM tot), 6) AS merchant_share, round(coalesce(sum(n), 0) / (SELECT sum(n) FROM tot), 6) AS transaction_share
+    FROM (VALUES {_GRID}) g(f) LEFT JOIN tot ON n >= f GROUP BY f"""))
+def cal_floors(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.floor_cost(_totals(spark, sf), FLOORS).drop("gross_share").withColumn("floor", F.col("floor").cast("int"))
+
+
+@query(_sql("tot", "SELECT quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.75) AS p75, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99 FROM tot"))
+def cal_volume(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.volume_percentiles(_totals(spark, sf))
+
+
+@query(_sql("tot", f"""SELECT f AS floor, count(*) AS merchants, round(quantile_disc(failed / n, 0.5), 6) AS p50, round(quantile_disc(failed / n, 0.9), 6) AS p90, round(quantile_disc(failed / n, 0.95), 6) AS p95,
+    round(quantile_disc(failed / n, 0.99), 6) AS p99 FROM (VALUES {_GRID}) g(f) JOIN tot ON n >= f GROUP BY f"""))
+def cal_dist(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.rate_percentiles(_totals(spark, sf), FLOORS).withColumn("floor", F.col("floor").cast("int"))
+
+
+@query(_sql("tot", f"""SELECT f AS floor, CAST(t AS DOUBLE) AS threshold, count(*) AS merchants, count(*) FILTER (failed / n > CAST(t AS DOUBLE)) AS flagged FROM (VALUES {_GRID}) g(f), (VALUES {", ".join(f"({t})" for t in THRESHOLDS)}) h(t)
+    JOIN tot ON n >= f GROUP BY f, t"""))
+def cal_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.flag_counts(_totals(spark, sf), FLOORS, THRESHOLDS).withColumn("floor", F.col("floor").cast("int"))
+
+
+@query(_sql("tot", f"SELECT merchant_id, n, CAST(failed AS BIGINT) AS failed, round(failed / n, 6) AS error_rate FROM tot WHERE n >= 3 AND failed / n > {THRESHOLD} ORDER BY error_rate DESC, merchant_id LIMIT 20"))
+def cal_head(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.flagged_head(_totals(spark, sf), 3, THRESHOLD, 20).drop("expected_failed")
+
+
+@query(
+    _sql("tot", f"""SELECT x.floor, CAST(count(*) - 1 AS BIGINT) AS degrees, round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END), 4) AS chi_square,
+    round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END) / nullif(count(*) - 1, 0), 4) AS dispersion FROM x JOIN (SELECT floor, sum(failed) / sum(n) AS b FROM x GROUP BY floor) y USING (floor) GROUP BY x.floor""",
+    {"x": f"SELECT f AS floor, n, failed FROM (VALUES {_GRID}) g(f) JOIN tot ON n >= f"})
+)
+def cal_dispersion(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.dispersion(_totals(spark, sf), FLOORS).withColumn("floor", F.col("floor").cast("int"))
+
+
+@query("SELECT props AS card, count(DISTINCT user_id) AS owners FROM events GROUP BY props HAVING count(DISTINCT user_id) > 1")
+def shared_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.shared_keys(retail.table(spark, sf, "events").withColumnRenamed("props", "card"), "card", "user_id")
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------
+
+
+@query(_sql("fact", "SELECT income_bracket, count(*) AS n, count(DISTINCT customer_id) AS customers, round(sum(CASE WHEN is_error THEN 1 ELSE 0 END) / count(*), 6) AS error_rate FROM fact GROUP BY income_bracket"))
+def segment_asof(spark: SparkSession, sf: str) -> DataFrame:
+    f = marts.fact_transactions(retail.transactions(spark, sf), customer_dim(spark, sf), card_dim(spark, sf))
+    rows = f.join(customer_dim(spark, sf).select("customer_key", "income_bracket"), "customer_key", "left")
+    return rows.groupBy("income_bracket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("customer_id").alias("customers"), marts.rate(F.count_if("is_error"), F.count(F.lit(1))).alias("error_rate"))
+
+
+@query(_sql("fact cdim", """SELECT a.income_bracket AS before_bracket, b.income_bracket AS after_bracket, count(DISTINCT f.customer_id) AS customers, CAST(sum(CASE WHEN f.customer_version = 1 AND amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS spend_before,
+    CAST(sum(CASE WHEN f.customer_version = 2 AND amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS spend_after FROM cdim a JOIN cdim b ON a.customer_id = b.customer_id AND a.version_number = 1 AND b.version_number = 2
+    JOIN fact f ON f.customer_id = a.customer_id GROUP BY 1, 2"""))
+def before_after(spark: SparkSession, sf: str) -> DataFrame:
+    d = customer_dim(spark, sf)
+    v = lambda n, name: d.where(F.col("version_number") == n).where(~F.col("customer_id").isin(*marts.SENTINELS)).select("customer_id", F.col("customer_key").alias(f"k{n}"), F.col("income_bracket").alias(name))
+    pairs = v(1, "before_bracket").join(v(2, "after_bracket"), "customer_id")
+    f = marts.fact_transactions(retail.transactions(spark, sf), d, card_dim(spark, sf))
+    spend = F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0)
+    on = lambda k: F.sum(F.when(F.col("customer_key") == F.col(k), spend).otherwise(0)).cast("double")
+    return f.join(pairs, "customer_id").groupBy("before_bracket", "after_bracket").agg(F.countDistinct("customer_id").alias("customers"), on("k1").alias("spend_before"), on("k2").alias("spend_after"))
+
+
+@query(_sql("txn", """SELECT CAST(year(day) AS INTEGER) AS year, mcc, CAST(sum(abs(amount)) AS DOUBLE) AS volume, round(CAST(sum(abs(amount)) AS DOUBLE) / CAST(sum(sum(abs(amount))) OVER (PARTITION BY year(day)) AS DOUBLE), 6) AS share,
+    lag(CAST(sum(abs(amount)) AS DOUBLE)) OVER (PARTITION BY mcc ORDER BY year(day)) AS previous FROM txn GROUP BY year(day), mcc"""))
+def share_of_wallet(spark: SparkSession, sf: str) -> DataFrame:
+    y = retail.transactions(spark, sf).groupBy(F.year("day").alias("year"), "mcc").agg(F.sum(F.abs("amount")).alias("volume"))
+    return _double(marts.period_over_period(y, ["mcc"], "year", "volume").drop("change"), "volume")
+
+
+@query(_sql("txn", "SELECT mcc, merchant_id, CAST(v AS DOUBLE) AS volume, CAST(r AS INTEGER) AS place FROM (SELECT mcc, merchant_id, sum(abs(amount)) AS v, rank() OVER (PARTITION BY mcc ORDER BY sum(abs(amount)) DESC) AS r FROM txn GROUP BY mcc, merchant_id) WHERE r <= 3"))
+def top_in_category(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    v = retail.transactions(spark, sf).groupBy("mcc", "merchant_id").agg(F.sum(F.abs("amount")).alias("volume"))
+    rows = v.withColumn("place", F.rank().over(Window.partitionBy("mcc").orderBy(F.desc("volume")))).where("place <= 3")
+    return _double(rows, "volume")
+
+
+@query(_sql("txn", "SELECT mcc, round(count(*) FILTER (is_error) / count(*), 6) AS error_rate FROM txn GROUP BY mcc"))
+def error_rate_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.metric(retail.transactions(spark, sf), F.col("is_error").cast("int"), F.lit(1), ["mcc"], "error_rate")
+
+
+@query(_sql("txn", "SELECT mcc, count(*) AS transaction_count, count(*) FILTER (is_error) AS failed_transaction_count FROM txn GROUP BY mcc"))
+def safe_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.safe_rollup(marts.daily_trend(retail.transactions(spark, sf)), ["mcc"], ["transaction_count", "failed_transaction_count"], ["date_key", "mcc", "merchant_id"])
+
+
+# --- checks, merges ---------------------------------------------------------------------------------------------
+
+
+@query(_sql("txn", "SELECT date_key, CAST(count(*) AS DOUBLE) AS source_transaction_count, CAST(count(*) FILTER (mcc <> 'PROMO') AS DOUBLE) AS target_transaction_count FROM txn GROUP BY date_key HAVING count(*) <> count(*) FILTER (mcc <> 'PROMO')"))
+def recon_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The trend without one category against its source: the days on which rows are missing."""
+    t = retail.transactions(spark, sf)
+    source = t.groupBy("date_key").agg(F.count(F.lit(1)).alias("transaction_count"))
+    target = marts.daily_trend(t.where("mcc <> 'PROMO'")).groupBy("date_key").agg(F.sum("transaction_count").alias("transaction_count"))
+    return checks.reconciled(source, target, ["date_key"], ["transaction_count"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.duplicated(retail.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+def fk_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    parent = retail.table(spark, sf, "customer").where("c_custkey % 10 <> 0")
+    return checks.orphans(retail.table(spark, sf, "events"), parent, "user_id", "c_custkey").select("event_id", "user_id")
+
+
+@query("SELECT count(*) AS row_count, count(*) FILTER (o_custkey IS NULL) AS null_o_custkey, count(*) FILTER (o_totalprice NOT BETWEEN 1000 AND 400000) AS range_o_totalprice, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS accepted_o_orderstatus, count(*) FILTER (NOT o_orderdate >= TIMESTAMP '1996-01-01') AS rule_recent FROM orders")
+def audit_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    recent = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    return checks.metrics(retail.table(spark, sf, "orders"), ["o_custkey"], {"o_totalprice": (1000, 400000)}, {"o_orderstatus": ("F", "O")}, {"recent": recent})
+
+
+@query(_sql("txn", "SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS row_count, CAST(sum(amount) AS DOUBLE) AS sum_amount, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount FROM txn GROUP BY 1"))
+def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf).groupBy(F.year("day").alias("year"))
+    return t.agg(F.count(F.lit(1)).alias("row_count"), F.sum("amount").cast("double").alias("sum_amount"), F.min("amount").cast("double").alias("min_amount"), F.max("amount").cast("double").alias("max_amount"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, event_type, CAST(ts AS VARCHAR) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
+def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
+    e = retail.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), "ts", "event_type")
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    rows = dedup.upserted(dedup.latest_per_key(e.where(F.col("ts") < half), ["id"], ["ts"]), e.where(F.col("ts") >= half), ["id"], ["ts"])
+    return _text(rows, "ts")
+
+
+@query(
+    """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, event_type, ts >= TIMESTAMP '2024-01-15' AS late FROM events),
+    o AS (SELECT * FROM x WHERE NOT late QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1), n AS (SELECT * FROM x WHERE late QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)
+    SELECT coalesce(n.id, o.id) AS id, coalesce(n.event_type, o.event_type) AS event_type, CAST(coalesce(o.ts, n.ts) AS VARCHAR) AS created, CAST(CASE WHEN n.id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE o.ts END AS VARCHAR) AS updated FROM o FULL JOIN n ON o.id = n.id"""
+)
+def type1_merge(spark: SparkSession, sf: str) -> DataFrame:
+    e = retail.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), "event_type", F.col("ts").alias("created"), F.col("ts").alias("updated"))
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    target = dedup.latest_per_key(e.where(F.col("created") < half), ["id"], ["created"])
+    rows = dedup.type1_merged(target, e.where(F.col("created") >= half), ["id"], ["created"], "created", "updated", F.lit("2024-02-01").cast("timestamp_ntz"))
+    return _text(rows, "created", "updated")
+
+
+@query(_sql("txn", "SELECT merchant_id, card_id, amount FROM (SELECT merchant_id, card_id, CAST(amount AS DOUBLE) AS amount, day FROM txn) WHERE day = (SELECT max(day) FROM txn)"))
+def newer_than_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf)
+    old = t.where(F.col("day") < F.lit(t.agg(F.max("day")).first()[0]))
+    return _double(marts.after_watermark(t, old, "day").select("merchant_id", "card_id", "amount"), "amount")
+
+
+# --- fraud rules (batch twins of the streams) --------------------------------------------------------------------
+
+
+def _range(key: str, minutes: int, expr: str) -> str:
+    return f"{expr} OVER (PARTITION BY {key} ORDER BY ts RANGE BETWEEN INTERVAL {minutes} MINUTE PRECEDING AND CURRENT ROW)"
+
+
+@query(_sql("ev", f"SELECT transaction_id, n FROM (SELECT transaction_id, {_range('card_id', 300, 'count(*)')} AS n FROM ev) WHERE n > 2"))
+def rule_velocity(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.velocity(retail.event_transactions(spark, sf), "card_id", 2, 300).select("transaction_id", "n")
+
+
+@query(_sql("ev", f"SELECT transaction_id, CAST(n AS INTEGER) AS n FROM (SELECT transaction_id, {_range('customer_id', 600, 'count(DISTINCT merchant_id)')} AS n FROM ev) WHERE n > 3"))
+def rule_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.spread(retail.event_transactions(spark, sf), "customer_id", "merchant_id", 3, 600).select("transaction_id", "n")
+
+
+@query(
+    _sql("ev", """SELECT transaction_id FROM (SELECT transaction_id, abs(CAST(amount AS DOUBLE)) AS size, round(avg(abs(CAST(amount AS DOUBLE))) OVER (PARTITION BY customer_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 4) AS usual FROM ev) WHERE size > 3 * usual""")
+)
+def rule_amount(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.unusual_amount(retail.event_transactions(spark, sf)).select("transaction_id")
+
+
+@query(_sql("txn", "SELECT customer_id, merchant_nation, CAST(min(ts) AS VARCHAR) AS ts FROM (SELECT *, min(day) OVER (PARTITION BY customer_id) AS f FROM txn) GROUP BY customer_id, merchant_nation, f HAVING CAST(min(ts) AS DATE) > f"))
+def rule_geo(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(rules.unseen(retail.transactions(spark, sf), "customer_id", "merchant_nation"), "ts")
+
+
+@query(
+    _sql("ev", """SELECT merchant_id, bucket, n, round(usual, 6) AS usual FROM (SELECT merchant_id, bucket, n, avg(n) OVER (PARTITION BY merchant_id) AS usual FROM
+    (SELECT merchant_id, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS bucket, count(*) AS n FROM ev GROUP BY 1, 2)) WHERE n > 1.5 * usual""")
+)
+def rule_merchant(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.merchant_surge(retail.event_transactions(spark, sf), 1.5, 60)
+
+
+@query(_sql("ev", "SELECT customer_id, mcc, CAST(min(ts) AS VARCHAR) AS ts FROM (SELECT *, min(day) OVER (PARTITION BY customer_id) AS f FROM ev) GROUP BY customer_id, mcc, f HAVING CAST(min(ts) AS DATE) > f"))
+def rule_behaviour(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(rules.unseen(retail.event_transactions(spark, sf), "customer_id", "mcc"), "ts")
+
+
+_HAV = "round(2 * 6371.0 * asin(sqrt(sin(radians(plat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(plat)) * sin(radians(plon - lon) / 2) ** 2)), 6)"
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 12000) / 100.0 - 60 AS lat, (c_custkey * 91 % 30000) / 100.0 - 150 AS lon FROM customer),
+    q AS (SELECT s_suppkey AS place, (s_suppkey * 53 % 12000) / 100.0 - 60 AS plat, (s_suppkey * 67 % 30000) / 100.0 - 150 AS plon FROM supplier),
+    j AS (SELECT id, place, {_HAV} AS km FROM p JOIN q ON abs(floor(lat / 20) - floor(plat / 20)) <= 1 AND abs(floor(lon / 20) - floor(plon / 20)) <= 1)
+    SELECT p.id, coalesce(place, -1) AS place FROM p LEFT JOIN (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1) b ON p.id = b.id"""
+)
+def nearest_place(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda k, m, n, o: (F.col(k) * m % n) / F.lit(100.0) - o
+    points = retail.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 37, 12000, 60).alias("lat"), at("c_custkey", 91, 30000, 150).alias("lon"))
+    places = retail.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("place"), at("s_suppkey", 53, 12000, 60).alias("plat"), at("s_suppkey", 67, 30000, 150).alias("plon"))
+    return marts.nearest_place(points, places, 20.0).select("id", F.coalesce("place", F.lit(-1)).alias("place"))
