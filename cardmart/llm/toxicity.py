@@ -190,7 +190,25 @@ def unit_rows(rows: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_docs: int) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "toxic")
-    return stored(bounded_sample(docs.select("doc_id", "text").join(known, "doc_id"), max_docs), "toxic-sample")
+    sample = bounded_sample(docs.select("doc_id", "text").join(known, "doc_id"), max_docs)
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(sample.repartition(spread), "toxic-sample")
+
+
+def put_forward(rows: DataFrame, machine: Machine) -> DataFrame:
+    """The most suspicious unit of each labelled document: one that speaks for a toxic document, or against the machine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            bags = [units(t or "") for t in batch.column("text").to_pylist()]
+            known = list({u for r in bags for u in r})
+            margin = dict(zip(known, machine.margins(known).tolist(), strict=True))
+            best = [max(r, key=margin.__getitem__) if r else None for r in bags]
+            bad = [t > 0 for t in batch.column("toxic").to_pylist()]
+            values = [machine.bias if u is None else margin[u] for u in best]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), pa.array(values, pa.float64()), pa.array(bad, pa.bool_())], names=["unit", "margin", "bad"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "unit string, margin double, bad boolean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, landmarks: int = 160, max_docs: int = 12_000, max_units: int = 16_000, rounds: int = 4) -> Machine:
@@ -214,10 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
     value, vector = np.linalg.eigh(gram)
     root = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
 
-    sample = rows.toPandas()
-    bags = [sorted(set(units(t or ""))) for t in sample["text"]]
-    toxic = (sample["toxic"] > 0).to_numpy()
-    every = sorted({u for r in bags for u in r})
     mapped: dict[str, np.ndarray] = {}
 
     def space(strings: list[str]) -> np.ndarray:
@@ -239,21 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
         weight[n:] /= weight[n:].sum()
         w, bias = fit_svm(space(strings), np.where(np.arange(len(strings)) < n, 1.0, -1.0), weight, 1e-4)
         machine = Machine(marks.weights(root @ w), bias, 1.0, 0.0)
-        # each document puts forward its most suspicious unit: a toxic one for, a clean one against
-        margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-        best = [max(r, key=margin.__getitem__) if r else None for r in bags]
+        best = put_forward(rows, machine).toPandas()
         witness = {}
         against: dict[str, float] = {}
-        for u, bad in zip(best, toxic, strict=True):
-            if u is not None and not bad:
+        for u, margin, bad in zip(best["unit"], best["margin"], best["bad"], strict=True):
+            if u is None:
+                continue
+            if not bad:
                 against[u] = against.get(u, 0.0) + 1
-        for u, bad in zip(best, toxic, strict=True):
-            if u is not None and bad and margin[u] > 0:
+            elif margin > 0:
                 witness[u] = witness.get(u, 0.0) + 1
         witness = {u: n for u, n in witness.items() if against.get(u, 0) < n}
         harmless |= {u: 20.0 + n for u, n in against.items() if u not in witness}
-    top = np.array([margin[u] if u is not None else machine.bias for u in best])
-    machine.slope, machine.centre = fit_curve(top, toxic.astype(float))
+    machine.slope, machine.centre = fit_curve(best["margin"].to_numpy(), best["bad"].to_numpy(float))
     return machine
 
 
