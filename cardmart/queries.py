@@ -165,7 +165,7 @@ def clean_currency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN p_size ELSE -1 END AS size_ok, CASE WHEN p_partkey % 3 = 0 THEN TRUE WHEN p_partkey % 3 = 1 THEN FALSE END AS flag,
+    """SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN p_size ELSE -1 END AS size_ok, CASE WHEN p_partkey % 3 = 0 THEN 'true' WHEN p_partkey % 3 = 1 THEN 'false' ELSE 'none' END AS flag,
     p_partkey % 4 <> 0 AS numeric_only, CASE WHEN p_size % 12 + 1 <= 12 THEN strftime(make_date(CAST(2000 + p_size AS INTEGER), CAST(p_size % 12 + 1 AS INTEGER), 1), '%Y-%m-%d') END AS month FROM part"""
 )
 def clean_ranges(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +173,7 @@ def clean_ranges(spark: SparkSession, sf: str) -> DataFrame:
     raw_flag = F.when(F.col("p_partkey") % 3 == 0, " true ").when(F.col("p_partkey") % 3 == 1, "False").otherwise("maybe")
     raw_number = F.when(F.col("p_partkey") % 4 == 0, "12a").otherwise(F.col("p_partkey").cast("string"))
     month = F.concat_ws("/", F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), (F.col("p_size") + 2000).cast("string"))
-    return p.select("p_partkey", F.coalesce(clean.bounded_int(F.concat(F.lit(" "), F.col("p_size")), 5, 40), F.lit(-1)).alias("size_ok"), clean.flag(raw_flag).alias("flag"), clean.has_digits_only(raw_number).alias("numeric_only"), clean.month_year(month).cast("string").alias("month"))
+    return p.select("p_partkey", F.coalesce(clean.bounded_int(F.concat(F.lit(" "), F.col("p_size")), 5, 40), F.lit(-1)).alias("size_ok"), F.coalesce(clean.flag(raw_flag).cast("string"), F.lit("none")).alias("flag"), clean.has_digits_only(raw_number).alias("numeric_only"), clean.month_year(month).cast("string").alias("month"))
 
 
 @query("SELECT o_orderkey, CASE WHEN upper(trim(o_orderpriority)) IN ('1-URGENT', '2-HIGH') THEN upper(trim(o_orderpriority)) ELSE 'UNKNOWN' END AS priority, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status FROM orders")
