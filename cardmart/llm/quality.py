@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import flat_bytes, row_slices, word_bounds, word_hashes
-from .runtime import only, stored
+from .runtime import stored
 
 STATISTICS = (
     "bytes", "words", "lines", "word_length", "upper", "digit", "symbol", "bar", "exclaim", "stop", "comma", "accent",
@@ -103,15 +103,20 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, rows in row_slices(batch.column("text"), STRETCH):
-                part = batch.slice(at, rows)
-                x = statistics(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in x.T)], names=["doc_id", *STATISTICS])
+        for part, x in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in x.T)], names=["doc_id", *STATISTICS])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} float" for k in STATISTICS))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Stretches of rows with the statistics of their texts."""
+    for batch in batches:
+        for at, rows in row_slices(batch.column("text"), STRETCH):
+            part = batch.slice(at, rows)
+            yield part, statistics(part.column("text"))
+
+
 @dataclass
 class Trees:
     """Complete trees of one depth: row t has the features and bins of its inner nodes level by level, and the leaves' values."""
@@ -196,28 +201,37 @@ def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
     return rows.limit(max_rows)
 
 
-def fit(measures: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 50_000) -> Trees:
-    """Trees for labels.quality, from labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 50_000) -> Trees:
+    """Trees for labels.quality, from labelled rows outside the held-out fold.
+
+    The sample is drawn from the labels, so its ids are at most max_rows and can be broadcast: the documents are
+    neither shuffled nor measured beyond it.
+    """
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "quality")
-    sample = bounded_sample(measures.join(known, "doc_id"), max_rows).toPandas()
-    order = np.lexsort((sample["bytes"], sample["doc_id"]))
-    sample = sample.iloc[order]
-    return fit_trees(sample[list(STATISTICS)].to_numpy(np.float32), sample["quality"].to_numpy(float))
+    sample = stored(bounded_sample(known, max_rows), "quality-sample")
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"))
+    found = rows.join(F.broadcast(sample), "doc_id").toPandas()
+    found = found.iloc[np.lexsort((found["bytes"], found["doc_id"]))]
+    return fit_trees(found[list(STATISTICS)].to_numpy(np.float32), found["quality"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of each document."""
-    rows = stored(measured(docs), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in STATISTICS], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(x), pa.float64())], names=["doc_id", "score"])
+        for part, x in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(model.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least the threshold, with all their columns."""
-    return only(docs, scored(docs, labels).where(F.col("score") >= threshold))
+    """The documents that score at least the threshold, with all their columns, filtered where they are read."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _parts(batches):
+            yield part.filter(pa.array(model.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -56,5 +56,6 @@ def words(text: Column) -> Column:
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is in kept; rows without a doc_id cannot be named and stay."""
     kept = stored(kept.select(F.col("doc_id").alias("kept_id")).where("kept_id is not null"), "kept")
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    # kept grows with the documents, so it is never broadcast
+    named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
