@@ -535,6 +535,42 @@ def recon_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return checks.reconciled(source, target, ["date_key"], ["transaction_count"])
 
 
+@query(
+    _sql("txn", f"""SELECT metric, CAST(n AS DOUBLE) AS source_value, CAST(n AS DOUBLE) AS target_value, 0.0::DOUBLE AS residual FROM (
+    SELECT 'active_cards' AS metric, count(DISTINCT card_id) AS n FROM txn WHERE day BETWEEN DATE '{BATCH}' - 89 AND DATE '{BATCH}'
+    UNION ALL SELECT 'active_customers', count(DISTINCT customer_id) FROM txn WHERE day BETWEEN DATE '{BATCH}' - 89 AND DATE '{BATCH}'
+    UNION ALL SELECT 'transactions', count(*) FROM txn WHERE day BETWEEN DATE '{BATCH}' - 89 AND DATE '{BATCH}')""")
+)
+def report_cross_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of two reports on a batch day against a plain filter of the transactions (another path)."""
+    t = retail.transactions(spark, sf)
+    inside = t.where(F.col("day").between(BATCH - dt.timedelta(days=89), BATCH))
+    direct = inside.agg(F.countDistinct("card_id").alias("active_cards"), F.countDistinct("customer_id").alias("active_customers"), F.count(F.lit(1)).alias("transactions"))
+    cards_seen = marts.card_portfolio(t, card_dim(spark, sf), BATCH).agg(F.sum("active_card_count_90d").alias("active_cards"))
+    people = marts.customer_activity(t, BATCH).agg(F.count_if("is_active_90d").alias("active_customers"), F.sum("transaction_count_90d").alias("transactions"))
+    tall = lambda d, v: d.unpivot([], d.columns, "metric", v)
+    reported = tall(cards_seen, "t").unionByName(tall(people, "t"))
+    out = tall(direct, "s").join(reported, "metric", "full")
+    return out.select("metric", F.col("s").cast("double").alias("source_value"), F.col("t").cast("double").alias("target_value"), (F.col("s") - F.col("t")).cast("double").alias("residual"))
+
+
+@query(_sql("days ddim", f"SELECT chip_segment, card_brand, CAST(issued AS DOUBLE) AS issued, 0.0::DOUBLE AS residual FROM issued WHERE day = DATE '{BATCH}'", {"issued": _PORTFOLIO["issued"]}))
+def issued_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    """Issued cards of the report on a batch day against the versions in effect at its end."""
+    end = F.lit(BATCH + dt.timedelta(days=1)).cast("timestamp_ntz")
+    d = card_dim(spark, sf).where(~F.col("card_id").isin(*marts.SENTINELS) & (F.col("effective_from") < end) & (F.col("effective_to") >= end))
+    direct = d.groupBy(clean.chip_segment(F.col("has_chip")).alias("chip_segment"), "card_brand").agg(F.count(F.lit(1)).alias("n"))
+    report = marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf), BATCH)
+    out = report.select("chip_segment", "card_brand", F.col("issued_card_count").alias("issued")).join(direct, ["chip_segment", "card_brand"], "full")
+    return out.select("chip_segment", "card_brand", F.col("issued").cast("double"), (F.coalesce("issued", F.lit(0)) - F.coalesce("n", F.lit(0))).cast("double").alias("residual"))
+
+
+@query(_sql("days", "SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, CAST(day - (SELECT min(day) FROM txn) + 1 AS INTEGER) AS window_day_count FROM days WHERE day - (SELECT min(day) FROM txn) < 89"))
+def incomplete_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of the portfolio whose trailing window the start of history cuts short."""
+    return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf)).where("window_day_count < 90").select("date_key", "window_day_count").distinct()
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
     return checks.duplicated(retail.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
