@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -255,15 +256,49 @@ def period_over_period(df: DataFrame, by: Sequence[str], period: str, value: str
     return df.withColumns({"previous": F.lag(v).over(w), "share": F.round(v / total.cast("double"), 6)}).withColumn("change", F.round(v - F.col("previous"), 2))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
-    """The nearest of places (place, plat, plon) within the neighbouring grid cells of each point (id, lat, lon), by great circle; null where there is none."""
+def haversine_km() -> Column:
+    """Great-circle distance of lat, lon and plat, plon."""
+    hav = F.pow(F.sin(F.radians(F.col("plat") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("plat")) * F.pow(F.sin(F.radians(F.col("plon") - F.col("lon")) / 2), 2)
+    return F.round(2 * 6371.0 * F.asin(F.sqrt(F.least(hav, F.lit(1.0)))), 6)
+
+
+def nearest_place_in_ring(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
+    """As nearest_place, but only places in the neighbouring grid cells (degrees) of a point count; null where there is none."""
     at = lambda lat, lon: (F.floor(lat / cell).cast("long"), F.floor(lon / cell).cast("long"))
     ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     x, y = at(F.col("plat"), F.col("plon"))
     near = places.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", (x + F.col("_r.i")).alias("_x"), (y + F.col("_r.j")).alias("_y"))
     px, py = at(F.col("lat"), F.col("lon"))
-    hav = F.pow(F.sin(F.radians(F.col("plat") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("plat")) * F.pow(F.sin(F.radians(F.col("plon") - F.col("lon")) / 2), 2)
-    km = F.round(2 * 6371.0 * F.asin(F.sqrt(hav)), 6)
-    hit = points.withColumns({"_x": px, "_y": py}).join(near, ["_x", "_y"]).withColumn("km", km)
+    hit = points.withColumns({"_x": px, "_y": py}).join(near, ["_x", "_y"]).withColumn("km", haversine_km())
     best = hit.groupBy("id").agg(F.min(F.struct("km", "place")).alias("b")).select("id", F.col("b.place").alias("place"), F.col("b.km").alias("km"))
     return points.select("id").join(best, "id", "left")
+
+
+def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
+    """The nearest of all places (place, plat, plon) to each point (id, lat, lon), by great circle, the least place among equals; null without coordinates or places.
+
+    Cells are cubes around points of the unit sphere, so neither the 180-degree line nor the poles are edges. A place outside the 27 cubes
+    around a point is at least a cube's side away; what has no place nearer than that is searched again with cubes twice as wide, at last
+    as wide as the sphere. cell (degrees) is the first side: it sets the work, not the result.
+    """
+    xyz = lambda lat, lon: (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+    cube = ["_x", "_y", "_z"]
+    ring = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    known = places.where("plat IS NOT NULL AND plon IS NOT NULL").select("place", "plat", "plon")
+    best = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct()
+    best = best.select("lat", "lon", F.lit(None).cast("double").alias("km"), F.lit(None).cast(places.schema["place"].dataType).alias("found"))
+    side, reach = 2 * math.sin(math.radians(min(cell, 180.0)) / 2), 0.0
+    while reach < math.inf:
+        at = lambda lat, lon, side=side: [F.floor(c / side).cast("long") for c in xyz(F.col(lat), F.col(lon))]
+        near = known.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", *((c + F.col("_r")[k]).alias(cube[k]) for k, c in enumerate(at("plat", "plon"))))
+        # what is settled goes to cubes that no place has, each to its own: it stays in the plan's one line and in no hot key
+        settled = F.coalesce(F.col("km") < reach, F.lit(False))
+        away = [F.xxhash64("lat", "lon").bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1), F.lit(0), F.lit(0)]
+        here = best.withColumns({c: F.when(settled, far).otherwise(own) for c, far, own in zip(cube, away, at("lat", "lon"), strict=True)})
+        hit = here.join(near, cube, "left").withColumn("b", F.when(F.col("place").isNotNull(), F.struct(haversine_km().alias("km"), F.col("place").alias("found"))))
+        old = F.first(F.when(F.col("km").isNotNull(), F.struct("km", "found")))
+        best = hit.groupBy("lat", "lon").agg(F.coalesce(F.min("b"), old).alias("b")).select("lat", "lon", "b.km", "b.found")
+        # km are rounded to six places: what may round to the same is not yet nearer
+        reach = 2 * 6371.0 * math.asin(side / 2) - 1e-5 if side < 2 else math.inf
+        side *= 2
+    return points.select("id", "lat", "lon").join(best, ["lat", "lon"], "left").select("id", F.col("found").alias("place"), "km")

@@ -667,6 +667,13 @@ def rule_behaviour(spark: SparkSession, sf: str) -> DataFrame:
 _HAV = "round(2 * 6371.0 * asin(sqrt(sin(radians(plat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(plat)) * sin(radians(plon - lon) / 2) ** 2)), 6)"
 
 
+def _points_and_places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    at = lambda k, m, n, o: (F.col(k) * m % n) / F.lit(100.0) - o
+    points = retail.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 37, 12000, 60).alias("lat"), at("c_custkey", 91, 30000, 150).alias("lon"))
+    places = retail.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("place"), at("s_suppkey", 53, 12000, 60).alias("plat"), at("s_suppkey", 67, 30000, 150).alias("plon"))
+    return points, places
+
+
 @query(
     f"""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 12000) / 100.0 - 60 AS lat, (c_custkey * 91 % 30000) / 100.0 - 150 AS lon FROM customer),
     q AS (SELECT s_suppkey AS place, (s_suppkey * 53 % 12000) / 100.0 - 60 AS plat, (s_suppkey * 67 % 30000) / 100.0 - 150 AS plon FROM supplier),
@@ -674,7 +681,13 @@ _HAV = "round(2 * 6371.0 * asin(sqrt(sin(radians(plat - lat) / 2) ** 2 + cos(rad
     SELECT p.id, coalesce(place, -1) AS place FROM p LEFT JOIN (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1) b ON p.id = b.id"""
 )
 def nearest_place(spark: SparkSession, sf: str) -> DataFrame:
-    at = lambda k, m, n, o: (F.col(k) * m % n) / F.lit(100.0) - o
-    points = retail.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 37, 12000, 60).alias("lat"), at("c_custkey", 91, 30000, 150).alias("lon"))
-    places = retail.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("place"), at("s_suppkey", 53, 12000, 60).alias("plat"), at("s_suppkey", 67, 30000, 150).alias("plon"))
-    return marts.nearest_place(points, places, 20.0).select("id", F.coalesce("place", F.lit(-1)).alias("place"))
+    return marts.nearest_place_in_ring(*_points_and_places(spark, sf), 20.0).select("id", F.coalesce("place", F.lit(-1)).alias("place"))
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 12000) / 100.0 - 60 AS lat, (c_custkey * 91 % 30000) / 100.0 - 150 AS lon FROM customer),
+    q AS (SELECT s_suppkey AS place, (s_suppkey * 53 % 12000) / 100.0 - 60 AS plat, (s_suppkey * 67 % 30000) / 100.0 - 150 AS plon FROM supplier)
+    SELECT id, place FROM (SELECT id, place, {_HAV} AS km FROM p CROSS JOIN q) QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1"""
+)
+def nearest_place_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.nearest_place(*_points_and_places(spark, sf), 5.0).select("id", "place")

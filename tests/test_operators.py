@@ -1,6 +1,8 @@
 """Operators on small literal tables."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -184,3 +186,20 @@ def test_stream(spark, tmp_path):
     assert {r.card_id for r in spark.table("hits").collect()} == {"a"}
     twin = rules.velocity(spark.createDataFrame(rows, schema), "card_id", 5, 5)
     assert {r.card_id for r in twin.collect()} == {"a"}
+
+
+def test_nearest_place(spark):
+    """Against all places: far from any cell, across the 180-degree line, near a pole, at the same spot and without coordinates."""
+    rnd = random.Random(4)
+    places = [(k, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for k in range(40)] + [(40, 10.0, -179.5), (41, 89.0, 170.0), (42, 10.0, -179.5), (43, None, 5.0)]
+    points = [(k, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for k in range(300)] + [(300, 10.0, 179.5), (301, 88.9, -10.0), (302, 10.0, -179.5), (302, -80.0, 0.0), (303, None, 1.0), (304, -90.0, 7.0)]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * 6371.0 * math.asin(min(1.0, math.sqrt(h))), 6)
+
+    want = sorted((p[0], -1 if p[1] is None else min((km(p, q), q[0]) for q in places if q[1] is not None)[1]) for p in points)
+    p, q = spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(places, "place int, plat double, plon double")
+    for cell in (2.0, 20.0):
+        assert sorted((r.id, -1 if r.place is None else r.place) for r in marts.nearest_place(p, q, cell).collect()) == want
+    assert {r.place for r in marts.nearest_place(p, q.limit(0)).collect()} == {None}
