@@ -7,8 +7,11 @@ sparse and in blocks; the blocks are merged into the cells with a count of two o
 
 Second pass: only windows whose anchor is estimated repeated are grouped, exactly, by the hashes of
 anchor and window (128 bits together). A row holds all windows of one anchor at one place, and windows that
-recur within a few megabytes of text are settled there, so a passage that a third of all documents share
-is one row per such stretch. What the sketch overestimates is found out here, and nothing is lost.
+recur within a few megabytes of text are settled there, so windows inside a passage that a third of all
+documents share are one row per such stretch. Windows across the passage's edges differ from document to
+document and share its anchor all the same: an anchor with more than MANY windows is dealt out by their
+hashes, so that equal windows still meet and no task holds such an anchor whole. What the sketch
+overestimates is found out here, and nothing is lost.
 
 The sketch has about seven bits of text for each cell, up to 2^max_bits cells in each of its two rows (that
 bounds the broadcast to 2^max_bits / 4 bytes). Beyond that it lets more windows through to the second
@@ -36,6 +39,8 @@ from .runtime import discard, stored
 SIZE = 35
 #: Cells of a block of the sketch (as a power of two), bytes of text handled at once, cells kept before they are given out.
 BLOCK, STRETCH, HELD = 20, 1 << 23, 1 << 21
+#: Windows of an anchor above which it is dealt out, and the most such anchors (beyond, only those with a larger share of all windows are).
+MANY, SPLIT = 1 << 12, 1 << 16
 
 
 class Windows:
@@ -195,6 +200,56 @@ def _candidates(size: int, bits: int, sketch: Broadcast):
     return run
 
 
+def crowded_anchors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors to deal out, sorted, and into how many parts each; at most SPLIT of them."""
+    counts = rows.groupBy("anchor").agg(F.sum(F.bit_count("take")).alias("n")).where(F.col("n") > MANY)
+    total = rows.agg(F.sum(F.bit_count("take"))).first()[0] or 0
+    many = max(MANY, total // SPLIT)
+    found = sorted((r.anchor, -(-r.n // many)) for r in counts.where(F.col("n") > many).collect())
+    return np.array([a for a, _ in found], np.int64), np.array([p for _, p in found], np.int64)
+
+
+def _dealt(crowded: Broadcast):
+    """Rows of crowded anchors as a row for each part that their windows' hashes fall in, under an anchor of its own."""
+    step = np.arange(32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, parts = crowded.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, take, twice = (batch.column(c).to_numpy() for c in ("anchor", "take", "twice"))
+            value = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+            row, bit = np.nonzero((take[:, None] >> step) & 1)
+            part = value % parts[np.searchsorted(anchors, anchor)].astype(np.uint64)[row]
+            order = np.lexsort((bit, part, row))  # the hashes of a row stay in the order of its bits
+            row, bit, part, value = row[order], bit[order], part[order], value[order]
+            opens = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+            one = np.int64(1) << bit
+            of = row[opens]
+            own = mix(anchor[of].view(np.uint64) ^ mix(part[opens] + BASE))
+            bounds = np.append(opens, len(row)) * 8
+            hashes = pa.Array.from_buffers(pa.binary(), len(opens), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(value.tobytes())])
+            mine = np.bitwise_or.reduceat(one, opens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.view(np.int64)), batch.column("key").take(pa.array(of)), batch.column("first").take(pa.array(of)), pa.array(mine.astype(np.int32)), pa.array((mine & twice[of]).astype(np.int32)), hashes],
+                names=["anchor", "key", "first", "take", "twice", "hashes"],
+            )
+
+    return run
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """The rows of the second pass, those of crowded anchors in parts; equal windows stay under one anchor."""
+    crowded = crowded_anchors(rows)
+    if not len(crowded[0]):
+        return rows
+    spark = rows.sparkSession
+    named = F.broadcast(spark.createDataFrame([(a,) for a in crowded[0].tolist()], "anchor long"))
+    parts = rows.join(named, "anchor", "left_semi").mapInArrow(_dealt(spark.sparkContext.broadcast(crowded)), rows.schema)
+    return rows.join(named, "anchor", "left_anti").unionByName(parts)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that recur elsewhere; the rows come sorted by anchor."""
     step = np.arange(32)
@@ -267,7 +322,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE, max_bits: int = 29) -> Da
     schema = "anchor long, key long, first int, take int, twice int, known int, hashes binary"
     found = stored(rows.select("key", "text").mapInArrow(_candidates(size, bits, sketch), schema), "candidates")
     grouped = found.where("take <> 0").select("anchor", "key", "first", "take", "twice", "hashes")
-    grouped = grouped.repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped, "key long, first int, mask int")
+    grouped = dealt_out(grouped).repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped, "key long, first int, mask int")
     known = found.where("known <> 0").select("key", "first", F.col("known").alias("mask"))
     spans = stored(grouped.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("spans")), "spans")
     discard(found)

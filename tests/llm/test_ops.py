@@ -133,6 +133,37 @@ def test_substring_dedup_with_a_saturated_sketch(spark, monkeypatch):
     assert sorted(map(str, substring_dedup.remove_repeated(docs).collect())) == want
 
 
+def test_substring_dedup_deals_out_crowded_anchors(spark, monkeypatch):
+    """Passages longer and shorter than a window, each document's words around them its own: one anchor, many distinct windows."""
+    monkeypatch.setattr(substring_dedup, "MANY", 64)
+    rnd = random.Random(7)
+    own = lambda n: " ".join(f"o{rnd.getrandbits(40)}" for _ in range(n))
+    long, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("l", 60), ("s", 25)))
+    texts = [f"{own(20)} {long if k % 2 else short} {own(20)}" for k in range(240)] + [f"same words {long}"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words = [t.encode().split() for t in texts]
+    count = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    most = {}
+    dealt_out = substring_dedup.dealt_out
+
+    def seen(rows):
+        out = dealt_out(rows)
+        for name, df in (("before", rows), ("after", out)):
+            sums = df.groupBy("anchor").agg(F.sum(F.bit_count("take")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+            most[name], most[f"{name}, all"] = sums[0], sums[1]
+        return out
+
+    monkeypatch.setattr(substring_dedup, "dealt_out", seen)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeated(docs).collect()}
+    assert most["before"] > 900 and most["after"] <= 128 and most["before, all"] == most["after, all"]
+    for k, w in enumerate(words):
+        gone = set()
+        for i in range(len(w) - 34):
+            if count[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        assert got[k] == (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+
+
 def test_quality_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6)).astype(np.float32)
