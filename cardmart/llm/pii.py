@@ -243,8 +243,18 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
+def masked(text: str, found: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by its kind in angle brackets; spans that overlap are one, of the first one's kind."""
+    out, last = [], 0
+    for kind, a, b in sorted(found, key=lambda s: s[1]):
+        if a >= last:
+            out += [text[last:a], f"<{kind.upper()}>"]
+        last = max(last, b)
+    return "".join([*out, text[last:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets; n_chars follows where there is such a column."""
+    """The documents with their spans masked, until no base span is left; n_chars follows where there is such a column."""
     weights = trained(candidates(docs))
     schema = docs.schema
     at = docs.columns.index("text")
@@ -252,12 +262,11 @@ def redact(docs: DataFrame) -> DataFrame:
     def cleaned(text: str | None) -> str | None:
         if not text:
             return text
-        out, last = [], 0
-        for kind, a, b, _ in sorted(chosen(_rows(text), weights), key=lambda s: s[1]):
-            if a >= last:
-                out += [text[last:a], f"<{kind.upper()}>"]
-                last = b
-        return "".join([*out, text[last:]])
+        found = [s[:3] for s in chosen(_rows(text), weights)]
+        while found:
+            text = masked(text, found)
+            found = base_spans(text)[0]  # what only its neighbour kept from being one, as digits beside a masked address
+        return text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,6 +95,24 @@ def test_pii_adds_and_redacts(spark):
     assert clean[3].text == 'note 3 token = "<SECRET>" and <EMAIL>' and clean[3].n_chars == len(clean[3].text) and clean[101].text == "plain words 1"
 
 
+def test_redaction_of_overlapping_spans(spark):
+    """Nothing of a span that begins inside another stays, nor what becomes a span beside a masked one."""
+    texts = {
+        "Card 4111 1111 1111 1111john@x.com ok": "Card <CARD> ok", "+49 30 1234567-info@x.de ok": "<PHONE> ok",
+        "a@b.co, c@d.co": "<EMAIL>, <EMAIL>", "4111 1111 1111 1111 1234@x.com": "<CARD> <EMAIL>", "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert [clean[k] for k in range(len(texts))] == list(texts.values())
+    rnd = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rnd.choice(["a", "@x.com", "4111 1111 1111 1111", "+49 30 1234567", "-", " ", "10.0.0.1", "7", "."]) for _ in range(rnd.randint(1, 8)))
+        found = pii.base_spans(t)[0]
+        kept = pii.masked(t, [(k.lower(), a, b) for k, a, b in found])
+        inside = {i for _, a, b in found for i in range(a, b)}
+        assert re.sub("<[A-Z]+>", "", kept) == "".join(c for i, c in enumerate(t) if i not in inside)
+
+
 def test_exact_dedup_batches(spark):
     """A later batch is judged against the index, and running it again adds nothing."""
     a = spark.createDataFrame([(1, "a b"), (2, "ab "), (3, "c"), (None, "c")], "doc_id long, text string")
