@@ -40,7 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)").search
         # the byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
@@ -49,8 +49,8 @@ class Encoder:
         self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        """Texts with code points outside PLAIN go to the tokenizer library itself, as its character classes may differ there."""
-        ids = self.ranked.encode_ordinary(text) if PLAIN(text) else self.library.encode(text, add_special_tokens=False).ids
+        """Texts with code points outside PLAIN go to the tokenizer library itself, as its character classes may differ there, and so do those with an added token."""
+        ids = self.ranked.encode_ordinary(text) if PLAIN(text) and not self.added(text) else self.library.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
 

@@ -273,6 +273,19 @@ def test_encoders_follow_their_libraries():
             assert ids[a:b].tolist() == library.encode(t, add_eos=True) and d == library.decode(ids[a:b].tolist())
 
 
+def test_packing_encoder_follows_an_unaltered_tokenizer():
+    """Added tokens spelled out in a text are single ids, as the library gives them."""
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(BPE), packing.Encoder(BPE)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    rnd = random.Random(8)
+    texts = [f"a {t} b" for t in added] + ["".join(rnd.choice([*added, "the ", "x", " ", "é", "日本", "\n", "<|", "|>"]) for _ in range(rnd.randint(0, 12))) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_decoding_any_ids(spark):
     import sentencepiece
 
