@@ -3,32 +3,35 @@
 First pass: each window of `size` words has an anchor, the gram of half its length with the least hash
 inside it. Equal windows have equal anchors at the same place, so the count of its anchor never
 understates a window's count. Every task counts its anchors in a count-min sketch and gives its cells,
-sparse and in blocks; the blocks are merged into the cells with a count of two or more.
+sparse and in blocks; the blocks are merged into the cells with a count of two or more. An anchor's hash
+names its block, and both of its cells lie there. The sketch grows with the text, about seven bytes a cell.
+Up to 2^max_bits cells in each of its two rows are broadcast (2^max_bits / 4 bytes); a larger sketch stays
+where it was merged, in blocks of at most 2^SHARD cells, and each block is sent the anchors that it can tell about.
 
 Second pass: only windows whose anchor is estimated repeated are grouped, exactly, by the hashes of
 anchor and window (128 bits together). A row holds all windows of one anchor at one place, and windows that
 recur within a few megabytes of text are settled there, so windows inside a passage that a third of all
-documents share are one row per such stretch. Windows across the passage's edges differ from document to
-document and share its anchor all the same: an anchor with more than MANY windows is dealt out by their
-hashes, so that equal windows still meet and no task holds such an anchor whole. What the sketch
-overestimates is found out here, and nothing is lost.
-
-The sketch has about seven bits of text for each cell, up to 2^max_bits cells in each of its two rows (that
-bounds the broadcast to 2^max_bits / 4 bytes). Beyond that it lets more windows through to the second
-pass; results stay the same.
+documents share are one row per such stretch. An anchor with more than MANY windows is first settled in
+parts of its rows, each of which passes on one row for each different window. Windows across the edges of
+a shared passage differ from document to document and have its anchor all the same, so what is left is
+dealt out by the windows' hashes: equal windows still meet, and no task holds such an anchor whole. What the
+sketch overestimates is found out here, and nothing is lost.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; in rows that repeat
-a document every window recurs; an empty table gives no rows; columns other than doc_id and text are not
-read.
+a document every window recurs; very long texts are read whole, one at a time; an empty table gives no rows;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,8 @@ from .arrowtext import BASE, flat_bytes, mix, row_slices, window_hashes, word_bo
 from .runtime import discard, stored
 
 SIZE = 35
-#: Cells of a block of the sketch (as a power of two), bytes of text handled at once, cells kept before they are given out.
-BLOCK, STRETCH, HELD = 20, 1 << 23, 1 << 21
+#: Cells of a block of the sketch (as a power of two) while it is broadcast and beyond, bytes of text handled at once, anchors kept before their cells are given out.
+BLOCK, SHARD, STRETCH, HELD = 20, 26, 1 << 23, 1 << 21
 #: Windows of an anchor above which it is dealt out, and the most such anchors (beyond, only those with a larger share of all windows are).
 MANY, SPLIT = 1 << 12, 1 << 16
 
@@ -73,24 +76,52 @@ class Windows:
             self.window = window_hashes(mix(words ^ BASE), size)[self.start]
 
 
-def cells(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of an anchor in each of the two rows of the sketch."""
-    low = np.uint64((1 << bits) - 1)
-    return anchor & low, mix(anchor + BASE) & low
+class Sketch(NamedTuple):
+    """Width of each row of the sketch and of its blocks, as powers of two, and the merged blocks: the first row's bits, then the second's."""
+
+    bits: int
+    block: int
+    merged: DataFrame
+
+    def broadcast(self) -> Broadcast:
+        width = 1 << (self.block - 2)
+        out = np.zeros((1 << (self.bits - self.block), width), np.uint8)
+        for r in self.merged.toLocalIterator():
+            out[r.block] = np.frombuffer(r.bits, np.uint8)
+        return self.merged.sparkSession.sparkContext.broadcast(out)
+
+
+def block_of(anchor: np.ndarray, bits: int, block: int) -> np.ndarray:
+    """Block of each anchor, by mixed bits: anchors are least hashes, so their own high bits are mostly zero."""
+    return (mix(anchor ^ BASE) >> np.uint64(64 - bits + block)).astype(np.int64) if bits > block else np.zeros(len(anchor), np.int64)
+
+
+def cells(anchor: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of an anchor inside its block, in each of the two rows of the sketch."""
+    low = np.uint64((1 << block) - 1)
+    return (anchor & low).astype(np.int64), (mix(anchor + BASE) & low).astype(np.int64) | np.int64(1 << block)
+
 
+def repeated(seen: np.ndarray, anchor: np.ndarray, at: np.ndarray | int, block: int) -> np.ndarray:
+    """Which anchors the sketch estimates repeated; seen: bits of a block, or of block at of several."""
+    out = np.ones(len(anchor), bool)
+    for cell in cells(anchor, block):
+        bits = seen[at, cell >> 3] if seen.ndim == 2 else seen[cell >> 3]
+        out &= (bits >> (cell & 7).astype(np.uint8)) & 1 == 1
+    return out
 
-def _sketch(size: int, bits: int):
+
+def _sketch(size: int, bits: int, block: int):
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        names, values = [], []
-        for line, part in enumerate(cells(np.concatenate(held), bits)):
-            cell, count = np.unique(part, return_counts=True)
-            block = (cell >> np.uint64(BLOCK)).astype(np.int64)
-            packed = (cell & np.uint64((1 << BLOCK) - 1)).astype(np.uint32) | (count > 1).astype(np.uint32) << np.uint32(31)
-            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)], strict=True):
-                names.append(int(block[a]) + (line << (bits - BLOCK)))
-                values.append(packed[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(values, pa.binary())], names=["block", "cells"])
+        anchor = np.concatenate(held)
+        at = block_of(anchor, bits, block) << (block + 1)
+        cell, count = np.unique(np.concatenate([at | c for c in cells(anchor, block)]), return_counts=True)
+        name = cell >> (block + 1)
+        packed = (cell & ((1 << (block + 1)) - 1)).astype(np.uint32) | (count > 1).astype(np.uint32) << np.uint32(31)
+        cut = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        bounds = np.append(cut, len(cell)) * 4
+        values = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(name[cut].astype(np.int32)), values], names=["block", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -108,60 +139,144 @@ def _sketch(size: int, bits: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(block: int):
     """Bits of the cells with a count of two or more, block by block; the rows come sorted by block."""
-    now, count = None, np.zeros(0, np.uint8)
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count = None, np.zeros(0, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
-    for batch in batches:
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            if block != now:
-                if now is not None:
-                    yield done()
-                now, count = block, np.zeros(1 << BLOCK, np.uint8)
-            x = np.frombuffer(packed, np.uint32)
-            cell = x & np.uint32((1 << BLOCK) - 1)  # each cell at most once in a row
-            count[cell] = np.minimum(count[cell] + 1 + (x >> np.uint32(31)).astype(np.uint8), 2)
-    if now is not None:
-        yield done()
-
-
-def repeated_cells(rows: DataFrame, size: int, max_bits: int) -> tuple[int, Broadcast]:
-    """Width of the sketch (as a power of two) and its bits: cell c of row r is bit c + r * 2^width."""
+        for batch in batches:
+            for name, packed in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if name != now:
+                    if now is not None:
+                        yield done()
+                    now, count = name, np.zeros(2 << block, np.uint8)
+                x = np.frombuffer(packed, np.uint32)
+                cell = x & np.uint32((2 << block) - 1)  # each cell at most once in a row
+                count[cell] = np.minimum(count[cell] + 1 + (x >> np.uint32(31)).astype(np.uint8), 2)
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def sketched(rows: DataFrame, size: int, max_bits: int) -> Sketch:
+    """The merged sketch of all anchors of a corpus."""
     spark = rows.sparkSession
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(int(amount / 7).bit_length(), BLOCK), max_bits)
+    bits = max(int(amount / 7).bit_length(), BLOCK)
+    block = BLOCK if bits <= max_bits else min(SHARD, max_bits)
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.select("text").mapInArrow(_sketch(size, bits), "block int, cells binary")
-    merged = parts.repartition(spread, "block").sortWithinPartitions("block").mapInArrow(_merged, "block int, bits binary")
-    out = np.zeros(2 << (bits - 3), np.uint8)
-    width = 1 << (BLOCK - 3)
-    for r in merged.toLocalIterator():
-        out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return bits, spark.sparkContext.broadcast(out)
+    parts = rows.select("text").mapInArrow(_sketch(size, bits, block), "block int, cells binary")
+    return Sketch(bits, block, parts.repartition(spread, "block").sortWithinPartitions("block").mapInArrow(_merged(block), "block int, bits binary"))
+
+
+ASKED = "block int, bits binary, key long, anchors binary, keys binary, runs binary"
+
+
+def _asked(size: int, bits: int, block: int):
+    """For each stretch and block its anchors, with the keys of their documents and their numbers there.
+
+    Anchors that recur in the stretch are known to be repeated: for these, rows with a key and numbers alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, key = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
+            for at, rows in row_slices(text, STRETCH):
+                w = Windows(text.slice(at, rows), size, False)
+                if not len(w.anchor):
+                    continue
+                owner = w.row[w.start[w.opens]]
+                number = _numbers(owner)
+                _, which, count = np.unique(w.anchor, return_inverse=True, return_counts=True)
+                sure = count[which] > 1
+                name = block_of(w.anchor, bits, block)
+                for here, by in ((np.flatnonzero(sure), owner), (np.flatnonzero(~sure), name)):
+                    if not len(here):
+                        continue
+                    here = here[np.argsort(by[here], kind="stable")]
+                    cut = np.flatnonzero(np.append(True, np.diff(by[here]) != 0))
+                    bounds = np.append(cut, len(here))
+
+                    def packed(values: np.ndarray, bounds=bounds) -> pa.Array:
+                        width = values.itemsize
+                        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+                    none = pa.nulls(len(cut), pa.binary())
+                    runs, keys = packed(number[here]), key[at : at + rows][owner[here]]
+                    columns = [pa.nulls(len(cut), pa.int32()), none, pa.array(keys[cut]), none, none, runs] if by is owner else [pa.array(name[here[cut]].astype(np.int32)), none, pa.nulls(len(cut), pa.int64()), packed(w.anchor[here]), packed(keys), runs]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "bits", "key", "anchors", "keys", "runs"])
+
+    return run
+
+
+def _numbers(owner: np.ndarray) -> np.ndarray:
+    """Number of each anchor in its document; owner: the document of each, in order."""
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return (np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))).astype(np.int32)
+
+
+def _told(block: int):
+    """Document keys and numbers of the anchors estimated repeated; a block's bits come before what is asked of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, None
+        for batch in batches:
+            out_key, out_run = [], []
+            for name, bits, anchors, keys, runs in zip(*(batch.column(c).to_pylist() for c in ("block", "bits", "anchors", "keys", "runs")), strict=True):
+                if bits is not None:
+                    now, seen = name, np.frombuffer(bits, np.uint8)
+                elif name == now:  # else no cell of the block is repeated
+                    hot = repeated(seen, np.frombuffer(anchors, np.uint64), 0, block)
+                    out_key.append(np.frombuffer(keys, np.int64)[hot])
+                    out_run.append(np.frombuffer(runs, np.int32)[hot])
+            if out_key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_run))], names=["key", "run"])
+
+    return run
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = batch.column("runs")
+        size = pc.binary_length(runs).to_numpy(zero_copy_only=False) // 4
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(zero_copy_only=False), size)), pa.array(np.frombuffer(b"".join(runs.to_pylist()), np.int32))], names=["key", "run"])
+
+
+def hot_runs(rows: DataFrame, size: int, sketch: Sketch) -> DataFrame:
+    """key and runs: for each document the numbers of its anchors that are estimated repeated, by blocks of the sketch."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = stored(rows.select("key", "text").mapInArrow(_asked(size, sketch.bits, sketch.block), ASKED), "asked")
+    bits = sketch.merged.select("block", "bits", *(F.lit(None).cast(t).alias(n) for n, t in (("key", "long"), ("anchors", "binary"), ("keys", "binary"), ("runs", "binary"))))
+    both = bits.unionByName(asked.where("key is null")).repartition(spread, "block").sortWithinPartitions("block", F.col("bits").isNull())
+    told = both.mapInArrow(_told(sketch.block), "key long, run int").unionByName(asked.where("key is not null").select("key", "runs").mapInArrow(_one_by_one, "key long, run int"))
+    out = stored(told.distinct().groupBy("key").agg(F.collect_list("run").alias("runs")), "hot-runs")  # a document's own numbers, few
+    discard(asked)
+    return out
 
 
-def _candidates(size: int, bits: int, sketch: Broadcast):
+def _candidates(size: int, bits: int, block: int, sketch: Broadcast | None):
     """Rows of the second pass: anchor, document key, first window, masks of its windows and their hashes.
 
     take: windows whose hash is in the row; twice: those of them that stand for several places of this
-    stretch; known: windows settled here.
+    stretch; known: windows settled here. Without a sketch, column runs has the anchors to take.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sketch.value
         for batch in batches:
             text, key = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
             for at, rows in row_slices(text, STRETCH):
                 w = Windows(text.slice(at, rows), size, True)
                 if not len(w.start):
                     continue
-                hot = np.ones(len(w.anchor), bool)
-                for line, cell in enumerate(cells(w.anchor, bits)):
-                    place = cell.astype(np.int64) + (line << bits)
-                    hot &= (seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                if sketch is None:
+                    hot = _listed(batch.column("runs").slice(at, rows), w.row[w.start[w.opens]])
+                else:
+                    hot = repeated(sketch.value, w.anchor, block_of(w.anchor, bits, block), block)
                 pick = np.flatnonzero(hot[w.run])
                 if not len(pick):
                     continue
@@ -200,6 +315,13 @@ def _candidates(size: int, bits: int, sketch: Broadcast):
     return run
 
 
+def _listed(runs: pa.Array, owner: np.ndarray) -> np.ndarray:
+    """Which anchors are in their document's list of numbers."""
+    width = np.int64(1) << 32
+    lists = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
+    return np.isin(owner * width + _numbers(owner), lists * width + runs.flatten().to_numpy(zero_copy_only=False))
+
+
 def crowded_anchors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Anchors to deal out, sorted, and into how many parts each; at most SPLIT of them."""
     counts = rows.groupBy("anchor").agg(F.sum(F.bit_count("take")).alias("n")).where(F.col("n") > MANY)
@@ -239,53 +361,75 @@ def _dealt(crowded: Broadcast):
     return run
 
 
-def dealt_out(rows: DataFrame) -> DataFrame:
-    """The rows of the second pass, those of crowded anchors in parts; equal windows stay under one anchor."""
+FOUND = "anchor long, key long, first int, take int, twice int, known int, hashes binary"
+
+
+def dealt_out(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the second pass, those of crowded anchors settled in parts of their rows and dealt out by their windows' hashes
+    (equal windows stay under one anchor); and what the parts have settled."""
     crowded = crowded_anchors(rows)
     if not len(crowded[0]):
-        return rows
+        return rows, None
     spark = rows.sparkSession
-    named = F.broadcast(spark.createDataFrame([(a,) for a in crowded[0].tolist()], "anchor long"))
-    parts = rows.join(named, "anchor", "left_semi").mapInArrow(_dealt(spark.sparkContext.broadcast(crowded)), rows.schema)
-    return rows.join(named, "anchor", "left_anti").unionByName(parts)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = F.broadcast(spark.createDataFrame([(int(a), int(p)) for a, p in zip(*crowded, strict=True)], "anchor long, parts long"))  # at most SPLIT rows
+    salted = rows.join(named, "anchor").withColumn("part", F.pmod(F.xxhash64("key", "first"), "parts")).withColumn("group", F.xxhash64("anchor", "part"))
+    salted = salted.select("group", *rows.columns).repartition(spread, "group").sortWithinPartitions("group")
+    once = stored(salted.mapInArrow(_grouped("group"), FOUND), "settled")
+    parts = once.where("take <> 0").select(*rows.columns).mapInArrow(_dealt(spark.sparkContext.broadcast(crowded)), rows.schema)
+    return rows.join(named, "anchor", "left_anti").unionByName(parts), once
+
 
+def _grouped(by: str):
+    """Settles windows among the rows of a group; the rows come sorted by the column by.
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that recur elsewhere; the rows come sorted by anchor."""
+    known: windows that recur; take: one row for each different window, twice: those that stand for several.
+    """
     step = np.arange(32)
 
     def settle(t: pa.Table) -> pa.RecordBatch:
-        anchor = t.column("anchor").to_numpy()
+        t = t.combine_chunks()
+        group = t.column(by).to_numpy()
         take, twice = t.column("take").to_numpy(), t.column("twice").to_numpy()
         value = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64)
         row, bit = np.nonzero((take[:, None] >> step) & 1)
         weight = 1 + ((twice[row] >> bit) & 1)
-        order = np.lexsort((value, anchor[row]))
-        v, a = value[order], anchor[row][order]
-        cut = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (a[1:] != a[:-1])))
-        total = np.repeat(np.add.reduceat(weight[order], cut), np.diff(np.append(cut, len(order))))
-        over = np.zeros(len(order), bool)
-        over[order] = total > 1
-        over &= weight == 1
-        mask = np.zeros(len(anchor), np.int64)
-        np.bitwise_or.at(mask, row[over], np.int64(1) << bit[over])
-        keep = np.flatnonzero(mask)
-        t = t.take(keep)
-        return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("first").combine_chunks(), pa.array(mask[keep].astype(np.int32))], names=["key", "first", "mask"])
-
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        anchor = table.column("anchor").to_numpy()
-        whole = int(np.searchsorted(anchor, anchor[-1]))
-        if whole:
-            yield settle(table.slice(0, whole).combine_chunks())
-        rest = table.slice(whole)
-    if rest is not None and rest.num_rows:
-        yield settle(rest.combine_chunks())
+        order = np.lexsort((value, group[row]))
+        v, g = value[order], group[row][order]
+        cut = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (g[1:] != g[:-1])))
+        total = np.empty(len(order), np.int64)
+        total[order] = np.repeat(np.add.reduceat(weight[order], cut), np.diff(np.append(cut, len(order))))
+        leads = np.zeros(len(order), bool)
+        leads[order[cut]] = True
+
+        def mask(which: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(group), np.int64)
+            np.bitwise_or.at(out, row[which], np.int64(1) << bit[which])
+            return out.astype(np.int32)
+
+        taken, again, known = mask(leads), mask(leads & (total > 1)), mask((total > 1) & (weight == 1))
+        count = np.bincount(row[leads], minlength=len(group))
+        bounds = np.concatenate(([0], np.cumsum(count))) * 8
+        hashes = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(value[leads].tobytes())])
+        columns = [t.column(c).combine_chunks() for c in ("anchor", "key", "first")]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(taken), pa.array(again), pa.array(known), hashes], names=["anchor", "key", "first", "take", "twice", "known", "hashes"])
+        return out.filter(pa.array((taken | known) != 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(by).to_numpy()
+            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+            if whole or (rest and rest[-1].column(by)[-1].as_py() != group[0]):
+                yield settle(pa.Table.from_batches([*rest, batch.slice(0, whole)]))
+                rest = []
+            rest.append(batch.slice(whole))
+        if rest:
+            yield settle(pa.Table.from_batches(rest))
+
+    return run
 
 
 def _cut(size: int):
@@ -318,12 +462,21 @@ def remove_repeated(docs: DataFrame, size: int = SIZE, max_bits: int = 29) -> Da
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
-    bits, sketch = repeated_cells(rows, size, max_bits)
-    schema = "anchor long, key long, first int, take int, twice int, known int, hashes binary"
-    found = stored(rows.select("key", "text").mapInArrow(_candidates(size, bits, sketch), schema), "candidates")
-    grouped = found.where("take <> 0").select("anchor", "key", "first", "take", "twice", "hashes")
-    grouped = dealt_out(grouped).repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped, "key long, first int, mask int")
-    known = found.where("known <> 0").select("key", "first", F.col("known").alias("mask"))
-    spans = stored(grouped.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("spans")), "spans")
+    sketch = sketched(rows, size, max_bits)
+    if sketch.bits <= max_bits:
+        found = rows.select("key", "text").mapInArrow(_candidates(size, sketch.bits, sketch.block, sketch.broadcast()), FOUND)
+    else:
+        asked = rows.select("key", "text").join(hot_runs(rows, size, sketch), "key")
+        found = asked.mapInArrow(_candidates(size, sketch.bits, sketch.block, None), FOUND)
+    found = stored(found, "candidates")
+    taken = found.where("take <> 0").select("anchor", "key", "first", "take", "twice", "hashes")
+    dealt, once = dealt_out(taken)
+    grouped = dealt.repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped("anchor"), FOUND)
+    known = [df.where("known <> 0").select("key", "first", "known") for df in (grouped, found, once) if df is not None]
+    # rows that repeat a document have one key: their masks become one before they are listed
+    masks = reduce(DataFrame.unionByName, known).groupBy("key", "first").agg(F.bit_or("known").alias("mask"))
+    spans = stored(masks.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("spans")), "spans")
     discard(found)
+    if once is not None:
+        discard(once)
     return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, text string")

@@ -143,43 +143,91 @@ def test_substring_dedup(spark):
         assert got[k] == (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
 
 
+def sentences_of(rnd, n):
+    return " ".join(f"o{rnd.getrandbits(40)}" for _ in range(n))
+
+
+def without_repeats(texts):
+    """What substring dedup has to give, by brute force."""
+    words = [(t or "").encode().split() for t in texts]
+    count = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - 34):
+            if count[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        out.append((len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return out
+
+
+def cut(docs, **options):
+    return {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeated(docs, **options).collect()}
+
+
 def test_substring_dedup_with_a_saturated_sketch(spark, monkeypatch):
     """A sketch that lets everything through changes no result."""
     docs = spark.createDataFrame(columns(TEXTS), SCHEMA)
     want = sorted(map(str, substring_dedup.remove_repeated(docs).collect()))
-    monkeypatch.setattr(substring_dedup, "repeated_cells", lambda rows, size, bits: (20, rows.sparkSession.sparkContext.broadcast(np.full(2 << 17, 255, np.uint8))))
+    monkeypatch.setattr(substring_dedup, "repeated", lambda seen, anchor, at, block: np.ones(len(anchor), bool))
     assert sorted(map(str, substring_dedup.remove_repeated(docs).collect())) == want
 
 
+@pytest.mark.parametrize("stretch", [1 << 23, 3000])
+def test_substring_dedup_with_a_sketch_in_shards(spark, monkeypatch, stretch):
+    """A sketch too large to broadcast (here: eight blocks) gives the same rows, repeated documents and very long texts included."""
+    monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+    rnd = random.Random(11)
+    passage = sentences_of(rnd, 60)
+    texts = [f"{sentences_of(rnd, rnd.randint(0, 90))} {passage if rnd.random() < 0.3 else ''} {sentences_of(rnd, 40)}" for _ in range(150)] + [None, "", passage, f"{sentences_of(rnd, 20_000)} {passage}"]
+    rows = list(enumerate(texts)) + [(7, texts[7])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = dict(zip([i for i, _ in rows], without_repeats([t for _, t in rows]), strict=True))
+    assert cut(docs, max_bits=17) == want
+    assert cut(docs) == want
+
+
+def test_sketch_keeps_its_pass_rate_in_shards(spark, monkeypatch):
+    """Anchors that occur once pass as rarely beyond the broadcast bound as below it, at two sizes."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 12)
+    rnd = random.Random(12)
+    passed = []
+    for n in (300, 1200):
+        docs = spark.createDataFrame([(k, sentences_of(rnd, 120)) for k in range(n)], "doc_id long, text string").repartition(4)
+        rows = docs.select("doc_id", "text", F.col("doc_id").alias("key"))
+        sketch = substring_dedup.sketched(rows, 35, 13)
+        assert sketch.bits > 15 and sketch.block == 13
+        hot = substring_dedup.hot_runs(rows, 35, sketch).agg(F.sum(F.size("runs"))).first()[0] or 0
+        passed.append(hot / (n * 86 / 9.5))
+    assert max(passed) < 0.06 and abs(passed[0] - passed[1]) < 0.03, passed
+
+
 def test_substring_dedup_deals_out_crowded_anchors(spark, monkeypatch):
-    """Passages longer and shorter than a window, each document's words around them its own: one anchor, many distinct windows."""
+    """Passages longer and shorter than a window, each document's words around them its own: one anchor, many distinct windows.
+    A window that every document has is settled in parts first."""
     monkeypatch.setattr(substring_dedup, "MANY", 64)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 1000)  # a row for every document or two
     rnd = random.Random(7)
-    own = lambda n: " ".join(f"o{rnd.getrandbits(40)}" for _ in range(n))
     long, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("l", 60), ("s", 25)))
-    texts = [f"{own(20)} {long if k % 2 else short} {own(20)}" for k in range(240)] + [f"same words {long}"] * 3
+    texts = [f"{sentences_of(rnd, 20)} {long if k % 2 else short} {sentences_of(rnd, 20)}" for k in range(240)] + [f"same words {long}"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    words = [t.encode().split() for t in texts]
-    count = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     most = {}
     dealt_out = substring_dedup.dealt_out
 
     def seen(rows):
-        out = dealt_out(rows)
+        out, once = dealt_out(rows)
         for name, df in (("before", rows), ("after", out)):
-            sums = df.groupBy("anchor").agg(F.sum(F.bit_count("take")).alias("n")).agg(F.max("n"), F.sum("n")).first()
-            most[name], most[f"{name}, all"] = sums[0], sums[1]
-        return out
+            most[name] = df.groupBy("anchor").agg(F.sum(F.bit_count("take")).alias("n")).agg(F.max("n")).first()[0]
+            # how often the commonest window stands under one anchor
+            taken = df.selectExpr("anchor", "explode(sequence(0, cast(length(hashes) / 8 as int) - 1)) as k", "hashes").selectExpr("anchor", "substring(hashes, 1 + 8 * k, 8) as h")
+            most[f"{name}, one window"] = taken.groupBy("anchor", "h").count().agg(F.max("count")).first()[0]
+        return out, once
 
     monkeypatch.setattr(substring_dedup, "dealt_out", seen)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeated(docs).collect()}
-    assert most["before"] > 900 and most["after"] <= 128 and most["before, all"] == most["after, all"]
-    for k, w in enumerate(words):
-        gone = set()
-        for i in range(len(w) - 34):
-            if count[tuple(w[i : i + 35])] > 1:
-                gone.update(range(i, i + 35))
-        assert got[k] == (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+    got = cut(docs)
+    assert most["before"] > 900 and most["after"] <= 192, most
+    assert most["before, one window"] > 50 and most["after, one window"] < most["before, one window"] / 2, most
+    assert [got[k] for k in range(len(texts))] == without_repeats(texts)
 
 
 def test_quality_trees():
