@@ -7,12 +7,16 @@ no merge of their result can outrank them, else the leftmost alone does, so the
 library's queue ends.
 
 Words are cut where no piece of the vocabulary can cross: before runs of the space symbol and at line
-feeds. Defined results: null text counts as the empty text (the end id alone); an empty table
+feeds; long words also wherever no piece that occurs in them covers two neighbouring symbols. A round costs a
+pass over the words that are not done, so what is longer than MANY symbols after all cuts goes through a
+queue of pairs instead, in time n log n: texts without spaces cost about as much a character as others.
+Defined results: null text counts as the empty text (the end id alone); an empty table
 gives no rows; repeated rows give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,6 +30,20 @@ NONE = np.iinfo(np.int32).max
 #: Words that a task remembers, and rows that it encodes at once.
 CACHE = 200_000
 ROWS = 512
+#: Characters above which a word is cut (and not remembered), and symbols above which what is left goes through a queue.
+LONG, MANY = 48, 256
+
+
+#: Odd multiplier of the hash of a run of symbols.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(columns: np.ndarray) -> np.ndarray:
+    """Hash of each run of symbols; columns: the first symbols of all, then the second ones, and so on."""
+    code = columns[-1]
+    for sym in columns[-2::-1]:
+        code = sym + code * FACTOR
+    return code
 
 
 class Vocabulary:
@@ -63,10 +81,17 @@ class Vocabulary:
         self.rank = np.array([rank[i] for i in self.merged.tolist()], np.int32)
         #: Whether all copies of a pair may merge at once.
         self.safe = np.array([best[i] > rank[i] for i in self.merged.tolist()])
+        self.rank_of = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.rank.tolist(), self.merged.tolist(), strict=True)}
         self.chars = {ord(c): s for c, s in symbol.items() if len(c) == 1}
         top = max(self.chars, default=0) + 1
         self.of_char = np.full(top + 1, self.unknown, np.int32)
         self.of_char[list(self.chars)] = list(self.chars.values())
+        # hashes of the pieces' symbols, by length
+        spelled: dict[int, list[list[int]]] = {}
+        for i in plain:
+            if len(names[i]) > 1:
+                spelled.setdefault(len(names[i]), []).append([symbol[c] for c in names[i]])
+        self.spelled = {n: np.unique(_hashes(np.array(rows, np.uint64).T)) for n, rows in sorted(spelled.items())}
         self.byte_id = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         # what each id decodes to
         surface = [b"" if sp.is_control(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -78,15 +103,75 @@ class Vocabulary:
         self.is_byte = np.array([bool(sp.is_byte(i)) for i in range(n)])
         self.leads = np.array([names[i].startswith(SPACE) and not sp.is_control(i) for i in range(n)])
 
+    def parts(self, sym: np.ndarray) -> np.ndarray:
+        """Places where a word is cut for good: no piece that occurs in it covers the symbols on both sides."""
+        edge = np.zeros(len(sym) + 1, np.int64)
+        code = sym.astype(np.uint64)
+        for n in range(2, max(self.spelled, default=1) + 1):
+            if len(sym) < n:
+                break
+            code = sym[: len(sym) - n + 1].astype(np.uint64) + code[1:] * FACTOR
+            if n in self.spelled:
+                known = self.spelled[n]
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+                np.add.at(edge, hit + 1, 1)  # joins symbols hit .. hit + n - 1
+                np.add.at(edge, hit + n, -1)
+        return np.flatnonzero(np.cumsum(edge[:-1])[1:] == 0) + 1
+
+    def queued(self, sym: list[int], at: list[int]) -> tuple[list[int], list[int]]:
+        """One long word by a queue of its pairs: the lowest rank first, then the leftmost."""
+        n = len(sym)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = []
+
+        def offer(i: int) -> None:
+            j = right[i]
+            if j >= 0 and (found := self.rank_of.get(sym[i] * self.count + sym[j])):
+                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, a, b, new = heapq.heappop(heap)
+            j = right[i]
+            if sym[i] != a or j < 0 or sym[j] != b:  # one of the two has been merged since
+                continue
+            sym[i], sym[j] = new, -1
+            right[i] = right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            offer(i)
+            if left[i] >= 0:
+                offer(left[i])
+        stays = [i for i in range(n) if sym[i] >= 0]
+        return [sym[i] for i in stays], [at[i] for i in stays]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word (little-endian 32-bit), encoded on its own."""
         if not words:
             return []
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         sym = self.of_char[np.minimum(points, len(self.of_char) - 1)]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        done_sym, done_word, done_at = [], [], []
+        lengths = np.array([len(w) for w in words])
+        begins = np.cumsum(lengths) - lengths
+        owner = np.repeat(np.arange(len(words)), lengths)
+        done_sym, done_at = [], []
         at = np.arange(len(sym))
+        cut = np.zeros(len(sym), bool)
+        cut[begins] = True
+        for w in np.flatnonzero(lengths > LONG).tolist():
+            a, b = begins[w], begins[w] + lengths[w]
+            cut[a + self.parts(sym[a:b])] = True
+        word = np.cumsum(cut) - 1  # parts of words
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, len(sym)))
+        for a, n in zip(first[size > MANY].tolist(), size[size > MANY].tolist(), strict=True):
+            s, places = self.queued(sym[a : a + n].tolist(), at[a : a + n].tolist())
+            done_sym.append(np.array(s, sym.dtype))
+            done_at.append(np.array(places))
+        if (size > MANY).any():
+            keep = np.repeat(size <= MANY, size)
+            sym, word, at = sym[keep], word[keep], at[keep]
         while len(sym):
             key = sym[:-1].astype(np.int64) * self.count + sym[1:]
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -98,7 +183,6 @@ class Vocabulary:
             over = least == NONE
             if over.any():  # these words have no pair left
                 done_sym.append(sym[over])
-                done_word.append(word[over])
                 done_at.append(at[over])
                 keep = ~over
                 sym, word, at, rank, least = sym[keep], word[keep], at[keep], rank[keep], least[keep]
@@ -114,9 +198,10 @@ class Vocabulary:
             stay = np.ones(len(sym), bool)
             stay[spot + 1] = False
             sym, word, at = sym[stay], word[stay], at[stay]
-        sym, word, at = (np.concatenate(x) for x in (done_sym, done_word, done_at))
+        sym, at = np.concatenate(done_sym), np.concatenate(done_at)
         order = np.argsort(at, kind="stable")
-        sym, word, at = sym[order], word[order], at[order]
+        sym, at = sym[order], at[order]
+        word = owner[at]
         if (sym >= self.size).any():  # characters outside the vocabulary, byte by byte
             ids, owner = [], []
             for s, w, a in zip(sym.tolist(), word.tolist(), at.tolist(), strict=True):
@@ -205,8 +290,8 @@ class Encoder:
         full = [u if u[0] == SPACE or u[0] == "\n" else SPACE + u for u in new]
         fresh = dict(zip(new, self.vocabulary.encode_words(full), strict=True))
         if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-            look = known
+            known.update((u, f) for u, f in fresh.items() if len(u) <= LONG)
+            look = known if all(len(u) <= LONG for u in new) else known | {u: f for u, f in fresh.items() if len(u) > LONG}
         else:
             look = {**fresh, **{u: known[u] for r in rows for u in r if u in known}}
         end = np.array([self.vocabulary.end], "<i4").tobytes()

@@ -1,9 +1,11 @@
 """Text operators against brute force, and their defined results on odd tables."""
 
+import base64
 import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -334,6 +336,31 @@ def test_packing_encoder_follows_an_unaltered_tokenizer():
         assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_encoding_of_long_unspaced_texts():
+    """A megabyte without a space is encoded as the library does it, in time that grows in proportion."""
+    import sentencepiece
+
+    rnd = random.Random(9)
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_bpe.Encoder(PIECES)
+    n = 1_000_000
+    texts = {
+        "letters": "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+        "cjk": "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(n // 3)),
+        "base64": base64.b64encode(rnd.randbytes(n * 3 // 4)).decode(),
+        "words": "".join(rnd.choice(["the", "and", "people", "international", "s", "ing", "wasser", "über"]) for _ in range(n // 5)),
+        "one letter": "a" * n,
+    }
+    for name, t in texts.items():
+        took = []
+        for part in (t[: len(t) // 4], t):
+            began = time.time()
+            ids, offsets = encoder([part])
+            took.append(time.time() - began)
+            assert ids.tolist() == library.encode(part, add_eos=True), name
+        assert took[1] < 60 and took[1] < 12 * took[0] + 1, (name, took)  # four times the text
+    assert all(len(w) <= sentencepiece_bpe.LONG for w in encoder.known)
+
+
 def test_decoding_any_ids(spark):
     import sentencepiece
 
