@@ -14,9 +14,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or, in a local session without one, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cardmart-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -53,9 +55,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+#: Names of a row: its file (as a hash) and its place there.
+FILE, PLACE = "__file", "__place"
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the frame is a scan of files with at most filters on it, so that each row has a place of its own."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation") or plan.nodeName().startswith("Relation ")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with a name for each row (FILE, PLACE), also where doc_id is null or repeats; what is no scan of files is written first."""
+    if FILE in docs.columns:
+        return docs
+    if not _is_scan(docs):
+        docs = stored(docs, "rows")
+    hidden = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(hidden["file_path"]).alias(FILE), hidden["row_index"].alias(PLACE))
+
+
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is in kept; rows without a doc_id cannot be named and stay."""
-    kept = stored(kept.select(F.col("doc_id").alias("kept_id")).where("kept_id is not null"), "kept")
+    """The rows of docs, identified(), that are named in kept, without their names."""
+    kept = stored(kept.select(F.col(FILE).alias("kept_file"), F.col(PLACE).alias("kept_place")), "kept")
     # kept grows with the documents, so it is never broadcast
-    named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.join(kept.hint("merge"), (docs[FILE] == kept["kept_file"]) & (docs[PLACE] == kept["kept_place"]), "left_semi")
+    return named.drop(FILE, PLACE)

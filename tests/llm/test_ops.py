@@ -8,7 +8,9 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -115,18 +117,59 @@ def test_redaction_of_overlapping_spans(spark):
         assert re.sub("<[A-Z]+>", "", kept) == "".join(c for i, c in enumerate(t) if i not in inside)
 
 
-def test_exact_dedup_batches(spark):
-    """A later batch is judged against the index, and running it again adds nothing."""
+def test_exact_dedup_batches(spark, tmp_path):
+    """A later batch is judged against the index, running it again adds nothing, and the index is opened again where it lies."""
     a = spark.createDataFrame([(1, "a b"), (2, "ab "), (3, "c"), (None, "c")], "doc_id long, text string")
-    index = exact_dedup.DigestIndex(spark, "batches_index", 4)
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, 4)
     first = {r.keep_id: r.group_size for r in index.ingest(exact_dedup.signed(a), "a").collect()}
     assert first == {1: 2, 3: 2}  # three code points each: the smaller doc_id
     b = exact_dedup.signed(spark.createDataFrame([(9, "a   b"), (10, "new")], "doc_id long, text string"))
     assert [r.keep_id for r in index.ingest(b, "b").collect()] == [10]
-    index.ingest(b, "again")
-    assert index.read().count() == 3
-    kept = exact_dedup.drop_exact(a)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3] and kept.columns == a.columns
+    spark.sql(f"DROP TABLE {index.table}")  # as in a new session
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 4 and index.parts() == 2
+    assert index.ingest(b, "again").count() == 0 and index.read().count() == 3
+    index.compact()
+    index.discard_old()
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.version == 1 and index.parts() == 1 and sorted(r.keep_id for r in index.read().collect()) == [1, 3, 10]
+    # a compacted index is joined as it lies: neither moved nor sorted again
+    plan = b.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    indexed = plan.split("FileScan parquet")[-2 if "SelectedBucketsCount" not in plan.split("FileScan parquet")[-1] else -1]
+    assert "SelectedBucketsCount: 4 out of 4" in indexed and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [digest") == 1
+    c = spark.createDataFrame([(20, "c "), (21, "d"), (None, "d"), (22, "ne w")], "doc_id long, text string")
+    assert [r.doc_id for r in exact_dedup.drop_exact(c, path, "c").collect()] == [21]
+    assert index.read().count() == 4
+
+
+COPIES = [(None, "a  b"), (1, "ab"), (2, "a b"), (5, "zz"), (5, "zz"), (7, "new"), (7, "ab"), (None, "only"), (None, "on ly"), (8, None), (9, " "), (10, "x" * 300_000), (11, "x" * 300_000 + " ")]
+
+
+def test_exact_dedup_decisions(spark):
+    """Of equal texts one row stays: the most code points, then the smallest doc_id, null last; by brute force."""
+    docs = spark.createDataFrame(columns(COPIES), SCHEMA).repartition(3)
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = collections.defaultdict(list)
+    for i, t in COPIES:
+        groups[bare(t)].append((-len(t or ""), i is None, i or 0, i))
+    want = {hashlib.sha256(k.encode()).digest(): (min(g)[3], len(g)) for k, g in groups.items()}
+    rows = exact_dedup.exact_groups(docs).collect()
+    assert len(rows) == len(COPIES) and all((r.keep_id, r.group_size) == want[bytes(r.digest)] for r in rows)
+    assert collections.Counter(bytes(r.digest) for r in rows if r.kept) == dict.fromkeys(want, 1)
+    assert all(r.doc_id == r.keep_id for r in rows if r.kept)
+    left = exact_dedup.drop_exact(docs)
+    assert left.columns == docs.columns and sorted(bare(r.text) for r in left.collect()) == sorted(groups)
+
+
+def test_near_dedup_keeps_one_row(spark):
+    docs = spark.createDataFrame(columns(COPIES), SCHEMA).repartition(3)
+    left = simhash.keep_one(docs)
+    rows = left.collect()
+    fps = [simhash.fingerprint(t) for _, t in COPIES]
+    assert left.columns == docs.columns and len(rows) == len({simhash.fingerprint(r.text) for r in rows})
+    assert all(min(bin(fp ^ simhash.fingerprint(r.text)).count("1") for r in rows) <= 3 for fp in fps)
+    assert {r.doc_id for r in rows if r.text == "zz"} == {5} and sum(r.text == "only" for r in rows) + sum(r.text == "on ly" for r in rows) >= 1
 
 
 def test_substring_dedup(spark):
@@ -257,6 +300,26 @@ def test_string_kernel_tolerates_gaps():
     assert value["idiot"] > 0.99 and min(value["i.d.i.o.t"], value["i d i o t"]) > 0.8 and value["idxiot"] > 0.4 > value["garden"]
 
 
+def naive_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_against_a_naive_loop():
+    rnd = random.Random(4)
+    texts = [t for _, t in TEXTS] + ["".join(rnd.choice("aBcÄé 日\n\t\x0b") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+    assert [simhash.fingerprint(t) for t in texts] == [naive_fingerprint(t) for t in texts]
+
+
+def partition_of(fps, edges):
+    """Sets of positions that edges of fingerprints link."""
+    place = {int(v): k for k, v in enumerate(fps.view(np.int64))}
+    label = simhash._union(np.arange(len(fps)), np.array([place[r.a] for r in edges], int), np.array([place[r.b] for r in edges], int))
+    return label
+
+
 def test_simhash(spark):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
@@ -264,18 +327,51 @@ def test_simhash(spark):
     nodes = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3)
     want = simhash._union(np.arange(len(fps)), i, j)
-    place = {int(v): k for k, v in enumerate(fps.view(np.int64))}
-    for group in (4096, 100):  # whole groups, and groups split into parts
-        edges = simhash.near_links(nodes, 3, group)
-        root = {r.a: r.root for r in components(edges).collect()}
-        first = collections.defaultdict(set)
-        for v, k in place.items():
-            first[root.get(v, v)].add(k)
-        assert {frozenset(s) for s in first.values()} == {frozenset(np.flatnonzero(want == w).tolist()) for w in np.unique(want)}
+    for group, big in ((4096, 1 << 15), (100, 1 << 15), (100, 150), (10, 20), (1, 4)):  # one range, ranges by four sets of bits, ranges split once and twice
+        assert (partition_of(fps, simhash.near_links(nodes, 3, group, big).collect()) == want).all()
+    wide = simhash.ranges(21)  # beyond sixteen bits: two of five sets
+    assert len(wide) == 10 and all(any((int(a) ^ int(b)) & m == 0 for m in wide) for a, b in zip(fps[i[:3000]], fps[j[:3000]], strict=True))
     rows = {r.doc_id: r for r in simhash.near_groups(spark.createDataFrame([(1, None), (2, " "), (3, "A b"), (4, "a B")], "doc_id long, text string")).collect()}
     assert rows[1].fp == rows[2].fp == 0 and rows[2].component_id == 1 and rows[3].fp == rows[4].fp and rows[4].component_id == 3
 
 
+def test_gray_index_over_real_fingerprints(spark):
+    """The tree over all fingerprints of the documents: residual masks add up to what each leaf shares, most node pairs are pruned, no link is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    index = simhash.GrayIndex(fps)
+    assert len(fps) > 9000 and len(index.levels) >= 5
+    for leaf in range(0, len(index.leaves[0]), 97):
+        mask = value = np.uint64(0)
+        for depth, (residual, pattern) in enumerate(index.levels):
+            node = leaf // simhash.FAN**depth
+            assert mask & residual[node] == 0
+            mask, value = mask | residual[node], value | pattern[node]
+        part = fps[leaf * simhash.LEAF : (leaf + 1) * simhash.LEAF]
+        assert ((part ^ value) & mask == 0).all() and mask == index.leaves[0][leaf] and value == index.leaves[1][leaf]
+    label = simhash.forest(fps, 3, index)
+    x = [np.flatnonzero(np.bitwise_count(fps[k] ^ fps) <= 3) for k in range(len(fps))]
+    i, j = np.repeat(np.arange(len(fps)), [len(v) for v in x]), np.concatenate(x)
+    assert (label == simhash._union(np.arange(len(fps)), i, j)).all()
+    leaves = -(-len(fps) // simhash.LEAF)
+    assert index.pruned > 0.4 * index.met and index.met < 0.8 * leaves * (leaves + 1) / 2, (index.met, index.pruned, leaves)
+
+
+def test_crowd_of_near_fingerprints(spark):
+    """200,000 variants of one fingerprint: rows grow in proportion, and all are one component."""
+    rng = np.random.default_rng(2)
+    flips = np.uint64(1) << rng.integers(0, 64, (260_000, 4), dtype=np.uint64)
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(flips, axis=1))[:200_000]
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})).repartition(4).cache()
+    assert simhash.partitioned(nodes).count() <= 64 * len(fps)
+    edges = simhash.near_links(nodes).toPandas()
+    assert len(edges) <= 64 * len(fps)
+    place = pd.Series(np.arange(len(fps)), fps.view(np.int64))
+    label = simhash._union(np.arange(len(fps)), place[edges["a"]].to_numpy(), place[edges["b"]].to_numpy())
+    assert (label == 0).mean() > 0.999
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     assert {r.a: r.root for r in components(edges).collect()} == {**{k: 0 for k in range(1, 201)}, 501: 500}
@@ -400,7 +496,7 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         after = {r.doc_id: r.text for r in out.collect()}
-        assert set(after) <= set(before) and after
+        assert set(after) <= set(before) and after and out.count() == len(after)
         if name == "exact dedup":
             bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
             assert len(after) == len({bare(t) for t in before.values()}) == len({bare(t) for t in after.values()})
