@@ -37,7 +37,7 @@ from .runtime import FILE, PLACE, discard, identified, only, stored
 
 SEED = 42
 #: Fingerprints that a range of the index holds on average, and above which it is split.
-GROUP, BIG = 2048, 1 << 15
+GROUP, BIG = 2048, 1 << 18
 #: Fingerprints of a leaf, nodes under a node, leaves that are searched for at once.
 LEAF, FAN, BATCH = 8, 8, 512
 

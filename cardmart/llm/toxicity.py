@@ -2,25 +2,25 @@
 
 The kernel compares two strings by their common subsequences of three letters; a subsequence that
 spans s characters weighs decay^s, spans over SPAN count nothing, and characters that are no letters
-are gaps. An insult with dots, dashes, digits or letters put in keeps most of its subsequences.
+are gaps. An insult with dots, dashes, digits or letters put in keeps most of its subsequences. White space counts as a letter
+of its own, so that where words begin and end is part of what is compared, and as a gap it costs what others do.
 
-A document is cut into sentences, a sentence into units (its words; runs of single characters are one
-unit, so spelled-out words are too). A sentence is represented by its most suspicious unit, a document
-by its most suspicious sentence. Landmarks are the units that labelled documents associate most with
-toxicity and as many common other units. The machine is trained in the Nyström space of the landmarks
-on units of labelled sentences; toxic documents put forward, round by round, the unit that speaks most
-for them. Since kernel and map are linear in the subsequences, the trained machine is one table of weights
-by subsequence, and scoring a unit needs no landmark.
+A document is cut into sentences. A sentence is compared whole and in all runs of SIZES adjacent words (insults of
+several words, or with a blank put in, are runs too), each scaled to length one by its subsequences; it counts as its most suspicious run, and a document
+as its most suspicious sentence. Training learns from the sentences of labelled documents: words and beginnings of words that stand
+in toxic ones more than chance explains are the first examples; the machine that they and the clean sentences give then picks,
+round by round, the run of each toxic document that speaks most for it, and of each clean one that speaks most against the
+machine. Landmarks are drawn from the first examples and from the commonest clean units. Since kernel and Nyström map are linear in the subsequences, the trained
+machine is one table of weights by subsequence, and all runs of a text are scored by sums over it.
 
 Training reads at most `max_docs` labelled documents and `max_units` units, drawn by hash. Scoring reads
-every whole text. Defined results: null and blank texts have no units and get the score of a harmless
-document; rows with a null doc_id are scored and never held out; repeated rows get equal scores; with labels
+every whole text, in time and memory linear in its length. Defined results: null and blank texts have no runs and get the score of a
+harmless document; rows with a null doc_id are scored and never held out; repeated rows get equal scores; with labels
 of one class, or none, the score is 0; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,87 +30,171 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import bounded_sample, fold
-from .runtime import stored
+from .runtime import discard, stored
 
 DECAY, SPAN = 0.6, 7
-LETTERS = 64
+#: Letters: 0 is a gap, EDGE white space, from SHARED on all letters that have no number of their own.
+LETTERS, EDGE, SHARED = 96, 59, 60
+#: Words of a run; letters of a beginning of a word.
+SIZES, STEM = (1, 2, 4), 5
 THRESHOLD = 0.7
-ROWS = 512
-SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n")
+ROWS, CHARS = 512, 1 << 19
+#: Odd multiplier of the hash of a word.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _alphabet() -> np.ndarray:
-    """Letter number by code point (0: a gap): the Latin letters of ASCII and Latin-1, then shared numbers for all others."""
-    table = np.zeros(0x250, np.int64)
+    """Letter number by code point: the Latin letters of ASCII and Latin-1, then shared numbers."""
+    table = np.zeros(0x250, np.int32)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     for k, c in enumerate(range(0xDF, 0x100)):
-        table[c] = 27 + k
+        table[c] = min(27 + k, EDGE - 1)
     table[0xF7] = 0
-    table[0x100:] = 60 + np.arange(0x150) % 4
+    table[0x100:] = SHARED + np.arange(0x150) % (LETTERS - SHARED)
+    table[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0]] = EDGE
     return table
 
 
 ALPHABET = _alphabet()
-
-
-def units(text: str) -> list[str]:
-    """Words and spelled-out words of a text, in lower case."""
-    low = text.lower()
-    found = low.split()
-    return found + SPELLED.findall(low) if SPELLED.search(low) else found
-
-
-def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For strings of like length at a time: their places in the list, and code and weight of each subsequence of three
-    letters (weight 0: none); the weights of a string have length one."""
-    lengths = np.array([len(s) for s in strings])
-    size = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(int))
-    for n in np.unique(size).tolist():
-        places = np.flatnonzero(size == n)
-        step = max(1, (1 << 17) // n)
-        for a in range(0, len(places), step):
-            at = places[a : a + step]
-            flat = np.frombuffer("".join(strings[i].ljust(n) for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
-            c = np.where(flat < len(ALPHABET), ALPHABET[np.minimum(flat, len(ALPHABET) - 1)], 60 + flat % 4)
-            codes, weights = [], []
-            for last in range(2, SPAN):
-                for middle in range(1, last):
-                    x, y, z = c[:, :-last], c[:, middle : middle - last], c[:, last:]
-                    codes.append((x * LETTERS + y) * LETTERS + z)
-                    weights.append(np.where((x > 0) & (y > 0) & (z > 0), DECAY ** (last + 1), 0.0))
-            code, weight = np.concatenate(codes, axis=1), np.concatenate(weights, axis=1)
-            yield at, code, weight / np.maximum(np.sqrt((weight**2).sum(axis=1, keepdims=True)), 1e-9)
+#: White space beyond it.
+WIDE = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+class Runs:
+    """Texts as one array of letters, with their words and sentences."""
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() for t in texts]
+        self.joined = "\n" + "\n".join(low) + "\n"
+        u = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = ALPHABET[np.minimum(u, len(ALPHABET) - 1)]
+        far = np.flatnonzero(u >= len(ALPHABET))
+        c[far] = np.where(np.isin(u[far], WIDE), EDGE, SHARED + u[far] % (LETTERS - SHARED))
+        space = c == EDGE
+        before = np.append(np.uint32(10), u[:-1])
+        ends = np.cumsum((u == 10) | (space & np.isin(before, [ord(x) for x in ".!?"])))
+        at = np.flatnonzero(~(space & np.append(False, space[:-1])))  # a run of white space is one edge
+        self.at, self.letters = at, c[at]
+        #: Word k stands between the edges k and k + 1.
+        self.edges = np.flatnonzero(self.letters == EDGE)
+        first = at[self.edges[:-1] + 1] if len(self.edges) > 1 else np.zeros(0, np.int64)
+        self.sentence = ends[first]
+        self.doc = np.searchsorted(np.cumsum([1, *(len(t) + 1 for t in low)]), first, "right") - 1
+
+    def repeats(self) -> np.ndarray:
+        """For each word the last word up to it that has a later equal up to it, or -1."""
+        a, b = self.edges[:-1], self.edges[1:]
+        power = np.multiply.accumulate(np.full(int((b - a).max()) + 1, FACTOR, np.uint64))
+        value = self.letters.astype(np.uint64) + np.uint64(1)
+        inside = np.arange(len(value)) - np.repeat(np.append(a, len(value) - 1), np.append(b - a, 1))
+        code = np.add.reduceat((value * power[inside])[: self.edges[-1]], a)
+        order = np.lexsort((np.arange(len(code)), code))
+        before = np.full(len(code), -1)
+        same = code[order][1:] == code[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        return np.maximum.accumulate(before)
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First word, and the word after the last, of all runs within a sentence; each time sorted. A run that repeats
+        one of its words says no more than its parts do and is left out."""
+        begins = np.flatnonzero(np.append(True, np.diff(self.sentence) != 0))
+        ends = np.append(begins[1:], len(self.sentence))
+        repeats = self.repeats()
+        for size in (*SIZES, None):
+            if size is None:  # whole sentences
+                keep = ends - begins > SIZES[-1]
+                i, j = begins[keep], ends[keep]
+            else:
+                i = np.arange(len(self.sentence) - size + 1)
+                i = i[self.sentence[i] == self.sentence[i + size - 1]]
+                j = i + size
+            ok = repeats[j - 1] < i
+            yield i[ok], j[ok]
+
+    def text(self, i: int, j: int) -> str:
+        return " ".join(self.joined[self.at[self.edges[i]] : self.at[self.edges[j]]].split())
+
+    def codes(self) -> Iterator[tuple[int, float, np.ndarray]]:
+        """Length and weight of a kind of subsequence of three letters, and by its first character the codes (0 with a gap in it)."""
+        c = self.letters.astype(np.int32)
+        for last in range(2, SPAN):
+            x, z = c[:-last], c[last:]
+            for middle in range(1, last):
+                y = c[middle : middle - last]
+                yield last, DECAY ** (last + 1), np.where((x > 0) & (y > 0) & (z > 0), (x * LETTERS + y) * LETTERS + z, 0)
+
+    def sums(self, table: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By length: running sums of the weights in a table (0 for gaps) and of the squares of the subsequences' own weights."""
+        value = [np.zeros(len(self.letters) + 1) for _ in range(2, SPAN)]
+        square = [np.zeros_like(v) for v in value]
+        for last, weight, code in self.codes():
+            value[last - 2][1 : len(code) + 1] += table[code] * weight
+            square[last - 2][1 : len(code) + 1] += (code > 0) * weight**2
+        return [np.cumsum(v) for v in value], [np.cumsum(v) for v in square]
+
+    def margins(self, sums: tuple[list[np.ndarray], list[np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sum over the subsequences inside each run, edges included, scaled by their length."""
+        a, b = self.edges[i], self.edges[j] + 1
+        total = [np.zeros(len(a)), np.zeros(len(a))]
+        for last in range(2, SPAN):
+            end = np.maximum(a, b - last)
+            for out, part in zip(total, sums, strict=True):
+                out += part[last - 2][end] - part[last - 2][a]
+        return total[0] / np.sqrt(np.maximum(total[1], 1e-12))
 
 
 class Landmarks:
     """Feature rows of a few strings over the codes that they hold."""
 
     def __init__(self, strings: list[str]):
-        parts = list(subsequences(strings))
-        self.codes = np.unique(np.concatenate([c[w > 0] for _, c, w in parts]))
+        held = list(_features(strings))
+        self.codes = np.unique(np.concatenate([code for _, code, _ in held])) if held else np.zeros(0, np.int32)
         self.place = np.full(LETTERS**3, len(self.codes), np.int32)
         self.place[self.codes] = np.arange(len(self.codes))
-        self.table = np.zeros((len(self.codes) + 1, len(strings)))
-        for at, code, weight in parts:
-            np.add.at(self.table, (self.place[code], np.broadcast_to(at[:, None], code.shape)), weight)
-        self.table[-1] = 0  # codes that no landmark holds
+        self.table = np.zeros((len(self.codes), len(strings)))
+        for owner, code, weight in held:
+            np.add.at(self.table, (self.place[code], owner), weight)
 
     def kernel(self, strings: list[str]) -> np.ndarray:
         """Kernel values of strings with the landmarks."""
         out = np.zeros((len(strings), self.table.shape[1]))
-        for at, code, weight in subsequences(strings):
-            for a in range(0, len(at), 32):
-                out[at[a : a + 32]] = np.einsum("rk,rkm->rm", weight[a : a + 32], self.table[self.place[code[a : a + 32]]])
+        for owner, code, weight in _features(strings):
+            known = np.flatnonzero(self.place[code] < len(self.codes))  # in the order of their owners
+            for a in range(0, len(known), 1 << 14):
+                k = known[a : a + (1 << 14)]
+                cut = np.flatnonzero(np.append(True, np.diff(owner[k]) != 0))
+                out[owner[k][cut]] += np.add.reduceat(weight[k, None] * self.table[self.place[code[k]]], cut, axis=0)
         return out
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         """The weight of each code when landmark values are weighted by w."""
         out = np.zeros(LETTERS**3)
-        out[self.codes] = self.table[:-1] @ w
+        out[self.codes] = self.table @ w
         return out
 
 
+def _features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the string, code and weight of the subsequences of one kind after the other; each string is one run, scaled to length one."""
+    if not strings:
+        return
+    r = Runs(strings)
+    if not len(r.edges) > 1:
+        return
+    i = np.flatnonzero(np.append(True, np.diff(r.doc) != 0))
+    a, b = r.edges[i], r.edges[np.append(i[1:], len(r.doc))]
+    length = np.zeros(len(strings))
+    place = np.searchsorted(a, np.arange(len(r.letters)), "right") - 1
+    kinds = []
+    for last, weight, code in r.codes():
+        own = place[: len(code)]
+        ok = np.flatnonzero((code > 0) & (own >= 0) & (np.arange(len(code)) + last <= b[np.maximum(own, 0)]))
+        kinds.append((r.doc[i[own[ok]]], code[ok], weight))
+        length += np.bincount(kinds[-1][0], minlength=len(strings)) * weight**2
+    scale = 1 / np.sqrt(np.maximum(length, 1e-12))
+    for owner, code, weight in kinds:
+        yield owner, code, weight * scale[owner]
+
+
 @dataclass
 class Machine:
     """Weights by subsequence, bias, and the logistic curve from a document's margin to its score."""
@@ -120,23 +204,44 @@ class Machine:
     slope: float
     centre: float
 
-    def margins(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros(len(strings))
-        for at, code, weight in subsequences(strings) if strings else ():
-            out[at] = (self.table[code] * weight).sum(axis=1)
-        return out + self.bias
-
-    def documents(self, texts: list[str]) -> np.ndarray:
-        """Margin of each text: that of its most suspicious unit."""
-        rows = [units(t) for t in texts]
-        known = list({u for r in rows for u in r})
-        margin = dict(zip(known, self.margins(known).tolist(), strict=True))
-        return np.array([max(map(margin.__getitem__, r), default=self.bias) for r in rows])
+    def best(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
+        """Margin of each text, that of its most suspicious run, and the run."""
+        margin, where = np.full(len(texts), -np.inf), [None] * len(texts)
+        r = Runs(texts)
+        if len(r.edges) < 2:
+            return np.full(len(texts), self.bias), where
+        sums = r.sums(self.table)
+        for i, j in r.spans():
+            if not len(i):
+                continue
+            m, doc = r.margins(sums, i, j), r.doc[i]
+            cut = np.flatnonzero(np.append(True, np.diff(doc) != 0))
+            top = np.maximum.reduceat(m, cut)
+            for d, value, a, b in zip(doc[cut].tolist(), top.tolist(), cut.tolist(), [*cut[1:].tolist(), len(m)], strict=True):
+                if value > margin[d]:
+                    k = a + int(np.argmax(m[a:b]))
+                    margin[d], where[d] = value, (int(i[k]), int(j[k]))
+        found = [r.text(*w) if w else None for w in where]
+        return np.where(np.isfinite(margin), margin, 0) + self.bias, found
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.centre), -50, 50)))
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of at most ROWS texts and about CHARS characters, or of one longer text."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        at = 0
+        while at < len(texts):
+            to, n = at + 1, len(texts[at])
+            while to < len(texts) and to - at < ROWS and n + len(texts[to]) <= CHARS:
+                n += len(texts[to])
+                to += 1
+            yield batch.slice(at, to - at), texts[at:to]
+            at = to
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps; y is -1 or 1."""
     x = np.append(x, np.ones((len(x), 1)), axis=1)
@@ -171,17 +276,19 @@ def fit_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def unit_rows(rows: DataFrame) -> DataFrame:
-    """unit, n_toxic, n_clean: after how many different units each one stands in toxic and other documents.
+    """unit, n_toxic, n_clean: after how many different words each word and beginning of a word stands in toxic and other documents.
 
-    Copies of a document repeat a unit after the same one, so they count once. rows: text, toxic.
+    Copies of a document repeat a unit after the same word, so they count once. rows: text, toxic.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = set()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = units(text or "")
-                seen.update(zip(found, ["", *found[:-1]], [toxic > 0] * len(found), strict=True))
+                found = (text or "").lower().split()
+                before, bad = ["", *found[:-1]], [toxic > 0] * len(found)
+                seen.update(zip(found, before, bad, strict=True))
+                seen.update((w[:STEM], b, t) for w, b, t in zip(found, before, bad, strict=True) if len(w) > STEM)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen, strict=True) if seen else [[]] * 3, (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["unit", "before", "bad"])
 
     found = rows.select("text", "toxic").mapInArrow(run, "unit string, before string, bad boolean").distinct()
@@ -189,29 +296,42 @@ def unit_rows(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_docs: int) -> DataFrame:
+    """text and toxic of labelled documents outside the held-out fold; the sample is drawn from the labels, so the documents are not shuffled."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "toxic")
-    sample = bounded_sample(docs.select("doc_id", "text").join(known, "doc_id"), max_docs)
+    sample = stored(bounded_sample(known, max_docs), "toxic-labels")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(sample.repartition(spread), "toxic-sample")
+    return stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(spread), "toxic-sample")  # max_docs ids
 
 
 def put_forward(rows: DataFrame, machine: Machine) -> DataFrame:
-    """The most suspicious unit of each labelled document: one that speaks for a toxic document, or against the machine."""
+    """The most suspicious run of each labelled document: one that speaks for a toxic document, or against the machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            bags = [units(t or "") for t in batch.column("text").to_pylist()]
-            known = list({u for r in bags for u in r})
-            margin = dict(zip(known, machine.margins(known).tolist(), strict=True))
-            best = [max(r, key=margin.__getitem__) if r else None for r in bags]
+        for batch, texts in portions(batches):
+            margin, best = machine.best(texts)
             bad = [t > 0 for t in batch.column("toxic").to_pylist()]
-            values = [machine.bias if u is None else margin[u] for u in best]
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), pa.array(values, pa.float64()), pa.array(bad, pa.bool_())], names=["unit", "margin", "bad"])
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), pa.array(margin, pa.float64()), pa.array(bad, pa.bool_())], names=["unit", "margin", "bad"])
 
     return rows.select("text", "toxic").mapInArrow(run, "unit string, margin double, bad boolean")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, landmarks: int = 160, max_docs: int = 12_000, max_units: int = 16_000, rounds: int = 4) -> Machine:
+class Space:
+    """The Nyström map of a set of landmarks."""
+
+    def __init__(self, strings: list[str]):
+        self.marks = Landmarks(strings)
+        value, vector = np.linalg.eigh(self.marks.table.T @ self.marks.table)
+        self.root = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
+
+    def __call__(self, strings: list[str]) -> np.ndarray:
+        return self.marks.kernel(strings) @ self.root
+
+    def machine(self, strings: list[str], y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> Machine:
+        w, bias = fit_svm(self(strings), y, weight, ridge)
+        return Machine(self.marks.weights(self.root @ w), bias, 1.0, 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, landmarks: int = 160, max_docs: int = 12_000, max_units: int = 16_000, rounds: int = 6) -> Machine:
     rows = training_rows(docs, labels, folds, held_out, max_docs)
     nothing = Machine(np.zeros(LETTERS**3), -1.0, 1.0, 50.0)
     counted = stored(unit_rows(rows), "units")
@@ -221,41 +341,27 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
     # surplus in toxic documents, in standard deviations of what the clean ones lead to expect
     expected = (F.col("n_clean") + 0.5) * (total[0] / total[1])
     counted = counted.withColumn("lift", (F.col("n_toxic") - expected) / F.sqrt(expected))
-    suspect = counted.where("n_toxic >= 3 and lift > 5").orderBy(F.desc(F.col("lift") * F.sqrt("n_toxic")), "unit").limit(landmarks).toPandas()
+    suspect = counted.where((F.col("n_toxic") >= 3) & (F.col("lift") > 5) & (F.col("n_toxic") > 2 * expected)).orderBy(F.desc(F.col("lift") * F.sqrt("n_toxic")), "unit").limit(landmarks).toPandas()
     clean = counted.where("n_clean >= 1 and lift < 2").orderBy(F.desc("n_clean"), "unit").limit(max_units // 2).toPandas()
     rare = counted.where("n_clean = 1 and n_toxic = 0").orderBy(F.xxhash64("unit"), "unit").limit(max_units // 2).toPandas()
+    discard(counted)
     if not len(suspect) or not len(clean):
         return nothing
-    half = landmarks // 2
-    marks = Landmarks(list(dict.fromkeys([*suspect["unit"][:half], *clean["unit"][:half]])))
-    gram = marks.table[:-1].T @ marks.table[:-1]
-    value, vector = np.linalg.eigh(gram)
-    root = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
-
-    mapped: dict[str, np.ndarray] = {}
-
-    def space(strings: list[str]) -> np.ndarray:
-        new = [u for u in strings if u not in mapped]
-        if new:
-            mapped.update(zip(new, marks.kernel(new) @ root, strict=True))
-        return np.array([mapped[u] for u in strings])
-
     harmless = dict.fromkeys([*clean["unit"], *rare["unit"]], 1.0)
     witness = {u: float(n) for u, n in zip(suspect["unit"], suspect["n_toxic"], strict=True)}
+    space = Space(list(dict.fromkeys([*suspect["unit"][: landmarks // 2], *clean["unit"][: landmarks // 2]])))
     machine = nothing
     for _ in range(rounds):
         if not witness:
             break
-        strings = [*witness, *harmless]
-        weight = np.sqrt([*witness.values(), *harmless.values()])
+        strings = [*witness, *(u for u in harmless if u not in witness)]
         n = len(witness)
+        weight = np.sqrt([*witness.values(), *(harmless[u] for u in strings[n:])])
         weight[:n] /= weight[:n].sum()
         weight[n:] /= weight[n:].sum()
-        w, bias = fit_svm(space(strings), np.where(np.arange(len(strings)) < n, 1.0, -1.0), weight, 1e-4)
-        machine = Machine(marks.weights(root @ w), bias, 1.0, 0.0)
+        machine = space.machine(strings, np.where(np.arange(len(strings)) < n, 1.0, -1.0), weight)
         best = put_forward(rows, machine).toPandas()
-        witness = {}
-        against: dict[str, float] = {}
+        witness, against = {}, {}
         for u, margin, bad in zip(best["unit"], best["margin"], best["bad"], strict=True):
             if u is None:
                 continue
@@ -266,26 +372,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
         witness = {u: n for u, n in witness.items() if against.get(u, 0) < n}
         harmless |= {u: 20.0 + n for u, n in against.items() if u not in witness}
     machine.slope, machine.centre = fit_curve(best["margin"].to_numpy(), best["bad"].to_numpy(float))
+    discard(rows)
     return machine
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in SENTENCE.split(text) if s.strip()]
-
-
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, score and the most suspicious sentence of each document."""
+    """doc_id, score and, of documents over the threshold, the most suspicious run of words."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            score = machine.score(machine.documents(texts))
-            worst = [None] * len(texts)
-            for i in np.flatnonzero(score >= THRESHOLD).tolist():
-                if parts := sentences(texts[i]):
-                    worst[i] = parts[int(np.argmax(machine.documents(parts)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(score, pa.float64()), pa.array(worst, pa.string())], names=["doc_id", "score", "sentence"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, sentence string")
+        for batch, texts in portions(batches):
+            margin, found = machine.best(texts)
+            score = machine.score(margin)
+            found = [f if s >= THRESHOLD else None for f, s in zip(found, score.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(score, pa.float64()), pa.array(found, pa.string())], names=["doc_id", "score", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, found string")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -286,18 +287,98 @@ def test_quality_trees():
 
 
 def test_quality_and_toxicity_on_held_out_rows(spark):
+    """Against labels that training has not seen. Some toxic rows hold nothing that marks them: no plain or gapped insult of the data,
+    and no word with a beginning that toxic rows of their language have; they are counted and shown."""
     folder = "/root/testdata/sf0.1"
     truth = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    for query, label, accuracy in ((queries.op4_quality_classifier, "quality", 0.97), (queries.op9_toxicity, "toxic", 0.95)):
+    for query, label, accuracy, recall, precision in ((queries.op4_quality_classifier, "quality", 0.97, 0.97, 0.97), (queries.op9_toxicity, "toxic", 0.97, 0.82, 0.9)):
         rows = [r for r in query(spark, folder).collect() if r.held_out and r.doc_id in truth]
         assert len(rows) > 500 and all(0 <= r.score <= 1 for r in rows)
         assert np.mean([r.predicted == truth[r.doc_id][label] for r in rows]) > accuracy
+        both = sum(r.predicted and truth[r.doc_id][label] for r in rows)
+        assert both >= recall * sum(truth[r.doc_id][label] for r in rows) and both >= precision * sum(r.predicted for r in rows)
+    texts = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    mark = re.compile("|".join(r"\W?".join(w) for w in "trash pathetic idiot disgusting worthless stupid clown scum loser moron".split()) + r"|\bachlich|\bréeux|\bréê|\bbome")
+    toxic = [r for r in rows if truth[r.doc_id].toxic]
+    marked = [r for r in toxic if mark.search(texts[r.doc_id])]
+    print(f"toxic held out {len(toxic)}, with a mark {len(marked)}, of these caught {sum(r.predicted for r in marked)}")
+    assert sum(r.predicted for r in marked) >= 0.88 * len(marked)
+
+
+def naive_kernel(a, b):
+    """Sum over pairs of equal subsequences of three letters of decay^(length + length), lengths up to SPAN, edges at both ends."""
+    def parts(text):
+        letters = toxicity.Runs([text]).letters.tolist()
+        out = collections.Counter()
+        for i, j, k in itertools.combinations(range(len(letters)), 3):
+            if k - i < toxicity.SPAN and letters[i] and letters[j] and letters[k]:
+                out[letters[i], letters[j], letters[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = parts(a), parts(b)
+    return sum(v * y[c] for c, v in x.items())
+
+
+def test_string_kernel_against_brute_force():
+    rnd = random.Random(13)
+    strings = ["".join(rnd.choice("abé. 9日-") for _ in range(rnd.randint(3, 14))) + "ab" for _ in range(40)]
+    marks = toxicity.Landmarks(strings[:10])
+
+    def scale(t):  # every subsequence counts on its own, equal ones too
+        r = toxicity.Runs([t])
+        letters = r.letters.tolist()
+        return np.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in itertools.combinations(range(len(letters)), 3) if k - i < toxicity.SPAN and letters[i] and letters[j] and letters[k]))
+
+    want = [[naive_kernel(a, b) / scale(a) / scale(b) for b in strings[:10]] for a in strings]
+    assert np.allclose(marks.kernel(strings), want)
+
+
+def test_runs_of_a_text_are_scored_as_their_strings():
+    """Sums over the whole text give for each run what the table gives for the run alone; a text counts as its best run."""
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=toxicity.LETTERS**3)
+    machine = toxicity.Machine(table, 0.0, 1.0, 0.0)
+    letters = np.arange(toxicity.LETTERS**3)
+    table[(letters // toxicity.LETTERS**2 == 0) | (letters // toxicity.LETTERS % toxicity.LETTERS == 0) | (letters % toxicity.LETTERS == 0)] = 0
+    texts = ["You are  an i-d-i-o-t. Really?\nno no no", "", "one", " \n ", "a b c d e f g h i j k. x" * 3]
+    r = toxicity.Runs(texts)
+    best = dict.fromkeys(range(len(texts)), -np.inf)
+    for i, j in r.spans():
+        got = r.margins(r.sums(table), i, j)
+        for a, b, value in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+            alone = toxicity.Runs([r.text(a, b)])
+            words = np.array([0]), np.array([len(alone.sentence)])
+            assert np.isclose(value, alone.margins(alone.sums(table), *words)[0])
+            best[int(r.doc[a])] = max(best[int(r.doc[a])], value)
+    margin, found = machine.best(texts)
+    assert np.allclose(margin, [v if np.isfinite(v) else 0 for v in best.values()]) and found[1] is None and found[3] is None
 
 
 def test_string_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot"])
-    value = dict(zip(words := ["idiot", "i.d.i.o.t", "i d i o t", "idxiot", "garden"], marks.kernel(words)[:, 0], strict=True))
-    assert value["idiot"] > 0.99 and min(value["i.d.i.o.t"], value["i d i o t"]) > 0.8 and value["idxiot"] > 0.4 > value["garden"]
+    value = dict(zip(words := ["idiot", "i.d.i.o.t", "idxiot", "id iot", "garden"], marks.kernel(words)[:, 0], strict=True))
+    assert value["idiot"] > 0.99 and value["i.d.i.o.t"] > 0.5 and min(value["idxiot"], value["id iot"]) > 0.4 and value["garden"] < 0.1
+
+
+def test_toxicity_learns_gapped_insults_in_sentences(spark):
+    """Trained on labelled documents of several sentences, it finds insults with marks, letters or blanks put in, which training never shows."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("aeiou" if k % 2 else "bcdfghlmnprstv") for k in range(rnd.randint(3, 8))) for _ in range(400)]
+
+    def text(insult=""):
+        parts = [" ".join(rnd.choices(words, k=9)) + "." for _ in range(6)]
+        if insult:
+            parts[rnd.randrange(6)] = " ".join([*rnd.choices(words, k=4), insult, *rnd.choices(words, k=4)]) + "."
+        return " ".join(parts)
+
+    insults = ["wretched", "blockhead"]
+    rows = [(k, text(rnd.choice(insults) if k % 3 == 0 else "")) for k in range(900)]
+    shown = ["w.r.e.t.c.h.e.d", "blockxhead", "wret ched", "block-head", "wretcheed"]
+    hidden = [(1000 + k, text(shown[k % 5])) for k in range(50)] + [(2000 + k, text()) for k in range(50)]
+    docs = spark.createDataFrame(rows + hidden, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    assert np.mean([got[1000 + k] >= toxicity.THRESHOLD for k in range(50)]) >= 0.8 and np.mean([got[2000 + k] >= toxicity.THRESHOLD for k in range(50)]) <= 0.04
 
 
 def naive_fingerprint(text):
