@@ -48,13 +48,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[-1])
+    rows = rules.apply_policy(rules.recorded(table(spark, sf_dir, "documents")), rules.POLICIES[-1])
     base = F.col("failed_bits").bitwiseAND(F.lit(rules.BASE.mask)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
 
 
 def op6b_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+    return rules.ablations(rules.recorded(table(spark, sf_dir, "documents")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

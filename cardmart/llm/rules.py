@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import texts, words
+from .runtime import stored, texts, words
 
 SYMBOLS = "[#*$%&|<>]"
 CAPITALS = "[A-Z]"
@@ -94,6 +94,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failed_bits", bits)
 
 
+def recorded(docs: DataFrame) -> DataFrame:
+    """The ledger, written: policies and ablations read its rows and never the texts."""
+    return stored(ledger(docs), "ledger")
+
+
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     """kept: no rule of the policy failed. rows: a ledger."""
     return rows.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(policy.mask)) == 0).withColumn("policy", F.lit(policy.version))
