@@ -3,8 +3,8 @@
 Patterns find candidate spans. Labelers that look at different evidence vote for or against each of them, or not at all:
 a checksum or range rule on its digits, gazetteers (top-level domains, calling codes, issuer numbers, reserved networks), its form
 (grouping, lengths), the words on its left, the words on its right, and the characters that touch it. Whether a base pattern matched is no vote.
-How often each pattern of votes occurs, kind by kind, is counted over the whole corpus; expectation-maximisation estimates from those counts how
-reliable each labeler is on each kind. Its posteriors are the targets of the span classifier, a logistic model that sees no votes
+How often each pattern of votes occurs is counted over the whole corpus; expectation-maximisation estimates from those counts how
+reliable each labeler is. Its posteriors are the targets of the span classifier, a logistic model that sees no votes
 but the span and its surroundings: kind, character shapes, length, neighbouring words. It learns from at most `max_spans` candidates,
 drawn by hash; only they and the table of vote patterns, bounded by the votes there can be, reach the driver.
 
@@ -162,16 +162,15 @@ def form(kind: str, span: str, digits: str) -> str:
     """Whether the span is written as such things are."""
     groups = [len(g) for g in re.split(r"[^0-9]+", span) if g]
     if kind == "card":
-        return "+" if len(groups) == 1 or all(g == 4 for g in groups[:-1]) else "-"
+        return "0" if len(groups) == 1 else "+" if groups[:-1] == [4] * (len(groups) - 1) or groups == [4, 6, 5] else "-"
     if kind == "ip":
-        return "-" if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else "+"
+        return "-" if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else "0"
     if kind == "phone":
-        return "-" if max(groups) > 11 or "." in span and "(" in span else "+"
+        return "-" if max(groups) > 11 or "." in span and "(" in span else "+" if len(groups) > 2 and max(groups) <= 4 else "0"
     if kind == "email":
-        return "-" if span[0] in ".%+-" or ".." in span else "+"
+        return "-" if span[0] in ".%+-" or ".." in span else "0"
     if kind == "secret":
-        kinds = sum(any(f(c) for c in span) for f in (str.isdigit, str.islower, str.isupper))
-        return "+" if kinds >= 2 else "-"
+        return "+" if sum(any(f(c) for c in span) for f in (str.isdigit, str.islower, str.isupper)) >= 2 else "-"
     return "0"
 
 
@@ -183,7 +182,7 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
     before = "-" if DENIALS.intersection(left[-2:]) else "+" if any(c in w for w in left for c in CUES[kind]) else "0"
     after = "-" if UNITS.intersection(right[:1]) else "+" if any(c in w for w in right[:3] for c in CUES[kind]) else "0"
     beside = text[max(0, start - 1) : start] + text[end : end + 1]
-    return checksum(kind, span, digits) + gazetteer(kind, span, digits) + form(kind, span, digits) + before + after + ("-" if any(c.isalnum() or c == "_" for c in beside) else "+")
+    return checksum(kind, span, digits) + gazetteer(kind, span, digits) + form(kind, span, digits) + before + after + ("-" if any(c.isalnum() or c == "_" for c in beside) else "0")
 
 
 SHAPES = [(re.compile("[0-9]"), "9"), (re.compile(r"[^\W\d_A-Z]"), "a"), (re.compile("[A-Z]"), "A")]
@@ -227,7 +226,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of each vote pattern being personal data, by expectation-maximisation over the labelers' reliabilities."""
     sign = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in patterns])
-    p = 1 / (1 + np.exp(-sign.sum(axis=1).astype(float)))
+    p = 1 / (1 + np.exp(0.5 - sign.sum(axis=1)))
     for _ in range(rounds):
         w = np.stack([counts * (1 - p), counts * p])
         prior = np.log((w.sum(axis=1) + 1) / (counts.sum() + 2))
@@ -270,18 +269,15 @@ def fit_classifier(inputs: list[list[int]], p: np.ndarray, ridge: float = 1e-3,
 def trained(found: DataFrame, max_spans: int = 20_000) -> np.ndarray:
     """Weights of the span classifier for the candidates of a corpus (column spans)."""
     each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.seen")
-    table = each.groupBy("kind", "votes").count().orderBy("kind", "votes").toPandas()
+    table = each.groupBy("votes").count().orderBy("votes").toPandas()
     if not len(table):
         return np.zeros(WIDTH + 1)
-    table["p"] = np.nan
-    for kind in table["kind"].unique():
-        here = table["kind"] == kind
-        table.loc[here, "p"] = estimate(table.loc[here, "votes"].tolist(), table.loc[here, "count"].to_numpy(float))
+    table["p"] = estimate(table["votes"].tolist(), table["count"].to_numpy(float))
     # copies of a span and its surroundings count once
     distinct = each.distinct().withColumn("h", F.xxhash64("kind", "votes", "seen"))
     n = distinct.count()
     share = distinct if n <= max_spans else distinct.where(F.pmod("h", F.lit(1_000_000)) < int(0.97 * max_spans / n * 1_000_000))
-    sample = share.limit(max_spans).toPandas().sort_values("h").merge(table, on=["kind", "votes"])
+    sample = share.limit(max_spans).toPandas().sort_values("h").merge(table, on="votes")
     return fit_classifier([list(x) for x in sample["seen"]], sample["p"].to_numpy())
 
 

@@ -104,7 +104,7 @@ def test_pii_adds_and_redacts(spark):
 def naive_posteriors(patterns, counts, rounds=50):
     """Expectation-maximisation with plain loops: two classes, independent labelers with three votes each."""
     score = {"+": 1, "-": -1, "0": 0}
-    p = [1 / (1 + math.exp(-sum(score[c] for c in v))) for v in patterns]
+    p = [1 / (1 + math.exp(0.5 - sum(score[c] for c in v))) for v in patterns]
     for _ in range(rounds):
         weight = [[n * (1 - q), n * q] for n, q in zip(counts, p)]
         total = [sum(w[c] for w in weight) for c in (0, 1)]
