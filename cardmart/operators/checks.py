@@ -37,6 +37,21 @@ def reconciled(source: DataFrame, target: DataFrame, keys: Sequence[str], measur
     return both.where(reduce(lambda x, y: x | y, (F.abs(F.col(f"source_{m}") - F.col(f"target_{m}")) > tolerance for m in measures)))
 
 
+def reconciled_amounts(source: DataFrame, target: DataFrame, keys: Sequence[str], amount: str, tolerance: str = "0.00") -> DataFrame:
+    """Keys on which exact sums differ: both sums and the difference, as decimals; a side without the key counts as zero."""
+    total = lambda d, n: d.groupBy(*keys).agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("decimal(28,2)").alias(n))
+    zero = F.lit("0.00").cast("decimal(28,2)")
+    both = total(source, "source_amount").join(total(target, "target_amount"), list(keys), "full").withColumns({c: F.coalesce(c, zero) for c in ("source_amount", "target_amount")})
+    return both.withColumn("difference", F.col("source_amount") - F.col("target_amount")).where(F.abs("difference") > F.lit(tolerance).cast("decimal(28,2)"))
+
+
+def bridge_gaps(fact: DataFrame, bridge: DataFrame, key: str, flagged: str) -> DataFrame:
+    """Both ways: bridge rows without a fact, and flagged facts without a bridge row."""
+    lost = bridge.select(key).distinct().join(fact.select(key), key, "left_anti").withColumn("gap", F.lit("no fact"))
+    bare = fact.where(flagged).select(key).join(bridge.select(key).distinct(), key, "left_anti").withColumn("gap", F.lit("no bridge"))
+    return lost.unionByName(bare)
+
+
 def band(df: DataFrame, day: str, hit: Column, low: float, high: float) -> DataFrame:
     """Days on which the share of hits leaves a band."""
     share = F.round(F.count_if(hit) / F.count(F.lit(1)), 6)

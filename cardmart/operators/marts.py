@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..sources import readers
 from . import rolling, scd2
+from .sinks import written
 
 SENTINELS = ("-1", "-2")
 #: Report parameters: trailing days, least transactions, rate above which a merchant is abnormal.
@@ -69,6 +70,23 @@ def fact_transactions(txn: DataFrame, customers: DataFrame, cards: DataFrame, re
     return out.withColumn("customer_age_at_transaction", clean.age_at(ts, F.col("birth_year"))).drop("birth_year")
 
 
+def complete_fact(txn: DataFrame, customers: DataFrame, cards: DataFrame, geo: DataFrame, categories: DataFrame, dates: DataFrame, times: DataFrame) -> DataFrame:
+    """Transactions with the keys of all seven dimensions: unresolved customers, cards, places and categories are -1.
+
+    A row whose date or time has no key in its dimension is left out. txn: also merchant_city, merchant_state, zip, transaction_type.
+    """
+    rows = txn.withColumns({"time_key": clean.time_key(F.col("ts")), "_city": clean.upper_trim(F.col("merchant_city")), "_state": clean.upper_trim(F.col("merchant_state")), "_zip": clean.blank_to(F.col("zip"), "UNKNOWN")})
+    rows = rows.join(dates.select("date_key"), "date_key", "left_semi").join(times.select("time_key"), "time_key", "left_semi")
+    place = geo.select(F.col("city").alias("_city"), F.col("state").alias("_state"), F.col("zip").alias("_zip"), F.col("location_key").alias("merchant_geo_key"))
+    kinds = categories.select(F.col("mcc").alias("_mcc"))
+    rows = rows.join(place, ["_city", "_state", "_zip"], "left").join(kinds, F.col("mcc") == F.col("_mcc"), "left")
+    rows = rows.withColumns({"merchant_geo_key": F.coalesce("merchant_geo_key", F.lit("-1")), "mcc": F.coalesce("_mcc", F.lit("-1"))})
+    return fact_transactions(rows, customers, cards).select(
+        "transaction_id", "ts", "date_key", "time_key", "customer_key", "card_key", "transaction_type", "merchant_id", "merchant_geo_key", "mcc",
+        F.col("amount").alias("transaction_amount"), "is_error", F.col("customer_age_at_transaction").cast("short").alias("customer_age_at_transaction"),
+    )
+
+
 def error_bridge(txn: DataFrame, allowed: Sequence[str], keep_unknown: bool = False) -> DataFrame:
     codes = [*allowed, *(["UNKNOWN"] if keep_unknown else [])]
     value = F.when(F.col("error_reason").isin(*allowed), F.col("error_reason")).otherwise("UNKNOWN")
@@ -81,6 +99,29 @@ def after_watermark(rows: DataFrame, target: DataFrame, ts: str = "ts") -> DataF
     return rows if newest is None else rows.where(F.col(ts) > F.lit(newest))
 
 
+def within(rows: DataFrame, start: dt.datetime | dt.date, end: dt.datetime | dt.date, ts: str = "ts") -> DataFrame:
+    """Rows from start on and before end, as literal predicates."""
+    return rows.where((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
+
+
+def trailing_window(txn: DataFrame, batch: dt.date, days: int) -> DataFrame:
+    """The rows of a batch day's trailing window, as a literal range of days that reaches the scan."""
+    return txn.where(F.col("day").between(F.lit(batch - dt.timedelta(days=days - 1)), F.lit(batch)))
+
+
+def union_missing(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of frames whose columns differ; what a frame lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def account_snapshot(txn: DataFrame) -> DataFrame:
+    """Movements per month, account, customer and currency. txn: card_id as the account, customer_id, currency."""
+    a = F.col("amount")
+    return txn.groupBy(F.trunc("day", "month").alias("month"), F.col("card_id").alias("account_id"), "customer_id", "currency").agg(
+        F.count(F.lit(1)).alias("transaction_count"), F.sum(F.when(a > 0, a).otherwise(0)).alias("total_income_amount"), F.sum(F.when(a < 0, -a).otherwise(0)).alias("total_outcome_amount"), F.sum(a).alias("net_amount"), F.max("day").alias("last_day"),
+    )
+
+
 def daily_trend(txn: DataFrame, unknown: str = "-1") -> DataFrame:
     a = F.col("amount")
     distinct = lambda c: F.countDistinct(F.when(F.col(c) != unknown, F.col(c)))
@@ -130,12 +171,31 @@ def customer_steps(txn: DataFrame, days: int = ACTIVE_DAYS) -> DataFrame:
     return steps.join(last, ["customer_id", "day"], "left").withColumn("last_day", F.max("_active").over(w)).drop("_active")
 
 
-def customer_activity(txn: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS) -> DataFrame:
-    """A row per customer and day from the first transaction on; batch: that day alone, from the same steps."""
-    first, last = rolling.bounds(txn)
-    rows = rolling.written_out(customer_steps(txn, days), batch or first, batch or last)
+def at_day_end(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    """customer_key of the version that holds at the end of each row's day (-1: none)."""
+    end = F.date_add("day", 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")
+    return scd2.as_of(rows, dim, "customer_id", "customer_id", end, {"customer_key": "customer_key"})
+
+
+def customer_activity(txn: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, customers: DataFrame | None = None, last_seen: DataFrame | None = None) -> DataFrame:
+    """A row per customer and day from the first transaction on; customers: a dimension, for the key that holds at the day's end.
+
+    batch: that day alone, from the rows of its window; only the last day of each customer is older, and last_seen
+    (customer_id, last_day up to the batch day) spares reading the history for it.
+    """
+    if batch is None:
+        first, last = rolling.bounds(txn)
+        rows = rolling.written_out(customer_steps(txn, days), first, last)
+    else:
+        known = trailing_window(txn, batch, days).where(~F.col("customer_id").isin(*SENTINELS))
+        seen = last_seen if last_seen is not None else txn.where(~F.col("customer_id").isin(*SENTINELS) & (F.col("day") <= F.lit(batch))).groupBy("customer_id").agg(F.max("day").alias("last_day"))
+        counts = known.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(~F.col("card_id").isin(*SENTINELS), F.col("card_id"))).alias("cards"))
+        rows = seen.join(counts, "customer_id", "left").fillna(0, subset=["n", "cards"]).withColumn("day", F.lit(batch))
+    key = []
+    if customers is not None:
+        rows, key = at_day_end(rows, customers), ["customer_key"]
     return rows.select(
-        clean.date_key(F.col("day")).alias("date_key"), "customer_id", (F.col("n") > 0).alias("is_active_90d"), F.col("cards").alias("active_card_count_90d"),
+        clean.date_key(F.col("day")).alias("date_key"), "customer_id", *key, (F.col("n") > 0).alias("is_active_90d"), F.col("cards").alias("active_card_count_90d"),
         F.col("n").alias("transaction_count_90d"), clean.date_key(F.col("last_day")).alias("last_transaction_date_key"),
     )
 
@@ -164,22 +224,50 @@ def issued_steps(cards: DataFrame) -> DataFrame:
     return rolling.steps_from_deltas(_range_deltas(rows, SEGMENT, names), SEGMENT, names)
 
 
+def _card() -> Column:
+    """The card of a transaction; all unresolved ones are one."""
+    return F.when(F.col("card_id").isNull() | F.col("card_id").isin(*SENTINELS), F.lit("-1")).otherwise(F.col("card_id")).alias("card_id")
+
+
+def _segmented() -> list[Column]:
+    """Segment of a version, and whether there is one: transactions of unresolved cards count as (UNKNOWN, UNKNOWN), without an active card."""
+    return [clean.chip_segment(F.col("has_chip")).alias("chip_segment"), F.coalesce("card_brand", F.lit("UNKNOWN")).alias("card_brand"), F.when(F.col("v_from").isNotNull(), 1).otherwise(0).alias("active")]
+
+
 def active_steps(txn: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS) -> DataFrame:
     """Steps of active cards and their transactions per segment that the card is in on that day."""
-    daily = txn.where(~F.col("card_id").isin(*SENTINELS)).groupBy("card_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    daily = txn.select(_card(), "day", "is_error").groupBy("card_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
     steps = rolling.steps_from_deltas(rolling.sum_deltas(daily, ["card_id"], ["n", "failed"], days), ["card_id"], ["n", "failed"]).where("n > 0")
-    both = steps.join(version_days(cards).select("card_id", "has_chip", "card_brand", "v_from", "v_to"), "card_id")
-    rows = both.select(clean.chip_segment(F.col("has_chip")).alias("chip_segment"), "card_brand", F.greatest("day", "v_from").alias("a"), F.least("until", "v_to").alias("b"), F.lit(1).alias("active"), "n", "failed")
+    both = steps.join(version_days(cards).select("card_id", "has_chip", "card_brand", "v_from", "v_to"), "card_id", "left")
+    rows = both.select(*_segmented(), F.greatest("day", "v_from").alias("a"), F.least("until", "v_to").alias("b"), "n", "failed")
     names = ["active", "n", "failed"]
     return rolling.steps_from_deltas(_range_deltas(rows, SEGMENT, names), SEGMENT, names)
 
 
-def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS) -> DataFrame:
-    """A row per day and segment: issued, active and reissued cards, trailing transactions."""
-    first, last = rolling.bounds(txn)
-    a, b = batch or first, batch or last
-    on = ["day", *SEGMENT]
-    out = rolling.written_out(issued_steps(cards), a, b).join(rolling.written_out(active_steps(txn, cards, days), a, b), on, "full")
+def _portfolio_day(txn: DataFrame, cards: DataFrame, batch: dt.date, days: int) -> tuple[DataFrame, DataFrame]:
+    """Issued and active cards per segment on one day, from the versions of its end and the rows of its window."""
+    versions = version_days(cards).where((F.col("v_from") <= F.lit(batch)) & (F.col("v_to") > F.lit(batch)))
+    again = F.col("num_cards_issued") - 1
+    counts = [F.count_if(again == 0).alias("r0"), F.count_if(again == 1).alias("r1"), F.count_if(again >= 2).alias("r2"), F.sum(again).alias("reissues")]
+    issued = versions.groupBy(clean.chip_segment(F.col("has_chip")).alias("chip_segment"), "card_brand").agg(F.count(F.lit(1)).alias("issued"), *counts)
+    per_card = trailing_window(txn, batch, days).select(_card(), "is_error").groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    both = per_card.join(versions.select("card_id", "has_chip", "card_brand", "v_from"), "card_id", "left").select(*_segmented(), "n", "failed")
+    active = both.groupBy(*SEGMENT).agg(*(F.sum(c).alias(c) for c in ("active", "n", "failed")))
+    return tuple(d.withColumn("day", F.lit(batch)) for d in (issued, active))
+
+
+def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, first: dt.date | None = None) -> DataFrame:
+    """A row per day and segment: issued, active and reissued cards, trailing transactions.
+
+    batch: that day alone, from the rows of its window; first: the first day of the history, where the caller knows it.
+    """
+    if batch is None:
+        first, last = rolling.bounds(txn)
+        issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(txn, cards, days), first, last)
+    else:
+        first = first or rolling.bounds(txn)[0]
+        issued, active = _portfolio_day(txn, cards, batch, days)
+    out = issued.join(active, ["day", *SEGMENT], "full")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
         clean.date_key(F.col("day")).alias("date_key"), *SEGMENT, zero("issued").alias("issued_card_count"), zero("active").alias("active_card_count_90d"), zero("n").alias("transaction_count_90d"),
@@ -201,30 +289,60 @@ def primary_category(daily: DataFrame, qualified: DataFrame, start: dt.date, end
     return rows.groupBy("merchant_id", "day").agg(F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top"), F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).select("merchant_id", "day", F.col("top.mcc").alias("primary_mcc"), "distinct_mcc_count")
 
 
-def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS) -> DataFrame:
-    """Merchants with at least floor transactions in the trailing window, against the rate of all merchants on that day."""
-    first, last = rolling.bounds(txn)
-    a, b = batch or first, batch or last
-    spend = F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0)).alias("spend")
-    daily = txn.groupBy("merchant_id", "mcc", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"), spend)
+def _merchant_days(txn: DataFrame, floor: int, first: dt.date, last: dt.date, days: int) -> DataFrame:
+    """merchant_id, day, n, failed, spend, portfolio_error_rate_30d, primary_mcc, distinct_mcc_count of all days, from daily sums that are written once."""
+    daily = written(_merchant_sums(txn, "day"), "merchant-daily")
     names = ["n", "failed", "spend"]
     by_merchant = daily.groupBy("merchant_id", "day").agg(*(F.sum(c).alias(c) for c in names))
     steps = rolling.steps_from_deltas(rolling.sum_deltas(by_merchant, ["merchant_id"], names, days), ["merchant_id"], names)
-    qualified = rolling.written_out(steps.where(F.col("n") >= floor), a, b)
+    qualified = rolling.written_out(steps.where(F.col("n") >= floor), first, last)
     by_day = daily.groupBy("day").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).withColumn("all", F.lit(1))
-    base = rolling.written_out(rolling.steps_from_deltas(rolling.sum_deltas(by_day, ["all"], ["n", "failed"], days), ["all"], ["n", "failed"]), a, b)
+    base = rolling.written_out(rolling.steps_from_deltas(rolling.sum_deltas(by_day, ["all"], ["n", "failed"], days), ["all"], ["n", "failed"]), first, last)
     base = base.select("day", rate(F.col("failed"), F.col("n")).alias("portfolio_error_rate_30d"))
-    top = primary_category(daily, qualified, a, b, days)
-    out = qualified.join(base, "day").join(top, ["merchant_id", "day"], "left")
-    expected = F.round(F.col("n") * F.col("portfolio_error_rate_30d"), 2)
-    return out.select(
+    return qualified.join(base, "day").join(primary_category(daily, qualified, first, last, days), ["merchant_id", "day"], "left")
+
+
+def _merchant_sums(txn: DataFrame, *by: str) -> DataFrame:
+    spend = F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0)).alias("spend")
+    return txn.groupBy("merchant_id", "mcc", *by).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"), spend)
+
+
+def _merchant_day(txn: DataFrame, floor: int, batch: dt.date, days: int) -> DataFrame:
+    """The same of one day, from the rows of its window."""
+    pairs = _merchant_sums(trailing_window(txn, batch, days))
+    base = pairs.agg(rate(F.sum("failed"), F.sum("n")).alias("portfolio_error_rate_30d"))
+    top = F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top")
+    rows = pairs.groupBy("merchant_id").agg(*(F.sum(c).alias(c) for c in ("n", "failed", "spend")), top, F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).where(F.col("n") >= floor)
+    return rows.crossJoin(F.broadcast(base)).withColumns({"day": F.lit(batch), "primary_mcc": F.col("top.mcc")})  # base is one row
+
+
+def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS, first: dt.date | None = None) -> DataFrame:
+    """Merchants with at least floor transactions in the trailing window, against the rate of all merchants on that day.
+
+    Rates are kept to six digits, the failures to expect are rounded to two before they are subtracted, and the flag compares what is kept.
+    batch: that day alone, from the rows of its window; first: the first day of the history, where the caller knows it.
+    """
+    if batch is None:
+        first, last = rolling.bounds(txn)
+        rows = _merchant_days(txn, floor, first, last, days)
+    else:
+        first = first or rolling.bounds(txn)[0]
+        rows = _merchant_day(txn, floor, batch, days)
+    own, base = rate(F.col("failed"), F.col("n")).cast("decimal(9,6)"), F.col("portfolio_error_rate_30d").cast("decimal(9,6)")
+    expected = (F.col("n").cast("decimal(10,0)") * base).cast("decimal(12,2)")
+    return rows.select(
         clean.date_key(F.col("day")).alias("date_key"), "merchant_id", "primary_mcc", "distinct_mcc_count", rolling.window_days(F.col("day"), first, days).alias("window_day_count"),
-        F.col("n").alias("transaction_count_30d"), F.col("failed").alias("failed_transaction_count_30d"), rate(F.col("failed"), F.col("n")).alias("error_rate_30d"), "portfolio_error_rate_30d",
-        expected.alias("expected_failed_transactions_30d"), F.round(F.col("failed") - expected, 2).alias("excess_failed_transactions_30d"), F.col("spend").alias("total_spend_amount_30d"),
-        F.lit(threshold).alias("applied_error_rate_threshold"), F.lit(floor).alias("applied_min_transaction_count"), (rate(F.col("failed"), F.col("n")) > threshold).alias("is_abnormal_error_rate"),
+        F.col("n").alias("transaction_count_30d"), F.col("failed").alias("failed_transaction_count_30d"), own.alias("error_rate_30d"), base.alias("portfolio_error_rate_30d"),
+        expected.alias("expected_failed_transactions_30d"), (F.col("failed").cast("decimal(10,0)") - expected).cast("decimal(12,2)").alias("excess_failed_transactions_30d"), F.col("spend").alias("total_spend_amount_30d"),
+        F.lit(threshold).cast("decimal(5,4)").alias("applied_error_rate_threshold"), F.lit(floor).alias("applied_min_transaction_count"), (own > F.lit(threshold).cast("decimal(5,4)")).alias("is_abnormal_error_rate"),
     )
 
 
+def by_excess(report: DataFrame, limit: int) -> DataFrame:
+    """The merchants to look at first: those with the most failures beyond what is to be expected."""
+    return report.orderBy(F.desc("excess_failed_transactions_30d"), "merchant_id").limit(limit)
+
+
 #: Which dimensions each measure may be summed over (AG21): trailing, distinct and stock measures never over days.
 ADDITIVE = {
     "transaction_count": {"date_key", "mcc", "merchant_id"}, "total_spend_amount": {"date_key", "mcc", "merchant_id"}, "total_inflow_amount": {"date_key", "mcc", "merchant_id"},

@@ -75,6 +75,14 @@ def with_unknown(dim: DataFrame, surrogate: str, key: str, values: dict, members
     return dim.unionByName(extra)
 
 
+def changed_since(history: DataFrame, newest) -> DataFrame:
+    """Versions that began or ended after the newest valid_from that a target has (None: all), as literal predicates."""
+    if newest is None:
+        return history
+    after = F.lit(newest)
+    return history.where((F.col("valid_from") > after) | (F.coalesce("valid_to", ntz(OPEN_END)) > after))
+
+
 def interval_violations(dim: DataFrame, key: str) -> DataFrame:
     """key and violation: overlap, gap, or a number of current versions other than one."""
     w = Window.partitionBy(key).orderBy("effective_from")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.readers import path_exists, read_target
 from .checks import stringified
 from .dedup import type1_merged, upserted
+from .scd2 import snapshot
 
 META = ("_quarantine_source", "_quarantine_reason", "_quarantine_null_cols", "_quarantine_ts", "_quarantine_date")
 
@@ -29,6 +30,16 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) ->
     df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written once to the folder in spark.checkpoint.dir, so that several branches read it and none computes it again."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     """Write beside the target, then swap: the frame may read the target itself."""
     spark = df.sparkSession
@@ -58,6 +69,23 @@ def merge(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]
     replace(type1_merged(target, batch, keys, order, created, updated, F.col(updated)), path)
 
 
+def append_newer(batch: DataFrame, path: str, ts: str, partitions: Sequence[str] = ()) -> None:
+    """Only the rows that are newer than the newest of the target."""
+    newest = read_target(batch.sparkSession, path, batch.schema).agg(F.max(ts)).first()[0]
+    append(batch if newest is None else batch.where(F.col(ts) > F.lit(newest)), path, partitions)
+
+
+def publish_history(batch: DataFrame, path: str, key: str, tracked: Sequence[str], at: str) -> None:
+    """The current state as a new batch of an SCD2 table: changed versions are closed, new ones get the next version_number."""
+    state = batch.sparkSession
+    known = path_exists(state, path)
+    before = state.read.parquet(path) if known else None
+    start = F.lit(at).cast("timestamp_ntz")
+    rows = snapshot(before.drop("version_number") if known else None, batch, key, tracked, start)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("valid_from"))
+    replace(rows.withColumn("version_number", number), path)
+
+
 def quarantine(rejected: DataFrame, path: str) -> None:
     """All business columns as text, by source and date."""
     rows = rejected if "_quarantine_date" in rejected.columns else rejected.withColumn("_quarantine_date", F.current_date())
@@ -78,7 +106,7 @@ def log_audit(spark: SparkSession, rows: list[tuple], path: str) -> None:
     append(spark.createDataFrame(rows, AUDIT), path, ["dt", "pipeline_name", "dataset_name"])
 
 
-MODES: dict[str, Callable] = {"append": append, "overwrite": overwrite, "partition_overwrite": overwrite_partitions, "upsert": upsert, "merge": merge}
+MODES: dict[str, Callable] = {"append": append, "overwrite": overwrite, "partition_overwrite": overwrite_partitions, "upsert": upsert, "merge": merge, "append_newer": append_newer, "scd2": publish_history}
 
 
 def write(df: DataFrame, mode: str, path: str, **options) -> None:

@@ -256,11 +256,11 @@ def scd2_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _sql("ddim", """SELECT card_key, card_id, card_brand, coalesce(has_chip, FALSE) AS has_chip, num_cards_issued, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to, is_current, CAST(version_number AS INTEGER) AS version_number FROM ddim
-    UNION ALL SELECT k, k, 'UNKNOWN', FALSE, 0, '1900-01-01 00:00:00', '9999-12-31 23:59:59', TRUE, 1 FROM (VALUES ('-1'), ('-2')) t(k)""")
+    _sql("ddim", """SELECT card_key, card_id, customer_id, card_brand, coalesce(has_chip, FALSE) AS has_chip, num_cards_issued, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to, is_current, CAST(version_number AS INTEGER) AS version_number FROM ddim
+    UNION ALL SELECT k, k, NULL, 'UNKNOWN', FALSE, 0, '1900-01-01 00:00:00', '9999-12-31 23:59:59', TRUE, 1 FROM (VALUES ('-1'), ('-2')) t(k)""")
 )
 def scd2_dim(spark: SparkSession, sf: str) -> DataFrame:
-    return _text(card_dim(spark, sf).drop("customer_id").fillna({"has_chip": False, "num_cards_issued": 0}), "effective_from", "effective_to")
+    return _text(card_dim(spark, sf).fillna({"has_chip": False, "num_cards_issued": 0}), "effective_from", "effective_to")
 
 
 _BROKEN = """SELECT card_id, CASE WHEN version_number = 1 AND NOT is_current AND customer_id::BIGINT % 2 = 0 THEN effective_to + INTERVAL 1 DAY WHEN version_number = 1 AND NOT is_current THEN effective_to - INTERVAL 1 DAY ELSE effective_to END AS effective_to, effective_from, is_current FROM ddim"""
@@ -308,6 +308,51 @@ def owner_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return _text(scd2.overlapping(d, c, "customer_id").select("card_id", "customer_key", "card_key", "effective_from", "effective_to"), "effective_from", "effective_to")
 
 
+_STAR = """SELECT t.transaction_id, t.date_key, 0 AS time_key, coalesce(c.customer_key, '-1') AS customer_key, coalesce(d.card_key, '-1') AS card_key, CASE WHEN amount > 0 THEN 'REFUND' ELSE 'PURCHASE' END AS transaction_type, merchant_id,
+    CASE WHEN r_name IS NOT NULL AND r_name <> 'ASIA' THEN sha256(upper(trim(n_name)) || '||' || upper(trim(r_name)) || '||UNKNOWN') ELSE '-1' END AS merchant_geo_key, CASE WHEN mcc LIKE 'PROMO%' THEN '-1' ELSE mcc END AS mcc,
+    CAST(amount AS DOUBLE) AS transaction_amount, is_error, CAST(year(t.ts) - c.birth_year AS INTEGER) AS age FROM txn t
+    LEFT JOIN cdim c ON t.customer_id = c.customer_id AND t.ts >= c.effective_from AND t.ts < c.effective_to
+    LEFT JOIN ddim d ON t.card_id = d.card_id AND t.ts >= d.effective_from AND t.ts < d.effective_to
+    LEFT JOIN nation ON merchant_nation = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE t.day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"""
+
+
+@query(_sql("txn cdim ddim", _STAR))
+def fact_star(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven lookups; places of one region and categories of one kind are not in their dimensions, days outside the calendar are left out."""
+    geo = marts.dim_geo([retail.places(spark, sf).where("state <> 'ASIA'")])
+    kinds = marts.dim_category(retail.table(spark, sf, "part").where("p_type NOT LIKE 'PROMO%'").select(F.col("p_type").alias("mcc"), F.col("p_type").alias("name")))
+    days = marts.dim_calendar(spark, dt.date(1996, 1, 1), dt.date(2000, 12, 31))
+    rows = marts.complete_fact(retail.placed_transactions(spark, sf), customer_dim(spark, sf), card_dim(spark, sf), geo, kinds, days, marts.dim_time(spark))
+    return _double(rows.drop("ts").withColumn("age", F.col("customer_age_at_transaction").cast("int")).drop("customer_age_at_transaction"), "transaction_amount")
+
+
+@query(_sql("chist", "SELECT customer_id, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to FROM chist WHERE valid_from > TIMESTAMP '1995-01-01' OR coalesce(valid_to, TIMESTAMP '9999-12-31 23:59:59') > TIMESTAMP '1995-01-01'"))
+def scd2_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a dimension built from the first state has to read of the history after the second."""
+    first = scd2.snapshot(None, retail.customer_state(spark, sf, False), "customer_id", ["income_bracket"], F.lit(f"{retail.STATE_A} 00:00:00").cast("timestamp_ntz"))
+    rows = scd2.changed_since(customers(spark, sf), first.agg(F.max("valid_from")).first()[0])
+    return _text(rows.select("customer_id", "valid_from", "valid_to"), "valid_from", "valid_to")
+
+
+@query(_sql("txn", """SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS month, card_id AS account_id, customer_id, CASE WHEN merchant_nation % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS transaction_count, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS total_income_amount,
+    CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS total_outcome_amount, CAST(sum(amount) AS DOUBLE) AS net_amount, CAST(max(day) AS VARCHAR) AS last_day FROM txn GROUP BY date_trunc('month', day), card_id, customer_id, 4"""))
+def account_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf).withColumn("currency", F.when(F.col("merchant_nation") % 2 == 0, "EUR").otherwise("USD"))
+    return _text(_double(marts.account_snapshot(t), "total_income_amount", "total_outcome_amount", "net_amount"), "month", "last_day")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, NULL, c_mktsegment FROM customer")
+def union_missing(spark: SparkSession, sf: str) -> DataFrame:
+    a = retail.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    b = retail.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return marts.union_missing([a, b])
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def half_open_window(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.within(retail.table(spark, sf, "events"), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)).select("event_id")
+
+
 @query(_sql("txn", "SELECT DISTINCT transaction_id, CASE WHEN e = 'OTHER' THEN 'UNKNOWN' ELSE e END AS error_reason FROM (SELECT transaction_id, unnest(errors) AS e FROM txn WHERE errors IS NOT NULL)"))
 def error_bridge(spark: SparkSession, sf: str) -> DataFrame:
     return marts.error_bridge(retail.transactions(spark, sf), retail.ERROR_CODES, keep_unknown=True)
@@ -325,10 +370,12 @@ def daily_trend(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     _sql("txn", """SELECT CAST(strftime(last_day(day), '%Y%m%d') AS INTEGER) AS month_end_date_key, customer_id, count(*) AS transaction_count, count(DISTINCT card_id) AS distinct_card_count,
     CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS total_income_amount, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS total_outcome_amount,
-    count(*) FILTER (NOT is_error) AS successful_transaction_count FROM txn GROUP BY last_day(day), customer_id""")
+    count(*) FILTER (NOT is_error) AS successful_transaction_count,
+    round(CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) / day(last_day(day)), 4) AS average_daily_total_income_amount,
+    round(CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) / day(last_day(day)), 4) AS average_daily_total_outcome_amount FROM txn GROUP BY last_day(day), customer_id""")
 )
 def monthly_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = marts.monthly_snapshot(retail.transactions(spark, sf)).drop("average_daily_total_income_amount", "average_daily_total_outcome_amount")
+    rows = marts.monthly_snapshot(retail.transactions(spark, sf))
     return _double(rows, "total_income_amount", "total_outcome_amount")
 
 
@@ -343,23 +390,35 @@ def trend_5min(spark: SparkSession, sf: str) -> DataFrame:
 # --- reports -------------------------------------------------------------------------------------------------------
 
 
-_ACTIVITY = """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, t.customer_id, count(*) FILTER (t.day > d.day - 90) > 0 AS is_active_90d,
+def _window(spark: SparkSession, sf: str, days: int) -> DataFrame:
+    """The transactions of the batch day's trailing window: the range of days reaches the scan."""
+    return retail.transactions(spark, sf, BATCH - dt.timedelta(days=days - 1), BATCH)
+
+
+_ACTIVITY = """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, t.customer_id, any_value(c.customer_key) AS customer_key, count(*) FILTER (t.day > d.day - 90) > 0 AS is_active_90d,
     count(DISTINCT CASE WHEN t.day > d.day - 90 THEN t.card_id END) AS active_card_count_90d, count(*) FILTER (t.day > d.day - 90) AS transaction_count_90d,
-    CAST(strftime(max(t.day), '%Y%m%d') AS INTEGER) AS last_transaction_date_key FROM {days} d JOIN txn t ON t.day <= d.day GROUP BY d.day, t.customer_id"""
+    CAST(strftime(max(t.day), '%Y%m%d') AS INTEGER) AS last_transaction_date_key FROM {days} d JOIN txn t ON t.day <= d.day
+    LEFT JOIN cdim c ON c.customer_id = t.customer_id AND c.effective_from < d.day + INTERVAL 1 DAY AND c.effective_to >= d.day + INTERVAL 1 DAY GROUP BY d.day, t.customer_id"""
 
 
-@query(_sql("txn", _ACTIVITY.format(days="one"), {"one": f"SELECT DATE '{BATCH}' AS day"}))
+@query(_sql("txn cdim", _ACTIVITY.format(days="one"), {"one": f"SELECT DATE '{BATCH}' AS day"}))
 def customer_activity_one_day(spark: SparkSession, sf: str) -> DataFrame:
-    return marts.customer_activity(retail.transactions(spark, sf), BATCH)
+    return marts.customer_activity(_window(spark, sf, marts.ACTIVE_DAYS), BATCH, customers=customer_dim(spark, sf), last_seen=retail.last_seen(spark, sf, BATCH))
 
 
 @query(
-    _sql("txn days", """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, count(DISTINCT customer_id) AS active_customers, count(DISTINCT card_id) AS active_cards, count(*) AS transactions
-    FROM days d JOIN txn t ON t.day BETWEEN d.day - 89 AND d.day GROUP BY d.day""")
+    _sql("txn days cdim", """SELECT CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS date_key, count(DISTINCT t.customer_id) AS active_customers, count(DISTINCT card_id) AS active_cards, count(*) AS transactions, count(DISTINCT customer_key) AS customer_keys,
+    count(DISTINCT CASE WHEN c.version_number = 2 THEN customer_key END) AS second_versions
+    FROM days d JOIN txn t ON t.day BETWEEN d.day - 89 AND d.day LEFT JOIN cdim c ON c.customer_id = t.customer_id AND c.effective_from < d.day + INTERVAL 1 DAY AND c.effective_to >= d.day + INTERVAL 1 DAY GROUP BY d.day""")
 )
 def customer_activity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = marts.customer_activity(retail.transactions(spark, sf)).where("is_active_90d")
-    return rows.groupBy("date_key").agg(F.count(F.lit(1)).alias("active_customers"), F.sum("active_card_count_90d").alias("active_cards"), F.sum("transaction_count_90d").alias("transactions"))
+    rows = marts.customer_activity(retail.transactions(spark, sf), customers=customer_dim(spark, sf)).where("is_active_90d")
+    second = customer_dim(spark, sf).where("version_number = 2").select("customer_key", F.lit(1).alias("second"))
+    rows = rows.join(second, "customer_key", "left")
+    return rows.groupBy("date_key").agg(
+        F.count(F.lit(1)).alias("active_customers"), F.sum("active_card_count_90d").alias("active_cards"), F.sum("transaction_count_90d").alias("transactions"),
+        F.count("customer_key").alias("customer_keys"), F.count("second").alias("second_versions"),
+    )
 
 
 _SEG = "CASE WHEN has_chip THEN 'CHIP' WHEN NOT has_chip THEN 'NON_CHIP' ELSE 'UNKNOWN' END AS chip_segment, card_brand"
@@ -382,7 +441,32 @@ def card_portfolio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("days ddim", _PORTFOLIO_OUT + f" WHERE day = DATE '{BATCH}'", _PORTFOLIO))
 def card_portfolio_one_day(spark: SparkSession, sf: str) -> DataFrame:
-    return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf), BATCH)
+    return marts.card_portfolio(_window(spark, sf, marts.ACTIVE_DAYS), card_dim(spark, sf), BATCH, first=retail.first_day(spark, sf))
+
+
+_LOST = {
+    "lost": "SELECT * EXCLUDE (card_id), CASE WHEN CAST(customer_id AS BIGINT) % 10 = 0 THEN '-1' WHEN CAST(customer_id AS BIGINT) % 10 = 1 THEN 'gone' ELSE card_id END AS card_id FROM txn",
+    "issued": _PORTFOLIO["issued"],
+    "cday": _PORTFOLIO["cday"].replace("JOIN txn t", "JOIN lost t"),
+    "active": """SELECT d.day, CASE WHEN has_chip THEN 'CHIP' WHEN NOT has_chip THEN 'NON_CHIP' ELSE 'UNKNOWN' END AS chip_segment, coalesce(card_brand, 'UNKNOWN') AS card_brand, count(v.card_id) AS active, sum(n) AS n, sum(failed) AS failed
+        FROM cday d LEFT JOIN ddim v ON v.card_id = d.card_id AND v.effective_from < d.day + INTERVAL 1 DAY AND v.effective_to >= d.day + INTERVAL 1 DAY GROUP BY ALL""",
+}
+
+
+def _lost_cards(txn: DataFrame) -> DataFrame:
+    """Transactions of which a tenth has no card, and a tenth a card that the dimension does not know."""
+    last = F.pmod(F.col("customer_id").cast("long"), F.lit(10))
+    return txn.withColumn("card_id", F.when(last == 0, "-1").when(last == 1, "gone").otherwise(F.col("card_id")))
+
+
+@query(_sql("days ddim", _PORTFOLIO_OUT, _LOST))
+def card_portfolio_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.card_portfolio(_lost_cards(retail.transactions(spark, sf)), card_dim(spark, sf))
+
+
+@query(_sql("days ddim", _PORTFOLIO_OUT + f" WHERE day = DATE '{BATCH}'", _LOST))
+def card_portfolio_unresolved_one_day(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.card_portfolio(_lost_cards(_window(spark, sf, marts.ACTIVE_DAYS)), card_dim(spark, sf), BATCH, first=retail.first_day(spark, sf))
 
 
 @query(_sql("days ddim", "SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, chip_segment, card_brand, issued, CAST(re AS BIGINT) AS reissues FROM issued", {"issued": _PORTFOLIO["issued"]}))
@@ -399,22 +483,34 @@ _MERCHANT = {
     "m": "SELECT day, merchant_id, sum(n) AS n, sum(failed) AS failed, sum(spend) AS spend, count(*) FILTER (mcc <> '-1') AS cats FROM pair GROUP BY day, merchant_id",
     "top": "SELECT day, merchant_id, mcc AS primary_mcc FROM pair QUALIFY row_number() OVER (PARTITION BY day, merchant_id ORDER BY n DESC, mcc) = 1",
 }
-_MERCHANT_OUT = f"""SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, merchant_id, primary_mcc, cats AS distinct_mcc_count, CAST(day - greatest(day - 29, (SELECT min(day) FROM txn)) + 1 AS INTEGER) AS window_day_count,
-    CAST(n AS BIGINT) AS transaction_count_30d, CAST(failed AS BIGINT) AS failed_transaction_count_30d, round(failed / n, 6) AS error_rate_30d, b AS portfolio_error_rate_30d,
-    CAST(spend AS DOUBLE) AS total_spend_amount_30d, {FLOOR} AS applied_min_transaction_count, round(failed / n, 6) > {THRESHOLD} AS is_abnormal_error_rate
-    FROM m JOIN base USING (day) JOIN top USING (day, merchant_id) WHERE n >= {FLOOR}"""
+_MERCHANT_OUT = f"""SELECT date_key, merchant_id, primary_mcc, distinct_mcc_count, window_day_count, transaction_count_30d, failed_transaction_count_30d, CAST(r AS DOUBLE) AS error_rate_30d, CAST(b AS DOUBLE) AS portfolio_error_rate_30d,
+    CAST(e AS DOUBLE) AS expected_failed_transactions_30d, CAST(failed_transaction_count_30d - e AS DOUBLE) AS excess_failed_transactions_30d, total_spend_amount_30d, CAST({THRESHOLD} AS DOUBLE) AS applied_error_rate_threshold,
+    {FLOOR} AS applied_min_transaction_count, r > CAST({THRESHOLD} AS DECIMAL(5,4)) AS is_abnormal_error_rate FROM (
+    SELECT day, CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, merchant_id, primary_mcc, cats AS distinct_mcc_count, CAST(day - greatest(day - 29, (SELECT min(day) FROM txn)) + 1 AS INTEGER) AS window_day_count,
+    CAST(n AS BIGINT) AS transaction_count_30d, CAST(failed AS BIGINT) AS failed_transaction_count_30d, CAST(round(failed / n, 6) AS DECIMAL(9,6)) AS r, CAST(b AS DECIMAL(9,6)) AS b,
+    CAST(CAST(n AS DECIMAL(10,0)) * CAST(b AS DECIMAL(9,6)) AS DECIMAL(12,2)) AS e, CAST(spend AS DOUBLE) AS total_spend_amount_30d
+    FROM m JOIN base USING (day) JOIN top USING (day, merchant_id) WHERE n >= {FLOOR}) x"""
+_DECIMALS = ("error_rate_30d", "portfolio_error_rate_30d", "expected_failed_transactions_30d", "excess_failed_transactions_30d", "total_spend_amount_30d", "applied_error_rate_threshold")
 
 
 @query(_sql("days", _MERCHANT_OUT, _MERCHANT))
 def merchant_error(spark: SparkSession, sf: str) -> DataFrame:
-    rows = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD)
-    return _double(rows.drop("expected_failed_transactions_30d", "excess_failed_transactions_30d", "applied_error_rate_threshold"), "total_spend_amount_30d")
+    return _double(marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD), *_DECIMALS)
+
 
+def _merchants_one_day(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.merchant_error(_window(spark, sf, marts.ERROR_DAYS), FLOOR, THRESHOLD, BATCH, first=retail.first_day(spark, sf))
 
-@query(_sql("days", _MERCHANT_OUT + f" AND day = DATE '{BATCH}'", _MERCHANT))
+
+@query(_sql("days", _MERCHANT_OUT + f" WHERE day = DATE '{BATCH}'", _MERCHANT))
 def merchant_error_one_day(spark: SparkSession, sf: str) -> DataFrame:
-    rows = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD, BATCH)
-    return _double(rows.drop("expected_failed_transactions_30d", "excess_failed_transactions_30d", "applied_error_rate_threshold"), "total_spend_amount_30d")
+    return _double(_merchants_one_day(spark, sf), *_DECIMALS)
+
+
+@query(_sql("days", f"SELECT date_key, merchant_id, excess_failed_transactions_30d FROM ({_MERCHANT_OUT} WHERE day = DATE '{BATCH}') y ORDER BY excess_failed_transactions_30d DESC, merchant_id LIMIT 10", _MERCHANT))
+def merchants_by_excess(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.by_excess(_merchants_one_day(spark, sf), 10)
+    return _double(rows.select("date_key", "merchant_id", "excess_failed_transactions_30d"), "excess_failed_transactions_30d")
 
 
 # --- calibration ---------------------------------------------------------------------------------------------------
@@ -432,10 +528,10 @@ def cal_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return calibrate.baseline(calibrate.last_days(retail.transactions(spark, sf)))
 
 
-@query(_sql("tot", f"""SELECT f AS floor, count(merchant_id) AS merchants, round(count(merchant_id) / (SELECT count(*) FROM tot), 6) AS merchant_share, round(coalesce(sum(n), 0) / (SELECT sum(n) FROM tot), 6) AS transaction_share
+@query(_sql("tot", f"""SELECT f AS floor, count(merchant_id) AS merchants, round(count(merchant_id) / (SELECT count(*) FROM tot), 6) AS merchant_share, round(coalesce(sum(n), 0) / (SELECT sum(n) FROM tot), 6) AS transaction_share, round(coalesce(sum(gross), 0) / (SELECT sum(gross) FROM tot), 6) AS gross_share
     FROM (VALUES {_GRID}) g(f) LEFT JOIN tot ON n >= f GROUP BY f"""))
 def cal_floors(spark: SparkSession, sf: str) -> DataFrame:
-    return calibrate.floor_cost(_totals(spark, sf), FLOORS).drop("gross_share").withColumn("floor", F.col("floor").cast("int"))
+    return calibrate.floor_cost(_totals(spark, sf), FLOORS).withColumn("floor", F.col("floor").cast("int"))
 
 
 @query(_sql("tot", "SELECT quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.75) AS p75, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99 FROM tot"))
@@ -455,9 +551,9 @@ def cal_flags(spark: SparkSession, sf: str) -> DataFrame:
     return calibrate.flag_counts(_totals(spark, sf), FLOORS, THRESHOLDS).withColumn("floor", F.col("floor").cast("int"))
 
 
-@query(_sql("tot", f"SELECT merchant_id, n, CAST(failed AS BIGINT) AS failed, round(failed / n, 6) AS error_rate FROM tot WHERE n >= 3 AND failed / n > {THRESHOLD} ORDER BY error_rate DESC, merchant_id LIMIT 20"))
+@query(_sql("tot", f"SELECT merchant_id, n, CAST(failed AS BIGINT) AS failed, round(failed / n, 6) AS error_rate, round(n * (SELECT sum(failed) / sum(n) FROM tot), 2) AS expected_failed FROM tot WHERE n >= 3 AND failed / n > {THRESHOLD} ORDER BY error_rate DESC, merchant_id LIMIT 20"))
 def cal_head(spark: SparkSession, sf: str) -> DataFrame:
-    return calibrate.flagged_head(_totals(spark, sf), 3, THRESHOLD, 20).drop("expected_failed")
+    return calibrate.flagged_head(_totals(spark, sf), 3, THRESHOLD, 20)
 
 
 @query(
@@ -546,7 +642,7 @@ def report_cross_check(spark: SparkSession, sf: str) -> DataFrame:
     t = retail.transactions(spark, sf)
     inside = t.where(F.col("day").between(BATCH - dt.timedelta(days=89), BATCH))
     direct = inside.agg(F.countDistinct("card_id").alias("active_cards"), F.countDistinct("customer_id").alias("active_customers"), F.count(F.lit(1)).alias("transactions"))
-    cards_seen = marts.card_portfolio(t, card_dim(spark, sf), BATCH).agg(F.sum("active_card_count_90d").alias("active_cards"))
+    cards_seen = marts.card_portfolio(inside, card_dim(spark, sf), BATCH, first=retail.first_day(spark, sf)).agg(F.sum("active_card_count_90d").alias("active_cards"))
     people = marts.customer_activity(t, BATCH).agg(F.count_if("is_active_90d").alias("active_customers"), F.sum("transaction_count_90d").alias("transactions"))
     tall = lambda d, v: d.unpivot([], d.columns, "metric", v)
     reported = tall(cards_seen, "t").unionByName(tall(people, "t"))
@@ -560,7 +656,7 @@ def issued_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     end = F.lit(BATCH + dt.timedelta(days=1)).cast("timestamp_ntz")
     d = card_dim(spark, sf).where(~F.col("card_id").isin(*marts.SENTINELS) & (F.col("effective_from") < end) & (F.col("effective_to") >= end))
     direct = d.groupBy(clean.chip_segment(F.col("has_chip")).alias("chip_segment"), "card_brand").agg(F.count(F.lit(1)).alias("n"))
-    report = marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf), BATCH)
+    report = marts.card_portfolio(_window(spark, sf, marts.ACTIVE_DAYS), card_dim(spark, sf), BATCH, first=retail.first_day(spark, sf))
     out = report.select("chip_segment", "card_brand", F.col("issued_card_count").alias("issued")).join(direct, ["chip_segment", "card_brand"], "full")
     return out.select("chip_segment", "card_brand", F.col("issued").cast("double"), (F.coalesce("issued", F.lit(0)) - F.coalesce("n", F.lit(0))).cast("double").alias("residual"))
 
@@ -571,6 +667,47 @@ def incomplete_windows(spark: SparkSession, sf: str) -> DataFrame:
     return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf)).where("window_day_count < 90").select("date_key", "window_day_count").distinct()
 
 
+@query(_sql("txn", """SELECT date_key, CAST(sum(amount) AS DOUBLE) AS source_amount, CAST(coalesce(sum(amount) FILTER (mcc NOT LIKE 'PROMO%'), 0) AS DOUBLE) AS target_amount, CAST(sum(amount) - coalesce(sum(amount) FILTER (mcc NOT LIKE 'PROMO%'), 0) AS DOUBLE) AS difference
+    FROM txn GROUP BY date_key HAVING sum(amount) <> coalesce(sum(amount) FILTER (mcc NOT LIKE 'PROMO%'), 0)"""))
+def recon_daily_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf)
+    return _double(checks.reconciled_amounts(t, t.where("mcc NOT LIKE 'PROMO%'"), ["date_key"], "amount"), "source_amount", "target_amount", "difference")
+
+
+@query(_sql("txn", "SELECT transaction_id, 'no fact' AS gap FROM txn WHERE is_error AND merchant_nation % 5 = 0 AND NOT (len(errors) = 1 AND errors[1] = 'BAD PIN') UNION ALL SELECT transaction_id, 'no bridge' FROM txn WHERE is_error AND merchant_nation % 5 <> 0 AND len(errors) = 1 AND errors[1] = 'BAD PIN'"))
+def bridge_both_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """A fact without the merchants of some nations against a bridge that does not know one of the codes."""
+    t = retail.transactions(spark, sf)
+    return checks.bridge_gaps(t.where("merchant_nation % 5 <> 0"), marts.error_bridge(t, [c for c in retail.ERROR_CODES if c != "BAD PIN"] + ["OTHER"]), "transaction_id", "is_error")
+
+
+@query(_sql("txn", "SELECT date_key, round(count(*) FILTER (is_error) / count(*), 6) AS share FROM txn GROUP BY date_key HAVING round(count(*) FILTER (is_error) / count(*), 6) NOT BETWEEN 0.005 AND 0.04"))
+def error_share_band(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.band(retail.transactions(spark, sf), "date_key", F.col("is_error"), 0.005, 0.04)
+
+
+@query(_sql("txn", "SELECT mcc, sum(CASE WHEN is_error THEN 1 ELSE 0 END)::BIGINT AS part, count(*) AS whole FROM txn GROUP BY mcc HAVING sum(CASE WHEN is_error THEN 1 ELSE 0 END) * 100 >= count(*) * 2"))
+def error_share_over(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.share_over(retail.transactions(spark, sf), ["mcc"], F.col("is_error").cast("int"), F.lit(1), 2)
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) <> 1")
+def not_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.not_uniform(retail.table(spark, sf, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query(_sql("txn", "SELECT round(count(*) FILTER (mcc NOT LIKE 'PROMO%') / count(*), 6) AS mcc, round(count(*) FILTER (merchant_nation % 7 <> 0) / count(*), 6) AS merchant_nation FROM txn"))
+def key_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf).select(F.when(F.col("mcc").like("PROMO%"), "-1").otherwise(F.col("mcc")).alias("mcc"), F.when(F.col("merchant_nation") % 7 != 0, F.col("merchant_nation").cast("string")).alias("merchant_nation"))
+    return checks.coverage(t, ["mcc", "merchant_nation"])
+
+
+@query(_sql("txn", "SELECT DISTINCT e AS error, CASE WHEN e = 'No Error' THEN 0 ELSE CAST(('0x' || substr(md5(e), 1, 7))::BIGINT % 32767 + 1 AS INTEGER) END AS error_key FROM (SELECT unnest(CASE WHEN errors IS NULL THEN ['No Error'] ELSE errors END) AS e FROM txn)"))
+def reference_errors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.reference_codes(retail.transactions(spark, sf), "errors", "error")
+    return rows.select("error", F.when(F.col("error") == "No Error", 0).otherwise(clean.short_md5_key(F.col("error")).cast("int")).alias("error_key"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
     return checks.duplicated(retail.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -664,6 +801,66 @@ def rule_behaviour(spark: SparkSession, sf: str) -> DataFrame:
     return _text(rules.unseen(retail.event_transactions(spark, sf), "customer_id", "mcc"), "ts")
 
 
+@query(_sql("ev", "SELECT transaction_id FROM (SELECT transaction_id, abs(CAST(amount AS DOUBLE)) AS size, quantile_cont(abs(CAST(amount AS DOUBLE)), 0.95) OVER (PARTITION BY customer_id) AS p FROM ev) WHERE size > p + 1e-9"))
+def rule_amount_p95(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.event_transactions(spark, sf)
+    profile = rules.daily_profile(t, "customer_id").withColumn("p95_amount", F.col("p95_amount") + 1e-9)
+    return rules.against(t, profile, "customer_id", "AR002").select("transaction_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS transaction_id FROM events JOIN customer ON user_id = c_custkey WHERE event_type IN ('purchase', 'view', 'signup') AND CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) * 50 > 0.8 * (round(c_acctbal, 2) + 2000)")
+def rule_card_limit(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.event_transactions(spark, sf).withColumn("amount", F.col("amount") * 50)
+    return rules.against(t, retail.homes(spark, sf), "customer_id", "AR003").select("transaction_id")
+
+
+@query(_sql("txn", "SELECT transaction_id FROM txn JOIN customer ON customer_id = CAST(c_custkey AS VARCHAR) WHERE merchant_nation <> c_nationkey"))
+def rule_not_home(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.transactions(spark, sf).withColumnRenamed("merchant_nation", "state")
+    return rules.against(t, retail.homes(spark, sf), "customer_id", "GR002").select("transaction_id")
+
+
+@query(_sql("ev", f"SELECT transaction_id, CAST(n AS INTEGER) AS n FROM (SELECT transaction_id, {_range('card_id', 1440, 'count(DISTINCT CAST(merchant_id AS INTEGER) % 5)')} AS n FROM ev) WHERE n > 1"))
+def rule_states(spark: SparkSession, sf: str) -> DataFrame:
+    t = retail.event_transactions(spark, sf).withColumn("state", F.col("merchant_id").cast("int") % 5)
+    return rules.states_within(t, 1440).select("transaction_id", "n")
+
+
+_BUCKET = "CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS bucket"
+
+
+@query(
+    _sql("ev", f"""SELECT merchant_id, bucket, n, failed FROM (SELECT *, sum(n) OVER w AS pn, sum(failed) OVER w AS pf FROM (SELECT merchant_id, {_BUCKET}, count(*) AS n, count(*) FILTER (is_error) AS failed FROM ev GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY merchant_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE pn > 0 AND failed * pn > 2 * pf * n""")
+)
+def rule_failing_merchants(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.failing_merchants(retail.event_transactions(spark, sf), 2.0, 60).select("merchant_id", "bucket", "n", "failed")
+
+
+@query(
+    _sql("ev", f"""SELECT merchant_id, bucket, count(*) AS cards, count(*) FILTER (bucket = f) AS new_cards FROM (SELECT *, min(bucket) OVER (PARTITION BY merchant_id, card_id) AS f FROM (SELECT DISTINCT merchant_id, {_BUCKET}, card_id FROM ev))
+    GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (bucket = f) > 0.5 * count(*)""")
+)
+def rule_new_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.new_card_merchants(retail.event_transactions(spark, sf), 0.5, 60)
+
+
+@query(
+    _sql("ev", """SELECT customer_id, CAST(day AS VARCHAR) AS day FROM (SELECT customer_id, day, spent, round(avg(spent) OVER (PARTITION BY customer_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS usual
+    FROM (SELECT customer_id, day, sum(abs(CAST(amount AS DOUBLE))) AS spent FROM ev GROUP BY 1, 2)) WHERE spent > 3 * usual""")
+)
+def rule_spending(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(rules.spending_surge(retail.event_transactions(spark, sf)).select("customer_id", "day"), "day")
+
+
+@query(
+    _sql("ev", """SELECT customer_id, CAST(day AS VARCHAR) AS day, CAST(h AS INTEGER) AS hour, n FROM (SELECT *, sum(n) OVER (PARTITION BY customer_id, h) AS total, count(DISTINCT day) OVER (PARTITION BY customer_id) AS days
+    FROM (SELECT customer_id, day, hour(ts) AS h, count(*) AS n FROM ev GROUP BY 1, 2, 3)) WHERE n * days > 3 * total""")
+)
+def rule_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(rules.unusual_pattern(retail.event_transactions(spark, sf)).select("customer_id", "day", "hour", "n"), "day")
+
+
 _HAV = "round(2 * 6371.0 * asin(sqrt(sin(radians(plat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(plat)) * sin(radians(plon - lon) / 2) ** 2)), 6)"
 
 

@@ -20,14 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unique_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines, the latest of each key."""
-    return latest_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+def unique_lines(spark: SparkSession, sf_dir: str, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+    """Order lines, the latest of each key; since, until: of these only the ones of a range of days.
 
+    The lower bound is applied where the lines are read: an older line is not the latest of its key, or is out of the
+    range itself. A later line may be the latest, so the upper bound has to wait.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(f"{since} 00:00:00").cast("timestamp_ntz"))
+    lines = latest_per_key(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return lines if until is None else lines.where(F.col("l_shipdate") < F.lit(f"{until + dt.timedelta(days=1)} 00:00:00").cast("timestamp_ntz"))
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def first_day(spark: SparkSession, sf_dir: str) -> dt.date:
+    """The first day of the history."""
+    lines = latest_per_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return lines.agg(F.min(F.to_date("l_shipdate"))).first()[0]
+
+
+def last_seen(spark: SparkSession, sf_dir: str, until: dt.date) -> DataFrame:
+    """customer_id and the day of its last transaction up to a day: four columns of the whole history."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = latest_per_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    lines = lines.select("l_orderkey", F.to_date("l_shipdate").alias("day")).where(F.col("day") <= F.lit(until))
+    per_order = lines.groupBy("l_orderkey").agg(F.max("day").alias("day"))
+    return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").cast("string").alias("customer_id")).agg(F.max("day").alias("last_day"))
+
+
+def transactions(spark: SparkSession, sf_dir: str, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
     """One row per order line: returned lines are inflow, the others spend."""
-    lines = unique_lines(spark, sf_dir)
+    lines = unique_lines(spark, sf_dir, since, until)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -55,6 +78,24 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as cities of their regions: n_nationkey, city, state, zip."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("state"), F.lit(" ").alias("zip"))
+
+
+def placed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """transactions() with the merchant's place and a type."""
+    place = places(spark, sf_dir).select(F.col("n_nationkey").alias("merchant_nation"), F.col("city").alias("merchant_city"), F.col("state").alias("merchant_state"), "zip")
+    rows = transactions(spark, sf_dir).join(place, "merchant_nation", "left")
+    return rows.withColumn("transaction_type", F.when(F.col("amount") > 0, "REFUND").otherwise("PURCHASE"))
+
+
+def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer_id, home (nation) and credit_limit."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_nationkey").alias("home"), (F.round("c_acctbal", 2) + 2000).alias("credit_limit"))
+
+
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event, to the microsecond."""
     e = table(spark, sf_dir, "events")

@@ -34,6 +34,13 @@ def spread_stream(stream: DataFrame, key: str, item: str, most: int, minutes: in
     return stream.withWatermark("ts", late).groupBy(w, key).agg(F.size(F.collect_set(item)).alias("n")).where(F.col("n") > most)
 
 
+def unusual_pattern_stream(stream: DataFrame, profile: DataFrame, factor: float = 3.0) -> DataFrame:
+    """BR003: running hourly counts of a customer far above what the profile (customer_id, hour, usual) has for that hour of the day."""
+    counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "customer_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("hour", F.hour("window.start"))
+    return counts.join(profile, ["customer_id", "hour"]).where(F.col("n") > factor * F.col("usual"))
+
+
 def against_profile(stream: DataFrame, profile: DataFrame, key: str, hit: Column) -> DataFrame:
     """Transactions that exceed a static daily profile (a stream-static join)."""
     return stream.join(profile, key).where(hit)
@@ -58,9 +65,72 @@ def spread(txn: DataFrame, key: str, item: str, most: int, minutes: int) -> Data
 
 
 def daily_profile(txn: DataFrame, key: str) -> DataFrame:
-    """Mean and 95th percentile of a key's amounts, its daily mean and the values it has met."""
+    """Mean and 95th percentile of a key's amounts, its daily mean and count, its failure rate and the categories it has met."""
     size = F.abs(F.col("amount").cast("double"))
-    return txn.groupBy(key).agg(F.avg(size).alias("mean_amount"), F.percentile_approx(size, 0.95, 100_000).alias("p95_amount"), (F.sum(size) / F.countDistinct("day")).alias("daily_mean"), (F.count(F.lit(1)) / F.countDistinct("day")).alias("daily_count"))
+    days = F.countDistinct("day")
+    return txn.groupBy(key).agg(
+        F.avg(size).alias("mean_amount"), F.percentile(size, 0.95).alias("p95_amount"), (F.sum(size) / days).alias("daily_mean"), (F.count(F.lit(1)) / days).alias("daily_count"),
+        (F.count_if("is_error") / F.count(F.lit(1))).alias("failure_rate"), F.collect_set("mcc").alias("categories"),
+    )
+
+
+#: What each rule asks of a transaction joined with a profile of its key (AR003 and GR002: with limit and home of the customer).
+RULES = {
+    "AR002": lambda: F.abs(F.col("amount").cast("double")) > F.col("p95_amount"),
+    "AR003": lambda: F.abs(F.col("amount").cast("double")) > 0.8 * F.col("credit_limit"),
+    "GR002": lambda: F.col("state") != F.col("home"),
+    "BR002": lambda: ~F.array_contains("categories", F.col("mcc")),
+}
+
+
+def against(txn: DataFrame, profile: DataFrame, key: str, rule: str) -> DataFrame:
+    """Transactions, streamed or not, that a rule of RULES finds against a static profile."""
+    return against_profile(txn, profile, key, RULES[rule]())
+
+
+def states_within(txn: DataFrame, minutes: int = 30, item: str = "state") -> DataFrame:
+    """GR001: transactions at which a card has been in more than one state within the last minutes."""
+    return spread(txn, "card_id", item, 1, minutes)
+
+
+def _buckets(txn: DataFrame, minutes: int) -> DataFrame:
+    return txn.withColumn("bucket", F.floor(_micros(F.col("ts")) / F.lit(minutes * 60_000_000)))
+
+
+def failing_merchants(txn: DataFrame, factor: float = 2.0, minutes: int = 5, least: int = 1) -> DataFrame:
+    """MR002: buckets of a merchant whose failure rate exceeds factor times its rate over all that came before them."""
+    counts = _buckets(txn, minutes).groupBy("merchant_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    w = Window.partitionBy("merchant_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    past = counts.withColumns({"past_n": F.sum("n").over(w), "past_failed": F.sum("failed").over(w)})
+    return past.where((F.col("n") >= least) & (F.col("past_n") > 0) & (F.col("failed") * F.col("past_n") > factor * F.col("past_failed") * F.col("n")))
+
+
+def new_card_merchants(txn: DataFrame, share: float = 0.5, minutes: int = 5, least: int = 2) -> DataFrame:
+    """MR003: buckets of a merchant in which more than a share of the cards are there for the first time."""
+    rows = _buckets(txn, minutes).groupBy("merchant_id", "bucket", "card_id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("merchant_id", "card_id").agg(F.min("bucket").alias("first"))
+    counts = rows.join(first, ["merchant_id", "card_id"]).groupBy("merchant_id", "bucket").agg(F.count(F.lit(1)).alias("cards"), F.count_if(F.col("bucket") == F.col("first")).alias("new_cards"))
+    return counts.where((F.col("cards") >= least) & (F.col("new_cards") > share * F.col("cards")))
+
+
+def spending_surge(txn: DataFrame, factor: float = 3.0) -> DataFrame:
+    """BR001: days on which a customer spends more than factor times the mean of its spending days before."""
+    daily = txn.groupBy("customer_id", "day").agg(F.sum(F.abs("amount").cast("double")).alias("spent"))
+    w = Window.partitionBy("customer_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return daily.withColumn("usual", F.round(F.avg("spent").over(w), 4)).where(F.col("spent") > factor * F.col("usual"))
+
+
+def hour_profile(txn: DataFrame) -> DataFrame:
+    """Mean count of a customer per day in each hour of the day."""
+    hours = txn.groupBy("customer_id", "day", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    days = txn.groupBy("customer_id").agg(F.countDistinct("day").alias("days"))
+    return hours.groupBy("customer_id", "hour").agg(F.sum("n").alias("n")).join(days, "customer_id").select("customer_id", "hour", (F.col("n") / F.col("days")).alias("usual"))
+
+
+def unusual_pattern(txn: DataFrame, factor: float = 3.0) -> DataFrame:
+    """BR003: hours in which a customer has more than factor times its usual number of transactions for that hour."""
+    hours = txn.groupBy("customer_id", "day", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.join(hour_profile(txn), ["customer_id", "hour"]).where(F.col("n") > factor * F.col("usual"))
 
 
 def unusual_amount(txn: DataFrame, days: int = 30, factor: float = 3.0) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from cardmart.functions import clean
 from cardmart.operators import checks, dedup, marts, rolling, scd2, sinks
 from cardmart.plans.contract import Contract, GateError, build
-from cardmart.sources import readers
+from cardmart import queries
+from cardmart.sources import raw, readers, retail
 from cardmart.streaming import rules
 
 
@@ -203,3 +204,96 @@ def test_nearest_place(spark):
     for cell in (2.0, 20.0):
         assert sorted((r.id, -1 if r.place is None else r.place) for r in marts.nearest_place(p, q, cell).collect()) == want
     assert {r.place for r in marts.nearest_place(p, q.limit(0)).collect()} == {None}
+
+
+def test_batch_day_range_reaches_the_scan(spark):
+    """One-day reports read the window's days only: the lower bound is pushed to the file scan, the upper is a literal filter."""
+    sf = "/root/testdata/sf0.001"
+    for name, first in (("customer_activity_one_day", "1999-11-03"), ("card_portfolio_one_day", "1999-11-03"), ("merchant_error_one_day", "2000-01-02")):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert f"GreaterThanOrEqual(l_shipdate,{first}T00:00" in plan, name
+        assert "< 2000-02-01" in plan, name
+
+
+def test_reports_of_unresolved_cards_add_up(spark):
+    """Every transaction of the window is in the portfolio, whatever became of its card."""
+    sf = "/root/testdata/sf0.001"
+    inside = marts.trailing_window(retail.transactions(spark, sf), queries.BATCH, 90).count()
+    got = queries.QUERIES["card_portfolio_unresolved_one_day"](spark, sf).agg(F.sum("transaction_count_90d")).first()[0]
+    assert got == inside > 0
+
+
+def test_raw_projections(spark):
+    txn = [("1", "2019-10-31 10:00:00", "7", "8", "$-77.00", "Swipe Transaction", "9", " Paris ", "tx", "58523.0", "5411", "Bad PIN,Odd"), ("2", "bad", "7", "8", "abc", "?", "9", None, None, "12a", None, None)]
+    rows = raw.transactions(spark.createDataFrame(txn, "id string, date string, client_id string, card_id string, amount string, use_chip string, merchant_id string, merchant_city string, merchant_state string, zip string, mcc string, errors string"), ["BAD PIN"]).collect()
+    assert rows[0].merchant_city == "paris" and rows[0].merchant_state == "TX" and rows[0].zip == "58523" and rows[0].errors == ["BAD PIN", "UNKNOWN"] and rows[0].day == 31 and str(rows[0].amount) == "-77.00"
+    assert rows[1].timestamp is None and rows[1].amount is None and rows[1].transaction_channel is None and rows[1].zip is None and not rows[1].is_error
+    card = [("1", "2", "Visa", "Debit", "4111111111111111", "12/2022", "123", "YES", "2", "$1,234.50", "13/2019", "1989", "No")]
+    c = raw.cards(spark.createDataFrame(card, "id string, client_id string, card_brand string, card_type string, card_number string, expires string, cvv string, has_chip string, num_cards_issued string, credit_limit string, acct_open_date string, year_pin_last_changed string, card_on_dark_web string")).first()
+    assert c.mask_card_number == "*" * 12 + "1111" and str(c.expires) == "2022-12-01" and c.has_chip and c.has_a_cvv and c.acct_open_date is None and c.year_pin_last_changed is None and c.card_on_dark_web is False and "card_number" not in c.asDict()
+    user = [("5", "40", "66", "1980", "13", "Male", "48.9", "2.3", "$10", "$20", "$30", "900", "3"), ("6", "40", "40", "1980", "2", "x", "far", "2.3", "$10", "$20", "$30", "700", "3")]
+    where = spark.createDataFrame([(("Paris", "FR"), 48.8, 2.35), (("Rome", "IT"), 41.9, 12.5)], "place struct<city:string,state:string>, plat double, plon double")
+    u = {r.user_id: r for r in raw.users(spark.createDataFrame(user, "id string, current_age string, retirement_age string, birth_year string, birth_month string, gender string, latitude string, longitude string, per_capita_income string, yearly_income string, total_debt string, credit_score string, num_credit_cards string"), where).collect()}
+    assert u["5"].city == "Paris" and u["5"].birth_month is None and u["5"].credit_score is None and u["5"].gender == "MALE" and u["6"].city is None and u["6"].retirement_age is None and "current_age" not in u["5"].asDict()
+
+
+def test_change_feed_and_publish_modes(spark, tmp_path):
+    feed = spark.createDataFrame([("a", 1, "I", 1), ("a", 2, "U", 2), ("b", 1, "I", 1), ("b", 9, "D", 3)], "id string, v int, op string, seq int")
+    state, gone = raw.latest_changes(feed, ["id"], ["seq"])
+    assert [(r.id, r.v) for r in state.collect()] == [("a", 2)] and [r.id for r in gone.collect()] == ["b"]
+    path = str(tmp_path / "newer")
+    for values in ([(1, ts("2020-01-01"))], [(2, ts("2020-01-01")), (3, ts("2020-01-02"))]):
+        sinks.write(spark.createDataFrame(values, "k int, t timestamp_ntz").coalesce(1), "append_newer", path, ts="t")
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 3]
+    path = str(tmp_path / "history")
+    for values, at in (([("a", 1), ("b", 1)], "2020-01-01 00:00:00"), ([("a", 2), ("b", 1)], "2020-02-01 00:00:00"), ([("a", 2), ("b", 1)], "2020-03-01 00:00:00")):
+        sinks.write(spark.createDataFrame(values, "k string, v int"), "scd2", path, key="k", tracked=["v"], at=at)
+    rows = sorted((r.k, r.version_number, r.v, r.valid_to is None) for r in spark.read.parquet(path).collect())
+    assert rows == [("a", 1, 1, False), ("a", 2, 2, True), ("b", 1, 1, True)]
+
+
+def streamed(spark, tmp_path, rows, schema, job, name):
+    """What a streaming job emits for rows that come in one file, after a row far later has closed all windows."""
+    source = str(tmp_path / name)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    late = [tuple(v + dt.timedelta(days=2) if isinstance(v, dt.datetime) else "zz" if isinstance(v, str) else v for v in rows[-1])]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    q = job(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_rule_streams(spark, tmp_path):
+    base = ts("2024-01-01 10:00:00")
+    schema = "customer_id string, card_id string, merchant_id string, mcc string, amount double, is_error boolean, state string, ts timestamp"
+    at = lambda k: base + dt.timedelta(seconds=40 * k)
+    rows = [("c", "k", f"m{i}", "1", 10.0 * (i + 1), i == 0, f"s{i % 2}", at(i)) for i in range(5)]
+    counts = streamed(spark, tmp_path, rows, schema, rules.five_minute_counts, "counts")
+    assert {(r.merchant_id, r.n, r.failed) for r in counts if r.merchant_id == "m0"} == {("m0", 1, 1)}
+    spread = streamed(spark, tmp_path, rows, schema, lambda s: rules.spread_stream(s, "customer_id", "merchant_id", 3, 5), "spread")
+    assert spread and all(r.customer_id == "c" and r.n > 3 for r in spread)
+    states = streamed(spark, tmp_path, rows, schema, lambda s: rules.spread_stream(s, "card_id", "state", 1, 30), "states")
+    assert {r.card_id for r in states} == {"k"}
+    profile = spark.createDataFrame([("c", 35.0, 50.0, "s0", ["2"])], "customer_id string, p95_amount double, credit_limit double, home string, categories array<string>")
+    want = {"AR002": 2, "AR003": 1, "GR002": 2, "BR002": 5}
+    for rule, n in want.items():
+        got = streamed(spark, tmp_path, rows, schema, lambda s, r=rule: rules.against(s, profile, "customer_id", r), f"rule_{rule}")
+        twin = rules.against(spark.createDataFrame(rows, schema), profile, "customer_id", rule).count()
+        assert len(got) == twin == n, rule
+    usual = spark.createDataFrame([("c", 10, 1.0)], "customer_id string, hour int, usual double")
+    pattern = streamed(spark, tmp_path, rows, schema, lambda s: rules.unusual_pattern_stream(s, usual), "pattern")
+    assert [(r.customer_id, r.n) for r in pattern] == [("c", 5)]
+
+
+def test_cleaning_helpers(spark):
+    row = spark.createDataFrame([(" Ab ", "x", 20240229)], "a string, b string, k int").select(
+        clean.lower_trim(F.col("a")).alias("low"), clean.short_key(F.col("b")).alias("s"), clean.short_md5_key(F.col("b")).alias("m"), clean.key_date(F.col("k")).alias("d"), clean.days_in_month(clean.key_date(F.col("k"))).alias("n")
+    ).first()
+    assert row.low == "ab" and 1 <= row.s <= 32767 and 1 <= row.m <= 32767 and row.d == dt.date(2024, 2, 29) and row.n == 29
+    df = spark.createDataFrame([(1,)], ["y"])
+    assert df.select(checks.first_column(df, ["x", "y"]).alias("v")).first().v == 1 and df.select(checks.first_column(df, ["x"]).alias("v")).first().v is None
+    with pytest.raises(ValueError):
+        checks.first_column(df, ["x"], required=True)
+    with pytest.raises(ValueError):
+        rolling.bounds(spark.createDataFrame([], "day date"))
