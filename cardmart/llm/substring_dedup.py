@@ -41,7 +41,7 @@ from .runtime import discard, stored
 
 SIZE = 35
 #: Cells of a block of the sketch (as a power of two) while it is broadcast and beyond, bytes of text handled at once, anchors kept before their cells are given out.
-BLOCK, SHARD, STRETCH, HELD = 20, 26, 1 << 23, 1 << 21
+BLOCK, SHARD, STRETCH, HELD = 20, 26, 1 << 23, 1 << 20
 #: Windows of an anchor above which it is dealt out, and the most such anchors (beyond, only those with a larger share of all windows are).
 MANY, SPLIT = 1 << 12, 1 << 16
 
@@ -281,8 +281,11 @@ def _candidates(size: int, bits: int, block: int, sketch: Broadcast | None):
                 if not len(pick):
                     continue
                 run, value, start = w.run[pick], w.window[pick], w.start[pick]
-                order = np.lexsort((pick, value, w.anchor[run]))
-                same = (value[order][1:] == value[order][:-1]) & (w.anchor[run][order][1:] == w.anchor[run][order][:-1])
+                w.run = w.window = None
+                order = np.lexsort((value, w.anchor[run]))  # stable: places stay in order
+                v, a = value[order], w.anchor[run[order]]
+                same = (v[1:] == v[:-1]) & (a[1:] == a[:-1])
+                del v, a
                 again, more = np.append(False, same), np.append(same, False)  # equals the one before, the one after
                 leads = np.zeros(len(pick), bool)
                 leads[order] = ~again
@@ -375,13 +378,13 @@ def dealt_out(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     named = F.broadcast(spark.createDataFrame([(int(a), int(p)) for a, p in zip(*crowded, strict=True)], "anchor long, parts long"))  # at most SPLIT rows
     salted = rows.join(named, "anchor").withColumn("part", F.pmod(F.xxhash64("key", "first"), "parts")).withColumn("group", F.xxhash64("anchor", "part"))
     salted = salted.select("group", *rows.columns).repartition(spread, "group").sortWithinPartitions("group")
-    once = stored(salted.mapInArrow(_grouped("group"), FOUND), "settled")
+    once = stored(salted.mapInArrow(_grouped("group", False), FOUND), "settled")
     parts = once.where("take <> 0").select(*rows.columns).mapInArrow(_dealt(spark.sparkContext.broadcast(crowded)), rows.schema)
     return rows.join(named, "anchor", "left_anti").unionByName(parts), once
 
 
-def _grouped(by: str):
-    """Settles windows among the rows of a group; the rows come sorted by the column by.
+def _grouped(by: str, last: bool):
+    """Settles windows among the rows of a group; the rows come sorted by the column by. last: what is not settled here is unique.
 
     known: windows that recur; take: one row for each different window, twice: those that stand for several.
     """
@@ -413,7 +416,7 @@ def _grouped(by: str):
         hashes = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(value[leads].tobytes())])
         columns = [t.column(c).combine_chunks() for c in ("anchor", "key", "first")]
         out = pa.RecordBatch.from_arrays([*columns, pa.array(taken), pa.array(again), pa.array(known), hashes], names=["anchor", "key", "first", "take", "twice", "known", "hashes"])
-        return out.filter(pa.array((taken | known) != 0))
+        return out.filter(pa.array(known != 0 if last else (taken | known) != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -471,7 +474,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE, max_bits: int = 29) -> Da
     found = stored(found, "candidates")
     taken = found.where("take <> 0").select("anchor", "key", "first", "take", "twice", "hashes")
     dealt, once = dealt_out(taken)
-    grouped = dealt.repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped("anchor"), FOUND)
+    grouped = dealt.repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_grouped("anchor", True), FOUND)
     known = [df.where("known <> 0").select("key", "first", "known") for df in (grouped, found, once) if df is not None]
     # rows that repeat a document have one key: their masks become one before they are listed
     masks = reduce(DataFrame.unionByName, known).groupBy("key", "first").agg(F.bit_or("known").alias("mask"))
