@@ -41,7 +41,7 @@ from .runtime import discard, stored
 
 SIZE = 35
 #: Cells of a block of the sketch (as a power of two) while it is broadcast and beyond, bytes of text handled at once, anchors kept before their cells are given out.
-BLOCK, SHARD, STRETCH, HELD = 20, 26, 1 << 23, 1 << 20
+BLOCK, SHARD, STRETCH, HELD = 20, 26, 5 << 20, 1 << 20
 #: Windows of an anchor above which it is dealt out, and the most such anchors (beyond, only those with a larger share of all windows are).
 MANY, SPLIT = 1 << 12, 1 << 16
 
