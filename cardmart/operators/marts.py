@@ -366,6 +366,29 @@ def metric(df: DataFrame, numerator: Column, denominator: Column, by: Sequence[s
     return df.groupBy(*by).agg(rate(F.sum(numerator), F.sum(denominator)).alias(name))
 
 
+def segment_metrics(rows: DataFrame, period: str, attributes: Sequence[str]) -> DataFrame:
+    """Value, volume, active customers and mean amount per period and segment of each attribute, with the period before's value.
+
+    Rows are summed per customer before they are counted once for each attribute. An attribute without a value is UNKNOWN.
+    """
+    each = rows.groupBy(period, "customer_id", *attributes).agg(F.sum(F.abs("amount")).alias("v"), F.count(F.lit(1)).alias("n"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.coalesce(F.col(a).cast("string"), F.lit("UNKNOWN")).alias("segment")) for a in attributes)))
+    out = each.select(period, "customer_id", "v", "n", kinds.alias("k")).groupBy(period, "k.attribute", "k.segment").agg(F.sum("v").alias("total_value"), F.sum("n").alias("transaction_count"), F.countDistinct("customer_id").alias("active_customers"))
+    before = F.lag("total_value").over(Window.partitionBy("attribute", "segment").orderBy(period))
+    return out.withColumns({"average_amount": F.round(F.col("total_value").cast("double") / F.col("transaction_count"), 4), "previous_value": before})
+
+
+def before_after(fact: DataFrame, changes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Spend on the versions before and after a change (see scd2.changes) by columns of the fact, and its share of all such spend."""
+    side = lambda c, s: changes.select(F.col(c).alias("customer_key"), F.lit(s).alias("side"))
+    spend = F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0)
+    rows = fact.join(side("before_key", "before").unionByName(side("after_key", "after")), "customer_key")
+    sums = rows.groupBy(*by).agg(*(F.sum(F.when(F.col("side") == s, spend).otherwise(0)).alias(f"spend_{s}") for s in ("before", "after")))
+    total = sums.agg(*(F.sum(f"spend_{s}").alias(f"total_{s}") for s in ("before", "after")))
+    out = sums.crossJoin(F.broadcast(total))  # total is one row
+    return out.withColumns({f"share_{s}": rate(F.col(f"spend_{s}"), F.col(f"total_{s}")) for s in ("before", "after")}).drop("total_before", "total_after")
+
+
 def period_over_period(df: DataFrame, by: Sequence[str], period: str, value: str) -> DataFrame:
     """Value, the previous period's, the change, and the share of the period's total."""
     w = Window.partitionBy(*by).orderBy(period)

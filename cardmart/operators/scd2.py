@@ -62,6 +62,20 @@ def dimension(history: DataFrame, key: str, surrogate: str, unknown: dict | None
     return with_unknown(rows, surrogate, key, unknown or {})
 
 
+def single_version(current: DataFrame, key: str, surrogate: str, at: Column) -> DataFrame:
+    """A dimension of one version a key, open from a batch on, with a surrogate key of the key and that start."""
+    return current.select(
+        md5_key(F.col(key), at).alias(surrogate), *current.columns, at.alias("effective_from"), ntz(OPEN_END).alias("effective_to"), F.lit(True).alias("is_current"), F.lit(1).cast("short").alias("version_number")
+    )
+
+
+def changes(dim: DataFrame, key: str, surrogate: str, column: str) -> DataFrame:
+    """Versions in which a column differs from the version before: key, before_key, after_key, before, after."""
+    w = Window.partitionBy(key).orderBy("version_number")
+    rows = dim.select(key, F.lag(surrogate).over(w).alias("before_key"), F.col(surrogate).alias("after_key"), F.lag(column).over(w).alias("before"), F.col(column).alias("after"))
+    return rows.where(F.col("before_key").isNotNull() & ~F.col("before").eqNullSafe(F.col("after")))
+
+
 def with_unknown(dim: DataFrame, surrogate: str, key: str, values: dict, members: Sequence[str] = ("-1", "-2")) -> DataFrame:
     """The dimension and its Unknown and Not-Applicable members, typed like it."""
     spark = dim.sparkSession

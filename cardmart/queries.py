@@ -213,14 +213,23 @@ def unpivot_reference(spark: SparkSession, sf: str) -> DataFrame:
 # --- dimensions ----------------------------------------------------------------------------------------------
 
 
+def _fixed_holiday(x: str) -> str:
+    return f"CASE strftime({x}, '%m-%d') WHEN '01-01' THEN 'New Year''s Day' WHEN '07-04' THEN 'Independence Day' WHEN '11-11' THEN 'Veterans Day' WHEN '12-25' THEN 'Christmas Day' WHEN '06-19' THEN CASE WHEN year({x}) >= 2021 THEN 'Juneteenth National Independence Day' END END"
+
+
+_HOLIDAY = f"""coalesce({_fixed_holiday('x')}, CASE WHEN isodow(x) = 1 THEN CASE WHEN month(x) = 1 AND day(x) BETWEEN 15 AND 21 THEN 'Martin Luther King Jr. Day' WHEN month(x) = 2 AND day(x) BETWEEN 15 AND 21 THEN 'Washington''s Birthday'
+    WHEN month(x) = 5 AND day(x) >= 25 THEN 'Memorial Day' WHEN month(x) = 9 AND day(x) <= 7 THEN 'Labor Day' WHEN month(x) = 10 AND day(x) BETWEEN 8 AND 14 THEN 'Columbus Day' END WHEN isodow(x) = 4 AND month(x) = 11 AND day(x) BETWEEN 22 AND 28 THEN 'Thanksgiving Day' END,
+    CASE isodow(x) WHEN 1 THEN ({_fixed_holiday('x - INTERVAL 1 DAY')}) || ' (observed)' WHEN 5 THEN ({_fixed_holiday('x + INTERVAL 1 DAY')}) || ' (observed)' END)"""
+
+
 @query(
-    """WITH d AS (SELECT unnest(generate_series(date_trunc('year', min(o_orderdate)), max(o_orderdate), INTERVAL 1 DAY)) AS x FROM orders)
-    SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) AS date_key, CAST(dayofweek(x) + 1 AS INTEGER) AS day_of_week, CAST(day(x) AS INTEGER) AS day_of_month, CAST(dayofyear(x) AS INTEGER) AS day_of_year, CAST(weekofyear(x) AS INTEGER) AS week_of_year,
-    CAST(month(x) AS INTEGER) AS month, CAST(quarter(x) AS INTEGER) AS quarter, CAST(year(x) AS INTEGER) AS year, dayofweek(x) IN (0, 6) AS is_weekend FROM d"""
+    f"""WITH d AS (SELECT unnest(generate_series(date_trunc('year', min(o_orderdate)), max(o_orderdate), INTERVAL 1 DAY)) AS x FROM orders)
+    SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) AS date_key, CAST(CAST(x AS DATE) AS VARCHAR) AS full_date, CAST(dayofweek(x) + 1 AS INTEGER) AS day_of_week, CAST(day(x) AS INTEGER) AS day_of_month, CAST(dayofyear(x) AS INTEGER) AS day_of_year, CAST(weekofyear(x) AS INTEGER) AS week_of_year,
+    CAST(month(x) AS INTEGER) AS month, CAST(quarter(x) AS INTEGER) AS quarter, CAST(year(x) AS INTEGER) AS year, dayofweek(x) IN (0, 6) AS is_weekend, {_HOLIDAY} AS holiday_name, {_HOLIDAY} IS NOT NULL AS is_holiday FROM d"""
 )
 def dim_calendar(spark: SparkSession, sf: str) -> DataFrame:
     first, last = retail.table(spark, sf, "orders").agg(F.min(F.trunc("o_orderdate", "year")), F.max(F.to_date("o_orderdate"))).first()
-    return marts.dim_calendar(spark, first, last).drop("full_date", "holiday_name", "is_holiday")
+    return _text(marts.dim_calendar(spark, first, last), "full_date")
 
 
 @query(
@@ -263,6 +272,16 @@ def scd2_dim(spark: SparkSession, sf: str) -> DataFrame:
     return _text(card_dim(spark, sf).fillna({"has_chip": False, "num_cards_issued": 0}), "effective_from", "effective_to")
 
 
+@query(
+    f"""SELECT md5(account_id || '||' || '1995-01-01 00:00:00') AS account_key, account_id, [{_BRANDS}][c_custkey % 4 + 1] AS card_brand, c_custkey % 2 = 0 AS has_chip, 1 AS num_card_issue, '1995-01-01 00:00:00' AS effective_from,
+    '9999-12-31 23:59:59' AS effective_to, TRUE AS is_current, 1 AS version_number FROM (SELECT *, c_custkey || '-' || n AS account_id FROM customer, (VALUES (0), (1), (2)) t(n))"""
+)
+def account_dim(spark: SparkSession, sf: str) -> DataFrame:
+    state = retail.card_state(spark, sf, False).select(F.col("card_id").alias("account_id"), "card_brand", "has_chip", F.col("num_cards_issued").alias("num_card_issue"))
+    rows = scd2.single_version(state, "account_id", "account_key", F.lit(f"{retail.STATE_A} 00:00:00").cast("timestamp_ntz"))
+    return _text(rows.withColumn("version_number", F.col("version_number").cast("int")), "effective_from", "effective_to")
+
+
 _BROKEN = """SELECT card_id, CASE WHEN version_number = 1 AND NOT is_current AND customer_id::BIGINT % 2 = 0 THEN effective_to + INTERVAL 1 DAY WHEN version_number = 1 AND NOT is_current THEN effective_to - INTERVAL 1 DAY ELSE effective_to END AS effective_to, effective_from, is_current FROM ddim"""
 
 
@@ -593,6 +612,44 @@ def before_after(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(pairs, "customer_id").groupBy("before_bracket", "after_bracket").agg(F.countDistinct("customer_id").alias("customers"), on("k1").alias("spend_before"), on("k2").alias("spend_after"))
 
 
+_SEGMENTS = """SELECT year, attribute, segment, CAST(v AS DOUBLE) AS total_value, n AS transaction_count, c AS active_customers, round(CAST(v AS DOUBLE) / n, 4) AS average_amount,
+    CAST(lag(v) OVER (PARTITION BY attribute, segment ORDER BY year) AS DOUBLE) AS previous_value
+    FROM (SELECT year, attribute, segment, sum(abs(amount)) AS v, count(*) AS n, count(DISTINCT customer_id) AS c FROM tall GROUP BY 1, 2, 3)"""
+_TALL = " UNION ALL ".join(
+    f"SELECT CAST(year(ts) AS INTEGER) AS year, '{a}' AS attribute, {e} AS segment, amount, f.customer_id FROM fact f LEFT JOIN cdim c USING (customer_key)"
+    for a, e in (("income_bracket", "coalesce(f.income_bracket, 'UNKNOWN')"), ("gender", "CASE WHEN CAST(f.customer_id AS BIGINT) % 2 = 0 THEN 'FEMALE' ELSE 'MALE' END"), ("nation", "coalesce(CAST(c.nation AS VARCHAR), 'UNKNOWN')"), ("retirement", "CASE WHEN age >= 50 THEN 'RETIRED' WHEN age < 50 THEN 'WORKING' ELSE 'UNKNOWN' END"))
+)
+
+
+@query(_sql("fact", _SEGMENTS, {"tall": _TALL}))
+def segment_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments as they were at the time of each transaction; the age of retirement is 50, as the customers are young."""
+    d = customer_dim(spark, sf)
+    f = marts.fact_transactions(retail.transactions(spark, sf), d, card_dim(spark, sf)).join(d.select("customer_key", "income_bracket", "nation"), "customer_key", "left")
+    gender = F.when(F.col("customer_id").cast("long") % 2 == 0, "FEMALE").otherwise("MALE")
+    rows = f.withColumns({"year": F.year("ts"), "gender": gender, "retirement": clean.retirement_segment(F.col("customer_age_at_transaction"), 50)})
+    return _double(marts.segment_metrics(rows, "year", ["income_bracket", "gender", "nation", "retirement"]), "total_value", "previous_value")
+
+
+def _moved(spark: SparkSession, sf: str) -> DataFrame:
+    """The customer dimension with the nation tracked: every fourth customer moves to the next one with the second state."""
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    state = retail.customer_state(spark, sf, False)
+    later = state.withColumn("nation", F.when(F.col("customer_id").cast("long") % 4 == 0, (F.col("nation") + 1) % 25).otherwise(F.col("nation")).cast(state.schema["nation"].dataType))
+    history = scd2.snapshot(scd2.snapshot(None, state, "customer_id", ["nation"], at(retail.STATE_A)), later, "customer_id", ["nation"], at(retail.STATE_B))
+    return scd2.dimension(history, "customer_id", "customer_key")
+
+
+@query(_sql("txn", """SELECT mcc, CAST(b AS DOUBLE) AS spend_before, CAST(a AS DOUBLE) AS spend_after, round(CAST(b AS DOUBLE) / nullif(CAST(sum(b) OVER () AS DOUBLE), 0), 6) AS share_before, round(CAST(a AS DOUBLE) / nullif(CAST(sum(a) OVER () AS DOUBLE), 0), 6) AS share_after
+    FROM (SELECT mcc, sum(CASE WHEN ts < TIMESTAMP '1998-01-01' AND amount < 0 THEN -amount ELSE 0 END) AS b, sum(CASE WHEN ts >= TIMESTAMP '1998-01-01' AND amount < 0 THEN -amount ELSE 0 END) AS a
+    FROM txn JOIN customer ON customer_id = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 4 = 0 GROUP BY mcc)"""))
+def relocation_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Spend by category of the customers who moved, before and after."""
+    d = _moved(spark, sf)
+    f = scd2.as_of(retail.transactions(spark, sf), d, "customer_id", "customer_id", F.col("ts"), {"customer_key": "customer_key"})
+    return _double(marts.before_after(f, scd2.changes(d, "customer_id", "customer_key", "nation"), ["mcc"]), "spend_before", "spend_after")
+
+
 @query(_sql("txn", """SELECT CAST(year(day) AS INTEGER) AS year, mcc, CAST(sum(abs(amount)) AS DOUBLE) AS volume, round(CAST(sum(abs(amount)) AS DOUBLE) / CAST(sum(sum(abs(amount))) OVER (PARTITION BY year(day)) AS DOUBLE), 6) AS share,
     lag(CAST(sum(abs(amount)) AS DOUBLE)) OVER (PARTITION BY mcc ORDER BY year(day)) AS previous FROM txn GROUP BY year(day), mcc"""))
 def share_of_wallet(spark: SparkSession, sf: str) -> DataFrame:

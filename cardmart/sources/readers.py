@@ -72,15 +72,20 @@ def _nth(month: int, weekday: int, n: int, year: Column) -> Column:
 
 
 def us_holidays(years: DataFrame, year: str = "year") -> DataFrame:
-    """full_date and holiday_name of the federal holidays; one on a weekend is observed on the nearest weekday too."""
+    """full_date and holiday_name of the federal holidays; one on a weekend is observed on the nearest weekday too.
+
+    A New Year's Day on a Saturday is observed in the year before, also where its own year is not asked for.
+    """
     y = F.col(year)
     fixed = lambda m, d: F.make_date(y, F.lit(m), F.lit(d))
     rules = {
         "New Year's Day": fixed(1, 1), "Martin Luther King Jr. Day": _nth(1, 0, 3, y), "Washington's Birthday": _nth(2, 0, 3, y), "Memorial Day": _nth(5, 0, -1, y),
-        "Juneteenth": F.when(y >= 2021, fixed(6, 19)), "Independence Day": fixed(7, 4), "Labor Day": _nth(9, 0, 1, y), "Columbus Day": _nth(10, 0, 2, y),
+        "Juneteenth National Independence Day": F.when(y >= 2021, fixed(6, 19)), "Independence Day": fixed(7, 4), "Labor Day": _nth(9, 0, 1, y), "Columbus Day": _nth(10, 0, 2, y),
         "Veterans Day": fixed(11, 11), "Thanksgiving Day": _nth(11, 3, 4, y), "Christmas Day": fixed(12, 25),
     }
-    rows = years.select(y).distinct().select(F.explode(F.array(*(F.struct(d.alias("full_date"), F.lit(n).alias("holiday_name")) for n, d in rules.items()))).alias("h")).select("h.*").where("full_date is not null")
+    named = [*rules.items(), ("New Year's Day", F.make_date(y + 1, F.lit(1), F.lit(1)))]
+    every = F.explode(F.array(*(F.struct(d.alias("full_date"), F.lit(n).alias("holiday_name")) for n, d in named)))
+    rows = years.select(y).distinct().select(y.alias("_y"), every.alias("h")).select("_y", "h.*").where("full_date is not null")
     shift = F.when(F.dayofweek("full_date") == 7, -1).when(F.dayofweek("full_date") == 1, 1)
-    observed = rows.where(shift.isNotNull()).select(F.date_add("full_date", shift).alias("full_date"), F.concat("holiday_name", F.lit(" (observed)")).alias("holiday_name"))
-    return rows.unionByName(observed).groupBy("full_date").agg(F.min("holiday_name").alias("holiday_name"))
+    observed = rows.where(shift.isNotNull()).select("_y", F.date_add("full_date", shift).alias("full_date"), F.concat("holiday_name", F.lit(" (observed)")).alias("holiday_name"))
+    return rows.unionByName(observed).where(F.year("full_date") == F.col("_y")).groupBy("full_date").agg(F.min("holiday_name").alias("holiday_name"))

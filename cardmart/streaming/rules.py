@@ -41,11 +41,39 @@ def unusual_pattern_stream(stream: DataFrame, profile: DataFrame, factor: float
     return counts.join(profile, ["customer_id", "hour"]).where(F.col("n") > factor * F.col("usual"))
 
 
+def spending_stream(stream: DataFrame, profile: DataFrame, factor: float = 3.0, late: str = "10 minutes") -> DataFrame:
+    """BR001: days on which a customer spends more than factor times the daily mean of its profile (customer_id, daily_mean)."""
+    spent = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "customer_id").agg(F.sum(F.abs(F.col("amount").cast("double"))).alias("spent"))
+    return spent.join(profile.select("customer_id", "daily_mean"), "customer_id").where(F.col("spent") > factor * F.col("daily_mean"))
+
+
+def merchant_stream(stream: DataFrame, profile: DataFrame, volume: float = 3.0, failures: float = 2.0, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
+    """MR001, MR002: windows in which a merchant's volume or failure rate exceeds so many times its profile's (merchant_profile())."""
+    counts = stream.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes"), "merchant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    rows = counts.join(profile, "merchant_id").withColumns({"MR001": F.col("n") > volume * F.col("usual"), "MR002": F.col("failed") > failures * F.col("failure_rate") * F.col("n")})
+    return rows.where("MR001 OR MR002")
+
+
+def new_card_stream(stream: DataFrame, known: DataFrame, share: float = 0.5, least: int = 2, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
+    """MR003: windows of a merchant in which more than a share of the cards are not among those it has met (known: merchant_id, card_id)."""
+    met = known.select("merchant_id", "card_id").distinct().withColumn("_met", F.lit(True))
+    rows = stream.withWatermark("ts", late).join(met, ["merchant_id", "card_id"], "left")
+    sets = F.collect_set("card_id"), F.collect_set(F.when(F.col("_met").isNull(), F.col("card_id")))
+    counts = rows.groupBy(F.window("ts", f"{minutes} minutes"), "merchant_id").agg(*(F.size(s).alias(n) for s, n in zip(sets, ("cards", "new_cards"), strict=True)))
+    return counts.where((F.col("cards") >= least) & (F.col("new_cards") > share * F.col("cards")))
+
+
 def against_profile(stream: DataFrame, profile: DataFrame, key: str, hit: Column) -> DataFrame:
     """Transactions that exceed a static daily profile (a stream-static join)."""
     return stream.join(profile, key).where(hit)
 
 
+def merchant_profile(txn: DataFrame, minutes: int = 5) -> DataFrame:
+    """merchant_id, its mean count of a bucket with transactions (usual), and its failure rate."""
+    counts = _buckets(txn, minutes).groupBy("merchant_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    return counts.groupBy("merchant_id").agg(F.avg("n").alias("usual"), (F.sum("failed") / F.sum("n")).alias("failure_rate"))
+
+
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
@@ -74,11 +102,14 @@ def daily_profile(txn: DataFrame, key: str) -> DataFrame:
     )
 
 
-#: What each rule asks of a transaction joined with a profile of its key (AR003 and GR002: with limit and home of the customer).
+#: What each rule asks of a transaction joined with a profile of its key (AR001: over the last 30 days; AR003, GR002 and GR003: with limit,
+#: home and states met of the customer).
 RULES = {
+    "AR001": lambda: F.abs(F.col("amount").cast("double")) > 3 * F.col("mean_amount"),
     "AR002": lambda: F.abs(F.col("amount").cast("double")) > F.col("p95_amount"),
     "AR003": lambda: F.abs(F.col("amount").cast("double")) > 0.8 * F.col("credit_limit"),
     "GR002": lambda: F.col("state") != F.col("home"),
+    "GR003": lambda: ~F.array_contains("states", F.col("state")),
     "BR002": lambda: ~F.array_contains("categories", F.col("mcc")),
 }
 

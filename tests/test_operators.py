@@ -157,6 +157,7 @@ def test_checks(spark):
 def test_holidays(spark):
     days = {r.full_date: r.holiday_name for r in readers.us_holidays(spark.createDataFrame([(2021,)], ["year"])).collect()}
     assert days[dt.date(2021, 11, 25)] == "Thanksgiving Day" and days[dt.date(2021, 7, 5)].endswith("(observed)")
+    assert days[dt.date(2021, 12, 31)] == "New Year's Day (observed)" and dt.date(2022, 1, 1) not in days
     assert days[dt.date(2021, 5, 31)] == "Memorial Day" and days[dt.date(2021, 1, 18)].startswith("Martin")
 
 
@@ -281,6 +282,21 @@ def test_rule_streams(spark, tmp_path):
         got = streamed(spark, tmp_path, rows, schema, lambda s, r=rule: rules.against(s, profile, "customer_id", r), f"rule_{rule}")
         twin = rules.against(spark.createDataFrame(rows, schema), profile, "customer_id", rule).count()
         assert len(got) == twin == n, rule
+    profile = spark.createDataFrame([("c", 10.0, 50.0, ["s0"])], "customer_id string, mean_amount double, daily_mean double, states array<string>")
+    for rule, n in {"AR001": 2, "GR003": 2}.items():
+        assert len(streamed(spark, tmp_path, rows, schema, lambda s, r=rule: rules.against(s, profile, "customer_id", r), f"rule_{rule}")) == n, rule
+    for factor, n in ((2.9, 1), (3.0, 0)):  # 150 on the day, 50 as a rule
+        spent = streamed(spark, tmp_path, rows, schema, lambda s, f=factor: rules.spending_stream(s, profile, f), f"spending_{n}")
+        assert [r.spent for r in spent] == [150.0] * n
+    busy = [("c", f"k{i}", "m", "1", 1.0, i < 2, "s", base + dt.timedelta(seconds=20 * i)) for i in range(7)]
+    past = [("c", f"k{i}", "m", "1", 1.0, i == 0, "s", base - dt.timedelta(days=1, minutes=5 * i)) for i in range(3)]
+    seen = spark.createDataFrame(past, schema)
+    hits = streamed(spark, tmp_path, busy, schema, lambda s: rules.merchant_stream(s, rules.merchant_profile(seen)), "merchants")
+    assert [(r.n, r.failed, r.MR001, r.MR002) for r in hits] == [(7, 2, True, False)]  # three buckets of one, a third failed
+    hits = streamed(spark, tmp_path, busy, schema, lambda s: rules.merchant_stream(s, rules.merchant_profile(seen), 9.0, 0.8), "failures")
+    assert [(r.MR001, r.MR002) for r in hits] == [(False, True)]
+    fresh = streamed(spark, tmp_path, busy, schema, lambda s: rules.new_card_stream(s, seen), "fresh")
+    assert [(r.cards, r.new_cards) for r in fresh] == [(7, 4)]
     usual = spark.createDataFrame([("c", 10, 1.0)], "customer_id string, hour int, usual double")
     pattern = streamed(spark, tmp_path, rows, schema, lambda s: rules.unusual_pattern_stream(s, usual), "pattern")
     assert [(r.customer_id, r.n) for r in pattern] == [("c", 5)]
