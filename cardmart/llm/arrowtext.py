@@ -49,7 +49,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 #: Bytes that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -436,24 +436,29 @@ def _grouped(by: str, last: bool):
 
 
 def _cut(size: int):
+    step = np.arange(32)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-                words = text.encode().split()
-                n, gone = len(words), 0
-                if spans:
-                    first, mask = np.array([(s["first"], s["mask"]) for s in spans], np.int64).T
-                    row, bit = np.nonzero((mask[:, None] >> np.arange(32)) & 1)
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, first[row] + bit, 1)
-                    np.add.at(edge, first[row] + bit + size, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = list(compress(words, stays.tolist()))
-                    gone = n - len(words)
-                out.append((doc, n, gone, b" ".join(words).decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "text"])
+            for at, rows in row_slices(batch.column("text"), STRETCH):
+                doc, text, spans = (batch.column(c).slice(at, rows) for c in ("doc_id", "text", "spans"))
+                first, mask = (c.to_numpy(zero_copy_only=False) for c in spans.flatten().flatten())
+                bounds = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                out: list[tuple] = []
+                for k, (name, value) in enumerate(zip(doc.to_pylist(), text, strict=True)):
+                    words = value.as_buffer().to_pybytes().split()
+                    n, gone = len(words), 0
+                    here = slice(bounds[k], bounds[k + 1])
+                    if here.start < here.stop:
+                        row, bit = np.nonzero((mask[here, None] >> step) & 1)
+                        opens = first[here][row] + bit
+                        edge = np.bincount(opens, minlength=n + 1) - np.bincount(opens + size, minlength=n + 1)
+                        stays = np.cumsum(edge[:-1]) == 0
+                        words = list(compress(words, stays.tolist()))
+                        gone = n - len(words)
+                    out.append((name, n, gone, b" ".join(words).decode()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "text"])
 
     return run
 
