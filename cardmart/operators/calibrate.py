@@ -71,7 +71,9 @@ def dispersion(totals: DataFrame, floors: Sequence[int]) -> DataFrame:
     base = rows.groupBy("floor").agg((F.sum("failed") / F.sum("n")).alias("b"))
     e = F.col("n") * F.col("b")
     out = rows.join(F.broadcast(base), "floor").groupBy("floor").agg(F.sum(F.when(e > 0, F.pow(F.col("failed") - e, 2) / e)).alias("x"), (F.count(F.lit(1)) - 1).alias("degrees"))
-    return out.select("floor", "degrees", F.round("x", 4).alias("chi_square"), F.round(F.col("x") / F.nullif(F.col("degrees"), F.lit(0)), 4).alias("dispersion"))
+    # rounded twice: the order of a sum of doubles must not decide a half
+    kept = lambda c: F.round(F.round(c, 8), 4)
+    return out.select("floor", "degrees", kept(F.col("x")).alias("chi_square"), kept(F.col("x") / F.nullif(F.col("degrees"), F.lit(0))).alias("dispersion"))
 
 
 def shared_keys(df: DataFrame, key: str, owner: str) -> DataFrame:

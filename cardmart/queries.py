@@ -576,8 +576,8 @@ def cal_head(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _sql("tot", f"""SELECT x.floor, CAST(count(*) - 1 AS BIGINT) AS degrees, round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END), 4) AS chi_square,
-    round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END) / nullif(count(*) - 1, 0), 4) AS dispersion FROM x JOIN (SELECT floor, sum(failed) / sum(n) AS b FROM x GROUP BY floor) y USING (floor) GROUP BY x.floor""",
+    _sql("tot", f"""SELECT x.floor, CAST(count(*) - 1 AS BIGINT) AS degrees, round(round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END), 8), 4) AS chi_square,
+    round(round(sum(CASE WHEN b > 0 THEN (failed - n * b) ** 2 / (n * b) END) / nullif(count(*) - 1, 0), 8), 4) AS dispersion FROM x JOIN (SELECT floor, sum(failed) / sum(n) AS b FROM x GROUP BY floor) y USING (floor) GROUP BY x.floor""",
     {"x": f"SELECT f AS floor, n, failed FROM (VALUES {_GRID}) g(f) JOIN tot ON n >= f"})
 )
 def cal_dispersion(spark: SparkSession, sf: str) -> DataFrame:
