@@ -7,8 +7,8 @@ fullest closes first. Tasks pack on their own, so no row is shuffled and no key
 task leaves part-filled is at most its open bins.
 
 Defined results: null text counts as the empty text, whose only token is the end id; repeated rows and
-equal lengths are packed like others, in input order; an empty table gives no pieces; other columns are
-not read.
+equal lengths are packed like others, in input order; very long texts are encoded whole, whatever they are made of; an empty
+table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,25 +32,41 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*").fullmatch
 AHEAD = 512
 
 
+#: Characters of white space in a row that the rank encoder is given at most: its pattern looks ahead from each of them, on a stack.
+BLANKS = 10_000
+_RUNS = re.compile(r"\s{100,}").findall
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class Encoder:
     """Ids as the tokenizer file gives them, as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
+        """added: whether the strings of added tokens get these tokens' ids; else they are plain text."""
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)").search
-        # the byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from 256 on
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+        self.library.encode_special_tokens = not added
+        tokens = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(tokens) or "(?!)").search
+        byte = byte_alphabet()
         # ids of this vocabulary stand in the order of its merges, so they are the ranks of the merges too
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
         self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def ranks_serve(self, text: str) -> bool:
+        """Not for code points outside PLAIN, whose character classes may differ in the tokenizer library, added tokens, and very long runs of white space."""
+        return bool(PLAIN(text)) and not self.added(text) and (len(text) <= BLANKS or max(map(len, _RUNS(text)), default=0) <= BLANKS)
+
     def __call__(self, text: str) -> bytes:
-        """Texts with code points outside PLAIN go to the tokenizer library itself, as its character classes may differ there, and so do those with an added token."""
-        ids = self.ranked.encode_ordinary(text) if PLAIN(text) and not self.added(text) else self.library.encode(text, add_special_tokens=False).ids
+        """Texts that the ranks do not serve go to the tokenizer library itself."""
+        ids = self.ranked.encode_ordinary(text) if self.ranks_serve(text) else self.library.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
 
