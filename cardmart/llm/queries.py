@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, line_dedup, packing, pii, quality, rules, sentencepiece_bpe, simhash, substring_dedup, toxicity
+from . import alignment, exact_dedup, hard_negatives, line_dedup, minhash, packing, pii, quality, rules, sentencepiece_bpe, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +84,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op9_toxicity, op10_sentencepiece, op12_token_alignment)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_simhash, op6_quality_rules, op6b_rule_ablations, op7_line_dedup, op8_best_fit_packing, op9_toxicity, op10_sentencepiece, op11_minhash, op12_token_alignment, op13_hard_negatives)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
@@ -157,3 +165,32 @@ ORACLE_SQL["op7_line_dedup"] = rf"""
         FROM l LEFT JOIN dropped USING (host))
     SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(rest) AS BIGINT) AS n_dropped,
            coalesce(array_to_string(rest, chr(10)), '') AS text FROM k"""
+ORACLE_SQL["op11_minhash"] = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w),
+    node AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+    item AS (SELECT node, n, unnest(s) AS x FROM node),
+    pair AS (
+        SELECT a.node AS a, b.node AS b FROM item a JOIN item b ON a.x = b.x AND a.node < b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+        GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+    reach(node, seen) AS (SELECT node, node FROM node UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.seen),
+    root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+    SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
+    FROM sets d LEFT JOIN node ON node.s = d.s LEFT JOIN root r USING (node)"""
+ORACLE_SQL["op13_hard_negatives"] = r"""
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    score AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    pos AS (SELECT * FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other_id) <= 5),
+    neg AS (
+        SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.s AS positive_score, n.s AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.s DESC, n.other_id) AS rank
+        FROM pos p JOIN score n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3"""
