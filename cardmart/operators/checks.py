@@ -52,6 +52,28 @@ def bridge_gaps(fact: DataFrame, bridge: DataFrame, key: str, flagged: str) -> D
     return lost.unionByName(bare)
 
 
+def not_current(bridge: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Rows of a bridge whose key is not that of a current version."""
+    return bridge.join(dim.where("is_current").select(key).distinct(), key, "left_anti")
+
+
+def incomplete(report: DataFrame, first: dt.date, days: int, column: str = "window_day_count", day: str = "date_key") -> DataFrame:
+    """Rows whose window is not whole although the history is long enough on their day (day: a date or a yyyymmdd key)."""
+    on = F.col(day) if dict(report.dtypes)[day] == "date" else F.to_date(F.col(day).cast("string"), "yyyyMMdd")
+    return report.where((on >= F.lit(first + dt.timedelta(days=days - 1))) & (F.col(column) != days))
+
+
+def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have all their keys."""
+    return df.dropna(subset=list(keys))
+
+
+def unpivoted(df: DataFrame, name: str = "key", value: str = "value") -> DataFrame:
+    """The columns of a wide object as rows of name and value (as text); columns without a value are left out."""
+    text = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+    return text.unpivot([], text.columns, name, value).where(F.col(value).isNotNull())
+
+
 def band(df: DataFrame, day: str, hit: Column, low: float, high: float) -> DataFrame:
     """Days on which the share of hits leaves a band."""
     share = F.round(F.count_if(hit) / F.count(F.lit(1)), 6)
@@ -68,8 +90,8 @@ def not_uniform(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, part: str, measures: Sequence[str]) -> DataFrame:
-    """Row count, sums and extremes of each partition, to compare two runs."""
-    sums = [F.sum(F.col(m).cast("double")).alias(f"sum_{m}") for m in measures]
+    """Row count, sums and extremes of each partition, to compare two runs. Decimals are summed as such, so that the order of rows does not matter."""
+    sums = [F.sum(F.col(m)).cast("double").alias(f"sum_{m}") for m in measures]
     return df.groupBy(part).agg(F.count(F.lit(1)).alias("row_count"), *sums, *(F.min(F.col(m).cast("double")).alias(f"min_{m}") for m in measures), *(F.max(F.col(m).cast("double")).alias(f"max_{m}") for m in measures))
 
 

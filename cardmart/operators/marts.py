@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..functions import clean
 from ..sources import readers
 from . import rolling, scd2
 from .sinks import written
+from .window_state import TrailingState
 
 SENTINELS = ("-1", "-2")
 #: Report parameters: trailing days, least transactions, rate above which a merchant is abnormal.
@@ -47,11 +49,11 @@ def dim_category(codes: DataFrame) -> DataFrame:
     return rows.unionByName(rows.sparkSession.createDataFrame([("-1", "UNKNOWN"), ("-2", "NOT APPLICABLE")], rows.schema))
 
 
-def reference_codes(df: DataFrame, column: str, name: str) -> DataFrame:
+def reference_codes(df: DataFrame, column: str, name: str, key: Callable[[Column], Column] = clean.short_key) -> DataFrame:
     """Distinct values of a column with short keys; a null or empty list of codes is key 0."""
     codes = df.select(F.explode_outer(column).alias(name)) if dict(df.dtypes)[column].startswith("array") else df.select(F.col(column).alias(name))
     codes = codes.select(F.coalesce(clean.blank_to_null(F.col(name)), F.lit("No Error")).alias(name)).distinct()
-    return codes.withColumn(f"{name}_key", F.when(F.col(name) == "No Error", F.lit(0).cast("short")).otherwise(clean.short_key(F.col(name))))
+    return codes.withColumn(f"{name}_key", F.when(F.col(name) == "No Error", F.lit(0).cast("short")).otherwise(key(F.col(name))))
 
 
 def fact_transactions(txn: DataFrame, customers: DataFrame, cards: DataFrame, resolve: str = "as_of") -> DataFrame:
@@ -70,6 +72,46 @@ def fact_transactions(txn: DataFrame, customers: DataFrame, cards: DataFrame, re
     return out.withColumn("customer_age_at_transaction", clean.age_at(ts, F.col("birth_year"))).drop("birth_year")
 
 
+def normalised(c: Column) -> Column:
+    """A join key as text: trimmed, in capitals, null where nothing is left."""
+    return F.upper(clean.blank_to_null(c.cast("string")))
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A dimension, the columns of the fact and of the dimension that have to agree, and the key that the fact gets."""
+
+    dim: DataFrame
+    fact_columns: Sequence[str]
+    dim_columns: Sequence[str]
+    key: str
+
+
+def star(rows: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """Rows with the key of each dimension by normalised columns; null where there is none. A dimension with a version flag counts with its current versions only.
+
+    Of several entries of a dimension with the same normalised columns the least key counts, so no row is multiplied.
+    """
+    out = rows
+    for n, x in enumerate(lookups):
+        names = [f"_{n}_{k}" for k in range(len(x.dim_columns))]
+        dim = x.dim.where("is_current") if "is_current" in x.dim.columns else x.dim
+        dim = dim.select(*(normalised(F.col(c)).alias(m) for c, m in zip(x.dim_columns, names, strict=True)), F.col(x.key).alias(f"_{n}_key"))
+        dim = dim.dropna(subset=names).groupBy(*names).agg(F.min(f"_{n}_key").alias(f"_{n}_key"))
+        same = [normalised(F.col(c)) == F.col(m) for c, m in zip(x.fact_columns, names, strict=True)]
+        out = out.join(dim, same, "left").withColumn(x.key, F.col(f"_{n}_key")).drop(*names, f"_{n}_key")
+    return out
+
+
+def legacy_fact(txn: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """The fact with the keys of all its dimensions as they are now, nulls kept; of several errors of a transaction the first counts.
+
+    txn: transaction_id, ts, amount, zip, errors, and the columns of the lookups (first_error for the errors).
+    """
+    rows = txn.withColumns({"date_key": clean.date_key(F.col("ts")), "time_key": clean.time_key(F.col("ts")), "first_error": F.coalesce(F.get("errors", F.lit(0)), F.lit("No Error"))})
+    return star(rows, lookups).select("transaction_id", "date_key", "time_key", *(x.key for x in lookups), F.col("amount").alias("transaction_amount"), F.col("zip").alias("zip_code"))
+
+
 def complete_fact(txn: DataFrame, customers: DataFrame, cards: DataFrame, geo: DataFrame, categories: DataFrame, dates: DataFrame, times: DataFrame) -> DataFrame:
     """Transactions with the keys of all seven dimensions: unresolved customers, cards, places and categories are -1.
 
@@ -177,21 +219,39 @@ def at_day_end(rows: DataFrame, dim: DataFrame) -> DataFrame:
     return scd2.as_of(rows, dim, "customer_id", "customer_id", end, {"customer_key": "customer_key"})
 
 
-def customer_activity(txn: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, customers: DataFrame | None = None, last_seen: DataFrame | None = None) -> DataFrame:
+def version_ranges(dim: DataFrame, key: str, surrogate: str) -> DataFrame:
+    """Ranges of days on whose end each version holds, and those between versions (surrogate null), from the first day to an open end."""
+    v = dim.where(~F.col(key).isin(*SENTINELS)).select(key, F.col(surrogate), F.to_date("effective_from").alias("day"), F.to_date("effective_to").alias("until")).where("day < until")
+    w = Window.partitionBy(key).orderBy("day")
+    v = v.withColumns({"_next": F.lead("day").over(w), "_before": F.lag("until").over(w)})
+    none = F.lit(None).cast(dim.schema[surrogate].dataType).alias(surrogate)
+    held = v.select(key, surrogate, "day", "until")
+    after = v.where("_next IS NULL OR _next > until").select(key, none, F.col("until").alias("day"), F.col("_next").alias("until"))
+    first = v.where("_before IS NULL").select(key, none, F.lit("0001-01-01").cast("date").alias("day"), F.col("day").alias("until"))
+    return held.unionByName(after).unionByName(first)
+
+
+def customer_activity(txn: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, customers: DataFrame | None = None, last_seen: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
     """A row per customer and day from the first transaction on; customers: a dimension, for the key that holds at the day's end.
 
     batch: that day alone, from the rows of its window; only the last day of each customer is older, and last_seen
-    (customer_id, last_day up to the batch day) spares reading the history for it.
+    (customer_id, last_day up to the batch day) spares reading the history for it. state: the day's kept totals of ACTIVITY, instead of both.
     """
+    key: list[str] = []
     if batch is None:
         first, last = rolling.bounds(txn)
-        rows = rolling.written_out(customer_steps(txn, days), first, last)
+        steps = customer_steps(txn, days)
+        if customers is not None:  # a step and a version meet before days are written out: the join follows events
+            steps = rolling.meeting(steps, version_ranges(customers, "customer_id", "customer_key"), ["customer_id"], "left")
+            steps, customers, key = steps.withColumn("customer_key", F.coalesce("customer_key", F.lit("-1"))), None, ["customer_key"]
+        rows = rolling.written_out(steps, first, last)
+    elif state is not None:
+        rows = state.withColumn("day", F.lit(batch))
     else:
         known = trailing_window(txn, batch, days).where(~F.col("customer_id").isin(*SENTINELS))
         seen = last_seen if last_seen is not None else txn.where(~F.col("customer_id").isin(*SENTINELS) & (F.col("day") <= F.lit(batch))).groupBy("customer_id").agg(F.max("day").alias("last_day"))
         counts = known.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(~F.col("card_id").isin(*SENTINELS), F.col("card_id"))).alias("cards"))
         rows = seen.join(counts, "customer_id", "left").fillna(0, subset=["n", "cards"]).withColumn("day", F.lit(batch))
-    key = []
     if customers is not None:
         rows, key = at_day_end(rows, customers), ["customer_key"]
     return rows.select(
@@ -244,29 +304,33 @@ def active_steps(txn: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS) -> D
     return rolling.steps_from_deltas(_range_deltas(rows, SEGMENT, names), SEGMENT, names)
 
 
-def _portfolio_day(txn: DataFrame, cards: DataFrame, batch: dt.date, days: int) -> tuple[DataFrame, DataFrame]:
+def _portfolio_day(txn: DataFrame, cards: DataFrame, batch: dt.date, days: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Issued and active cards per segment on one day, from the versions of its end and the rows of its window."""
     versions = version_days(cards).where((F.col("v_from") <= F.lit(batch)) & (F.col("v_to") > F.lit(batch)))
     again = F.col("num_cards_issued") - 1
     counts = [F.count_if(again == 0).alias("r0"), F.count_if(again == 1).alias("r1"), F.count_if(again >= 2).alias("r2"), F.sum(again).alias("reissues")]
     issued = versions.groupBy(clean.chip_segment(F.col("has_chip")).alias("chip_segment"), "card_brand").agg(F.count(F.lit(1)).alias("issued"), *counts)
-    per_card = trailing_window(txn, batch, days).select(_card(), "is_error").groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+    if state is not None:
+        per_card = state.where("n > 0").select("card_id", "n", "failed")
+    else:
+        per_card = trailing_window(txn, batch, days).select(_card(), "is_error").groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
     both = per_card.join(versions.select("card_id", "has_chip", "card_brand", "v_from"), "card_id", "left").select(*_segmented(), "n", "failed")
     active = both.groupBy(*SEGMENT).agg(*(F.sum(c).alias(c) for c in ("active", "n", "failed")))
     return tuple(d.withColumn("day", F.lit(batch)) for d in (issued, active))
 
 
-def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, first: dt.date | None = None) -> DataFrame:
+def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, first: dt.date | None = None, state: DataFrame | None = None) -> DataFrame:
     """A row per day and segment: issued, active and reissued cards, trailing transactions.
 
-    batch: that day alone, from the rows of its window; first: the first day of the history, where the caller knows it.
+    batch: that day alone, from the rows of its window, or from the day's kept totals of PORTFOLIO (state); first: the first day of the history, where
+    the caller knows it.
     """
     if batch is None:
         first, last = rolling.bounds(txn)
         issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(txn, cards, days), first, last)
     else:
         first = first or rolling.bounds(txn)[0]
-        issued, active = _portfolio_day(txn, cards, batch, days)
+        issued, active = _portfolio_day(txn, cards, batch, days, state)
     out = issued.join(active, ["day", *SEGMENT], "full")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
@@ -282,11 +346,15 @@ def rate(a: Column, b: Column) -> Column:
 
 
 def primary_category(daily: DataFrame, qualified: DataFrame, start: dt.date, end: dt.date, days: int) -> DataFrame:
-    """merchant_id, day, primary_mcc (most transactions of the window, then the smallest) and distinct_mcc_count."""
-    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily.select("merchant_id", "mcc", "day", "n"), ["merchant_id", "mcc"], ["n"], days), ["merchant_id", "mcc"], ["n"]).where("n > 0")
-    steps = steps.join(qualified.select("merchant_id").distinct(), "merchant_id", "left_semi")
-    rows = rolling.written_out(steps, start, end).join(qualified.select("merchant_id", "day"), ["merchant_id", "day"], "left_semi")
-    return rows.groupBy("merchant_id", "day").agg(F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top"), F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).select("merchant_id", "day", F.col("top.mcc").alias("primary_mcc"), "distinct_mcc_count")
+    """merchant_id, day, primary_mcc (most transactions of the window, then the smallest) and distinct_mcc_count. qualified: ranges of days of each merchant.
+
+    Steps are cut to these ranges before their days are written out.
+    """
+    by = ["merchant_id", "mcc"]
+    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily.select(*by, "day", "n"), by, ["n"], days), by, ["n"]).where("n > 0")
+    rows = rolling.written_out(rolling.meeting(steps, qualified, ["merchant_id"]), start, end)
+    top = F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top")
+    return rows.groupBy("merchant_id", "day").agg(top, F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).select("merchant_id", "day", F.col("top.mcc").alias("primary_mcc"), "distinct_mcc_count")
 
 
 def _merchant_days(txn: DataFrame, floor: int, first: dt.date, last: dt.date, days: int) -> DataFrame:
@@ -295,11 +363,12 @@ def _merchant_days(txn: DataFrame, floor: int, first: dt.date, last: dt.date, da
     names = ["n", "failed", "spend"]
     by_merchant = daily.groupBy("merchant_id", "day").agg(*(F.sum(c).alias(c) for c in names))
     steps = rolling.steps_from_deltas(rolling.sum_deltas(by_merchant, ["merchant_id"], names, days), ["merchant_id"], names)
-    qualified = rolling.written_out(steps.where(F.col("n") >= floor), first, last)
+    enough = steps.where(F.col("n") >= floor)
+    qualified = rolling.written_out(enough, first, last)
     by_day = daily.groupBy("day").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).withColumn("all", F.lit(1))
     base = rolling.written_out(rolling.steps_from_deltas(rolling.sum_deltas(by_day, ["all"], ["n", "failed"], days), ["all"], ["n", "failed"]), first, last)
     base = base.select("day", rate(F.col("failed"), F.col("n")).alias("portfolio_error_rate_30d"))
-    return qualified.join(base, "day").join(primary_category(daily, qualified, first, last, days), ["merchant_id", "day"], "left")
+    return qualified.join(base, "day").join(primary_category(daily, rolling.islands(enough.select("merchant_id", "day", "until"), ["merchant_id"]), first, last, days), ["merchant_id", "day"], "left")
 
 
 def _merchant_sums(txn: DataFrame, *by: str) -> DataFrame:
@@ -307,27 +376,28 @@ def _merchant_sums(txn: DataFrame, *by: str) -> DataFrame:
     return txn.groupBy("merchant_id", "mcc", *by).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"), spend)
 
 
-def _merchant_day(txn: DataFrame, floor: int, batch: dt.date, days: int) -> DataFrame:
-    """The same of one day, from the rows of its window."""
-    pairs = _merchant_sums(trailing_window(txn, batch, days))
+def _merchant_day(txn: DataFrame, floor: int, batch: dt.date, days: int, state: DataFrame | None) -> DataFrame:
+    """The same of one day, from the rows of its window or the kept sums."""
+    pairs = state.where("n > 0").select("merchant_id", "mcc", "n", "failed", "spend") if state is not None else _merchant_sums(trailing_window(txn, batch, days))
     base = pairs.agg(rate(F.sum("failed"), F.sum("n")).alias("portfolio_error_rate_30d"))
     top = F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top")
     rows = pairs.groupBy("merchant_id").agg(*(F.sum(c).alias(c) for c in ("n", "failed", "spend")), top, F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).where(F.col("n") >= floor)
     return rows.crossJoin(F.broadcast(base)).withColumns({"day": F.lit(batch), "primary_mcc": F.col("top.mcc")})  # base is one row
 
 
-def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS, first: dt.date | None = None) -> DataFrame:
+def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS, first: dt.date | None = None, state: DataFrame | None = None) -> DataFrame:
     """Merchants with at least floor transactions in the trailing window, against the rate of all merchants on that day.
 
     Rates are kept to six digits, the failures to expect are rounded to two before they are subtracted, and the flag compares what is kept.
-    batch: that day alone, from the rows of its window; first: the first day of the history, where the caller knows it.
+    batch: that day alone, from the rows of its window, or from the day's kept totals of MERCHANTS (state); first: the first day of the history, where
+    the caller knows it.
     """
     if batch is None:
         first, last = rolling.bounds(txn)
         rows = _merchant_days(txn, floor, first, last, days)
     else:
         first = first or rolling.bounds(txn)[0]
-        rows = _merchant_day(txn, floor, batch, days)
+        rows = _merchant_day(txn, floor, batch, days, state)
     own, base = rate(F.col("failed"), F.col("n")).cast("decimal(9,6)"), F.col("portfolio_error_rate_30d").cast("decimal(9,6)")
     expected = (F.col("n").cast("decimal(10,0)") * base).cast("decimal(12,2)")
     return rows.select(
@@ -338,6 +408,22 @@ def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date
     )
 
 
+#: The kept states of the three reports, and the facts that move them.
+ACTIVITY = TrailingState(("customer_id",), ("n",), ACTIVE_DAYS, "card_id", "cards")
+PORTFOLIO = TrailingState(("card_id",), ("n", "failed"), ACTIVE_DAYS)
+MERCHANTS = TrailingState(("merchant_id", "mcc"), ("n", "failed", "spend"), ERROR_DAYS)
+
+
+def state_facts(txn: DataFrame, of: TrailingState) -> DataFrame:
+    """Transactions as the facts of one of the three states."""
+    one, failed = F.lit(1).cast("long").alias("n"), F.col("is_error").cast("long").alias("failed")
+    if of is ACTIVITY:
+        return txn.where(~F.col("customer_id").isin(*SENTINELS)).select("customer_id", F.when(~F.col("card_id").isin(*SENTINELS), F.col("card_id")).alias("card_id"), "day", one)
+    if of is PORTFOLIO:
+        return txn.select(_card(), "day", one, failed)
+    return txn.select("merchant_id", "mcc", "day", one, failed, F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0).alias("spend"))
+
+
 def by_excess(report: DataFrame, limit: int) -> DataFrame:
     """The merchants to look at first: those with the most failures beyond what is to be expected."""
     return report.orderBy(F.desc("excess_failed_transactions_30d"), "merchant_id").limit(limit)
@@ -403,43 +489,66 @@ def haversine_km() -> Column:
     return F.round(2 * 6371.0 * F.asin(F.sqrt(F.least(hav, F.lit(1.0)))), 6)
 
 
-def nearest_place_in_ring(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
-    """As nearest_place, but only places in the neighbouring grid cells (degrees) of a point count; null where there is none."""
-    at = lambda lat, lon: (F.floor(lat / cell).cast("long"), F.floor(lon / cell).cast("long"))
-    ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    x, y = at(F.col("plat"), F.col("plon"))
-    near = places.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", (x + F.col("_r.i")).alias("_x"), (y + F.col("_r.j")).alias("_y"))
-    px, py = at(F.col("lat"), F.col("lon"))
-    hit = points.withColumns({"_x": px, "_y": py}).join(near, ["_x", "_y"]).withColumn("km", haversine_km())
-    best = hit.groupBy("id").agg(F.min(F.struct("km", "place")).alias("b")).select("id", F.col("b.place").alias("place"), F.col("b.km").alias("km"))
-    return points.select("id").join(best, "id", "left")
+_CUBE = ["_x", "_y", "_z"]
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def descended(points: DataFrame, places: DataFrame, side: float) -> DataFrame:
+    """Each point (lat, lon) with the cubes of a side that may hold its nearest place (lat, lon, _x, _y, _z).
+
+    The non-empty cubes are a tree: those of twice the side are their parents, up to the whole sphere. From its top, a point meets the children of
+    the cubes that are left; one whose nearest side is farther than some place of another is dropped. A level has no more cubes than
+    the sphere has room for, so its upper levels can be broadcast; beyond BROADCAST cubes it is a join on the cube.
+    """
+    top = max(0, math.ceil(math.log2(2 / side)))
+    here = points.select("lat", "lon", *(c.alias(f"_p{k}") for k, c in enumerate(_on_sphere("lat", "lon"))))
+    at = [c.alias(f"_q{k}") for k, c in enumerate(_on_sphere("plat", "plon"))]
+    located = places.select(*at)
+    rows = None
+    for level in range(top, -1, -1):
+        s = side * 2**level
+        cells = located.groupBy(*(F.floor(F.col(f"_q{k}") / s).cast("long").alias(c) for k, c in enumerate(_CUBE))).agg(F.min(F.struct("_q0", "_q1", "_q2")).alias("_one"))
+        if 16 * math.pi / s**2 + 64 <= BROADCAST:  # cubes of this side that the sphere can cut, generously
+            cells = F.broadcast(cells)
+        if rows is None:
+            joined = here.crossJoin(cells)  # the top: eight cubes at most
+        else:
+            up = [F.floor(F.col(f"c.{c}") / 2).cast("long") == F.col(f"r.{c}") for c in _CUBE]
+            joined = rows.alias("r").join(cells.alias("c"), up).select("lat", "lon", "_p0", "_p1", "_p2", *(F.col(f"c.{c}").alias(c) for c in _CUBE), "_one")
+        outside = [F.greatest(F.col(c) * s - F.col(f"_p{k}"), F.col(f"_p{k}") - (F.col(c) + 1) * s, F.lit(0.0)) for k, c in enumerate(_CUBE)]
+        nearest = F.sqrt(sum((o * o for o in outside[1:]), outside[0] * outside[0]))
+        away = [F.col(f"_one._q{k}") - F.col(f"_p{k}") for k in range(3)]
+        held = F.sqrt(sum((d * d for d in away[1:]), away[0] * away[0]))
+        bound = F.min("_held").over(Window.partitionBy("lat", "lon"))
+        # kilometres are rounded to six places: what may round to the same stays
+        rows = joined.withColumns({"_near": nearest, "_held": held}).withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound") + 1e-8).select("lat", "lon", "_p0", "_p1", "_p2", *_CUBE)
+    return rows.select("lat", "lon", *_CUBE)
+
+
+#: Cubes of a level that are broadcast at most.
+BROADCAST = 20_000
 
 
 def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
     """The nearest of all places (place, plat, plon) to each point (id, lat, lon), by great circle, the least place among equals; null without coordinates or places.
 
-    Cells are cubes around points of the unit sphere, so neither the 180-degree line nor the poles are edges. A place outside the 27 cubes
-    around a point is at least a cube's side away; what has no place nearer than that is searched again with cubes twice as wide, at last
-    as wide as the sphere. cell (degrees) is the first side: it sets the work, not the result.
+    Cells are cubes around points of the unit sphere, so neither the 180-degree line nor the poles are edges. A place outside the 27 cubes around a point is
+    at least a cube's side away; points with no place nearer than that descend the tree of cubes (descended()). cell (degrees) is the side: it sets
+    the work, not the result.
     """
-    xyz = lambda lat, lon: (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
-    cube = ["_x", "_y", "_z"]
+    side = 2 * math.sin(math.radians(min(cell, 60.0)) / 2)
     ring = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    cube = lambda lat, lon: [F.floor(c / side).cast("long") for c in _on_sphere(lat, lon)]
     known = places.where("plat IS NOT NULL AND plon IS NOT NULL").select("place", "plat", "plon")
-    best = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct()
-    best = best.select("lat", "lon", F.lit(None).cast("double").alias("km"), F.lit(None).cast(places.schema["place"].dataType).alias("found"))
-    side, reach = 2 * math.sin(math.radians(min(cell, 180.0)) / 2), 0.0
-    while reach < math.inf:
-        at = lambda lat, lon, side=side: [F.floor(c / side).cast("long") for c in xyz(F.col(lat), F.col(lon))]
-        near = known.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", *((c + F.col("_r")[k]).alias(cube[k]) for k, c in enumerate(at("plat", "plon"))))
-        # what is settled goes to cubes that no place has, each to its own: it stays in the plan's one line and in no hot key
-        settled = F.coalesce(F.col("km") < reach, F.lit(False))
-        away = [F.xxhash64("lat", "lon").bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1), F.lit(0), F.lit(0)]
-        here = best.withColumns({c: F.when(settled, far).otherwise(own) for c, far, own in zip(cube, away, at("lat", "lon"), strict=True)})
-        hit = here.join(near, cube, "left").withColumn("b", F.when(F.col("place").isNotNull(), F.struct(haversine_km().alias("km"), F.col("place").alias("found"))))
-        old = F.first(F.when(F.col("km").isNotNull(), F.struct("km", "found")))
-        best = hit.groupBy("lat", "lon").agg(F.coalesce(F.min("b"), old).alias("b")).select("lat", "lon", "b.km", "b.found")
-        # km are rounded to six places: what may round to the same is not yet nearer
-        reach = 2 * 6371.0 * math.asin(side / 2) - 1e-5 if side < 2 else math.inf
-        side *= 2
-    return points.select("id", "lat", "lon").join(best, ["lat", "lon"], "left").select("id", F.col("found").alias("place"), "km")
+    here = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct().withColumns(dict(zip(_CUBE, cube("lat", "lon"), strict=True)))
+    around = known.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", *((c + F.col("_r")[k]).alias(_CUBE[k]) for k, c in enumerate(cube("plat", "plon"))))
+    best = here.join(around, _CUBE, "left").withColumn("km", haversine_km()).groupBy("lat", "lon").agg(F.min(F.when(F.col("place").isNotNull(), F.struct("km", "place"))).alias("b"))
+    best = written(best, "near-places")
+    surely = F.coalesce(F.col("b.km") < 2 * 6371.0 * math.asin(side / 2) - 1e-5, F.lit(False))
+    own = known.withColumns(dict(zip(_CUBE, cube("plat", "plon"), strict=True)))
+    far = descended(best.where(~surely).select("lat", "lon"), known, side).join(own, _CUBE).withColumn("km", haversine_km()).groupBy("lat", "lon").agg(F.min(F.struct("km", "place")).alias("b"))
+    every = best.where(surely).unionByName(far)
+    return points.select("id", "lat", "lon").join(every, ["lat", "lon"], "left").select("id", F.col("b.place").alias("place"), F.col("b.km").alias("km"))

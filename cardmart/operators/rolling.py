@@ -53,6 +53,26 @@ def distinct_deltas(daily: DataFrame, by: Sequence[str], item: str, days: int, n
     return seen.withColumn("_e", ends).select(*by, F.col("_e.d").alias("day"), F.col("_e.n").alias(name))
 
 
+def islands(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Steps that follow each other without a break as one range [day, until)."""
+    w = Window.partitionBy(*by).orderBy("day")
+    first = F.coalesce(F.lag("until").over(w) < F.col("day"), F.lag("day").over(w).isNull())
+    parts = steps.withColumn("_first", first).select(*by, "day", "until", F.sum(F.col("_first").cast("int")).over(w).alias("_part"))
+    open_ = F.count_if(F.col("until").isNull()) > 0
+    return parts.groupBy(*by, "_part").agg(F.min("day").alias("day"), F.when(open_, None).otherwise(F.max("until")).alias("until")).drop("_part")
+
+
+def meeting(steps: DataFrame, ranges: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Steps cut to the ranges that they meet, with the ranges' other columns (open ends are null). Ranges of a key do not overlap."""
+    r = ranges.withColumnsRenamed({"day": "_from", "until": "_to"})
+    meets = (F.coalesce(F.col("_to") > F.col("day"), F.lit(True))) & (F.coalesce(F.col("until") > F.col("_from"), F.lit(True)))
+    same = [F.col(f"s.{c}") == F.col(f"r.{c}") for c in on]
+    joined = steps.alias("s").join(r.alias("r"), [*same, meets], how)
+    others = [F.col(f"r.{c}") for c in r.columns if c not in (*on, "_from", "_to")]
+    kept = [F.col(f"s.{c}") for c in steps.columns if c not in ("day", "until")]
+    return joined.select(*kept, F.greatest("day", "_from").alias("day"), F.least("until", "_to").alias("until"), *others)
+
+
 def written_out(steps: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """A row per day of each step, within the bounds; open steps last until the end."""
     a = F.greatest("day", F.lit(start))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import path_exists, read_target
 from .checks import stringified
 from .dedup import type1_merged, upserted
-from .scd2 import snapshot
+from .scd2 import published
 
 META = ("_quarantine_source", "_quarantine_reason", "_quarantine_null_cols", "_quarantine_ts", "_quarantine_date")
 
@@ -30,6 +31,17 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) ->
     df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cardmart-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once to the folder in spark.checkpoint.dir, so that several branches read it and none computes it again."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -40,31 +52,72 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of paths."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    return Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), Path
+
+
+def _rename(fs, source, target) -> None:
+    """A rename that reports its failure (Hadoop's returns false)."""
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Undo a swap that ended between its two renames: the target is missing and its old folder still there."""
+    fs, Path = files(spark, path)
+    target = Path(path.rstrip("/"))
+    if fs.exists(target) or not fs.exists(target.getParent()):
+        return
+    old = sorted((f.getModificationTime(), f.getPath().toString()) for f in fs.listStatus(target.getParent()) if f.getPath().getName().startswith(f"{target.getName()}.old-"))
+    if old:
+        _rename(fs, Path(old[-1][1]), target)
+
+
 def replace(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
-    """Write beside the target, then swap: the frame may read the target itself."""
+    """Write beside the target, then swap: the frame may read the target itself.
+
+    Where a rename fails, the target is what it was, and nothing is left beside it.
+    """
     spark = df.sparkSession
     staging, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("staging", "old"))
-    overwrite(df, staging, partitions)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if path_exists(spark, path):
-        fs.rename(Path(path), Path(old))
-    fs.rename(Path(staging), Path(path))
-    fs.delete(Path(old), True)
+    fs, Path = files(spark, path)
+    try:
+        overwrite(df, staging, partitions)
+        there = fs.exists(Path(path))
+        if there:
+            _rename(fs, Path(path), Path(old))
+        try:
+            _rename(fs, Path(staging), Path(path))
+        except Exception:
+            if there:
+                _rename(fs, Path(old), Path(path))
+            raise
+        fs.delete(Path(old), True)
+    finally:
+        fs.delete(Path(staging), True)
 
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partitions: Sequence[str] = (), created: str | None = None) -> None:
     """The latest row per key; with partitions, only those that the batch touches are read and replaced."""
-    target = read_target(batch.sparkSession, path, batch.schema)
+    spark = batch.sparkSession
+    restore(spark, path)
+    target = read_target(spark, path, batch.schema)
     if not partitions:
         return replace(upserted(target, batch, keys, order, created), path)
     touched = target.join(batch.select(*partitions).distinct(), list(partitions), "left_semi")
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    overwrite(upserted(touched, batch, keys, order, created), staging)
-    overwrite_partitions(batch.sparkSession.read.parquet(staging), path, partitions)
+    fs, Path = files(spark, path)
+    try:
+        overwrite(upserted(touched, batch, keys, order, created), staging)
+        overwrite_partitions(spark.read.parquet(staging), path, partitions)
+    finally:
+        fs.delete(Path(staging), True)
 
 
 def merge(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], created: str, updated: str) -> None:
+    restore(batch.sparkSession, path)
     target = read_target(batch.sparkSession, path, batch.schema)
     replace(type1_merged(target, batch, keys, order, created, updated, F.col(updated)), path)
 
@@ -75,15 +128,12 @@ def append_newer(batch: DataFrame, path: str, ts: str, partitions: Sequence[str]
     append(batch if newest is None else batch.where(F.col(ts) > F.lit(newest)), path, partitions)
 
 
-def publish_history(batch: DataFrame, path: str, key: str, tracked: Sequence[str], at: str) -> None:
-    """The current state as a new batch of an SCD2 table: changed versions are closed, new ones get the next version_number."""
-    state = batch.sparkSession
-    known = path_exists(state, path)
-    before = state.read.parquet(path) if known else None
-    start = F.lit(at).cast("timestamp_ntz")
-    rows = snapshot(before.drop("version_number") if known else None, batch, key, tracked, start)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("valid_from"))
-    replace(rows.withColumn("version_number", number), path)
+def publish_history(batch: DataFrame, path: str, key: str, tracked: Sequence[str], at: str, late: str = "split", order: Sequence[str] = ()) -> None:
+    """The state at a time as a further batch of an SCD2 table (see scd2.published()); batches may come late, twice, and with repeated keys."""
+    spark = batch.sparkSession
+    restore(spark, path)
+    before = spark.read.parquet(path) if path_exists(spark, path) else None
+    replace(published(before, batch, key, tracked, F.lit(at).cast("timestamp_ntz"), late, order), path)
 
 
 def quarantine(rejected: DataFrame, path: str) -> None:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import clean
 from .operators import calibrate, checks, dedup, marts, scd2
+from .operators.sinks import scratch, written
+from .operators.window_state import KeptState
 from .sources import retail
-from .streaming import rules
+from .streaming import feed, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,6 +127,58 @@ def _text(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 
 
+# --- change feeds ------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, CAST(ts AS VARCHAR) AS ts, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'"""
+)
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as changes of their users, an error deletes; taken in as three batches that do not follow the time, and the second once more."""
+    e = retail.table(spark, sf, "events").withColumn("user_id", F.col("user_id").cast("string"))
+    users = feed.ChangeTable(scratch(spark, "feed"), ["user_id"], ["ts", "event_id"], "event_type = 'error'", buckets=8)
+    parts = [e.where(F.col("event_type").isin("view", "error")), e.where("event_type = 'purchase'"), e.where(~F.col("event_type").isin("view", "error", "purchase"))]
+    for number, k in enumerate((0, 1, 1, 2)):
+        users.apply(parts[k], min(number, k), "events")
+    return _text(users.state(spark, e.schema).select("user_id", "event_id", "ts", "event_type", "value"), "ts")
+
+
+# --- histories from batches in any order -----------------------------------------------------------------
+
+
+def _corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """A third state of the customers, of between the other two, which arrives after them; every key comes twice, first with an outdated row."""
+    c = retail.customer_state(spark, sf, False)
+    lower = F.when(F.pmod(F.col("customer_id").cast("long"), F.lit(4)) == 0, F.col("yearly_income") - 3000).otherwise(F.col("yearly_income"))
+    fixed = c.withColumn("yearly_income", F.round(lower, 2)).withColumn("income_bracket", clean.bracket(F.col("yearly_income"), 2000, 7000))
+    return fixed.withColumn("revision", F.lit(2)).unionByName(c.withColumns({"yearly_income": F.lit(0.0), "income_bracket": F.lit("LOW"), "revision": F.lit(1)}))
+
+
+_LATE = """SELECT customer_id, income_bracket, yearly_income, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, CAST(version_number AS INTEGER) AS version_number FROM ver"""
+_LATE_PARTS = {
+    "fixed": """SELECT customer_id, round(CASE WHEN c_custkey % 4 = 0 THEN yearly_income - 3000 ELSE yearly_income END, 2) AS yearly_income FROM ca""",
+    "obs": f"""SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1995-01-01' AS at FROM ca UNION ALL SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1998-01-01' FROM cb
+        UNION ALL SELECT customer_id, yearly_income, {_bracket("yearly_income")}, TIMESTAMP '1996-07-01' FROM fixed""",
+    "marked": """SELECT *, CASE WHEN income_bracket = lag(income_bracket) OVER (PARTITION BY customer_id ORDER BY at) THEN 0 ELSE 1 END AS b FROM obs""",
+    "numbered": "SELECT *, sum(b) OVER (PARTITION BY customer_id ORDER BY at) AS version_number FROM marked",
+    "ver": """SELECT customer_id, version_number, any_value(income_bracket) AS income_bracket, arg_max(yearly_income, at) AS yearly_income, min(at) AS valid_from,
+        lead(min(at)) OVER (PARTITION BY customer_id ORDER BY version_number) AS valid_to FROM numbered GROUP BY customer_id, version_number""",
+}
+
+
+@query(_sql("ca cb", _LATE, _LATE_PARTS))
+def scd2_late_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, the middle one last, with repeated keys, and the first once more: the history of the sorted order."""
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    out, first = None, retail.customer_state(spark, sf, False)
+    for batch, day in ((first, retail.STATE_A), (retail.customer_state(spark, sf, True), retail.STATE_B), (_corrections(spark, sf), "1996-07-01"), (first, retail.STATE_A)):
+        order = [c for c in batch.columns if c == "revision"]
+        rows = dedup.latest_per_key(batch, ["customer_id"], order).drop("revision")
+        out = written(scd2.published(out, rows, "customer_id", ["income_bracket"], at(day)), "history")
+    return _text(out.select("customer_id", "income_bracket", "yearly_income", "valid_from", "valid_to", "version_number"), "valid_from", "valid_to")
+
+
 # --- duplicates, mandatory columns, cleaning -------------------------------------------------------------
 
 
@@ -207,7 +261,7 @@ def unpivot_reference(spark: SparkSession, sf: str) -> DataFrame:
     e = retail.table(spark, sf, "events")
     names = ["view", "click", "error"]
     wide = e.agg(*(F.sum(F.when(F.col("event_type") == n, F.col("value"))).alias(n) for n in names))
-    return wide.unpivot([], names, "code", "total").withColumn("total", F.round("total", 2))
+    return checks.unpivoted(wide, "code", "total").withColumn("total", F.round(F.col("total").cast("double"), 2))
 
 
 # --- dimensions ----------------------------------------------------------------------------------------------
@@ -311,6 +365,40 @@ def fact_current(spark: SparkSession, sf: str) -> DataFrame:
     return marts.fact_transactions(retail.transactions(spark, sf), customer_dim(spark, sf), card_dim(spark, sf), "current").select("transaction_id", "customer_key", "card_key")
 
 
+_STAR = """SELECT transaction_id, t.date_key, 0 AS time_key, c.customer_key, d.card_key, CASE WHEN amount > 0 THEN 2 WHEN customer_id NOT LIKE '%9' THEN 1 END AS transaction_type_key,
+    CASE WHEN s_suppkey % 10 <> 0 THEN s_suppkey END AS merchant_key, CASE WHEN r_name <> 'ASIA' THEN n_nationkey END AS merchant_location_key,
+    CASE WHEN errors IS NULL THEN 0 WHEN errors[1] <> 'BAD PIN' THEN list_position([{codes}], errors[1]) END AS error_key, 1 AS currency_key, CAST(amount AS DOUBLE) AS transaction_amount
+    FROM txn t LEFT JOIN cdim c USING (customer_id) LEFT JOIN ddim d USING (card_id) LEFT JOIN supplier ON s_suppkey = CAST(merchant_id AS BIGINT) LEFT JOIN nation ON n_nationkey = merchant_nation LEFT JOIN region ON n_regionkey = r_regionkey
+    WHERE coalesce(c.is_current, TRUE) AND coalesce(d.is_current, TRUE)"""
+
+
+@query(_sql("txn cdim ddim", _STAR.format(codes=_CODES)))
+def fact_legacy_star(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven lookups by normalised keys, the sides written differently, with members that some dimensions lack."""
+    t = retail.placed_transactions(spark, sf)
+    kind = F.when((F.col("transaction_type") == "PURCHASE") & F.col("customer_id").like("%9"), F.lit("  ")).otherwise(F.lower("transaction_type"))
+    t = t.withColumns({"transaction_type": kind, "merchant_city": F.concat(F.lit(" "), F.lower("merchant_city")), "currency": F.lit(" usd ")})
+    lines = lambda rows, schema: spark.createDataFrame(rows, schema)
+    kinds = lines([("PURCHASE", 1), (" Refund", 2)], "transaction_type string, transaction_type_key int")
+    merchants = retail.table(spark, sf, "supplier").where("s_suppkey % 10 <> 0").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(" ")).alias("merchant_id"), F.col("s_suppkey").alias("merchant_key"))
+    places = retail.places(spark, sf).where("state <> 'ASIA'").select("city", F.lower("state").alias("state"), F.col("n_nationkey").alias("merchant_location_key"))
+    errors = lines([("no error", 0), *((c.lower(), k) for k, c in enumerate(retail.ERROR_CODES, 1) if c != "BAD PIN")], "error string, error_key int")
+    look = marts.Lookup
+    rows = marts.legacy_fact(t, [
+        look(customer_dim(spark, sf), ["customer_id"], ["customer_id"], "customer_key"), look(card_dim(spark, sf), ["card_id"], ["card_id"], "card_key"), look(kinds, ["transaction_type"], ["transaction_type"], "transaction_type_key"),
+        look(merchants, ["merchant_id"], ["merchant_id"], "merchant_key"), look(places, ["merchant_city", "merchant_state"], ["city", "state"], "merchant_location_key"), look(errors, ["first_error"], ["error"], "error_key"),
+        look(lines([("USD", 1)], "currency string, currency_key int"), ["currency"], ["currency"], "currency_key"),
+    ])
+    return _double(rows.drop("zip_code"), "transaction_amount")
+
+
+@query(_sql("cdim ddim", "SELECT customer_key, card_key FROM ddim d JOIN cdim c ON d.customer_id = c.customer_id WHERE d.is_current AND c.is_current AND c.version_number > 1"))
+def factless_not_current(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners of cards against a customer dimension in which the later versions are not current yet."""
+    rebuilt = customer_dim(spark, sf).withColumn("is_current", F.col("version_number") == 1)
+    return checks.not_current(owner_current(spark, sf), rebuilt, "customer_key").select("customer_key", "card_key")
+
+
 @query(_sql("cdim ddim", "SELECT customer_key, card_key FROM ddim d JOIN cdim c ON d.customer_id = c.customer_id WHERE d.is_current AND c.is_current"))
 def owner_current(spark: SparkSession, sf: str) -> DataFrame:
     live = lambda d, k: d.where(F.col("is_current") & ~F.col(k).isin(*marts.SENTINELS))
@@ -526,6 +614,40 @@ def merchant_error_one_day(spark: SparkSession, sf: str) -> DataFrame:
     return _double(_merchants_one_day(spark, sf), *_DECIMALS)
 
 
+def _rolled(spark: SparkSession, sf: str, what: marts.TrailingState, days: int = 3) -> DataFrame:
+    """Kept totals of the batch day: a state built some days before, then moved on day by day over facts that are written once, in ranges of days."""
+    facts = written(marts.state_facts(retail.transactions(spark, sf), what).repartitionByRange("day"), "facts")
+    kept, before = KeptState(what, scratch(spark, "state")), BATCH - dt.timedelta(days=days)
+    kept.build(facts, before)
+    for k in range(1, days + 1):
+        totals = kept.roll(facts, before + dt.timedelta(days=k))
+    return totals
+
+
+@query(_sql("txn cdim", _ACTIVITY.format(days="one"), {"one": f"SELECT DATE '{BATCH}' AS day"}))
+def customer_activity_rolled(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.customer_activity(retail.transactions(spark, sf), BATCH, customers=customer_dim(spark, sf), state=_rolled(spark, sf, marts.ACTIVITY))
+
+
+@query(_sql("days ddim", _PORTFOLIO_OUT + f" WHERE day = DATE '{BATCH}'", _PORTFOLIO))
+def card_portfolio_rolled(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.card_portfolio(retail.transactions(spark, sf), card_dim(spark, sf), BATCH, first=retail.first_day(spark, sf), state=_rolled(spark, sf, marts.PORTFOLIO))
+
+
+@query(_sql("days", _MERCHANT_OUT + f" WHERE day = DATE '{BATCH}'", _MERCHANT))
+def merchant_error_rolled(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD, BATCH, first=retail.first_day(spark, sf), state=_rolled(spark, sf, marts.MERCHANTS))
+    return _double(rows, *_DECIMALS)
+
+
+@query(_sql("days", f"SELECT date_key, merchant_id, CAST(window_day_count - 1 AS INTEGER) AS window_day_count FROM ({{out}}) y WHERE date_key % 50 = 1 AND strptime(CAST(date_key AS VARCHAR), '%Y%m%d') >= (SELECT min(day) FROM txn) + 29".replace("{out}", _MERCHANT_OUT), _MERCHANT))
+def merchant_windows_incomplete(spark: SparkSession, sf: str) -> DataFrame:
+    """The merchant report with windows a day too short in some partitions: these are found from the 30th day of the history on."""
+    report = marts.merchant_error(retail.transactions(spark, sf), FLOOR, THRESHOLD)
+    short = report.withColumn("window_day_count", F.col("window_day_count") - (F.col("date_key") % 50 == 1).cast("int"))
+    return checks.incomplete(short, retail.first_day(spark, sf), marts.ERROR_DAYS).select("date_key", "merchant_id", "window_day_count")
+
+
 @query(_sql("days", f"SELECT date_key, merchant_id, excess_failed_transactions_30d FROM ({_MERCHANT_OUT} WHERE day = DATE '{BATCH}') y ORDER BY excess_failed_transactions_30d DESC, merchant_id LIMIT 10", _MERCHANT))
 def merchants_by_excess(spark: SparkSession, sf: str) -> DataFrame:
     rows = marts.by_excess(_merchants_one_day(spark, sf), 10)
@@ -761,8 +883,7 @@ def key_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("txn", "SELECT DISTINCT e AS error, CASE WHEN e = 'No Error' THEN 0 ELSE CAST(('0x' || substr(md5(e), 1, 7))::BIGINT % 32767 + 1 AS INTEGER) END AS error_key FROM (SELECT unnest(CASE WHEN errors IS NULL THEN ['No Error'] ELSE errors END) AS e FROM txn)"))
 def reference_errors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = marts.reference_codes(retail.transactions(spark, sf), "errors", "error")
-    return rows.select("error", F.when(F.col("error") == "No Error", 0).otherwise(clean.short_md5_key(F.col("error")).cast("int")).alias("error_key"))
+    return marts.reference_codes(retail.transactions(spark, sf), "errors", "error", clean.short_md5_key).select("error", F.col("error_key").cast("int").alias("error_key"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -784,8 +905,7 @@ def audit_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("txn", "SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS row_count, CAST(sum(amount) AS DOUBLE) AS sum_amount, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount FROM txn GROUP BY 1"))
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    t = retail.transactions(spark, sf).groupBy(F.year("day").alias("year"))
-    return t.agg(F.count(F.lit(1)).alias("row_count"), F.sum("amount").cast("double").alias("sum_amount"), F.min("amount").cast("double").alias("min_amount"), F.max("amount").cast("double").alias("max_amount"))
+    return checks.fingerprint(retail.transactions(spark, sf).withColumn("year", F.year("day")), "year", ["amount"])
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, event_type, CAST(ts AS VARCHAR) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
@@ -828,6 +948,38 @@ def rule_velocity(spark: SparkSession, sf: str) -> DataFrame:
     return rules.velocity(retail.event_transactions(spark, sf), "card_id", 2, 300).select("transaction_id", "n")
 
 
+_OWN = "SELECT transaction_id, ts, customer_id, card_id, merchant_id, amount, is_error, CAST(c_nationkey AS VARCHAR) AS state FROM ev LEFT JOIN customer ON customer_id = CAST(c_custkey AS VARCHAR)"
+
+
+def _placed_events(spark: SparkSession, sf: str) -> DataFrame:
+    home = retail.homes(spark, sf).select("customer_id", F.col("home").cast("string").alias("state"))
+    return retail.event_transactions(spark, sf).join(home, "customer_id", "left")
+
+
+@query(_sql("ev", f"SELECT transaction_id, n FROM (SELECT transaction_id, {_range('customer_id', 10, 'count(*)')} AS n FROM ev) WHERE n > 10"))
+def rule_customer_velocity(spark: SparkSession, sf: str) -> DataFrame:
+    """VR002 at its own setting: more than 10 transactions of a customer within 10 minutes."""
+    key, most, minutes = rules.VELOCITY["VR002"]
+    return rules.velocity(retail.event_transactions(spark, sf), key, most, minutes).select("transaction_id", "n")
+
+
+@query(
+    _sql("ev", f"""SELECT CAST(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC' AS VARCHAR) AS window_start, rule, merchant_id, state, count(*) AS transaction_count, CAST(sum(amount) AS DOUBLE) AS transaction_amount,
+    CAST(count(DISTINCT card_id) AS INTEGER) AS unique_cards, CAST(count(DISTINCT customer_id) AS INTEGER) AS unique_customers, count(*) FILTER (rule <> 'ALL') AS rule_violation_count, count(*) FILTER (is_error) AS failed_transaction_count,
+    count(*) FILTER (abs(amount) > 80) AS high_value_transaction_count FROM hit GROUP BY 1, 2, 3, 4""", {
+        "own": _OWN,
+        "vr": f"SELECT *, {_range('card_id', 300, 'count(*)')} AS n FROM own",
+        "sp": f"SELECT *, {_range('customer_id', 600, 'count(DISTINCT merchant_id)')} AS n FROM own",
+        "hit": "SELECT 'ALL' AS rule, * FROM own UNION ALL SELECT 'VR001', * EXCLUDE (n) FROM vr WHERE n > 2 UNION ALL SELECT 'VR003', * EXCLUDE (n) FROM sp WHERE n > 3 UNION ALL SELECT 'AR003', * FROM own WHERE abs(amount) > 90",
+    })
+)
+def operations_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by five minutes, rule, merchant and state, with thresholds at which these tables have hits."""
+    t = _placed_events(spark, sf)
+    hits = {"VR001": rules.velocity(t, "card_id", 2, 300), "VR003": rules.spread(t, "customer_id", "merchant_id", 3, 600), "AR003": t.where(F.abs("amount") > 90)}
+    return _text(_double(rules.operations_snapshot(t, hits, 80.0), "transaction_amount"), "window_start")
+
+
 @query(_sql("ev", f"SELECT transaction_id, CAST(n AS INTEGER) AS n FROM (SELECT transaction_id, {_range('customer_id', 600, 'count(DISTINCT merchant_id)')} AS n FROM ev) WHERE n > 3"))
 def rule_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rules.spread(retail.event_transactions(spark, sf), "customer_id", "merchant_id", 3, 600).select("transaction_id", "n")
@@ -928,20 +1080,10 @@ def _points_and_places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     return points, places
 
 
-@query(
-    f"""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 12000) / 100.0 - 60 AS lat, (c_custkey * 91 % 30000) / 100.0 - 150 AS lon FROM customer),
-    q AS (SELECT s_suppkey AS place, (s_suppkey * 53 % 12000) / 100.0 - 60 AS plat, (s_suppkey * 67 % 30000) / 100.0 - 150 AS plon FROM supplier),
-    j AS (SELECT id, place, {_HAV} AS km FROM p JOIN q ON abs(floor(lat / 20) - floor(plat / 20)) <= 1 AND abs(floor(lon / 20) - floor(plon / 20)) <= 1)
-    SELECT p.id, coalesce(place, -1) AS place FROM p LEFT JOIN (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1) b ON p.id = b.id"""
-)
-def nearest_place(spark: SparkSession, sf: str) -> DataFrame:
-    return marts.nearest_place_in_ring(*_points_and_places(spark, sf), 20.0).select("id", F.coalesce("place", F.lit(-1)).alias("place"))
-
-
 @query(
     f"""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 12000) / 100.0 - 60 AS lat, (c_custkey * 91 % 30000) / 100.0 - 150 AS lon FROM customer),
     q AS (SELECT s_suppkey AS place, (s_suppkey * 53 % 12000) / 100.0 - 60 AS plat, (s_suppkey * 67 % 30000) / 100.0 - 150 AS plon FROM supplier)
     SELECT id, place FROM (SELECT id, place, {_HAV} AS km FROM p CROSS JOIN q) QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1"""
 )
-def nearest_place_exact(spark: SparkSession, sf: str) -> DataFrame:
+def nearest_place(spark: SparkSession, sf: str) -> DataFrame:
     return marts.nearest_place(*_points_and_places(spark, sf), 5.0).select("id", "place")

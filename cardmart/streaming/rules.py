@@ -6,6 +6,7 @@ Input columns: ts, customer_id, card_id, merchant_id, mcc, amount, is_error; ts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,28 @@ def merchant_profile(txn: DataFrame, minutes: int = 5) -> DataFrame:
     return counts.groupBy("merchant_id").agg(F.avg("n").alias("usual"), (F.sum("failed") / F.sum("n")).alias("failure_rate"))
 
 
+#: The rule under which all transactions are counted.
+EVERY = "ALL"
+
+
+def operations_snapshot(txn: DataFrame, hits: dict[str, DataFrame], high: float, minutes: int = 5) -> DataFrame:
+    """Counts by window, rule, merchant and state, of frames or of streams with one watermark column ts.
+
+    hits: the transactions that each rule names, with the columns of txn. Rows of EVERY count all transactions and no violation, those of a rule the transactions that
+    violate it; high: the amount above which a transaction is of high value.
+    """
+    columns = ["ts", "merchant_id", "state", "card_id", "customer_id", "amount", "is_error"]
+    parts = [df.select(F.lit(rule).alias("rule"), *columns) for rule, df in {EVERY: txn, **hits}.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    size = F.abs(F.col("amount").cast("double"))
+    counts = rows.groupBy(F.window("ts", f"{minutes} minutes"), "rule", "merchant_id", "state").agg(
+        F.count(F.lit(1)).alias("transaction_count"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("transaction_amount"), F.size(F.collect_set("card_id")).alias("unique_cards"),
+        F.size(F.collect_set("customer_id")).alias("unique_customers"), F.count_if(F.col("rule") != EVERY).alias("rule_violation_count"), F.count_if("is_error").alias("failed_transaction_count"),
+        F.count_if(size > high).alias("high_value_transaction_count"),
+    )
+    return counts.select(F.col("window.start").alias("window_start"), *(c for c in counts.columns if c != "window"))
+
+
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 

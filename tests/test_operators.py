@@ -207,6 +207,18 @@ def test_nearest_place(spark):
     assert {r.place for r in marts.nearest_place(p, q.limit(0)).collect()} == {None}
 
 
+def test_points_on_the_empty_side_meet_few_cubes(spark):
+    """2,000 places on one side, 200 points on the other: each point meets a few cubes of the tree, not all places."""
+    rnd = random.Random(9)
+    q = spark.createDataFrame([(k, rnd.uniform(-40, 40), rnd.uniform(-40, 40)) for k in range(2000)], "place int, plat double, plon double")
+    p = spark.createDataFrame([(k, rnd.uniform(-30, 30), rnd.uniform(150, 180)) for k in range(200)], "id int, lat double, lon double")
+    side = 2 * math.sin(math.radians(2.0) / 2)
+    met = marts.descended(p.select("lat", "lon"), q, side).groupBy("lat", "lon").count()
+    assert met.count() == 200 and met.agg(F.avg("count"), F.max("count")).first()[0] < 40
+    every = p.crossJoin(q).withColumn("km", marts.haversine_km()).groupBy("id").agg(F.min(F.struct("km", "place")).alias("b")).select("id", "b.place")
+    assert sorted(map(tuple, marts.nearest_place(p, q).select("id", "place").collect())) == sorted(map(tuple, every.collect()))
+
+
 def test_batch_day_range_reaches_the_scan(spark):
     """One-day reports read the window's days only: the lower bound is pushed to the file scan, the upper is a literal filter."""
     sf = "/root/testdata/sf0.001"
