@@ -32,6 +32,8 @@ from .runtime import FILE, PLACE, discard, identified, stored
 MINIMA, BANDS, PER_BAND = 128, 32, 4
 #: Bands of eight minima for crowded buckets, nodes of a bucket above which it is dealt anew, share of minima below which a pair is no candidate.
 SUBBANDS, PER_SUBBAND, CROWD, LEAST = 104, 8, 4096, 0.6
+#: Shingles of a cluster's block at most.
+SHINGLES = 1 << 22
 #: Bytes of text that are hashed at once, and shingles whose minima are taken at once.
 BYTES, STRETCH = 4 << 20, 1 << 13
 _RANDOM = np.random.default_rng(11)
@@ -172,25 +174,71 @@ def stars(edges: DataFrame) -> DataFrame:
             return edge.select("a", F.col("b").alias("root"))
 
 
-def _across(least: int):
-    """Pairs (a, b) of a group whose components differ and whose signatures are alike; in a group of two blocks, those between the blocks."""
+def _alike(k: int, minima: np.ndarray, label: np.ndarray, block: np.ndarray, outer: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places after k of other labels whose signatures share so many minima with k's, and how many; in a group of two blocks those of the other block."""
+    rest = np.flatnonzero((label[k + 1 :] != label[k]) & ((block[k + 1 :] != block[k]) | (not outer))) + k + 1
+    same = (minima[rest] == minima[k]).sum(axis=1)
+    return rest[same >= least], same[same >= least]
+
+
+def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+    return node, comp, block, np.concatenate([_matrix(c) for c in table.column("minima").chunks]), table.column("i")[0] != table.column("j")[0]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def forest(least: int):
+    """Of a bucket's nodes that are alike across components, pairs (a, b) that connect them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, block, minima, outer = _group(table)
+        tree, found = np.arange(len(node)), []
+        for k in range(len(node)):
+            for x in _alike(k, minima, comp, block, outer, least)[0]:
+                if tree[x] != tree[k]:
+                    found.append((node[k], node[x]))
+                    tree[tree == tree[x]] = tree[k]
+        return _pairs(found)
+
+    return run
+
+
+def linking(least: int):
+    """Links (a, b) between the components of a cluster's nodes, confirmed on their full sets; those that follow from the others are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
-        minima = np.concatenate([_matrix(c) for c in table.column("minima").chunks])
-        outer = table.column("i")[0] != table.column("j")[0]
-        out: list[np.ndarray] = []
+        node, comp, block, minima, outer = _group(table)
+        label = np.unique(comp, return_inverse=True)[1]
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        found = []
         for k in range(len(node)):
-            rest = np.flatnonzero((comp[k + 1 :] != comp[k]) & ((block[k + 1 :] != block[k]) | (not outer))) + k + 1
-            if len(rest):
-                close = rest[(minima[rest] == minima[k]).sum(axis=1) >= least]
-                out.append(np.stack([np.full(len(close), node[k]), node[close]]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            near, same = _alike(k, minima, label, block, outer, least)
+            for x in near[np.argsort(-same, kind="stable")]:
+                if label[x] == label[k]:
+                    continue
+                a, b = (sets[k], sets[x]) if len(sets[k]) >= len(sets[x]) else (sets[x], sets[k])
+                if 100 * len(b) < 80 * len(a):
+                    continue
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    found.append((node[k], node[x]))
+                    label[label == label[x]] = label[k]
+        return _pairs(found)
 
     return run
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows with block, i and j: each block of a group meets each (blocks: how many a group has; most have one)."""
+    blocks = F.col("blocks").cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
 def divided(rows: DataFrame, root: DataFrame) -> DataFrame:
     """key, node, comp and size of the buckets whose nodes lie in several components."""
     held = rows.join(root.select(F.col("a").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
@@ -202,20 +250,28 @@ def divided(rows: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def past_leaders(rows: DataFrame, nodes: DataFrame, root: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """a, b (each pair once): candidates in the buckets that several components share, leaders aside."""
+    """a, b: pairs that connect the nodes which are alike across components in some bucket."""
     minima = nodes.select("node", "minima")
     open_ = divided(rows, root)
-    few = open_.where(F.col("size") <= crowd).withColumn("size", F.lit(1).cast("long"))
+    few = open_.where(F.col("size") <= crowd).withColumn("blocks", F.lit(1).cast("long"))
     many = open_.where(F.col("size") > crowd)
     if not many.isEmpty():
         again = divided(buckets(many.select("key", "node").join(minima, "node"), _SUBSETS).distinct(), root)
-        few = few.unionByName(again.withColumn("size", F.ceil(F.col("size") / crowd)))
-    blocks = F.col("size").cast("int")  # of a bucket; most have one
-    block = F.pmod(F.xxhash64("node"), F.col("size")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = few.withColumn("block", block).withColumn("other", other).select("key", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    grouped = dealt.join(minima, "node").groupBy("key", "i", "j")
-    return grouped.applyInArrow(_across(int(np.ceil(LEAST * MINIMA))), "a long, b long").distinct()
+        few = few.unionByName(again.withColumn("blocks", F.ceil(F.col("size") / crowd)))
+    grouped = blocked(few.select("key", "node", "comp", "blocks")).join(minima, "node").groupBy("key", "i", "j")
+    return grouped.applyInArrow(forest(int(np.ceil(LEAST * MINIMA))), "a long, b long").distinct()
+
+
+def cluster_links(trees: DataFrame, nodes: DataFrame, root: DataFrame, sets: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """a, b: links between components within each cluster. trees: a, root of the clusters' nodes."""
+    members = trees.select(F.col("a").alias("node"), F.col("root").alias("cluster")).unionByName(trees.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
+    known = members.join(nodes.select("node", "n", "minima"), "node").join(root.select(F.col("a").alias("node"), F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = stored(known, "clusters")
+    size = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / crowd, F.sum("n") / SHINGLES)).alias("blocks"))
+    dealt = blocked(known.join(size, "cluster").select("cluster", "node", "comp", "minima", "blocks")).join(sets, "node")
+    out = stored(dealt.groupBy("cluster", "i", "j").applyInArrow(linking(int(np.ceil(LEAST * MINIMA))), "a long, b long"), "cluster-links")
+    discard(known)
+    return out
 
 
 def linked(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -230,7 +286,7 @@ def linked(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, D
     made = []
 
     def sets_of(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        wanted = some.select(F.explode(F.array(*some.columns[:2])).alias("node")).distinct()
         named = nodes.join(wanted, "node", "left_semi").select("node", F.col(FILE).alias("f"), F.col(PLACE).alias("p"))
         found = docs.join(named.hint("merge"), (F.col(FILE) == F.col("f")) & (F.col(PLACE) == F.col("p")))  # grows with the documents: never broadcast
         made.append(stored(full_sets(found), "full-sets"))
@@ -251,11 +307,11 @@ def linked(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, D
     if not rest.isEmpty():
         root = roots(confirmed(rest, sets), root)
     last = stored(past_leaders(bands, nodes, root, crowd), "past-leaders")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = stored(last.join(tried, ["a", "b"], "left_anti"), "last-pairs")
     if not last.isEmpty():
-        root = roots(confirmed(last, sets_of(last)), root)
-    for old in (bands, pairs, rest, *made):
+        trees = stars(last)
+        made += [trees, cluster_links(trees, nodes, root, sets_of(trees), crowd)]
+        root = roots(made[-1], root)
+    for old in (bands, pairs, rest, last, *made):
         discard(old)
     return rows, nodes, root
 

@@ -270,19 +270,19 @@ def test_negatives_of_odd_rows(spark):
 
 def test_tree_prunes():
     rnd = np.random.default_rng(9)
-    v = np.concatenate([rnd.normal(size=(400, 6)) * 8 + c for c in rnd.normal(size=(12, 6)) * 400]).round()
+    v = np.concatenate([rnd.normal(size=(1600, 6)) * 8 + c for c in rnd.normal(size=(12, 6)) * 400]).round()
     order = hard_negatives.str_order(v, [0, 1, 2, 3])
     assert sorted(order.tolist()) == list(range(len(v)))
     v = v[order]
     label = rnd.integers(0, 3, len(v))
     tree = hard_negatives.Tree(v, np.arange(len(v)), label, np.arange(len(v)))
-    for k in range(0, len(v), 601):
+    for k in range(0, len(v), 2401):
         scores = v @ v[k]
         best = sorted((-int(s), j) for j, s in enumerate(scores) if j != k and label[j] == label[k])[:5]
         far = np.array([2.0**53])
         got = tree.best(v[k], label[k], True, k, -far, far, -far, 5)[0]
         assert [(s, j) for s, j, *_ in got] == best
-    assert tree.read < 0.3 * len(tree.levels[0][0]) * len(range(0, len(v), 601))
+    assert tree.read < 0.3 * len(tree.levels[0][0]) * len(range(0, len(v), 2401))
 
 
 @pytest.mark.parametrize("name", ["op11_minhash", "op13_hard_negatives"])
