@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .runtime import discard, stored
 
 #: Tiles at most, rows of a chunk, rows of a leaf, nodes under a node, chunks whose queries meet a chunk in one task.
-TILES, ROWS, LEAF, FAN, GROUP = 4096, 8192, 64, 8, 256
+TILES, ROWS, LEAF, FAN, GROUP = 4096, 8192, 256, 8, 256
 LIMIT = 1 << 53
 
 ROW = "row long, vec_id long, label int, tile int, chunk int, v array<long>"
@@ -153,8 +153,11 @@ class Tree:
             a = node * LEAF
             scores = self.v[a : a + LEAF] @ q
             fits = ((self.label[a : a + LEAF] == label) == same) & (self.row[a : a + LEAF] != own)
-            for w in np.flatnonzero(-top >= least).tolist():
-                places = np.flatnonzero(fits & (scores >= least[w]) & (scores <= high[w]))
+            near = np.flatnonzero(fits & (scores >= least.min()) & (scores <= high.max()))
+            for w in np.flatnonzero(-top >= least).tolist() if len(near) else ():
+                places = near[(scores[near] >= least[w]) & (scores[near] <= high[w])]
+                if len(places) > k:  # the k best and what equals the last of them
+                    places = places[scores[places] >= np.partition(scores[places], -k)[-k]]
                 if len(places):
                     new = [(-int(scores[p]), int(self.vec_id[a + p]), int(self.row[a + p]), a + int(p)) for p in places]
                     found[w] = heapq.nsmallest(k, found[w] + new)
