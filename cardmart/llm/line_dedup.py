@@ -18,19 +18,33 @@ from pyspark.sql import functions as F
 
 from .runtime import stored
 
-#: What ends a line besides a line feed, and what is no text (fixed patterns).
-HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
-BLOCK = r"(?i)</?(?:html|head|title|body|nav|ul|ol|li|div|article|section|header|footer|main|aside|p|br|hr|h[1-6]|table|tr|td|th|blockquote|pre)(?:\s[^>]*)?/?>"
+#: What ends a line besides a line feed, and what is no text (fixed patterns): an opening and its closing, and block tags but for their last sign.
+HIDDEN = ((r"(?is)<script\b.*?</script\s*>", r"(?is)^.*</script\s*>"), (r"(?is)<style\b.*?</style\s*>", r"(?is)^.*</style\s*>"), (r"(?s)<!--.*?-->", r"(?s)^.*-->"))
+BLOCK = r"(?i)</?(?:html|head|title|body|nav|ul|ol|li|div|article|section|header|footer|main|aside|p|br|hr|h[1-6]|table|tr|td|th|blockquote|pre)(?:\s[^>]*)?/?\z"
 TAG = r"<[^<>]*>"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _without(text: Column, whole: str, to_last: str) -> Column:
+    """Text without what a pattern hides. It is looked for up to the last closing only, where every opening finds one: unclosed ones cost nothing."""
+    head = F.regexp_extract(text, to_last, 0)
+    return F.concat(F.regexp_replace(head, whole, ""), F.substring(text, F.length(head) + 1, F.length(text)))
+
+
+def _broken(text: Column) -> Column:
+    """Text with a line feed for each block tag. A tag lasts until the next >, so it is the end of what stands between two of these."""
+    parts = F.split(text, ">")
+    last = F.size(parts) - 1
+    ended = F.transform(parts, lambda x, k: F.when(k == last, x).when(x.rlike(BLOCK), F.regexp_replace(x, BLOCK, "\n")).otherwise(F.concat(x, F.lit(">"))))
+    return F.array_join(ended, "")
+
+
 def html_lines(html: Column) -> Column:
-    """Text lines of a page: block tags break lines, other tags vanish, blanks are trimmed, empty lines go."""
+    """Text lines of a page: block tags break lines, other tags vanish, blanks are trimmed, empty lines go. Linear in the text, closed tags or not."""
     out = F.coalesce(html, F.lit(""))
-    for p in HIDDEN:
-        out = F.regexp_replace(out, p, "")
-    out = F.regexp_replace(F.regexp_replace(out, BLOCK, "\n"), TAG, "")
+    for whole, to_last in HIDDEN:
+        out = _without(out, whole, to_last)
+    out = F.regexp_replace(_broken(out), TAG, "")
     return F.filter(F.transform(F.split(out, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
 

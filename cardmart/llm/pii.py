@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import stored
+from .runtime import share_of, stored
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn")
@@ -276,7 +278,7 @@ def trained(found: DataFrame, max_spans: int = 20_000) -> np.ndarray:
     # copies of a span and its surroundings count once
     distinct = each.distinct().withColumn("h", F.xxhash64("kind", "votes", "seen"))
     n = distinct.count()
-    share = distinct if n <= max_spans else distinct.where(F.pmod("h", F.lit(1_000_000)) < int(0.97 * max_spans / n * 1_000_000))
+    share = distinct if n <= max_spans else distinct.where(share_of(F.col("h")) < 0.97 * max_spans / n)
     sample = share.limit(max_spans).toPandas().sort_values("h").merge(table, on="votes")
     return fit_classifier([list(x) for x in sample["seen"]], sample["p"].to_numpy())
 
@@ -289,10 +291,13 @@ def chosen(spans: list[dict], w: np.ndarray) -> list[tuple[str, int, int, bool]]
     if rest:
         ok = probability(w, [s["seen"] for s in rest]) > 0.5
         taken = sorted((a, b) for _, a, b, _ in base)
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))  # ends: the furthest so far
+        last = 0
         for s in sorted((s for s, good in zip(rest, ok, strict=True) if good), key=lambda s: (s["start"], s["end"])):
-            if all(s["end"] <= a or s["start"] >= b for a, b in taken):
+            before = bisect_left(starts, s["end"])  # base spans that start before this one ends
+            if s["start"] >= last and (not before or ends[before - 1] <= s["start"]):
                 added.append((s["kind"], s["start"], s["end"], False))
-                taken.append((s["start"], s["end"]))
+                last = s["end"]
     return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

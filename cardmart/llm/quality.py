@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import flat_bytes, row_slices, word_bounds, word_hashes
-from .runtime import stored
+from .runtime import share_of, stored
 
 STATISTICS = (
     "bytes", "words", "lines", "word_length", "upper", "digit", "symbol", "bar", "exclaim", "stop", "comma", "accent",
@@ -197,7 +197,7 @@ def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
     """At most max_rows rows, by hash of the doc_id."""
     n = rows.count()
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.97 * max_rows / n * 1_000_000))
+        rows = rows.where(share_of(F.xxhash64("doc_id")) < 0.97 * max_rows / n)
     return rows.limit(max_rows)
 
 
@@ -210,7 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "quality")
     sample = stored(bounded_sample(known, max_rows), "quality-sample")
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"))
-    found = rows.join(F.broadcast(sample), "doc_id").toPandas()
+    # an id that repeats counts once for each label, so that no more rows than the sample has come here
+    names = [c for c in rows.columns if c != "doc_id"]
+    one = rows.join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("x"))
+    found = one.select("doc_id", "quality", "x.*").toPandas()
     found = found.iloc[np.lexsort((found["bytes"], found["doc_id"]))]
     return fit_trees(found[list(STATISTICS)].to_numpy(np.float32), found["quality"].to_numpy(float))
 

@@ -55,6 +55,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def share_of(h: Column) -> Column:
+    """A place from 0 to 1 for a 64-bit hash, to 15 digits: rows below a share are a sample of that share, however small it is."""
+    return F.pmod(h, F.lit(1_000_000)) / 1e6 + F.pmod(F.xxhash64(h), F.lit(1_000_000_000)) / 1e15
+
+
 #: Names of a row: its file (as a hash) and its place there.
 FILE, PLACE = "__file", "__place"
 

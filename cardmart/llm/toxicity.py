@@ -21,6 +21,7 @@ of one class, or none, the score is 0; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,8 +96,8 @@ class Runs:
         return np.maximum.accumulate(before)
 
     def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """First word, and the word after the last, of all runs within a sentence; each time sorted. A run that repeats
-        one of its words says no more than its parts do and is left out."""
+        """First word, and the word after the last, of all runs within a sentence; each time sorted. A short run that repeats
+        one of its words says no more than its parts do and is left out; whole sentences all count."""
         begins = np.flatnonzero(np.append(True, np.diff(self.sentence) != 0))
         ends = np.append(begins[1:], len(self.sentence))
         repeats = self.repeats()
@@ -108,7 +109,7 @@ class Runs:
                 i = np.arange(len(self.sentence) - size + 1)
                 i = i[self.sentence[i] == self.sentence[i + size - 1]]
                 j = i + size
-            ok = repeats[j - 1] < i
+            ok = slice(None) if size is None else repeats[j - 1] < i
             yield i[ok], j[ok]
 
     def text(self, i: int, j: int) -> str:
@@ -205,11 +206,26 @@ class Machine:
     centre: float
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
-        """Margin of each text, that of its most suspicious run, and the run."""
+        """Margin of each text, that of its most suspicious run, and the run. Long texts are read in stretches, so memory follows these."""
+        margin, found = np.full(len(texts), -np.inf), [None] * len(texts)
+        parts = [(k, p) for k, t in enumerate(texts) for p in stretches(t)]
+        at = 0
+        while at < len(parts):
+            to, n = at + 1, len(parts[at][1])
+            while to < len(parts) and n + len(parts[to][1]) <= 2 * CHARS:
+                n += len(parts[to][1])
+                to += 1
+            for (k, _), m, f in zip(parts[at:to], *self._best([p for _, p in parts[at:to]]), strict=True):
+                if m > margin[k]:
+                    margin[k], found[k] = m, f
+            at = to
+        return np.where(np.isfinite(margin), margin, 0) + self.bias, found
+
+    def _best(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         margin, where = np.full(len(texts), -np.inf), [None] * len(texts)
         r = Runs(texts)
         if len(r.edges) < 2:
-            return np.full(len(texts), self.bias), where
+            return margin, where
         sums = r.sums(self.table)
         for i, j in r.spans():
             if not len(i):
@@ -221,13 +237,24 @@ class Machine:
                 if value > margin[d]:
                     k = a + int(np.argmax(m[a:b]))
                     margin[d], where[d] = value, (int(i[k]), int(j[k]))
-        found = [r.text(*w) if w else None for w in where]
-        return np.where(np.isfinite(margin), margin, 0) + self.bias, found
+        return margin, [r.text(*w) if w else None for w in where]
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.centre), -50, 50)))
 
 
+_SENTENCE = re.compile("\n|[.!?](?=[ \n])").search
+
+
+def stretches(text: str) -> list[str]:
+    """A text in stretches of about CHARS characters that end with a sentence."""
+    out, at = [], 0
+    while len(text) - at > 2 * CHARS and (end := _SENTENCE(text, at + CHARS)):
+        out.append(text[at : end.end()])
+        at = end.end()
+    return [*out, text[at:]]
+
+
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows of at most ROWS texts and about CHARS characters, or of one longer text."""
     for batch in batches:
