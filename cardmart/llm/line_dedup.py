@@ -32,11 +32,11 @@ def _without(text: Column, whole: str, to_last: str) -> Column:
 
 
 def _broken(text: Column) -> Column:
-    """Text with a line feed for each block tag. A tag lasts until the next >, so it is the end of what stands between two of these."""
-    parts = F.split(text, ">")
-    last = F.size(parts) - 1
-    ended = F.transform(parts, lambda x, k: F.when(k == last, x).when(x.rlike(BLOCK), F.regexp_replace(x, BLOCK, "\n")).otherwise(F.concat(x, F.lit(">"))))
-    return F.array_join(ended, "")
+    """Text with a line feed for each block tag. A tag lasts until the next >, so it is the end of what stands before one."""
+    head = F.regexp_extract(text, "(?s)^.*>", 0)
+    ended = F.transform(F.split(head, ">"), lambda x: F.when(x.rlike(BLOCK), F.regexp_replace(x, BLOCK, "\n")).otherwise(F.concat(x, F.lit(">"))))
+    joined = F.array_join(ended, "")  # the empty text after the last > has got one too many
+    return F.concat(F.substring(joined, F.lit(1), F.length(joined) - 1), F.substring(text, F.length(head) + 1, F.length(text)))
 
 
 def html_lines(html: Column) -> Column:
