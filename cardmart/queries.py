@@ -158,12 +158,12 @@ def _corrections(spark: SparkSession, sf: str) -> DataFrame:
 _LATE = """SELECT customer_id, income_bracket, yearly_income, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, CAST(version_number AS INTEGER) AS version_number FROM ver"""
 _LATE_PARTS = {
     "fixed": """SELECT customer_id, round(CASE WHEN c_custkey % 4 = 0 THEN yearly_income - 3000 ELSE yearly_income END, 2) AS yearly_income FROM ca""",
-    "obs": f"""SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1995-01-01' AS at FROM ca UNION ALL SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1998-01-01' FROM cb
+    "obs": f"""SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1995-01-01' AS seen FROM ca UNION ALL SELECT customer_id, yearly_income, income_bracket, TIMESTAMP '1998-01-01' FROM cb
         UNION ALL SELECT customer_id, yearly_income, {_bracket("yearly_income")}, TIMESTAMP '1996-07-01' FROM fixed""",
-    "marked": """SELECT *, CASE WHEN income_bracket = lag(income_bracket) OVER (PARTITION BY customer_id ORDER BY at) THEN 0 ELSE 1 END AS b FROM obs""",
-    "numbered": "SELECT *, sum(b) OVER (PARTITION BY customer_id ORDER BY at) AS version_number FROM marked",
-    "ver": """SELECT customer_id, version_number, any_value(income_bracket) AS income_bracket, arg_max(yearly_income, at) AS yearly_income, min(at) AS valid_from,
-        lead(min(at)) OVER (PARTITION BY customer_id ORDER BY version_number) AS valid_to FROM numbered GROUP BY customer_id, version_number""",
+    "marked": """SELECT *, CASE WHEN income_bracket = lag(income_bracket) OVER (PARTITION BY customer_id ORDER BY seen) THEN 0 ELSE 1 END AS b FROM obs""",
+    "numbered": "SELECT *, sum(b) OVER (PARTITION BY customer_id ORDER BY seen) AS version_number FROM marked",
+    "ver": """SELECT customer_id, version_number, any_value(income_bracket) AS income_bracket, arg_max(yearly_income, seen) AS yearly_income, min(seen) AS valid_from,
+        lead(min(seen)) OVER (PARTITION BY customer_id ORDER BY version_number) AS valid_to FROM numbered GROUP BY customer_id, version_number""",
 }
 
 

@@ -23,8 +23,8 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 class _Trailing(StatefulProcessor):
     """State of a key: its transactions as (time in microseconds, whether decided, item, carried columns)."""
 
-    def __init__(self, schema: T.StructType, carried: Sequence[str], most: int, span: int, distinct: bool):
-        self.schema, self.carried, self.most, self.span, self.distinct = schema, list(carried), most, span, distinct
+    def __init__(self, schema: T.StructType, key: str, carried: Sequence[str], most: int, span: int, distinct: bool):
+        self.schema, self.key, self.carried, self.most, self.span, self.distinct = schema, key, list(carried), most, span, distinct
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,7 +43,7 @@ class _Trailing(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for df in rows:
-            columns = [df["_us"].tolist(), [False] * len(df), df["_item"].tolist(), *(df[c].astype(object).where(df[c].notna(), None).tolist() for c in self.carried)]
+            columns = [df["event_micros"].tolist(), [False] * len(df), df["event_item"].tolist(), *(df[c].astype(object).where(df[c].notna(), None).tolist() for c in self.carried)]
             new += zip(*columns, strict=True)
         if new:
             self.events.appendList(new)
@@ -71,7 +71,7 @@ class _Trailing(StatefulProcessor):
         waiting = [e[0] for e in kept if not e[1]]
         if waiting:
             self._wake(min(waiting))
-        yield pd.DataFrame(hits, columns=["_key", *self.carried, "ts", "n"]) if hits else pd.DataFrame()
+        yield pd.DataFrame(hits, columns=[self.key, *self.carried, "ts", "n"]) if hits else pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -83,8 +83,8 @@ def _trailing(stream: DataFrame, key: str, item: str | None, most: int, minutes:
     state = T.StructType([T.StructField("us", T.LongType()), T.StructField("told", T.BooleanType()), T.StructField("item", T.StringType()), *(T.StructField(c, types[c]) for c in carried)])
     out = T.StructType([T.StructField(key, types[key]), *(T.StructField(c, types[c]) for c in carried), T.StructField("ts", T.TimestampType()), T.StructField("n", T.IntegerType())])
     named = F.col(item).cast("string") if item else F.lit(None).cast("string")
-    rows = stream.withWatermark("ts", late).withColumns({"_us": F.unix_micros("ts"), "_item": named})
-    found = rows.groupBy(key).transformWithStateInPandas(_Trailing(state, carried, most, minutes * 60_000_000, item is not None), out, "Append", "EventTime", eventTimeColumnName="ts")
+    rows = stream.withWatermark("ts", late).withColumns({"event_micros": F.unix_micros("ts"), "event_item": named})
+    found = rows.groupBy(key).transformWithStateInPandas(_Trailing(state, key, carried, most, minutes * 60_000_000, item is not None), out, "Append", "EventTime", eventTimeColumnName="ts")
     return found
 
 

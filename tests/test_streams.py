@@ -99,7 +99,7 @@ def test_state_keeps_the_window_alone():
         def getCurrentWatermarkInMs(self):
             return 100_000
 
-    p = exact._Trailing(None, [], 1, 30_000_000, False)
+    p = exact._Trailing(None, "k", [], 1, 30_000_000, False)
     p.init(Handle())
     held["rows"] = [(us, False, None) for us in (10_000_000, 65_000_000, 80_000_000, 100_000_000, 120_000_000)]
     hits = [df for df in p.handleExpiredTimer(("k",), Now(), None) if len(df)]
