@@ -1,7 +1,7 @@
 """Mergeable sketches of distinct counts and quantiles: per day and segment once, then merged for any window and roll-up.
 
-Distinct counts and quantiles of days do not add up (marts.safe_rollup refuses them); their sketches do. A distinct sketch (HLL) of merged days equals the sketch of
-all their rows; a quantile sketch (KLL) of merged days has the same error bound. The exact forms stay where they are: this is for roll-ups
+Distinct counts and quantiles of days do not add up (marts.safe_rollup refuses them); their sketches do. A distinct sketch (HLL) of merged days is the same by
+whatever steps it was merged, and it and a quantile sketch (KLL) of merged days have the error bound of one over all rows. The exact forms stay where they are: this is for roll-ups
 over many days, where the exact ones read the rows again.
 """
 
