@@ -146,3 +146,49 @@ def test_memory_of_a_long_text_is_that_of_a_stretch():
         peaks.append(tracemalloc.get_traced_memory()[1] - len(text) * 2)
         tracemalloc.stop()
     assert peaks[1] < 1.3 * peaks[0]
+
+
+@pytest.mark.parametrize(("capacity", "limit"), [(64, 4), (1024, 16), (32, 1)])
+def test_bins_against_a_naive_best_fit(capacity, limit):
+    """Each piece goes to the fullest open bin that takes it; where all are open, the fullest closes."""
+    rnd = random.Random(capacity)
+    bins, naive, free = packing.OpenBins(capacity, limit), {}, {}
+    for _ in range(4000):
+        length = min(capacity, max(1, int(rnd.expovariate(4 / capacity))))
+        number, offset = bins.place(length)
+        fits = [f for f in naive.values() if f >= length]
+        before = naive.pop(number, capacity)
+        assert before == min(fits, default=capacity) and offset == capacity - before
+        assert free.get(number, capacity) == before  # gapless
+        rest = free[number] = before - length
+        if rest:
+            if len(naive) == limit:
+                fullest = min(naive.values())
+                if rest <= fullest:
+                    continue
+                open_bins = {b for frees in bins.by_free for b in frees}
+                closed = [n for n, f in naive.items() if n not in open_bins]
+                assert [naive[n] for n in closed] == [fullest]
+                del naive[closed[0]]
+            naive[number] = rest
+    assert len(naive) <= limit
+
+
+def plain_margin(model, row):
+    """A row's margin by walking each tree node after node."""
+    binned = [sum(e <= x for e in edges) for x, edges in zip(row, model.edges, strict=True)]
+    total = model.base
+    for feature, cut, leaf in zip(model.feature, model.bin, model.leaf, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + 1 + int(binned[feature[node]] > cut[node])
+        total += leaf[node - len(feature)]
+    return total
+
+
+def test_tree_margins_against_plain_walks():
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(600, 5)).round(1)
+    model = quality.fit_trees(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float), trees=12)
+    got = model.margin(x)
+    assert np.allclose(got, [plain_margin(model, row) for row in x]) and len(set(got.round(6))) > 20
