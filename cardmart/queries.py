@@ -16,6 +16,7 @@ from .functions import clean
 from .operators import calibrate, checks, dedup, marts, scd2
 from .operators.sinks import scratch, written
 from .operators.window_state import KeptState
+from .plans import suite
 from .sources import retail
 from .streaming import feed, rules
 
@@ -886,6 +887,34 @@ def reference_errors(spark: SparkSession, sf: str) -> DataFrame:
     return marts.reference_codes(retail.transactions(spark, sf), "errors", "error", clean.short_md5_key).select("error", F.col("error_key").cast("int").alias("error_key"))
 
 
+_SUITE = [
+    *suite.not_null("orders", "o_orderkey", "o_custkey"), suite.between("orders", "o_totalprice", 1000, 400000, suite.WARN), suite.accepted("orders", "o_orderstatus", "F", "O", severity=suite.WARN),
+    suite.holds("orders", "recent", "o_orderdate >= TIMESTAMP_NTZ '1996-01-01'", suite.WARN), suite.unique("orders", "o_orderkey"), suite.unique("lineitem", "l_orderkey", "l_linenumber"),
+    suite.refers("orders", "o_custkey", "customer", "c_custkey"), suite.refers("events", "user_id", "customer", "c_custkey", suite.WARN), suite.refers("lineitem", "l_partkey", "part", "p_partkey"),
+    *suite.not_null("lineitem", "l_shipdate"), suite.between("lineitem", "l_quantity", 1, 45),
+]
+
+
+@query(
+    """WITH f AS (
+    SELECT 'orders_not_null_o_orderkey' AS "check", 'orders' AS "table", 'error' AS severity, count(*) FILTER (o_orderkey IS NULL) AS failures FROM orders UNION ALL
+    SELECT 'orders_not_null_o_custkey', 'orders', 'error', count(*) FILTER (o_custkey IS NULL) FROM orders UNION ALL
+    SELECT 'orders_between_o_totalprice', 'orders', 'warn', count(*) FILTER (o_totalprice NOT BETWEEN 1000 AND 400000) FROM orders UNION ALL
+    SELECT 'orders_accepted_o_orderstatus', 'orders', 'warn', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders UNION ALL
+    SELECT 'orders_recent', 'orders', 'warn', count(*) FILTER (NOT o_orderdate >= TIMESTAMP '1996-01-01') FROM orders UNION ALL
+    SELECT 'orders_unique_o_orderkey', 'orders', 'error', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)) UNION ALL
+    SELECT 'lineitem_unique_l_orderkey_l_linenumber', 'lineitem', 'error', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) UNION ALL
+    SELECT 'orders_refers_o_custkey', 'orders', 'error', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
+    SELECT 'events_refers_user_id', 'events', 'warn', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL
+    SELECT 'lineitem_refers_l_partkey', 'lineitem', 'error', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL
+    SELECT 'lineitem_not_null_l_shipdate', 'lineitem', 'error', count(*) FILTER (l_shipdate IS NULL) FROM lineitem UNION ALL
+    SELECT 'lineitem_between_l_quantity', 'lineitem', 'error', count(*) FILTER (l_quantity NOT BETWEEN 1 AND 45) FROM lineitem)
+    SELECT *, failures = 0 AS passed FROM f"""
+)
+def quality_suite(spark: SparkSession, sf: str) -> DataFrame:
+    return suite.results(_SUITE, {t: retail.table(spark, sf, t) for t in ("orders", "lineitem", "events", "customer", "part")})
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
     return checks.duplicated(retail.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cardmart.functions import clean
 from cardmart.operators import checks, dedup, marts, rolling, scd2, sinks
-from cardmart.plans.contract import Contract, GateError, build
+from cardmart.plans import suite
+from cardmart.plans.contract import Contract, GateError, audit, build, build_all, in_order
 from cardmart import queries
 from cardmart.sources import raw, readers, retail
 from cardmart.streaming import rules
@@ -135,6 +136,68 @@ def test_contract(spark, tmp_path):
     assert not readers.path_exists(spark, f"{base}/bad")
 
 
+def test_contract_rules_and_order(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([(1, 2.5, ts("2024-01-01 10:00:00")), (2, 4.0, ts("2024-01-01 11:00:00")), (3, None, ts("2024-01-01 09:00:00"))], "k int, v double, at timestamp_ntz").write.parquet(f"{base}/src")
+    columns = {"k": "int", "v": "double", "at": "timestamp_ntz"}
+    loose = Contract("a", lambda s: s.where("k < 3"), columns, ("k",), sources=("src",), row_loss={"src": 40.0}, sums={"src": {"v": 0.01}}, fresh=("at", 60), ranges={"v": (0, 5)}, accepted={"k": (1, 2)})
+    rows, src = spark.read.parquet(f"{base}/src").where("k < 3"), {"src": spark.read.parquet(f"{base}/src")}
+    told = {n: ok for n, ok, _ in audit(rows, loose, src, ts("2024-01-01 11:30:00"))}
+    assert all(told.values()) and {"row_loss_src", "sum_v_src", "fresh", "range_v", "accepted_k"} <= set(told)
+    tight = Contract("a", loose.builder, columns, ("k",), row_loss={"src": 10.0}, sums={"src": {"v": 0.0}}, fresh=("at", 10), ranges={"v": (0, 3)}, accepted={"k": (1,)})
+    failed = {n for n, ok, _ in audit(rows.where("k = 2"), tight, src, ts("2024-01-01 11:30:00")) if not ok}
+    assert failed == {"row_loss_src", "sum_v_src", "fresh", "range_v", "accepted_k"}
+    plain = lambda n, f, *needs: Contract(n, f, columns, ("k",), sources=() if needs else ("src",), depends=needs)
+    chain = [plain("d", lambda a, b: a, "b", "c"), plain("b", lambda a: a.limit(0), "a"), plain("c", lambda a: a, "a"), plain("a", lambda s: s)]
+    assert [c.name for c in in_order(chain)] == ["a", "b", "c", "d"]
+    told = build_all(spark, chain, base, {"src": f"{base}/src"})
+    assert told["a"] == told["c"] == "published" and told["b"].startswith("failed: b: not_empty") and told["d"] == "skipped: needs b"
+    assert readers.path_exists(spark, f"{base}/c") and not readers.path_exists(spark, f"{base}/b")
+    with pytest.raises(ValueError, match="depend on each other"):
+        in_order([plain("x", None, "y"), plain("y", None, "x")])
+
+
+def test_suite_scans_each_table_once(spark, tmp_path):
+    for name, rows, schema in (("p", [(1,), (2,)], "id int"), ("c", [(1, 5, "x"), (9, 50, "y"), (None, None, "x"), (1, 5, None)], "pid int, v int, s string"), ("e", [], "pid int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in "pce"}
+    declared = [*suite.not_null("c", "pid", "s"), suite.between("c", "v", 1, 10), suite.accepted("c", "s", "x"), suite.holds("c", "even", "v % 2 = 0", suite.WARN), suite.unique("c", "pid", "v"),
+                suite.refers("c", "pid", "p", "id"), suite.refers("e", "pid", "p", "id"), *suite.not_null("e", "pid")]
+    out = suite.results(declared, tables)
+    assert {r.check: r.failures for r in out.collect()} == {"c_not_null_pid": 1, "c_not_null_s": 1, "c_between_v": 1, "c_accepted_s": 1, "c_even": 2, "c_unique_pid_v": 1, "c_refers_pid": 1, "e_refers_pid": 0, "e_not_null_pid": 0}
+    assert suite.gate(out) == (["c_accepted_s", "c_between_v", "c_not_null_pid", "c_not_null_s", "c_refers_pid", "c_unique_pid_v"], ["c_even"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # the parent, and the list of checks
+    assert plan.count("Relation [pid") == 5  # c: columns, key, reference; e: columns, reference
+    with pytest.raises(ValueError, match="of one name"):
+        suite.results([declared[0], declared[0]], tables)
+    with pytest.raises(ValueError, match="unknown check"):
+        suite.results([suite.Check("c", "nice", ("v",))], tables).collect()
+    past = spark.createDataFrame([("a", k, 10 + k % 2) for k in range(8)] + [("a", 8, 30), ("b", 1, 5), ("b", 2, 50)], "check string, day int, failures long")
+    assert [(r.check, r.day) for r in suite.unusual(past).collect()] == [("a", 8)]
+
+
+def test_star_keeps_rows_and_nulls(spark):
+    rows = spark.createDataFrame([("t1", " ab ", "X"), ("t2", None, "y"), ("t3", "zz", None)], "id string, a string, b string")
+    dim = spark.createDataFrame([("AB", "x", 7, True), ("ab ", "x", 5, True), ("AB", "x", 1, False), (None, "x", 9, True)], "a string, b string, key int, is_current boolean")
+    out = marts.star(rows, [marts.Lookup(dim, ["a", "b"], ["a", "b"], "key")])
+    assert sorted((r.id, r.key) for r in out.collect()) == [("t1", 5), ("t2", None), ("t3", None)]
+
+
+def test_small_checks(spark):
+    wide = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
+    assert sorted(map(tuple, checks.unpivoted(wide).collect())) == [("a", "1"), ("c", "x")]
+    assert checks.known_keys(wide, ["a", "c"]).count() == 1 and checks.known_keys(wide, ["b"]).count() == 0
+    report = spark.createDataFrame([(20240110, 9), (20240110, 10), (20240109, 9)], "date_key int, window_day_count int")
+    assert [(r.date_key, r.window_day_count) for r in checks.incomplete(report, dt.date(2024, 1, 1), 10).collect()] == [(20240110, 9)]
+    dim = spark.createDataFrame([("a", True), ("b", False)], "k string, is_current boolean")
+    assert [r.k for r in checks.not_current(spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), dim, "k").orderBy("k").collect()] == ["b", "c"]
+    with pytest.raises(ValueError, match="missing columns: z"):
+        checks.require_columns(wide, ["a", "z"])
+    one, two = (spark.createDataFrame(r, "d string, v double") for r in ([("d1", 2.0), ("d2", 1.0)], [("d1", 2.0), ("d3", 1.0)]))
+    assert {r.d for r in checks.reconciled(one, two, ["d"], ["v"]).collect()} == {"d2", "d3"}
+
+
 def test_checks(spark):
     a = spark.createDataFrame([("d1", 5), ("d2", 7)], "d string, n int")
     b = spark.createDataFrame([("d1", 5)], "d string, n int")
