@@ -13,6 +13,8 @@ than page_id, url and html are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +27,26 @@ TAG = r"<[^<>]*>"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A body with a value that it names several times and that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _after(text: Column, head: Column) -> Column:
+    return F.substring(text, F.length(head) + 1, F.length(text))
+
+
 def _without(text: Column, whole: str, to_last: str) -> Column:
     """Text without what a pattern hides. It is looked for up to the last closing only, where every opening finds one: unclosed ones cost nothing."""
-    head = F.regexp_extract(text, to_last, 0)
-    return F.concat(F.regexp_replace(head, whole, ""), F.substring(text, F.length(head) + 1, F.length(text)))
+    return _let(text, lambda t: _let(F.regexp_extract(t, to_last, 0), lambda head: F.concat(F.regexp_replace(head, whole, ""), _after(t, head))))
 
 
 def _broken(text: Column) -> Column:
     """Text with a line feed for each block tag. A tag lasts until the next >, so it is the end of what stands before one."""
-    head = F.regexp_extract(text, "(?s)^.*>", 0)
-    ended = F.transform(F.split(head, ">"), lambda x: F.when(x.rlike(BLOCK), F.regexp_replace(x, BLOCK, "\n")).otherwise(F.concat(x, F.lit(">"))))
-    joined = F.array_join(ended, "")  # the empty text after the last > has got one too many
-    return F.concat(F.substring(joined, F.lit(1), F.length(joined) - 1), F.substring(text, F.length(head) + 1, F.length(text)))
+    end = lambda x: F.when(x.rlike(BLOCK), F.regexp_replace(x, BLOCK, "\n")).otherwise(F.concat(x, F.lit(">")))
+    ended = lambda head: F.array_join(F.transform(F.split(head, ">"), end), "")
+    cut = lambda joined: F.substring(joined, F.lit(1), F.length(joined) - 1)  # noqa: E731  the empty text after the last > has got one too many
+    return _let(text, lambda t: _let(F.regexp_extract(t, "(?s)^.*>", 0), lambda head: F.concat(_let(ended(head), cut), _after(t, head))))
 
 
 def html_lines(html: Column) -> Column:
