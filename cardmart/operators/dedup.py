@@ -18,6 +18,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     A maximum of structs: rows are combined before the shuffle and no group is sorted or held.
     """
     rest = _total_order(df, keys, order)
+    if len(rest) == 1:  # a plain maximum needs no sort
+        return df.groupBy(*keys).agg(F.max(rest[0]).alias(rest[0])).select(*df.columns)
     top = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_top"))
     return top.select(*(F.col(c) if c in keys else F.col(f"_top.{c}").alias(c) for c in df.columns))
 

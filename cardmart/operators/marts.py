@@ -200,17 +200,21 @@ def trend_5min(txn: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
-def customer_steps(txn: DataFrame, days: int = ACTIVE_DAYS) -> DataFrame:
-    """Steps of each customer's trailing transactions and distinct cards."""
+def customer_steps(txn: DataFrame, days: int = ACTIVE_DAYS, parts: int | None = None) -> DataFrame:
+    """Steps of each customer's trailing transactions and distinct cards (see rolling.distinct_deltas()), from one row per card and day; rows are dealt out by customer once."""
     known = txn.where(~F.col("customer_id").isin(*SENTINELS))
-    daily = known.groupBy("customer_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    by = ["customer_id"]
-    n = rolling.sum_deltas(daily, by, ["n"], days).withColumn("cards", F.lit(0))
-    cards = rolling.distinct_deltas(known.where(~F.col("card_id").isin(*SENTINELS)), by, "card_id", days, "cards").withColumn("n", F.lit(0))
-    last = daily.select("customer_id", F.col("day").alias("_active"), "day")
-    steps = rolling.steps_from_deltas(n.unionByName(cards), by, ["n", "cards"])
-    w = Window.partitionBy("customer_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(last, ["customer_id", "day"], "left").withColumn("last_day", F.max("_active").over(w)).drop("_active")
+    card = F.when(~F.col("card_id").isin(*SENTINELS), F.col("card_id")).alias("card_id")
+    daily = rolling.dealt(known.groupBy("customer_id", card, "day").agg(F.count(F.lit(1)).alias("n")), ["customer_id"], parts)
+    following = F.lead("day").over(Window.partitionBy("customer_id", "card_id").orderBy("day"))
+    gone, one, no = F.date_add("day", days), F.when(F.col("card_id").isNotNull(), 1).otherwise(0), F.lit(0)
+    change = lambda day, n, cards, active: F.struct(day.alias("day"), n.cast("long").alias("n"), cards.alias("cards"), active.alias("active"))
+    never = F.lit(None).cast("date")
+    changes = F.array(change(F.col("day"), F.col("n"), one, F.col("day")), change(F.least(gone, F.coalesce("_next", gone)), no, -one, never), change(gone, -F.col("n"), no, never))
+    deltas = daily.withColumn("_next", following).select("customer_id", F.explode(changes).alias("_c")).select("customer_id", "_c.*")
+    summed = deltas.groupBy("customer_id", "day").agg(F.sum("n").alias("n"), F.sum("cards").alias("cards"), F.max("active").alias("active"))
+    w = Window.partitionBy("customer_id").orderBy("day")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select("customer_id", "day", F.lead("day").over(w).alias("until"), F.sum("n").over(past).alias("n"), F.sum("cards").over(past).alias("cards"), F.max("active").over(past).alias("last_day"))
 
 
 def at_day_end(rows: DataFrame, dim: DataFrame) -> DataFrame:
@@ -219,16 +223,33 @@ def at_day_end(rows: DataFrame, dim: DataFrame) -> DataFrame:
     return scd2.as_of(rows, dim, "customer_id", "customer_id", end, {"customer_key": "customer_key"})
 
 
-def version_ranges(dim: DataFrame, key: str, surrogate: str) -> DataFrame:
-    """Ranges of days on whose end each version holds, and those between versions (surrogate null), from the first day to an open end."""
-    v = dim.where(~F.col(key).isin(*SENTINELS)).select(key, F.col(surrogate), F.to_date("effective_from").alias("day"), F.to_date("effective_to").alias("until")).where("day < until")
+def version_ranges(dim: DataFrame, key: str, surrogate: str, *others: str) -> DataFrame:
+    """Ranges of days on whose end each version holds, and those between versions (surrogate and other columns null), from the first day to an open end."""
+    v = dim.where(~F.col(key).isin(*SENTINELS)).select(key, surrogate, *others, F.to_date("effective_from").alias("day"), F.to_date("effective_to").alias("until")).where("day < until")
     w = Window.partitionBy(key).orderBy("day")
     v = v.withColumns({"_next": F.lead("day").over(w), "_before": F.lag("until").over(w)})
-    none = F.lit(None).cast(dim.schema[surrogate].dataType).alias(surrogate)
-    held = v.select(key, surrogate, "day", "until")
-    after = v.where("_next IS NULL OR _next > until").select(key, none, F.col("until").alias("day"), F.col("_next").alias("until"))
-    first = v.where("_before IS NULL").select(key, none, F.lit("0001-01-01").cast("date").alias("day"), F.col("day").alias("until"))
-    return held.unionByName(after).unionByName(first)
+    names = (surrogate, *others)
+    part = lambda held, day, until: F.struct(*((F.col(n) if held else F.lit(None).cast(dim.schema[n].dataType)).alias(n) for n in names), day.alias("day"), until.alias("until"))
+    parts = F.array(
+        part(True, F.col("day"), F.col("until")),
+        F.when(F.col("_next").isNull() | (F.col("_next") > F.col("until")), part(False, F.col("until"), F.col("_next"))),
+        F.when(F.col("_before").isNull(), part(False, F.lit("0001-01-01").cast("date"), F.col("day"))),
+    )
+    return v.select(key, F.explode(F.array_compact(parts)).alias("_p")).select(key, "_p.*")
+
+
+def activity_totals(txn: DataFrame, customers: DataFrame, days: int = ACTIVE_DAYS, parts: int | None = None) -> DataFrame:
+    """customer_activity() summed over the active customers of each day that has any; keyed: those with a version at the day's end, second: with their second one.
+
+    The changes of steps are summed by day: no customer's days are written out.
+    """
+    first, last = rolling.bounds(txn)
+    steps = customer_steps(txn, days, parts).where("n > 0").drop("last_day")
+    rows = rolling.meeting(steps, version_ranges(customers, "customer_id", "customer_key", "version_number"), ["customer_id"], "left")
+    flag = lambda c: c.cast("long")
+    rows = rows.select(F.lit(1).alias("all"), F.col("day").alias("a"), F.col("until").alias("b"), F.lit(1).alias("active"), "cards", "n", flag(F.col("customer_key").isNotNull()).alias("keyed"), F.coalesce(flag(F.col("version_number") == 2), F.lit(0)).alias("second"))
+    names = ["active", "cards", "n", "keyed", "second"]
+    return rolling.written_out(rolling.steps_from_deltas(_range_deltas(rows, ["all"], names), ["all"], names), first, last).where("active > 0").drop("all")
 
 
 def customer_activity(txn: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, customers: DataFrame | None = None, last_seen: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
@@ -294,10 +315,10 @@ def _segmented() -> list[Column]:
     return [clean.chip_segment(F.col("has_chip")).alias("chip_segment"), F.coalesce("card_brand", F.lit("UNKNOWN")).alias("card_brand"), F.when(F.col("v_from").isNotNull(), 1).otherwise(0).alias("active")]
 
 
-def active_steps(txn: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS) -> DataFrame:
+def active_steps(txn: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS, parts: int | None = None) -> DataFrame:
     """Steps of active cards and their transactions per segment that the card is in on that day."""
     daily = txn.select(_card(), "day", "is_error").groupBy("card_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
-    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily, ["card_id"], ["n", "failed"], days), ["card_id"], ["n", "failed"]).where("n > 0")
+    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily, ["card_id"], ["n", "failed"], days, parts=parts), ["card_id"], ["n", "failed"]).where("n > 0")
     both = steps.join(version_days(cards).select("card_id", "has_chip", "card_brand", "v_from", "v_to"), "card_id", "left")
     rows = both.select(*_segmented(), F.greatest("day", "v_from").alias("a"), F.least("until", "v_to").alias("b"), "n", "failed")
     names = ["active", "n", "failed"]
@@ -319,7 +340,7 @@ def _portfolio_day(txn: DataFrame, cards: DataFrame, batch: dt.date, days: int,
     return tuple(d.withColumn("day", F.lit(batch)) for d in (issued, active))
 
 
-def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, first: dt.date | None = None, state: DataFrame | None = None) -> DataFrame:
+def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = None, days: int = ACTIVE_DAYS, first: dt.date | None = None, state: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """A row per day and segment: issued, active and reissued cards, trailing transactions.
 
     batch: that day alone, from the rows of its window, or from the day's kept totals of PORTFOLIO (state); first: the first day of the history, where
@@ -327,7 +348,7 @@ def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = Non
     """
     if batch is None:
         first, last = rolling.bounds(txn)
-        issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(txn, cards, days), first, last)
+        issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(txn, cards, days, parts), first, last)
     else:
         first = first or rolling.bounds(txn)[0]
         issued, active = _portfolio_day(txn, cards, batch, days, state)
@@ -345,30 +366,44 @@ def rate(a: Column, b: Column) -> Column:
     return F.round(a.cast("double") / F.nullif(b, F.lit(0)).cast("double"), 6)
 
 
-def primary_category(daily: DataFrame, qualified: DataFrame, start: dt.date, end: dt.date, days: int) -> DataFrame:
-    """merchant_id, day, primary_mcc (most transactions of the window, then the smallest) and distinct_mcc_count. qualified: ranges of days of each merchant.
+def primary_category(counts: Column) -> Column:
+    """n, primary_mcc (most transactions, then the smallest) and distinct_mcc_count of an array of mcc and n, in which a category may come several times."""
+    none = F.struct(F.lit(None).cast("string").alias("mcc"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("primary_mcc"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("distinct_mcc_count"))
+
+    def add(so_far: Column, x: Column) -> Column:
+        again = (so_far["n"] > 0) & so_far["mcc"].eqNullSafe(x["mcc"])
+        n = F.when(again, so_far["n"] + x["n"]).otherwise(x["n"])
+        more = n > so_far["most"]
+        known = F.coalesce(x["mcc"] != "-1", F.lit(False))
+        return F.struct(
+            x["mcc"].alias("mcc"), n.alias("n"), F.when(more, x["mcc"]).otherwise(so_far["primary_mcc"]).alias("primary_mcc"), F.greatest(n, so_far["most"]).alias("most"),
+            (so_far["distinct_mcc_count"] + (~again & known).cast("long")).alias("distinct_mcc_count"),
+        )
+
+    return F.aggregate(F.array_sort(counts), none, add)
 
-    Steps are cut to these ranges before their days are written out.
-    """
-    by = ["merchant_id", "mcc"]
-    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily.select(*by, "day", "n"), by, ["n"], days), by, ["n"]).where("n > 0")
-    rows = rolling.written_out(rolling.meeting(steps, qualified, ["merchant_id"]), start, end)
-    top = F.min(F.struct((-F.col("n")).alias("n"), "mcc")).alias("top")
-    return rows.groupBy("merchant_id", "day").agg(top, F.count_if(F.col("mcc") != "-1").alias("distinct_mcc_count")).select("merchant_id", "day", F.col("top.mcc").alias("primary_mcc"), "distinct_mcc_count")
 
+def _merchant_days(txn: DataFrame, floor: int, days: int, parts: int | None) -> tuple[DataFrame, dt.date]:
+    """merchant_id, day, n, failed, spend, portfolio_error_rate_30d, primary_mcc, distinct_mcc_count of all days, from daily sums that are written once; and the first day.
 
-def _merchant_days(txn: DataFrame, floor: int, first: dt.date, last: dt.date, days: int) -> DataFrame:
-    """merchant_id, day, n, failed, spend, portfolio_error_rate_30d, primary_mcc, distinct_mcc_count of all days, from daily sums that are written once."""
+    A merchant's categories are looked at where its window changes, before days are written out.
+    """
     daily = written(_merchant_sums(txn, "day"), "merchant-daily")
+    first, last = rolling.bounds(daily)
     names = ["n", "failed", "spend"]
-    by_merchant = daily.groupBy("merchant_id", "day").agg(*(F.sum(c).alias(c) for c in names))
-    steps = rolling.steps_from_deltas(rolling.sum_deltas(by_merchant, ["merchant_id"], names, days), ["merchant_id"], names)
-    enough = steps.where(F.col("n") >= floor)
-    qualified = rolling.written_out(enough, first, last)
+    coming = F.when(F.col("n") > 0, F.struct("mcc", "n"))  # not where a day leaves the window
+    deltas = rolling.sum_deltas(daily, ["merchant_id"], names, days, ["mcc"], parts)
+    changes = deltas.groupBy("merchant_id", "day").agg(*(F.sum(c).alias(c) for c in names), F.collect_list(coming).alias("counts"))
+    w = Window.partitionBy("merchant_id").orderBy(F.unix_date("day"))
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps = changes.select(
+        "merchant_id", "day", F.lead("day").over(w).alias("until"), *(F.sum(c).over(past).alias(c) for c in names), F.flatten(F.collect_list("counts").over(w.rangeBetween(1 - days, 0))).alias("counts"),
+    ).where(F.col("n") >= floor)
+    steps = steps.withColumn("top", primary_category(F.col("counts"))).select("merchant_id", "day", "until", *names, "top.primary_mcc", "top.distinct_mcc_count")
     by_day = daily.groupBy("day").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).withColumn("all", F.lit(1))
     base = rolling.written_out(rolling.steps_from_deltas(rolling.sum_deltas(by_day, ["all"], ["n", "failed"], days), ["all"], ["n", "failed"]), first, last)
     base = base.select("day", rate(F.col("failed"), F.col("n")).alias("portfolio_error_rate_30d"))
-    return qualified.join(base, "day").join(primary_category(daily, rolling.islands(enough.select("merchant_id", "day", "until"), ["merchant_id"]), first, last, days), ["merchant_id", "day"], "left")
+    return rolling.written_out(steps, first, last).join(F.broadcast(base), "day"), first  # base has a row a day
 
 
 def _merchant_sums(txn: DataFrame, *by: str) -> DataFrame:
@@ -385,7 +420,7 @@ def _merchant_day(txn: DataFrame, floor: int, batch: dt.date, days: int, state:
     return rows.crossJoin(F.broadcast(base)).withColumns({"day": F.lit(batch), "primary_mcc": F.col("top.mcc")})  # base is one row
 
 
-def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS, first: dt.date | None = None, state: DataFrame | None = None) -> DataFrame:
+def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date | None = None, days: int = ERROR_DAYS, first: dt.date | None = None, state: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Merchants with at least floor transactions in the trailing window, against the rate of all merchants on that day.
 
     Rates are kept to six digits, the failures to expect are rounded to two before they are subtracted, and the flag compares what is kept.
@@ -393,8 +428,7 @@ def merchant_error(txn: DataFrame, floor: int, threshold: float, batch: dt.date
     the caller knows it.
     """
     if batch is None:
-        first, last = rolling.bounds(txn)
-        rows = _merchant_days(txn, floor, first, last, days)
+        rows, first = _merchant_days(txn, floor, days, parts)
     else:
         first = first or rolling.bounds(txn)[0]
         rows = _merchant_day(txn, floor, batch, days, state)

@@ -31,6 +31,11 @@ def trailing_rows(df: DataFrame, by: Sequence[str], day: str, sums: dict[str, st
     return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
 
 
+def dealt(df: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Rows dealt out by key, to a number of parts where the caller knows what the rows call for."""
+    return df.repartition(parts, *by) if parts else df.repartition(*by)
+
+
 def steps_from_deltas(deltas: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Steps of cumulative sums; deltas: the keys, day and the change of each measure on it."""
     w = Window.partitionBy(*by).orderBy("day")
@@ -38,10 +43,10 @@ def steps_from_deltas(deltas: DataFrame, by: Sequence[str], names: Sequence[str]
     return summed.select(*by, "day", F.lead("day").over(w).alias("until"), *(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names))
 
 
-def sum_deltas(daily: DataFrame, by: Sequence[str], sums: Sequence[str], days: int) -> DataFrame:
-    """Changes of trailing sums. daily: keys, day and measures."""
+def sum_deltas(daily: DataFrame, by: Sequence[str], sums: Sequence[str], days: int, others: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Changes of trailing sums. daily: keys, day, measures and other columns to keep. Days are dealt out by key before they are doubled, so steps_from_deltas() moves them no more."""
     sign = F.explode(F.array(F.struct(F.lit(0).alias("shift"), F.lit(1).alias("sign")), F.struct(F.lit(days).alias("shift"), F.lit(-1).alias("sign"))))
-    return daily.withColumn("_d", sign).select(*by, F.date_add("day", F.col("_d.shift")).alias("day"), *((F.col(c) * F.col("_d.sign")).alias(c) for c in sums))
+    return dealt(daily, by, parts).withColumn("_d", sign).select(*by, *others, F.date_add("day", F.col("_d.shift")).alias("day"), *((F.col(c) * F.col("_d.sign")).alias(c) for c in sums))
 
 
 def distinct_deltas(daily: DataFrame, by: Sequence[str], item: str, days: int, name: str) -> DataFrame:
@@ -53,15 +58,6 @@ def distinct_deltas(daily: DataFrame, by: Sequence[str], item: str, days: int, n
     return seen.withColumn("_e", ends).select(*by, F.col("_e.d").alias("day"), F.col("_e.n").alias(name))
 
 
-def islands(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Steps that follow each other without a break as one range [day, until)."""
-    w = Window.partitionBy(*by).orderBy("day")
-    first = F.coalesce(F.lag("until").over(w) < F.col("day"), F.lag("day").over(w).isNull())
-    parts = steps.withColumn("_first", first).select(*by, "day", "until", F.sum(F.col("_first").cast("int")).over(w).alias("_part"))
-    open_ = F.count_if(F.col("until").isNull()) > 0
-    return parts.groupBy(*by, "_part").agg(F.min("day").alias("day"), F.when(open_, None).otherwise(F.max("until")).alias("until")).drop("_part")
-
-
 def meeting(steps: DataFrame, ranges: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Steps cut to the ranges that they meet, with the ranges' other columns (open ends are null). Ranges of a key do not overlap."""
     r = ranges.withColumnsRenamed({"day": "_from", "until": "_to"})
