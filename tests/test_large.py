@@ -1,8 +1,12 @@
 """The reports and joins of larger tables: ranges instead of rows, tasks that do not grow."""
 
 import datetime as dt
+import random
+from decimal import Decimal
 
-from cardmart.operators import marts
+from pyspark.sql import functions as F
+
+from cardmart.operators import marts, scd2
 from cardmart.sources import retail
 
 
@@ -36,3 +40,27 @@ def test_narrow_lines_keep_the_same_row(spark, tmp_path):
     for columns in (["l_shipdate"], ["l_partkey"], ["l_suppkey"], ["l_extendedprice", "l_returnflag"]):
         some = retail.unique_lines(spark, str(tmp_path), columns=columns).select("l_orderkey", "l_linenumber", *columns)
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
+
+
+def test_primary_category_of_an_array(spark):
+    arrays = [[("b", 2), ("a", 1), ("a", 1), ("c", 1)], [("-1", 3), ("x", 1)], [(None, 2), ("x", 1), (None, 1)], [("z", 1)]]
+    df = spark.createDataFrame([(k, a) for k, a in enumerate(arrays)], "k int, counts array<struct<mcc: string, n: bigint>>")
+    got = df.select("k", marts.primary_category(F.col("counts")).alias("t")).orderBy("k").collect()
+    assert [(x["t"]["primary_mcc"], x["t"]["distinct_mcc_count"]) for x in got] == [("a", 3), ("-1", 1), (None, 1), ("z", 1)]
+
+
+def test_merchant_days_are_not_shuffled_after_they_are_written_out(spark):
+    """Categories are looked at where a window changes: after days are written out, rows only meet the base, which is broadcast."""
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("m", "b", d(0)), ("m", "a", d(10)), ("m", "b", d(10)), ("m", "c", d(39)), ("n", "-1", d(5)), ("n", "z", d(70))]
+    txn = spark.createDataFrame([(*x, Decimal(-2), False) for x in rows], "merchant_id string, mcc string, day date, amount decimal(18,2), is_error boolean")
+    out = marts.merchant_error(txn, 1, 0.5, parts=2)
+    got = {(x["date_key"], x["merchant_id"]): (x["primary_mcc"], x["distinct_mcc_count"], x["transaction_count_30d"]) for x in out.collect()}
+    expected = {}
+    for x in range(71):
+        for m in "mn":
+            inside = [r[1] for r in rows if r[0] == m and d(x - 29) <= r[2] <= d(x)]
+            if inside:
+                expected[int(d(x).strftime("%Y%m%d")), m] = (min(inside, key=lambda c: (-inside.count(c), c)), len(set(inside) - {"-1"}), len(inside))
+    assert got == expected
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
