@@ -562,6 +562,21 @@ def descended(points: DataFrame, places: DataFrame, side: float) -> DataFrame:
     return rows.select("lat", "lon", *_CUBE)
 
 
+def _side(known: DataFrame, cell: float) -> float:
+    """A cube's side: that of a cell, halved while the mean place shares its cube with more than CROWD others."""
+    side = 2 * math.sin(math.radians(min(cell, 60.0)) / 2)
+    at = known.select(*_on_sphere("plat", "plon"))
+    while side > 1e-4:
+        n = at.groupBy(*(F.floor(F.col(c) / side) for c in at.columns)).count()
+        crowd = n.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
+        if crowd is None or crowd <= CROWD:
+            break
+        side /= 2 if crowd <= 16 * CROWD else 4
+    return side
+
+
+#: Places that share a cube, in the mean over places.
+CROWD = 8
 #: Cubes of a level that are broadcast at most.
 BROADCAST = 20_000
 
@@ -570,13 +585,14 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> Da
     """The nearest of all places (place, plat, plon) to each point (id, lat, lon), by great circle, the least place among equals; null without coordinates or places.
 
     Cells are cubes around points of the unit sphere, so neither the 180-degree line nor the poles are edges. A place outside the 27 cubes around a point is
-    at least a cube's side away; points with no place nearer than that descend the tree of cubes (descended()). cell (degrees) is the side: it sets
-    the work, not the result.
+    at least a cube's side away; points with no place nearer than that descend the tree of cubes (descended()). cell (degrees) is the largest side: it sets
+    the work, not the result. Of places at one position the least stands for all, and the side shrinks with the number of positions, so a point does
+    not meet more of them where there are more.
     """
-    side = 2 * math.sin(math.radians(min(cell, 60.0)) / 2)
     ring = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     cube = lambda lat, lon: [F.floor(c / side).cast("long") for c in _on_sphere(lat, lon)]
-    known = places.where("plat IS NOT NULL AND plon IS NOT NULL").select("place", "plat", "plon")
+    known = places.where("plat IS NOT NULL AND plon IS NOT NULL").groupBy("plat", "plon").agg(F.min("place").alias("place")).select("place", "plat", "plon")
+    side = _side(known, cell)
     here = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct().withColumns(dict(zip(_CUBE, cube("lat", "lon"), strict=True)))
     around = known.withColumn("_r", F.explode(ring)).select("place", "plat", "plon", *((c + F.col("_r")[k]).alias(_CUBE[k]) for k, c in enumerate(cube("plat", "plon"))))
     best = here.join(around, _CUBE, "left").withColumn("km", haversine_km()).groupBy("lat", "lon").agg(F.min(F.when(F.col("place").isNotNull(), F.struct("km", "place"))).alias("b"))

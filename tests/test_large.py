@@ -42,6 +42,20 @@ def test_narrow_lines_keep_the_same_row(spark, tmp_path):
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
 
 
+def test_nearest_place_meets_few_of_crowded_places(spark):
+    """A city of places, several at one position, and points far from it: the side shrinks, the result stays that of all pairs."""
+    r = random.Random(5)
+    at = [(round(48 + r.random(), 3), round(2 + r.random(), 3)) for _ in range(150)]
+    places = [(500 - k, *at[k % 150]) for k in range(400)] + [(1000, -40.0, 170.0), (1001, None, 3.0)]
+    points = [(k, round(47.5 + 2 * r.random(), 3), round(1.5 + 2 * r.random(), 3)) for k in range(60)] + [(60, -89.0, 10.0), (61, 10.0, -179.9), (62, None, 1.0)]
+    known = spark.createDataFrame(places, "place long, plat double, plon double")
+    got = {x["id"]: x["place"] for x in marts.nearest_place(spark.createDataFrame(points, "id long, lat double, lon double"), known, 5.0).collect()}
+    pairs = spark.createDataFrame(points, "id long, lat double, lon double").crossJoin(known).where("lat IS NOT NULL AND plat IS NOT NULL").withColumn("km", marts.haversine_km())
+    best = {x["id"]: x["b"]["place"] for x in pairs.groupBy("id").agg(F.min(F.struct("km", "place")).alias("b")).collect()}
+    assert got == best | {62: None}
+    assert marts._side(known.dropna(), 5.0) < 0.01 < 0.08 < marts._side(known.where("place >= 1000").dropna(), 5.0)
+
+
 def test_primary_category_of_an_array(spark):
     arrays = [[("b", 2), ("a", 1), ("a", 1), ("c", 1)], [("-1", 3), ("x", 1)], [(None, 2), ("x", 1), (None, 1)], [("z", 1)]]
     df = spark.createDataFrame([(k, a) for k, a in enumerate(arrays)], "k int, counts array<struct<mcc: string, n: bigint>>")
