@@ -164,17 +164,19 @@ def account_snapshot(txn: DataFrame) -> DataFrame:
     )
 
 
-def daily_trend(txn: DataFrame, unknown: str = "-1") -> DataFrame:
-    a = F.col("amount")
-    distinct = lambda c: F.countDistinct(F.when(F.col(c) != unknown, F.col(c)))
-    return txn.groupBy("date_key", "mcc", "merchant_id").agg(
+def daily_trend(txn: DataFrame, unknown: str = "-1", parts: int | None = None) -> DataFrame:
+    """Sums and distinct cards and customers per day, category and merchant. Rows are dealt out once by these and sorted by card, then by customer, so that the first row of each counts: no set is held."""
+    a, by = F.col("amount"), ["date_key", "mcc", "merchant_id"]
+    new = lambda c: (F.col(c) != unknown) & ~F.col(c).eqNullSafe(F.lag(c).over(Window.partitionBy(*by).orderBy(c)))
+    rows = rolling.dealt(txn.select(*by, "amount", "is_error", "card_id", "customer_id"), by, parts)
+    return rows.withColumn("_card", new("card_id")).withColumn("_customer", new("customer_id")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum(F.when(a < 0, F.abs(a)).otherwise(0)).alias("total_spend_amount"),
         F.sum(F.when(a > 0, a).otherwise(0)).alias("total_inflow_amount"),
         F.count_if(~F.col("is_error")).alias("successful_transaction_count"),
         F.count_if("is_error").alias("failed_transaction_count"),
-        distinct("card_id").alias("unique_cards"),
-        distinct("customer_id").alias("unique_customers"),
+        F.count_if("_card").alias("unique_cards"),
+        F.count_if("_customer").alias("unique_customers"),
     )
 
 

@@ -42,6 +42,20 @@ def test_narrow_lines_keep_the_same_row(spark, tmp_path):
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
 
 
+def test_daily_trend_counts_distinct_without_copies_of_rows(spark):
+    r = random.Random(7)
+    pick = lambda *xs: r.choice(xs)
+    rows = [(pick(1, 2), pick("x", None), pick("m", "n"), Decimal(pick(-3, 0, 5)), pick(True, False), pick("-1", None, "c1", "c2", "c3"), pick("-1", None, "u1", "u2")) for _ in range(200)]
+    txn = spark.createDataFrame(rows, "date_key int, mcc string, merchant_id string, amount decimal(18,2), is_error boolean, card_id string, customer_id string")
+    out = marts.daily_trend(txn, parts=3)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    real = lambda t, k: len({x[k] for x in t} - {None, "-1"})
+    for x in out.collect():
+        t = [y for y in rows if y[:3] == (x["date_key"], x["mcc"], x["merchant_id"])]
+        assert (x["transaction_count"], x["unique_cards"], x["unique_customers"], x["failed_transaction_count"]) == (len(t), real(t, 5), real(t, 6), sum(y[4] for y in t))
+        assert (x["total_spend_amount"], x["total_inflow_amount"]) == (sum(-y[3] for y in t if y[3] < 0), sum(y[3] for y in t if y[3] > 0))
+
+
 def test_nearest_place_meets_few_of_crowded_places(spark):
     """A city of places, several at one position, and points far from it: the side shrinks, the result stays that of all pairs."""
     r = random.Random(5)
