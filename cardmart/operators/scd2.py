@@ -34,7 +34,8 @@ def snapshot(prev: DataFrame | None, current: DataFrame, key: str, tracked: Sequ
     if prev is None:
         return fresh
     closed = prev.where("valid_to is not null")
-    both = prev.where("valid_to is null").alias("o").join(current.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    # both sides have every key and are wider than their files, so neither may be broadcast
+    both = prev.where("valid_to is null").alias("o").join(current.alias("n").hint("merge"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     is_new = F.col(f"o.{key}").isNull()
     stays = F.col(f"n.{key}").isNull() | (F.col("o.valid_from") > at)
     differs = F.when(is_new | F.col(f"n.{key}").isNull(), False).otherwise(changed("o", "n", tracked)) & (F.col("o.valid_from") < at)
@@ -189,15 +190,18 @@ def changed_since(history: DataFrame, newest) -> DataFrame:
 
 
 def interval_violations(dim: DataFrame, key: str) -> DataFrame:
-    """key and violation: overlap, gap, or a number of current versions other than one."""
+    """key and violation: overlap, gap, uncovered, or a number of current versions other than one; all from one pass over the versions of each key."""
     w = Window.partitionBy(key).orderBy("effective_from")
-    nxt = dim.withColumn("_next", F.lead("effective_from").over(w))
-    overlap = nxt.where("_next < effective_to").select(key, F.lit("overlap").alias("violation"))
-    gap = nxt.where("_next > effective_to").select(key, F.lit("gap").alias("violation"))
-    ends = dim.groupBy(key).agg(F.min("effective_from").alias("a"), F.max("effective_to").alias("b"), F.count_if("is_current").alias("n"))
-    uncovered = ends.where((F.col("a") > ntz(FIRST)) | (F.col("b") < ntz(OPEN_END))).select(key, F.lit("uncovered").alias("violation"))
-    current = ends.where("n <> 1").select(key, F.lit("current versions").alias("violation"))
-    return reduce(DataFrame.unionByName, (overlap, gap, uncovered, current))
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = dim.select(
+        key, "effective_from", "effective_to", F.lead("effective_from").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"), F.min("effective_from").over(every).alias("_a"),
+        F.max("effective_to").over(every).alias("_b"), F.count_if("is_current").over(every).alias("_n"),
+    )
+    found = F.array(
+        F.when(F.col("_next") < F.col("effective_to"), "overlap"), F.when(F.col("_next") > F.col("effective_to"), "gap"),
+        F.when(F.col("_first") & ((F.col("_a") > ntz(FIRST)) | (F.col("_b") < ntz(OPEN_END))), "uncovered"), F.when(F.col("_first") & (F.col("_n") != 1), "current versions"),
+    )
+    return rows.select(key, F.explode(F.array_compact(found)).alias("violation"))
 
 
 def as_of(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ts: Column, columns: dict[str, str], unknown: str = "-1") -> DataFrame:

@@ -70,6 +70,19 @@ def test_nearest_place_meets_few_of_crowded_places(spark):
     assert marts._side(known.dropna(), 5.0) < 0.01 < 0.08 < marts._side(known.where("place >= 1000").dropna(), 5.0)
 
 
+def test_interval_audit_passes_once(spark):
+    t = lambda y: dt.datetime(y, 1, 1)
+    first, end = dt.datetime(1900, 1, 1), dt.datetime(9999, 12, 31, 23, 59, 59)
+    rows = [
+        ("fine", first, t(2000), False), ("fine", t(2000), end, True), ("gap", first, t(2000), False), ("gap", t(2001), end, True), ("over", first, t(2002), False), ("over", t(2001), end, True),
+        ("late", t(1950), end, True), ("short", first, t(2000), True), ("none", first, end, False), ("two", first, t(2000), True), ("two", t(2000), end, True),
+    ]
+    out = scd2.interval_violations(spark.createDataFrame(rows, "k string, effective_from timestamp_ntz, effective_to timestamp_ntz, is_current boolean"), "k")
+    assert sorted(map(tuple, out.collect())) == [("gap", "gap"), ("late", "uncovered"), ("none", "current versions"), ("over", "overlap"), ("short", "uncovered"), ("two", "current versions")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_primary_category_of_an_array(spark):
     arrays = [[("b", 2), ("a", 1), ("a", 1), ("c", 1)], [("-1", 3), ("x", 1)], [(None, 2), ("x", 1), (None, 1)], [("z", 1)]]
     df = spark.createDataFrame([(k, a) for k, a in enumerate(arrays)], "k int, counts array<struct<mcc: string, n: bigint>>")
