@@ -213,7 +213,7 @@ def linking(least: int):
     def run(table: pa.Table) -> pa.Table:
         node, comp, block, minima, outer = _group(table)
         label = np.unique(comp, return_inverse=True)[1]
-        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]  # sorted as unsigned numbers
         found = []
         for k in range(len(node)):
             near, same = _alike(k, minima, label, block, outer, least)

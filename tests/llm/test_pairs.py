@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,18 @@ def test_minhash_near_the_limit(spark, seed):
     assert groups(spark, rows) == brute_components(rows)
 
 
+def test_minhash_clusters_compare_shingles_as_unsigned():
+    """Shingle hashes on both sides of 2^63: sets that share 53 of 65 shingles are linked, those that share 52 of 66 are not."""
+    rnd = random.Random(4)
+    common, own = ([rnd.randrange(1 << 64) for _ in range(59)] for _ in range(2))
+    assert 10 < sum(x >= 1 << 63 for x in common) < 49
+    for shared, links in ((53, [(1, 2)]), (52, [])):
+        sets = [np.unique(np.array(x, np.uint64)) for x in (common, common[:shared] + own[shared:])]
+        minima = [np.zeros(minhash.MINIMA, "<u4").tobytes()] * 2
+        table = pa.table({"node": [1, 2], "comp": [1, 2], "block": [0, 0], "i": [0, 0], "j": [0, 0], "minima": pa.array(minima, pa.binary()), "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+        assert [tuple(x.values()) for x in minhash.linking(77)(table).to_pylist()] == links
+
+
 def test_minhash_crowded_buckets(spark):
     """Buckets above the bound are dealt anew by longer bands and in blocks; nothing is lost."""
     passage = " ".join(f"p{k}" for k in range(40))
