@@ -388,9 +388,10 @@ def primary_category(counts: Column) -> Column:
 def _merchant_days(txn: DataFrame, floor: int, days: int, parts: int | None) -> tuple[DataFrame, dt.date]:
     """merchant_id, day, n, failed, spend, portfolio_error_rate_30d, primary_mcc, distinct_mcc_count of all days, from daily sums that are written once; and the first day.
 
-    A merchant's categories are looked at where its window changes, before days are written out.
+    A merchant's categories are looked at where its window changes, before days are written out. Transactions are dealt out by what they are summed by: few
+    fall together, so sums before the shuffle would spare little, and the tasks' size is that of the parts.
     """
-    daily = written(_merchant_sums(txn, "day"), "merchant-daily")
+    daily = written(_merchant_sums(rolling.dealt(txn, ["merchant_id", "mcc", "day"], parts), "day"), "merchant-daily")
     first, last = rolling.bounds(daily)
     names = ["n", "failed", "spend"]
     coming = F.when(F.col("n") > 0, F.struct("mcc", "n"))  # not where a day leaves the window

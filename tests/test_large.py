@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,18 @@ def test_merchant_days_are_not_shuffled_after_they_are_written_out(spark):
                 expected[int(d(x).strftime("%Y%m%d")), m] = (min(inside, key=lambda c: (-inside.count(c), c)), len(set(inside) - {"-1"}), len(inside))
     assert got == expected
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def _new_files(spark, name, run):
+    """Data files that a run leaves in the shared folder under a name."""
+    at = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).glob(f"{name}-*/*.parquet"))
+    before = at()
+    run()
+    return at() - before
+
+
+def test_merchant_sums_come_in_as_many_tasks_as_parts(spark):
+    """Tasks that sum by day follow the parts that the rows call for, not the shuffle's default, which grows with the input."""
+    rows = [(f"m{k % 9}", f"c{k % 4}", dt.date(2024, 1, 1) + dt.timedelta(days=k % 50), Decimal(-2), k % 5 == 0) for k in range(900)]
+    txn = spark.createDataFrame(rows, "merchant_id string, mcc string, day date, amount decimal(18,2), is_error boolean")
+    assert len(_new_files(spark, "merchant-daily", lambda: marts.merchant_error(txn, 1, 0.5, parts=7))) == 7
