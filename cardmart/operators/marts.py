@@ -317,9 +317,14 @@ def _segmented() -> list[Column]:
     return [clean.chip_segment(F.col("has_chip")).alias("chip_segment"), F.coalesce("card_brand", F.lit("UNKNOWN")).alias("card_brand"), F.when(F.col("v_from").isNotNull(), 1).otherwise(0).alias("active")]
 
 
-def active_steps(txn: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS, parts: int | None = None) -> DataFrame:
-    """Steps of active cards and their transactions per segment that the card is in on that day."""
-    daily = txn.select(_card(), "day", "is_error").groupBy("card_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+def card_days(txn: DataFrame, parts: int | None = None) -> DataFrame:
+    """card_id, day, n and failed of the days on which a card has transactions. Dealt out by card and day: unresolved cards, which are one, come in as many parts as they have days."""
+    rows = rolling.dealt(txn.select(_card(), "day", "is_error"), ["card_id", "day"], parts)
+    return rows.groupBy("card_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"))
+
+
+def active_steps(daily: DataFrame, cards: DataFrame, days: int = ACTIVE_DAYS, parts: int | None = None) -> DataFrame:
+    """Steps of active cards and their transactions per segment that the card is in on that day; daily: card_days()."""
     steps = rolling.steps_from_deltas(rolling.sum_deltas(daily, ["card_id"], ["n", "failed"], days, parts=parts), ["card_id"], ["n", "failed"]).where("n > 0")
     both = steps.join(version_days(cards).select("card_id", "has_chip", "card_brand", "v_from", "v_to"), "card_id", "left")
     rows = both.select(*_segmented(), F.greatest("day", "v_from").alias("a"), F.least("until", "v_to").alias("b"), "n", "failed")
@@ -349,8 +354,9 @@ def card_portfolio(txn: DataFrame, cards: DataFrame, batch: dt.date | None = Non
     the caller knows it.
     """
     if batch is None:
-        first, last = rolling.bounds(txn)
-        issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(txn, cards, days, parts), first, last)
+        daily = written(card_days(txn, parts), "card-daily")
+        first, last = rolling.bounds(daily)
+        issued, active = rolling.written_out(issued_steps(cards), first, last), rolling.written_out(active_steps(daily, cards, days, parts), first, last)
     else:
         first = first or rolling.bounds(txn)[0]
         issued, active = _portfolio_day(txn, cards, batch, days, state)
