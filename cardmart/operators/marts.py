@@ -414,6 +414,20 @@ def _merchant_sums(txn: DataFrame, *by: str) -> DataFrame:
     return txn.groupBy("merchant_id", "mcc", *by).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("failed"), spend)
 
 
+def merchant_windows(txn: DataFrame, floor: int, days: int = ERROR_DAYS, parts: int | None = None) -> tuple[DataFrame, dt.date]:
+    """day, merchant_id and window_day_count of all rows of merchant_error(), and the first day of the history.
+
+    Counts alone decide which rows the report has, so of the transactions merchant_id and day are all that is dealt out and written, once. They are dealt out by
+    merchant and year: a merchant's days lie together, so what is written takes no more a row where there are more parts, and a large merchant is in several.
+    """
+    year = F.year("day")
+    counts = rolling.dealt(txn.select("merchant_id", "day"), ["merchant_id", year], parts).groupBy("merchant_id", year, "day").agg(F.count(F.lit(1)).alias("n"))
+    daily = written(counts.select("merchant_id", "day", "n").sortWithinPartitions("merchant_id", "day"), "merchant-counts")
+    first, last = rolling.bounds(daily)
+    steps = rolling.steps_from_deltas(rolling.sum_deltas(daily, ["merchant_id"], ["n"], days, parts=parts), ["merchant_id"], ["n"]).where(F.col("n") >= floor)
+    return rolling.written_out(steps, first, last).select("day", "merchant_id", rolling.window_days(F.col("day"), first, days).alias("window_day_count")), first
+
+
 def _merchant_day(txn: DataFrame, floor: int, batch: dt.date, days: int, state: DataFrame | None) -> DataFrame:
     """The same of one day, from the rows of its window or the kept sums."""
     pairs = state.where("n > 0").select("merchant_id", "mcc", "n", "failed", "spend") if state is not None else _merchant_sums(trailing_window(txn, batch, days))

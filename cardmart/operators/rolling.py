@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,7 @@ def trailing_rows(df: DataFrame, by: Sequence[str], day: str, sums: dict[str, st
     return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
 
 
-def dealt(df: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
+def dealt(df: DataFrame, by: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """Rows dealt out by key, to a number of parts where the caller knows what the rows call for."""
     return df.repartition(parts, *by) if parts else df.repartition(*by)
 

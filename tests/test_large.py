@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from cardmart import queries
 from cardmart.operators import marts, scd2
 from cardmart.sources import retail
 
@@ -121,3 +122,36 @@ def test_merchant_sums_come_in_as_many_tasks_as_parts(spark):
     rows = [(f"m{k % 9}", f"c{k % 4}", dt.date(2024, 1, 1) + dt.timedelta(days=k % 50), Decimal(-2), k % 5 == 0) for k in range(900)]
     txn = spark.createDataFrame(rows, "merchant_id string, mcc string, day date, amount decimal(18,2), is_error boolean")
     assert len(_new_files(spark, "merchant-daily", lambda: marts.merchant_error(txn, 1, 0.5, parts=7))) == 7
+
+
+def test_merchant_windows_are_those_of_the_report(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["m", "n", "o", None]), r.choice(["a", "-1", None]), dt.date(2024, 1, 1) + dt.timedelta(days=r.choice((r.randrange(40), r.randrange(400)))), Decimal(-2), False) for _ in range(150)]
+    txn = spark.createDataFrame(rows, "merchant_id string, mcc string, day date, amount decimal(18,2), is_error boolean")
+    for floor in (1, 3):
+        windows, first = marts.merchant_windows(txn, floor, parts=3)
+        got = [(int(x["day"].strftime("%Y%m%d")), x["merchant_id"], x["window_day_count"]) for x in windows.collect()]
+        report = marts.merchant_error(txn, floor, 0.5, parts=2).select("date_key", "merchant_id", "window_day_count").collect()
+        assert sorted(got, key=str) == sorted(map(tuple, report), key=str) and len(got) > 100 and first == min(x[2] for x in rows)
+
+
+def test_incomplete_merchant_windows_read_merchants_and_days_once(spark, tmp_path):
+    """No table of parts, and what is written has three columns. A line without an order does not begin the history; copies of a line count once."""
+    at = lambda *x: dt.datetime(2024, *x)
+    lines = [(o, 1, 7, 1, day) for o, day in enumerate([at(1, 1)] * 5 + [at(1, 10)] * 5 + [at(2, 25)] * 5 + [at(3, 5)])] + [(20, n, 8, n, at(2, 25)) for n in (1, 2, 3, 4)] + [(20, 1, 8, 1, at(2, 25)), (99, 1, 7, 1, dt.datetime(2023, 11, 1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k) for k in range(21)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = []
+    files = _new_files(spark, "merchant-*", lambda: got.extend(map(tuple, queries.QUERIES["merchant_windows_incomplete"](spark, str(tmp_path)).collect())))
+    assert sorted(got) == [(20240201, "7", 29), (20240301, "7", 29)]
+    assert spark.read.parquet(*map(str, files)).columns == ["merchant_id", "day", "n"]
+
+
+def test_merchant_counts_come_in_as_many_tasks_as_parts(spark):
+    """Dealt out once, to the parts that the rows call for; a merchant of several years is in several."""
+    rows = [(f"m{k % 60}", dt.date(2020 + k % 7, 1, 1) + dt.timedelta(days=k % 50)) for k in range(900)] + [("large", dt.date(2020 + k % 7, 5, 1 + k % 9)) for k in range(900)]
+    txn = spark.createDataFrame(rows, "merchant_id string, day date")
+    files = _new_files(spark, "merchant-counts", lambda: marts.merchant_windows(txn, 1, parts=7))
+    at = spark.read.parquet(*map(str, files)).select("merchant_id", "day", F.input_file_name().alias("file"))
+    of = at.groupBy("merchant_id", F.year("day").alias("year")).agg(F.countDistinct("file").alias("files")).collect()
+    assert len(files) == 7 and {x["files"] for x in of} == {1} and at.where("merchant_id = 'large'").select("file").distinct().count() > 1
