@@ -33,22 +33,23 @@ def snapshot(prev: DataFrame | None, current: DataFrame, key: str, tracked: Sequ
     fresh = current.withColumns({"valid_from": at, "valid_to": F.lit(None).cast("timestamp_ntz")})
     if prev is None:
         return fresh
-    closed = prev.where("valid_to is not null")
-    # both sides have every key and are wider than their files, so neither may be broadcast
-    both = prev.where("valid_to is null").alias("o").join(current.alias("n").hint("merge"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
-    is_new = F.col(f"o.{key}").isNull()
-    stays = F.col(f"n.{key}").isNull() | (F.col("o.valid_from") > at)
-    differs = F.when(is_new | F.col(f"n.{key}").isNull(), False).otherwise(changed("o", "n", tracked)) & (F.col("o.valid_from") < at)
+    # one join, told apart row by row: no union of branches, whose partitions need not agree. Both sides have every key and are wider than their files, so neither may be broadcast
+    same = (F.col(f"o.{key}") == F.col(f"n.{key}")) & F.col("o.valid_to").isNull()
+    both = prev.withColumn("_there", F.lit(True)).alias("o").join(current.alias("n").hint("merge"), same, "full")
+    is_new, absent = F.col("o._there").isNull(), F.col(f"n.{key}").isNull()  # a closed version meets no row of the batch
+    stays = absent | (F.col("o.valid_from") > at)
+    differs = F.when(is_new | absent, False).otherwise(changed("o", "n", tracked)) & (F.col("o.valid_from") < at)
     end = at - gap if gap is not None else at
     names = [c for c in current.columns if c != key]
-    old = both.where(~is_new).select(
+    old = F.struct(
         F.col(f"o.{key}").alias(key),
         *(F.when(differs | stays, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in names),
         F.col("o.valid_from").alias("valid_from"),
-        F.when(differs, end).alias("valid_to"),
+        F.when(differs, end).otherwise(F.col("o.valid_to")).alias("valid_to"),
     )
-    opened = both.where(is_new | differs).select(F.col(f"n.{key}").alias(key), *(F.col(f"n.{c}").alias(c) for c in names), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
-    return reduce(DataFrame.unionByName, (closed.select(*fresh.columns), old.select(*fresh.columns), opened.select(*fresh.columns)))
+    opened = F.struct(F.col(f"n.{key}").alias(key), *(F.col(f"n.{c}").alias(c) for c in names), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    made = F.array_compact(F.array(F.when(~is_new, old), F.when(is_new | differs, opened)))
+    return both.select(F.explode(made).alias("_v")).select(*(F.col(f"_v.{c}").alias(c) for c in fresh.columns))
 
 
 #: Columns of a history besides the key and its attributes; seen: every observation of the version, as its time and the untracked attributes.
