@@ -68,6 +68,28 @@ def test_snapshot_and_dimension(spark):
     assert got == ["x", "y", "x", None, None]
 
 
+def reissued(spark, n):
+    """History of n cards of one brand; every second one has a chip from the start, the others from 1998 on."""
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    state = spark.range(n).select(F.concat(F.lit("k"), "id").alias("card_id"), F.lit("VISA").alias("card_brand"), (F.col("id") % 2 == 0).alias("has_chip"), F.lit(1).alias("num_cards_issued"))
+    first = scd2.snapshot(None, state, "card_id", ["has_chip"], at("1995-01-01"))
+    history = scd2.snapshot(first, state.withColumn("has_chip", F.lit(True)), "card_id", ["has_chip"], at("1998-01-01"))
+    return scd2.dimension(history, "card_id", "card_key", {"card_brand": "UNKNOWN"})
+
+
+def portfolio(spark, *more):
+    """The portfolio of ten cards with a transaction each on two days, and of others: chip_segment, card_brand, days, issued, active, transactions."""
+    days = [dt.date(1996, 1, 1), dt.date(1996, 3, 1)]
+    txn = spark.createDataFrame([(c, day, False) for c in [f"k{i}" for i in range(10)] + list(more) for day in days], "card_id string, day date, is_error boolean")
+    rows = marts.card_portfolio(txn, reissued(spark, 10)).groupBy("chip_segment", "card_brand").agg(F.count(F.lit(1)), F.max("issued_card_count"), F.max("active_card_count_90d"), F.max("transaction_count_90d"))
+    return sorted(map(tuple, rows.collect()))
+
+
+def test_portfolio_counts_each_card_in_one_version(spark):
+    """A card that is reissued in 1998 has no chip in 1996; its second version was taken for a first one, and its transactions counted twice."""
+    assert portfolio(spark) == [("CHIP", "VISA", 61, 5, 5, 10), ("NON_CHIP", "VISA", 61, 5, 5, 10)]
+
+
 def test_latest_and_duplicates(spark):
     df = spark.createDataFrame([("a", 1, "p"), ("a", 2, "q"), ("a", 2, "r"), ("b", None, "s")], "k string, t int, v string")
     assert sorted(map(tuple, dedup.latest_per_key(df, ["k"], ["t"]).collect())) == [("a", 2, "r"), ("b", None, "s")]
