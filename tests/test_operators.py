@@ -90,6 +90,11 @@ def test_portfolio_counts_each_card_in_one_version(spark):
     assert portfolio(spark) == [("CHIP", "VISA", 61, 5, 5, 10), ("NON_CHIP", "VISA", 61, 5, 5, 10)]
 
 
+def test_portfolio_of_unresolved_cards_counts_each_card_in_one_version(spark):
+    """Cards that the dimension does not know are one UNKNOWN segment without active cards; the known ones count as they do without them."""
+    assert portfolio(spark, "-1", "gone") == [("CHIP", "VISA", 61, 5, 5, 10), ("NON_CHIP", "VISA", 61, 5, 5, 10), ("UNKNOWN", "UNKNOWN", 61, 0, 0, 4)]
+
+
 def test_latest_and_duplicates(spark):
     df = spark.createDataFrame([("a", 1, "p"), ("a", 2, "q"), ("a", 2, "r"), ("b", None, "s")], "k string, t int, v string")
     assert sorted(map(tuple, dedup.latest_per_key(df, ["k"], ["t"]).collect())) == [("a", 2, "r"), ("b", None, "s")]
